@@ -9,6 +9,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op4_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .urls import judge, rules_frame
+
+    return judge(_table(spark, sf_dir, "pages"), rules_frame(spark))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .exact import exact_groups
 
@@ -20,6 +26,6 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import exact
+    from . import exact, urls
 
-    return {"op8_exact_dedup": exact.ORACLE}
+    return {"op4_url_rules": urls.ORACLE, "op8_exact_dedup": exact.ORACLE}
