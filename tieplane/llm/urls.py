@@ -86,7 +86,8 @@ def judge(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col:
 
 
 def rules_frame(spark, rules=tuple(RULES)) -> DataFrame:
-    return spark.createDataFrame([*rules], "host string, path string, verdict string")
+    rows = [F.struct(*(F.lit(x).alias(n) for n, x in zip(("host", "path", "verdict"), r, strict=True))) for r in rules]
+    return spark.range(1).select(F.inline(F.array(*rows)))
 
 
 ORACLE = """
