@@ -51,11 +51,23 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(_table(spark, sf_dir, "documents"))
 
 
+def op9_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc import warc_round_trip
+
+    return warc_round_trip(_table(spark, sf_dir, "pages"))
+
+
+def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .media import media_round_trip
+
+    return media_round_trip(_table(spark, sf_dir, "documents")).drop("position", "caption")  # equal texts, equal values
+
+
 def queries() -> dict:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import exact, urls
+    from . import exact, urls, warc
 
-    return {"op4_url_rules": urls.ORACLE, "op8_exact_dedup": exact.ORACLE}
+    return {"op4_url_rules": urls.ORACLE, "op8_exact_dedup": exact.ORACLE, "op9_warc_round_trip": warc.ORACLE}
