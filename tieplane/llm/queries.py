@@ -39,6 +39,12 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"))
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .licenses import notices, scan_licenses
+
+    return scan_licenses(_table(spark, sf_dir, "documents"), notices(spark))
+
+
 def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .jaccard import jaccard_components
 
@@ -68,6 +74,6 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import exact, urls, warc
+    from . import exact, licenses, urls, warc
 
-    return {"op4_url_rules": urls.ORACLE, "op8_exact_dedup": exact.ORACLE, "op9_warc_round_trip": warc.ORACLE}
+    return {"op4_url_rules": urls.ORACLE, "op6_license_scan": licenses.ORACLE, "op8_exact_dedup": exact.ORACLE, "op9_warc_round_trip": warc.ORACLE}
