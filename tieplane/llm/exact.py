@@ -8,9 +8,10 @@ from pyspark.sql import Window as W
 
 from .common import Scratch, ascii_lower, lookup
 
-#: A chunk has 512 to 4096 characters and ends at the first place past 512 whose neighbours fit; the tail
-#: and places-free stretches are cut by length. Equal texts are cut alike, as only content decides.
-CHUNK = r"(?s).{512,4096}?(?<=[aeo][ ,.\n])(?=[a-mA-M])|(?s).{1,4096}"
+#: A chunk has 512 to 4096 characters and ends at the first place past 512 whose neighbours fit, one in a
+#: hundred or two of running text; the tail and stretches without such places are cut by length. Places are
+#: that rare so that the cuts of two texts with a common part meet again soon.
+CHUNK = r"(?s).{512,4096}?(?<=[27ds][ \n])(?=[abcp][a-z])|(?s).{1,4096}"
 #: Up to so many ambiguous identifiers are spelled out chunk by chunk; with more, all chunks are.
 SPELLED = 1000
 

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, ranked
 
 CAPACITY = 2048
 #: Id that ends each document.
@@ -21,6 +21,8 @@ END = 0
 #: Pieces that one packing task takes at most, about.
 GROUP = 200_000
 ROUNDS = 8
+#: Share of a partition's free space that lies in the bins it hands out if it has a gap: its emptiest ones.
+RELEASED = 0.9
 
 
 @lru_cache(2)
@@ -110,12 +112,14 @@ def packer(r: int, last: bool, capacity: int, names: list[str]):
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         sizes = pdf["length"].to_numpy(np.int64)
         bins, offsets, fill = best_fit_decreasing(sizes, capacity)
-        full = fill == capacity
-        if len(fill) == lower_bound(np.bincount(sizes, minlength=capacity + 1), capacity):
-            full[:] = True
-            full[np.argmin(fill)] = fill.min() == capacity
+        order, free = np.argsort(fill, kind="stable"), capacity - fill
+        certified = len(fill) == lower_bound(np.bincount(sizes, minlength=capacity + 1), capacity)
+        given = 1 if certified else int(np.searchsorted(np.cumsum(free[order]), RELEASED * free.sum())) + 1
+        kept = np.ones(len(fill), bool)
+        kept[order[:given]] = False
+        kept |= free == 0
         # 2**31 bins in each of 2**24 partitions in each of 2**7 rounds
-        return pdf[names].assign(sequence_id=(r << 55) | (int(key[0]) << 31) | bins, offset=offsets, done=full[bins] | last)
+        return pdf[names].assign(sequence_id=(r << 55) | (int(key[0]) << 31) | bins, offset=offsets, done=kept[bins] | last)
 
     return run
 
@@ -124,10 +128,9 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, group: int = GROUP, rounds
     """Adds sequence_id and offset to rows with a ``length`` of 1 to ``capacity``.
 
     Each partition of about ``group`` pieces is packed best fit decreasing, and a lower bound from dual
-    feasible functions certifies its bin count. A partition that meets its bound is done. One with a gap
-    keeps its full bins and hands out the pieces of the others, which are dealt anew among fewer partitions,
-    with pieces of other partitions, and packed again; certified partitions hand out their one least filled
-    bin, so that what they waste by rounding meets. It ends when one partition is left or after ``rounds``. A task holds one
+    feasible functions certifies its bin count. A partition that meets its bound hands out its one emptiest bin, so that
+    what partitions waste by rounding meets; one with a gap hands out its emptiest bins, with RELEASED of its
+    free space. Their pieces are dealt anew among fewer partitions and packed again. It ends when one partition is left or after ``rounds``. A task holds one
     partition; the driver holds a count.
     """
     spark = pieces.sparkSession
@@ -140,7 +143,11 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, group: int = GROUP, rounds
         parts = max(1, -(-n // group))
         last = parts == 1 or r == rounds - 1
 
-        dealt = left.withColumn("part", F.pmod(F.xxhash64(F.lit(r), *names), F.lit(parts)).cast("long"))
+        if parts == 1:
+            dealt = left.withColumn("part", F.lit(0).cast("long"))
+        else:  # in turn within each of 64 ranges of lengths, so that all partitions get the same mix
+            mixed = left.withColumn("range", F.floor(F.col("length") * 64 / (capacity + 1)).cast("int")).withColumn("block", F.pmod(F.xxhash64(*names), F.lit(parts)).cast("int"))
+            dealt = ranked(mixed, ["range"], "block", ["length", F.xxhash64(F.lit(r), *names)], "place").withColumn("part", F.pmod(F.col("place") + F.xxhash64(F.lit(r), "range") % parts, F.lit(parts)))
         packed = scratch.keep(dealt.groupBy("part").applyInPandas(packer(r, last, capacity, names), schema), f"round{r}")
         done.append(packed.filter("done").drop("done"))
         if last:
