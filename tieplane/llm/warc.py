@@ -7,7 +7,6 @@ import hashlib
 import zlib
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -96,32 +95,36 @@ def inflate(data: bytes) -> Iterator[bytes]:
 
 def parse(pieces: Iterator[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
     """Headers and block of each record, holding one record and one piece at a time."""
-    buffer = bytearray()
+    buffer, at = bytearray(), 0
 
     def fill(n: int) -> bool:
-        while len(buffer) < n:
+        """Has n bytes from ``at`` on, dropping what lies before it."""
+        nonlocal at
+        while len(buffer) < at + n:
             if (piece := next(pieces, None)) is None:
                 return False
+            del buffer[:at]
+            at = 0
             buffer.extend(piece)
         return True
 
     while True:
-        while fill(1) and buffer[:1] in (b"\r", b"\n"):
-            del buffer[:1]
-        if not buffer:
+        while fill(1) and buffer[at] in b"\r\n":
+            at += 1
+        if at >= len(buffer):
             return
-        while (end := buffer.find(b"\r\n\r\n")) < 0:
-            if not fill(len(buffer) + 1):
+        while (end := buffer.find(b"\r\n\r\n", at)) < 0:
+            if not fill(len(buffer) - at + 1):
                 raise ValueError("a record's headers are cut short")
-        lines = bytes(buffer[:end]).decode("utf-8", "replace").split("\r\n")
+        lines = bytes(buffer[at:end]).decode("utf-8", "replace").split("\r\n")
         if not lines[0].startswith("WARC/"):
             raise ValueError(f"not a WARC record: {lines[0][:40]!r}")
         fields = {k.strip().lower(): v.strip() for k, _, v in (line.partition(":") for line in lines[1:])}
-        size = int(fields["content-length"])
-        if not fill(end + 4 + size + 4) and len(buffer) < end + 4 + size:
+        size, at = int(fields["content-length"]), end + 4
+        if not fill(size):
             raise ValueError("a record's block is cut short")
-        yield fields, bytes(buffer[end + 4 : end + 4 + size])
-        del buffer[: end + 4 + size]
+        yield fields, bytes(buffer[at : at + size])
+        at += size
 
 
 def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_bytes: int = 0, segment: int = SEGMENT) -> None:
@@ -145,7 +148,7 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, count = TaskContext.get().partitionId(), 0
-        for batch in batches:
+        for batch in (b.slice(lo, 256) for b in batches for lo in range(0, b.num_rows, 256)):
             out, size = [], 0
             for page, url, payload, sha, again, keep, repeats in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 count += 1
@@ -213,22 +216,46 @@ def _parsed(spark: SparkSession, path: str, keep: bool) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, PARSED)
 
 
+def reassemble(name: str, parts: list[tuple]) -> tuple[bytes, str]:
+    """The payload of segments (number, total, digest, block) in the order of their numbers, and its digest."""
+    block = b"".join(p[3] for p in parts)
+    if [p[0] for p in parts] != [*range(1, len(parts) + 1)] or parts[-1][1] != len(block):
+        raise ValueError(f"{name}: segments are missing, repeated or of another length")
+    body = body_of(block)
+    if parts[0][2] and digest_of(body) != parts[0][2]:
+        raise ValueError(f"{name}: payload and digest differ")
+    return body, digest_of(body)
+
+
 def _whole(parsed: DataFrame, also: str = "") -> DataFrame:
-    def join(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("number")
-        numbers, block = pdf["number"].tolist(), b"".join(pdf["block"])
-        if numbers != [*range(1, len(numbers) + 1)] or pd.isna(pdf["total"].iloc[-1]) or int(pdf["total"].iloc[-1]) != len(block):
-            raise ValueError(f"{key[0]}: segments are missing, repeated or of another length")
-        body, digest = body_of(block), pdf["digest"].iloc[0]
-        if digest and digest_of(body) != digest:
-            raise ValueError(f"{key[0]}: payload and digest differ")
-        out = {"name": key[0], "kind": "response", "refers_to": None, "digest": digest_of(body), "payload_bytes": len(body)}
-        return pd.DataFrame([out | ({"payload": body} if also else {})])
+    """Segments come sorted by origin and number, so that a task holds the segments of one record at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [pa.string(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.binary()]
+        names = ["name", "kind", "refers_to", "digest", "payload_bytes", "payload"]
+        origin, parts = None, []
+
+        def record() -> pa.RecordBatch:
+            body, digest = reassemble(origin, parts)
+            row = (origin, "response", None, digest, len(body), body)[: 6 if also else 5]
+            return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, kinds, strict=False)], names[: len(row)])
+
+        for batch in (b.slice(lo, 64) for b in batches for lo in range(0, b.num_rows, 64)):
+            for key, *part in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if key != origin and parts:
+                    yield record()
+                    parts = []
+                origin = key
+                parts.append(part)
+        if parts:
+            yield record()
 
     schema = "name string, kind string, refers_to string, digest string, payload_bytes long" + (", " + also) * bool(also)
-    segments = parsed.filter("origin IS NOT NULL").select("origin", "number", "total", "digest", "block").groupBy("origin").applyInPandas(join, schema)
+    segments = parsed.filter("origin IS NOT NULL").select("origin", "number", "total", "digest", "block")
+    parts = int(parsed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    joined = segments.repartition(parts, "origin").sortWithinPartitions("origin", "number").mapInArrow(run, schema)
     single = parsed.filter("origin IS NULL").select("name", "kind", "refers_to", "digest", "payload_bytes", *([F.col("block").alias("payload")] if also else []))
-    return single.unionByName(segments)
+    return single.unionByName(joined)
 
 
 def warc_round_trip(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_bytes: int = 0) -> DataFrame:
