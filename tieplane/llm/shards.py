@@ -67,7 +67,7 @@ def balanced_shards(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS,
     )
     base = scratch.keep(base, "base")
     n = base.count()
-    blocks = max(8, min(4 * HEAVY, n // 20_000))
+    blocks = max(64, min(4 * HEAVY, n // 20_000))
     base = base.withColumn("block", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(blocks)).cast("int"))
     start = scratch.keep(ranked(base, [], "block", ["doc_id", "hub"], "place").withColumn("label", F.pmod("place", F.lit(shards)).cast("int")).drop("place"), "start")
     capacity = {s: n // shards + (s < n % shards) for s in range(shards)}
@@ -125,5 +125,7 @@ def balanced_shards(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS,
     free = ranked(linked.filter("shard IS NULL").drop("shard"), [], "block", ["doc_id", "hub"], "place")
     into = F.size(F.filter(F.array(*map(F.lit, ends)), lambda e: e <= F.col("place")))
     dealt = linked.filter("shard IS NOT NULL").unionByName(free.withColumn("shard", into.cast("int")).drop("place"))
-    out = ranked(scratch.keep(dealt, "dealt"), ["shard"], "block", ["doc_id", "hub"], "slot")
+    # free documents went to shards in the order of their blocks; slots need blocks that cut across that
+    dealt = scratch.keep(dealt.withColumn("block", F.pmod(F.xxhash64("text_crc32", "doc_id"), F.lit(blocks)).cast("int")), "dealt")
+    out = ranked(dealt, ["shard"], "block", ["doc_id", "hub"], "slot")
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
