@@ -1,11 +1,14 @@
-"""Registry of the library's queries and the SQL that states the same results."""
+"""All queries of the library and the SQL that states the same results."""
 
 from __future__ import annotations
 
+from . import fits, patches, points, raster, spatial, texts  # noqa: F401  they register what they hold
+from .registry import ORACLES, QUERIES
+
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
