@@ -1 +1,54 @@
+"""Queries that fit models."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import denoise, fit, joins, robust
+from ..functions import geometry as geo
+from . import proxies as P
+from .proxies import r6
+from .registry import query
+
+C = F.col
+
+
+@query("ag11_affine_least_squares", """WITH c AS (SELECT ccd, avg(row) AS cr, avg(col) AS cc, avg(mrow) AS mr, avg(mcol) AS mc FROM matched GROUP BY ccd), d AS (SELECT m.ccd, row - cr AS x, col - cc AS y, mrow - mr AS u, mcol - mc AS v FROM matched m JOIN c ON m.ccd = c.ccd),
+s AS (SELECT ccd, count(*) AS n, sum(x*x) AS xx, sum(x*y) AS xy, sum(y*y) AS yy, sum(x*u) AS xu, sum(y*u) AS yu, sum(x*v) AS xv, sum(y*v) AS yv FROM d GROUP BY ccd), f AS (SELECT *, xx*yy - xy*xy AS det FROM s)
+SELECT f.ccd, n, round((xu*yy - yu*xy) / det, 5) + 0.0 AS f0, round((yu*xx - xu*xy) / det, 5) + 0.0 AS f1, round(mr - (xu*yy - yu*xy) / det * cr - (yu*xx - xu*xy) / det * cc, 4) + 0.0 AS f2, round((xv*yy - yv*xy) / det, 5) + 0.0 AS f3, round((yv*xx - xv*xy) / det, 5) + 0.0 AS f4 FROM f JOIN c ON f.ccd = c.ccd""")
+def ag11(spark, sf_dir):
+    f = robust.solve_affine(P.matched(spark, sf_dir), ["ccd"], "row", "col", "mrow", "mcol")
+    return f.select("ccd", "n", r6(C("f0"), 5).alias("f0"), r6(C("f1"), 5).alias("f1"), r6(C("f2"), 4).alias("f2"), r6(C("f3"), 5).alias("f3"), r6(C("f4"), 5).alias("f4"))
+
+
+@query("ag12_quadratic_surface")
+def ag12(spark, sf_dir):
+    m = P.matched(spark, sf_dir)
+    s = m.select("ccd", C("pid").alias("sid"), C("row").alias("srow"), C("col").alias("scol"), (C("mrow") - C("row")).alias("dr"))
+    near = joins.radius_join(P.pt(spark, sf_dir).select("ccd", "pid", "row", "col"), s, ("row", "col"), ("srow", "scol"), 500.0, ["ccd"])
+    pairs = near.select("pid", (C("srow") - C("row")).alias("x"), (C("scol") - C("col")).alias("y"), "dr", geo.gaussian(F.sqrt("d2"), 200.0).alias("w"))
+    return fit.quadratic_surface(pairs, ["pid"], "x", "y", "dr", "w", "pred").select("pid", "n", r6(C("pred"), 3).alias("pred"))
+
+
+@query("ag14_affine_ransac")
+def ag14(spark, sf_dir):
+    return fit.affine_ransac(P.matched(spark, sf_dir).select("ccd", "row", "col", "mrow", "mcol"), ["ccd"], 20.0, 300)
+
+
+@query("ag15_local_affine_field")
+def ag15(spark, sf_dir):
+    return fit.local_affine_field(P.matched(spark, sf_dir).select("row", "col", "mrow", "mcol"), 8000.0, 50.0, 20.0, 60)
+
+
+@query("ag16_time_polynomial", """WITH g AS (SELECT oid % 8 AS strip, t, y FROM ephem), b AS (SELECT strip, min(t) AS t0, max(t) - min(t) AS span FROM g GROUP BY strip)
+SELECT strip, t0, 8 AS terms FROM b""")
+def ag16(spark, sf_dir):
+    g = P.ephem(spark, sf_dir).select((C("oid") % 8).alias("strip"), "t", C("y"), (C("y") * 0.5).alias("half"))
+    p = fit.time_polynomials(g, ["strip"], "t", ["y", "half"])
+    return p.groupBy("strip", "t0").agg(F.sum(F.size("coefs")).cast("int").alias("terms"))
+
+
+@query("g16_denoise")
+def g16(spark, sf_dir):
+    cloud = P.cloud(spark, sf_dir).withColumn("key", F.xxhash64("x", "y", "z", "strip")).dropDuplicates(["key"])
+    return denoise.denoise(cloud, "key", 50.0).groupBy("strip", "reason").agg(F.count(F.lit(1)).alias("n"))

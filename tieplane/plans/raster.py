@@ -70,7 +70,7 @@ def g6(spark, sf_dir):
     return grid.seam_blend(P.pt(spark, sf_dir), C("score"), C("col"), C("pid") % 4).select("pid", "blend")
 
 
-@query("g8_composite", "SELECT floor(row / 300)::BIGINT AS r, floor(col / 10)::BIGINT AS c, ccd, max(score) AS v FROM pt GROUP BY ALL QUALIFY row_number() OVER (PARTITION BY r, c ORDER BY ccd DESC) = 1")
+@query("g8_composite", "WITH px AS (SELECT floor(row / 300)::BIGINT AS r, floor(col / 10)::BIGINT AS c, ccd, max(score) AS v FROM pt GROUP BY ALL) SELECT * FROM px QUALIFY row_number() OVER (PARTITION BY r, c ORDER BY ccd DESC) = 1")
 def g8(spark, sf_dir):
     px = P.pt(spark, sf_dir).groupBy(F.floor(C("row") / 300).alias("r"), F.floor(C("col") / 10).alias("c"), "ccd").agg(F.max("score").alias("v"))
     return grid.composite(px, "ccd")
