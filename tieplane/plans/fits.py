@@ -14,7 +14,7 @@ C = F.col
 
 
 @query("ag11_affine_least_squares", """WITH c AS (SELECT ccd, avg(row) AS cr, avg(col) AS cc, avg(mrow) AS mr, avg(mcol) AS mc FROM matched GROUP BY ccd), d AS (SELECT m.ccd, row - cr AS x, col - cc AS y, mrow - mr AS u, mcol - mc AS v FROM matched m JOIN c ON m.ccd = c.ccd),
-s AS (SELECT ccd, count(*) AS n, sum(x*x) AS xx, sum(x*y) AS xy, sum(y*y) AS yy, sum(x*u) AS xu, sum(y*u) AS yu, sum(x*v) AS xv, sum(y*v) AS yv FROM d GROUP BY ccd), f AS (SELECT *, xx*yy - xy*xy AS det FROM s)
+s AS (SELECT ccd, count(*) AS n, sum(x*x) AS xx, sum(x*y) AS xy, sum(y*y) AS yy, sum(x*u) AS xu, sum(y*u) AS yu, sum(x*v) AS xv, sum(y*v) AS yv FROM d GROUP BY ccd), f AS (SELECT *, CASE WHEN xx*yy - xy*xy > 1e-9 * xx * yy THEN xx*yy - xy*xy END AS det FROM s)
 SELECT f.ccd, n, round((xu*yy - yu*xy) / det, 5) + 0.0 AS f0, round((yu*xx - xu*xy) / det, 5) + 0.0 AS f1, round(mr - (xu*yy - yu*xy) / det * cr - (yu*xx - xu*xy) / det * cc, 4) + 0.0 AS f2, round((xv*yy - yv*xy) / det, 5) + 0.0 AS f3, round((yv*xx - xv*xy) / det, 5) + 0.0 AS f4 FROM f JOIN c ON f.ccd = c.ccd""")
 def ag11(spark, sf_dir):
     f = robust.solve_affine(P.matched(spark, sf_dir), ["ccd"], "row", "col", "mrow", "mcol")

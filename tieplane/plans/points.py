@@ -133,7 +133,8 @@ def _posed(spark, sf_dir):
     return _focal(spark, sf_dir).withColumns({f"r{i}": x for i, x in enumerate(r)})
 
 
-_R = [C(f"r{i}") for i in range(9)]
+def _rotation():
+    return [C(f"r{i}") for i in range(9)]
 
 
 @query("pr13_rotation", _ROT + "SELECT pid, " + ", ".join(f"round(r{i}, 6) + 0.0 AS r{i}" for i in range(9)) + " FROM m")
@@ -142,7 +143,10 @@ def pr13(spark, sf_dir):
 
 
 _RAY = _ROT + """, d AS (SELECT pid, r0*xp + r1*yp + r2*11995.48 AS a, r3*xp + r4*yp + r5*11995.48 AS b, r6*xp + r7*yp + r8*11995.48 AS c FROM m)"""
-_DIR = geo.ray(_R, C("xp"), C("yp"), F.lit(11995.48))
+
+
+def _direction():
+    return geo.ray(_rotation(), C("xp"), C("yp"), F.lit(11995.48))
 
 
 @query("pr14_ray_sphere", _RAY + """, q2 AS (SELECT *, a*a + b*b + c*c AS qa, 2 * (a * 1000.0 + b * 2000.0 + c * -3700000.0) AS qb, 1000.0*1000.0 + 2000.0*2000.0 + 3700000.0::DOUBLE*3700000.0 - 3396190.0::DOUBLE*3396190.0 AS qc FROM d),
@@ -150,13 +154,13 @@ s AS (SELECT *, CASE WHEN qb*qb - 4*qa*qc >= 0 THEN sqrt(qb*qb - 4*qa*qc) END AS
 t AS (SELECT *, CASE WHEN ((-qb + root) / 2 / qa) * ((-qb + root) / 2 / qa) > ((-qb - root) / 2 / qa) * ((-qb - root) / 2 / qa) THEN (-qb - root) / 2 / qa ELSE (-qb + root) / 2 / qa END AS l FROM s)
 SELECT pid, round(l * a + 1000.0, 1) + 0.0 AS x, round(l * b + 2000.0, 1) + 0.0 AS y, round(l * c + -3700000.0, 1) + 0.0 AS z FROM t""")
 def pr14(spark, sf_dir):
-    x, y, z = geo.ray_sphere(_DIR, [F.lit(1000.0), F.lit(2000.0), F.lit(-3700000.0)], F.lit(3396190.0))
+    x, y, z = geo.ray_sphere(_direction(), [F.lit(1000.0), F.lit(2000.0), F.lit(-3700000.0)], F.lit(3396190.0))
     return _posed(spark, sf_dir).select("pid", r6(x, 1).alias("x"), r6(y, 1).alias("y"), r6(z, 1).alias("z"))
 
 
 @query("pr15_ray_plane", _RAY + "SELECT pid, round((-3000.0 - 5.0) * -1 / c * a * -1 + 10.0, 4) + 0.0 AS x, round((-3000.0 - 5.0) * -1 / c * b * -1 + 20.0, 4) + 0.0 AS y FROM d")
 def pr15(spark, sf_dir):
-    x, y, _ = geo.ray_plane(_DIR, [F.lit(10.0), F.lit(20.0), F.lit(5.0)], -3000.0)
+    x, y, _ = geo.ray_plane(_direction(), [F.lit(10.0), F.lit(20.0), F.lit(5.0)], -3000.0)
     return _posed(spark, sf_dir).select("pid", r6(x, 4).alias("x"), r6(y, 4).alias("y"))
 
 
@@ -164,7 +168,7 @@ def pr15(spark, sf_dir):
 SELECT pid, round(11995.48 / nullif(c, 0) * a, 3) + 0.0 AS x, round(11995.48 / nullif(c, 0) * b, 3) + 0.0 AS y FROM v WHERE abs(c) > 1""")
 def pr17(spark, sf_dir):
     ground, origin = [C("row"), C("col"), F.lit(-3000.0)], [F.lit(10.0), F.lit(20.0), F.lit(0.0)]
-    x, y = geo.ground_to_focal(_R, origin, ground, F.lit(11995.48))
+    x, y = geo.ground_to_focal(_rotation(), origin, ground, F.lit(11995.48))
     deep = C("r2") * (C("row") - 10) + C("r5") * (C("col") - 20) + C("r8") * -3000.0
     return _posed(spark, sf_dir).filter(F.abs(deep) > 1).select("pid", r6(x, 3).alias("x"), r6(y, 3).alias("y"))
 
@@ -189,7 +193,7 @@ def pr21(spark, sf_dir):
 @query("pr23_quaternion", _ROT + """, q2 AS (SELECT *, r0 + r4 + r8 AS t, 2 * sqrt(greatest(0, 1 + r0 + r4 + r8)) AS s0 FROM m)
 SELECT pid, round(s0 / 4, 6) + 0.0 AS w, round((r7 - r5) / s0, 6) + 0.0 AS x, round((r2 - r6) / s0, 6) + 0.0 AS y, round((r3 - r1) / s0, 6) + 0.0 AS z FROM q2 WHERE t > 0""")
 def pr23(spark, sf_dir):
-    q = geo.quaternion(_R)
+    q = geo.quaternion(_rotation())
     return _posed(spark, sf_dir).filter("r0 + r4 + r8 > 0").select("pid", *(r6(x).alias(n) for x, n in zip(q, "wxyz", strict=True)))
 
 
@@ -424,7 +428,7 @@ def se3(spark, sf_dir):
 @query("b8_reprojection_residual", _ROT + """, v AS (SELECT pid, xp, yp, r0*(row - 10) + r3*(col - 20) + r6*-3000.0 AS a, r1*(row - 10) + r4*(col - 20) + r7*-3000.0 AS b, r2*(row - 10) + r5*(col - 20) + r8*-3000.0 AS c FROM m JOIN (SELECT pid, row, col FROM pt) USING (pid))
 SELECT pid, round(sqrt((11995.48 / c * a - xp)*(11995.48 / c * a - xp) + (11995.48 / c * b - yp)*(11995.48 / c * b - yp)) / 0.012, 1) + 0.0 AS res FROM v WHERE abs(c) > 100""")
 def b8(spark, sf_dir):
-    x, y = geo.ground_to_focal(_R, [F.lit(10.0), F.lit(20.0), F.lit(0.0)], [C("row"), C("col"), F.lit(-3000.0)], F.lit(11995.48))
+    x, y = geo.ground_to_focal(_rotation(), [F.lit(10.0), F.lit(20.0), F.lit(0.0)], [C("row"), C("col"), F.lit(-3000.0)], F.lit(11995.48))
     deep = C("r2") * (C("row") - 10) + C("r5") * (C("col") - 20) + C("r8") * -3000.0
     res = F.sqrt((x - C("xp")) * (x - C("xp")) + (y - C("yp")) * (y - C("yp"))) / 0.012
     return _posed(spark, sf_dir).filter(F.abs(deep) > 100).select("pid", r6(res, 1).alias("res"))

@@ -132,11 +132,11 @@ def g14(spark, sf_dir):
 
 
 @query("g15_cell_buckets", """WITH b AS (SELECT floor((x - min(x) OVER ()) / 25)::BIGINT AS ci, floor((y - min(y) OVER ()) / 10)::BIGINT AS cj, z FROM (SELECT x, y * 0.4 AS y_, y, z FROM cloud)),
-g AS (SELECT ci, cj, count(*) AS n, sum(z) AS s FROM b GROUP BY ALL) SELECT ci + i AS hi, cj + j AS hj, sum(n)::BIGINT AS n, round(sum(s) / sum(n), 6) + 0.0 AS z FROM g, (SELECT unnest([-1,0,1]) AS i), (SELECT unnest([-1,0,1]) AS j) GROUP BY ALL""")
+g AS (SELECT ci, cj, count(*) AS n, sum(z) AS s FROM b GROUP BY ALL) SELECT ci + i AS hi, cj + j AS hj, sum(n)::BIGINT AS n, round(sum(s) / sum(n), 4) + 0.0 AS z FROM g, (SELECT unnest([-1,0,1]) AS i), (SELECT unnest([-1,0,1]) AS j) GROUP BY ALL""")
 def g15(spark, sf_dir):
     cloud = P.cloud(spark, sf_dir).select("x", (C("y") * 2.5).alias("y"), "z")
     counts = grid.buckets(cloud, "x", "y", 25.0).groupBy("ci", "cj").agg(F.count(F.lit(1)).alias("n"), F.sum("z").alias("s"))  # before the halo, so cells move and not points
-    return grid.halo(counts, 1).groupBy("hi", "hj").agg(F.sum("n").alias("n"), r6(F.sum("s") / F.sum("n")).alias("z"))
+    return grid.halo(counts, 1).groupBy("hi", "hj").agg(F.sum("n").alias("n"), r6(F.sum("s") / F.sum("n"), 4).alias("z"))
 
 
 @query("w3_focal_median", CELLS + f", sp AS (SELECT ir + a.i AS ir, ic + b.i AS ic, dx FROM cl, {_OFF} a, {_OFF} b) SELECT ir, ic, count(*) AS n, round(median(dx), 6) + 0.0 AS med FROM sp WHERE (ir, ic) IN (SELECT (ir, ic) FROM cl) GROUP BY ALL")
