@@ -52,7 +52,7 @@ def weighted_zncc(a: Column, b: Column, weights: list[float]) -> Column:
 def census(a: Column, side: int) -> Column:
     """A bit per sample but the centre: 1 where it is darker than the centre, packed into a long (side <= 8)."""
     centre = (side // 2) * side + side // 2
-    bits = F.transform(a, lambda x, i: F.when((i != centre) & (x < F.element_at(a, centre + 1)), F.shiftleft(F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long")))
+    bits = F.transform(a, lambda x, i: F.when((i != centre) & (x < F.element_at(a, centre + 1)), F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long")))
     return F.aggregate(bits, F.lit(0).cast("long"), lambda s, x: s.bitwiseOR(x))
 
 
