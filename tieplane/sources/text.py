@@ -12,10 +12,8 @@ MATCH = ["row", "col", "img_id", "mrow", "mcol", "score"]
 def lines(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
     """file, line (from 1), value. A file is read as a whole, as its order has meaning; many files make the
     parallelism, and no file is larger than one tile's table."""
-    reader = spark.read.option("wholetext", True)
-    if glob:
-        reader = reader.option("pathGlobFilter", glob)
-    text = reader.text(path).select(F.col("_metadata.file_path").alias("file"), "value")
+    reader = spark.read.option("pathGlobFilter", glob) if glob else spark.read
+    text = reader.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
     return text.select("file", F.posexplode(F.split("value", "\r?\n")).alias("line", "value")).withColumn("line", F.col("line") + 1).filter(F.trim("value") != "")
 
 
