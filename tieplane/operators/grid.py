@@ -202,3 +202,19 @@ def grid_step(points: DataFrame, value: str, keys: list[str] = ()) -> DataFrame:
     n = gaps.groupBy(*keys, "step").agg(F.count(F.lit(1)).alias("_n"))
     best = W.partitionBy(*keys).orderBy(F.desc("_n"), "step") if keys else W.partitionBy(F.lit(0)).orderBy(F.desc("_n"), "step")
     return n.withColumn("_k", F.row_number().over(best)).filter("_k = 1").select(*keys, "step")
+
+
+def balance_columns(pixels: DataFrame, value: str, col: str, keys: list[str]) -> DataFrame:
+    """Values less their column's mean plus their tile's; means come from one aggregate by column."""
+    by_col = pixels.groupBy(*keys, col).agg(F.sum(value).alias("_s"), F.count(F.lit(1)).alias("_n"))
+    by_tile = by_col.groupBy(*keys).agg((F.sum("_s") / F.sum("_n")).alias("_m"))
+    d = pixels.join(by_col, [*keys, col]).join(by_tile, keys)
+    return d.withColumn(value, F.col(value) - F.col("_s") / F.col("_n") + F.col("_m")).select(*pixels.columns)
+
+
+def stretch(pixels: DataFrame, value: str, keys: list[str], low: float = 0.003, high: float = 0.997) -> DataFrame:
+    """Values between two quantiles of their tile spread over 0 to 255, others cut off."""
+    q = pixels.groupBy(*keys).agg(F.percentile(value, F.array(F.lit(low), F.lit(high))).alias("_q"))
+    d = pixels.join(q, keys)
+    x = (F.col(value) - F.col("_q")[0]) / F.nullif(F.col("_q")[1] - F.col("_q")[0], F.lit(0.0)) * 255.0
+    return d.withColumn(value, F.greatest(F.lit(0.0), F.least(F.lit(255.0), x))).select(*pixels.columns)

@@ -26,6 +26,13 @@ def every_nth(matches: DataFrame, n: int, per_tile: bool) -> DataFrame:
     return d.filter(C("_i") % n == 0).drop("_i")
 
 
+def settled(df: DataFrame, cols: dict[str, Column]) -> DataFrame:
+    """Adds columns by a generator of one row. Plain projections are merged, so that each use of a column
+    repeats all that made it; over several stages of geometry such expressions grow beyond compiling."""
+    made = F.explode(F.array(F.struct(*(c.alias(n) for n, c in cols.items()))))
+    return df.withColumn("_made", made).select("*", "_made.*").drop("_made")
+
+
 def pose_at(et: Column, params: list[tuple[Column, list[Column]]]) -> list[Column]:
     """Xs, Ys, Zs, phi, omega, kappa by polynomials (t0, coefficients from the constant up)."""
     return [geo.horner(et, t0, c) for t0, c in params]
@@ -40,11 +47,12 @@ def observe(points: DataFrame, image: int, row: str, col: str, ccd: str, io: Dat
     names = ["x0", "x_s", "x_l", "y0", "y_s", "y_l", "k0", "k1", "k2"]
     d = points.join(io.select(C("ccd").alias(ccd), *names), ccd).join(timing.select(C("ccd").alias(ccd), "begin", "line_rate"), ccd).crossJoin(F.broadcast(polys.limit(1)))
     xp, yp = geo.focal_plane(C(col), F.lit(binning), F.lit(tdi), [C(n) for n in names])
-    d = d.withColumns({"xp": xp, "yp": yp, "et": geo.line_time(C(row), C("begin"), C("line_rate"))})
+    d = settled(d, {"xp": xp, "yp": yp, "et": geo.line_time(C(row), C("begin"), C("line_rate"))})
     pose = pose_at(C("et"), [(C(f"p{i}")[0], [C(f"p{i}")[k] for k in range(1, 5)]) for i in range(6)])
-    d = d.withColumns(dict(zip(("Xs", "Ys", "Zs", "phi", "omega", "kappa"), pose, strict=True)))
-    r = geo.rotation(C("phi"), C("omega"), C("kappa"))
-    x, y, z = geo.ray_sphere(geo.ray(r, C("xp"), C("yp"), F.lit(f)), [C("Xs"), C("Ys"), C("Zs")], F.lit(radius))
+    d = settled(d, dict(zip(("Xs", "Ys", "Zs", "phi", "omega", "kappa"), pose, strict=True)))
+    d = settled(d, {f"_r{i}": x for i, x in enumerate(geo.rotation(C("phi"), C("omega"), C("kappa")))})
+    d = settled(d, {f"_d{i}": x for i, x in enumerate(geo.ray([C(f"_r{i}") for i in range(9)], C("xp"), C("yp"), F.lit(f)))})
+    x, y, z = geo.ray_sphere([C(f"_d{i}") for i in range(3)], [C("Xs"), C("Ys"), C("Zs")], F.lit(radius))
     return d.select("point_id", F.lit(image).alias("image"), F.lit(image).alias("ord"), "xp", "yp", "et", "Xs", "Ys", "Zs", "phi", "omega", "kappa", x.alias("X"), y.alias("Y"), z.alias("Z"))
 
 

@@ -132,3 +132,13 @@ def solve_affine(df: DataFrame, keys: list[str], row: str, col: str, mrow: str,
     a, b = (F.col("xu") * F.col("yy") - F.col("yu") * F.col("xy")) / det, (F.col("yu") * F.col("xx") - F.col("xu") * F.col("xy")) / det
     c, e = (F.col("xv") * F.col("yy") - F.col("yv") * F.col("xy")) / det, (F.col("yv") * F.col("xx") - F.col("xv") * F.col("xy")) / det
     return s.select(*keys, "n", a.alias("f0"), b.alias("f1"), (F.col("_mr") - a * F.col("_cr") - b * F.col("_cc")).alias("f2"), c.alias("f3"), e.alias("f4"), (F.col("_mc") - c * F.col("_cr") - e * F.col("_cc")).alias("f5"))
+
+
+def inside_border(row: Column, col: Column, rows: Column, cols: Column, border_r: float, border_c: float) -> Column:
+    """A window of half sizes border_r, border_c about the point fits into the image."""
+    return (row >= border_r) & (col >= border_c) & (row < rows - border_r) & (col < cols - border_c)
+
+
+def window_touches(row: Column, col: Column, r0: float, r1: float, c0: float, c1: float, reach_r: float, reach_c: float) -> Column:
+    """A search window about the point touches the box."""
+    return (row + reach_r >= r0) & (row - reach_r <= r1) & (col + reach_c >= c0) & (col - reach_c <= c1)

@@ -52,3 +52,52 @@ def ag16(spark, sf_dir):
 def g16(spark, sf_dir):
     cloud = P.cloud(spark, sf_dir).withColumn("key", F.xxhash64("x", "y", "z", "strip")).dropDuplicates(["key"])
     return denoise.denoise(cloud, "key", 50.0).groupBy("strip", "reason").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _stereo(spark, sf_dir):
+    """Two views of ground points made of the point proxy, on a simple pair of trajectories."""
+    from ..operators import observations
+
+    io = P.mosaic(spark).select("ccd", *(F.lit(v).alias(n) for n, v in (("x0", 0.0), ("x_s", 0.012), ("x_l", 0.0), ("y0", 0.0), ("y_s", 0.0), ("y_l", 0.012), ("k0", 0.0), ("k1", 0.0), ("k2", 0.0))))
+    timing = P.mosaic(spark).select("ccd", F.lit(0.0).alias("begin"), F.lit(1e-4).alias("line_rate"))
+    pose = lambda y, tilt: [[0.0, v, 0.0, 0.0, 0.0] for v in (0.0, y, 3.7e6, 0.0, tilt, 0.0)]
+    both = None
+    for image, (y, tilt) in enumerate(((-3.0e4, 0.1), (3.0e4, -0.1))):
+        polys = spark.range(1).select(*(F.array(*map(F.lit, p)).alias(f"p{i}") for i, p in enumerate(pose(y, tilt))))
+        pts = P.pt(spark, sf_dir).select(C("pid").alias("point_id"), "ccd", "row", "col")
+        one = observations.observe(pts, image, "row", "col", "ccd", io, timing, polys)
+        both = one if both is None else both.unionByName(one)
+    return both
+
+
+@query("b1_observations", """WITH v(image, y, w) AS (VALUES (0, -3.0e4::DOUBLE, 0.1::DOUBLE), (1, 3.0e4::DOUBLE, -0.1::DOUBLE))
+SELECT pid AS point_id, image, round(0.012 * ((col - 0.5) * 1.0 - 1024.0), 6) + 0.0 AS xp, round(row * 0.0001, 9) + 0.0 AS et FROM pt, v""")
+def b1(spark, sf_dir):
+    return _stereo(spark, sf_dir).select("point_id", "image", r6(C("xp")).alias("xp"), r6(C("et"), 9).alias("et"))
+
+
+@query("b3_forward_intersection")
+def b3(spark, sf_dir):
+    from ..operators import triangulate
+
+    rays = _stereo(spark, sf_dir).filter("Z IS NOT NULL")
+    return triangulate.forward_intersection(rays).select("point_id", r6(C("Z"), 0).alias("Z"))
+
+
+@query("pr28_footprint")
+def pr28(spark, sf_dir):
+    from ..operators import observations
+
+    io = P.mosaic(spark).select("ccd", *(F.lit(v).alias(n) for n, v in (("x0", 0.0), ("x_s", 0.012), ("x_l", 0.0), ("y0", 0.0), ("y_s", 0.0), ("y_l", 0.012), ("k0", 0.0), ("k1", 0.0), ("k2", 0.0))))
+    timing = P.mosaic(spark).select("ccd", F.lit(0.0).alias("begin"), F.lit(1e-4).alias("line_rate"))
+    polys = spark.range(1).select(*(F.array(*map(F.lit, [0.0, v, 0.0, 0.0, 0.0])).alias(f"p{i}") for i, v in enumerate((0.0, 0.0, 3.7e6, 0.0, 0.0, 0.0))))
+    size = P.mosaic(spark).select("ccd", (C("r1") - C("r0")).alias("rows"), (C("c1") - C("c0")).alias("cols"))
+    foot = observations.footprint(size, io, timing, polys)
+    return foot.select("ccd", "corner", *(r6(C(x)).alias(x) for x in ("lat", "lon", "h")))
+
+
+@query("m8_global_affine")
+def m8(spark, sf_dir):
+    from ..operators import matching
+
+    return matching.global_affine(P.matched(spark, sf_dir), P.mosaic(spark), 60.0, 300)

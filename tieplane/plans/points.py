@@ -432,3 +432,38 @@ def b8(spark, sf_dir):
     deep = C("r2") * (C("row") - 10) + C("r5") * (C("col") - 20) + C("r8") * -3000.0
     res = F.sqrt((x - C("xp")) * (x - C("xp")) + (y - C("yp")) * (y - C("yp"))) / 0.012
     return _posed(spark, sf_dir).filter(F.abs(deep) > 100).select("pid", r6(res, 1).alias("res"))
+
+
+@query("f4_border_test", "SELECT pid FROM pt WHERE row >= 100 AND col >= 5 AND row < 43000 AND col < 140")
+def f4(spark, sf_dir):
+    return P.pt(spark, sf_dir).filter(robust.inside_border(C("row"), C("col"), F.lit(43100.0), F.lit(145.0), 100.0, 5.0)).select("pid")
+
+
+@query("f6_window_touches_image", f"SELECT pid FROM pt WHERE {_AR} + 50 >= 0 AND {_AR} - 50 <= 20000 AND {_AC} + 5 >= 30 AND {_AC} - 5 <= 100")
+def f6(spark, sf_dir):
+    r, c = geo.affine(AFFINE, C("row"), C("col"))
+    return P.pt(spark, sf_dir).filter(robust.window_touches(r, c, 0.0, 20000.0, 30.0, 100.0, 50.0, 5.0)).select("pid")
+
+
+@query("m3b_affine_as_match", f"SELECT pid, {_AR} AS mrow, {_AC} AS mcol FROM match WHERE img_id IS NULL AND {_AR} >= 0 AND {_AR} < 40000 AND {_AC} >= 0 AND {_AC} < 140")
+def m3b(spark, sf_dir):
+    r, c = geo.affine(AFFINE, C("row"), C("col"))
+    p = P.match(spark, sf_dir).filter("img_id IS NULL").select("pid", r.alias("mrow"), c.alias("mcol"))
+    return p.filter("mrow >= 0 AND mrow < 40000 AND mcol >= 0 AND mcol < 140")
+
+
+@query("pr27_column_balance", """WITH c AS (SELECT pid, ccd, col, score, avg(score) OVER (PARTITION BY ccd, col) AS mc, avg(score) OVER (PARTITION BY ccd) AS m FROM pt), b AS (SELECT *, score - mc + m AS v FROM c),
+q AS (SELECT ccd, quantile_cont(v, 0.003) AS lo, quantile_cont(v, 0.997) AS hi FROM b GROUP BY ccd)
+SELECT pid, round(greatest(0.0, least(255.0, (v - lo) / nullif(hi - lo, 0) * 255.0)), 4) + 0.0 AS g FROM b JOIN q USING (ccd)""")
+def pr27(spark, sf_dir):
+    from ..operators.grid import balance_columns, stretch
+
+    balanced = balance_columns(P.pt(spark, sf_dir).select("pid", "ccd", "col", "score"), "score", "col", ["ccd"])
+    return stretch(balanced, "score", ["ccd"]).select("pid", r6(C("score"), 4).alias("g"))
+
+
+@query("pr16_dem_nearest_pixel", "SELECT pid, ((floor(row / 600 + 0.5) * 31 + floor(col / 2 + 0.5) * 17) % 101)::BIGINT AS h FROM pt WHERE floor(row / 600 + 0.5) < 73 AND floor(col / 2 + 0.5) < 75")
+def sc16(spark, sf_dir):
+    dem = spark.range(73).select(C("id").alias("r")).crossJoin(spark.range(75).select(C("id").alias("c"))).withColumn("h", (C("r") * 31 + C("c") * 17) % 101)
+    p = P.pt(spark, sf_dir).select("pid", F.floor(C("row") / 600 + 0.5).alias("r"), F.floor(C("col") / 2 + 0.5).alias("c"))
+    return p.join(dem, ["r", "c"]).select("pid", "h")
