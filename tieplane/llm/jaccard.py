@@ -20,8 +20,10 @@ THRESHOLD = 80
 COMMON, COMMON_LEAST = 1 << 20, 64
 #: Entries of a side of a tile.
 BLOCK = 256
-#: Largest bitmap, in bits.
-WIDEST = 1 << 14
+#: Largest bitmap, in bits, and how many times as wide those are that long runs are compared by.
+WIDEST, WIDER = 1 << 16, 8
+#: Entries of a run that narrow bitmaps serve; its pairs are few anyway.
+SHORT = 16
 #: Bits of the filter that tells which texts' shingles are fetched.
 FILTER_BITS = 24
 
@@ -36,9 +38,9 @@ def class_id(s: np.ndarray) -> int:
     return int(mix(np.array([mix(s * np.uint64(0x9E3779B97F4A7C15)).sum() + np.uint64(len(s))], np.uint64)).view(np.int64)[0])
 
 
-def bitmap(s: np.ndarray) -> bytes:
-    """A bit per shingle, in a power of two of bits from the set's size on."""
-    width = min(WIDEST, max(64, 1 << (len(s) - 1).bit_length()))
+def bitmap(s: np.ndarray, times: int = 1) -> bytes:
+    """A bit per shingle, in a power of two of bits from ``times`` the set's size on."""
+    width = min(WIDEST, max(64, 1 << (times * len(s) - 1).bit_length()))
     bits = np.zeros(width, np.uint8)
     bits[(s & np.uint64(width - 1)).astype(np.int64)] = 1
     return np.packbits(bits, bitorder="little").tobytes()
@@ -63,30 +65,33 @@ def signed(x: np.ndarray) -> pa.Array:
 
 
 def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """doc_id, n, cid, sig, and on a batch's first row the shingles that stand in three of its sets at least."""
+    """doc_id, n, cid, sig, wide, and on a batch's first row the shingles that stand in three of its sets at least."""
     for batch in batches:
-        n, cid, sig, prefixes, seen = [], [], [], [], set()
+        n, cid, sig, wide, prefixes, seen = [], [], [], [], [], set()
         for _, texts in batches_of(batch.column(1)):
             for s in shingle_sets(texts):
                 n.append(len(s))
                 cid.append(class_id(s) if len(s) else None)
                 if cid[-1] in seen:
                     sig.append(None)
+                    wide.append(None)
                 elif len(s):
                     seen.add(cid[-1])
                     sig.append(bitmap(s))
+                    wide.append(bitmap(s, WIDER))
                     prefixes.append(s[: 2 * (len(s) - needed(len(s)) + 1)])
                 else:
                     sig.append(None)
+                    wide.append(None)
         keys, counts = np.unique(np.concatenate(prefixes), return_counts=True) if prefixes else (np.empty(0, np.uint64), np.empty(0, np.int64))
         often = [{"key": k, "n": c} for k, c in zip(keys[counts > 2].view(np.int64).tolist(), counts[counts > 2].tolist(), strict=True)]
         kind = pa.list_(pa.struct([("key", pa.int64()), ("n", pa.int64())]))
-        cols = [batch.column(0), pa.array(n, pa.int32()), pa.array(cid, pa.int64()), pa.array(sig, pa.binary()), pa.array([often if i == 0 else [] for i in range(len(n))], kind)]
-        yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n", "cid", "sig", "often"])
+        cols = [batch.column(0), pa.array(n, pa.int32()), pa.array(cid, pa.int64()), pa.array(sig, pa.binary()), pa.array(wide, pa.binary()), pa.array([often if i == 0 else [] for i in range(len(n))], kind)]
+        yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n", "cid", "sig", "wide", "often"])
 
 
 def _entries(common):
-    """key, cid, n for the prefix of each set, in the order: rare shingles by hash, then common ones by hash."""
+    """key, cid, n, pos for the prefix of each set, in the order: rare shingles by hash, then common ones by hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hot = common.value
@@ -129,20 +134,39 @@ def _entries(common):
 
 def _entry_batch(keys: list, names: list, sizes: list) -> pa.RecordBatch:
     each = [len(k) for k in keys]
-    return pa.RecordBatch.from_arrays([signed(np.concatenate(keys)), pa.array(np.repeat(np.array(names, np.int64), each)), pa.array(np.repeat(np.array(sizes, np.int32), each))], ["key", "cid", "n"])
+    place = np.concatenate([np.arange(e, dtype=np.int32) for e in each])
+    return pa.RecordBatch.from_arrays([signed(np.concatenate(keys)), pa.array(np.repeat(np.array(names, np.int64), each)), pa.array(np.repeat(np.array(sizes, np.int32), each)), pa.array(place)], ["key", "cid", "n", "pos"])
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From entries sorted by key, n, cid those whose key others have too, each with the leader it is compared
-    to first: the smallest set of the run or of the stretch whose sizes fit. Keeps one entry between batches."""
-    carry, told = None, False  # the current leader of the last run; whether it has been put out
+    """From entries sorted by key, n, cid those whose key others have too, each with its run's size (as far as
+    this batch goes) and the leader it is compared to first: the smallest set of the run or of the stretch
+    whose sizes fit. Keeps one entry between batches.
+
+    Two sets that link have enough left past their first common shingle, so an entry that comes too late in
+    its set for even the smallest set of its run is dropped.
+    """
+    carry, told, least = None, False, 0  # the current leader of the last run; whether it has been put out; the run's smallest n
     for batch in batches:
-        key, cid, n = (batch.column(i).to_numpy() for i in range(3))
+        key, cid, n, pos = (batch.column(i).to_numpy() for i in range(4))
         if not len(key):
             continue
         joined = carry is not None and carry[0] == key[0]
         if joined:
-            key, cid, n = np.r_[carry[0], key], np.r_[carry[1], cid], np.r_[np.int32(carry[2]), n]
+            key, cid, n, pos = np.r_[carry[0], key], np.r_[carry[1], cid], np.r_[np.int32(carry[2]), n], np.r_[np.int32(0), pos]
+        same = np.r_[False, (key[1:] == key[:-1]) & (cid[1:] == cid[:-1])]
+        start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        smallest = np.repeat(n[start], np.diff(np.r_[start, len(key)])).astype(np.int64)
+        if joined:
+            smallest[key == key[0]] = least
+        least = int(smallest[-1])
+        useful = ~same & ((100 + THRESHOLD) * (n - pos).astype(np.int64) >= THRESHOLD * (n + smallest))
+        useful[0] |= joined
+        last = key[-1]
+        key, cid, n, pos = key[useful], cid[useful], n[useful], pos[useful]
+        if not len(key):
+            carry = None
+            continue
         start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
         size = np.diff(np.r_[start, len(key)])
         lead = np.repeat(start, size)
@@ -153,14 +177,15 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 end = int(np.searchsorted(n[lo:hi], 100 * int(n[at]) // THRESHOLD, side="right")) + lo
                 lead[at:end] = at
                 at = end
-        out = np.repeat(size > 1, size)
+        out, sizes = np.repeat(size > 1, size), np.repeat(size, size)
         if joined and told:
             out[0] = False
         told = bool(size[-1] > 1)
-        carry = (key[-1], cid[lead[-1]], n[lead[-1]])
+        carry = (key[-1], cid[lead[-1]], n[lead[-1]]) if key[-1] == last else None
         if out.any():
             at, lead = np.flatnonzero(out), lead[out]
-            yield pa.RecordBatch.from_arrays([pa.array(key[at]), pa.array(cid[at]), pa.array(n[at].astype(np.int32)), pa.array(cid[lead])], ["key", "cid", "n", "leader"])
+            cols = [key[at], cid[at], n[at].astype(np.int32), pos[at].astype(np.int32), cid[lead], sizes[at].astype(np.int32)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["key", "cid", "n", "pos", "leader", "size"])
 
 
 def _by_bitmap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -171,7 +196,8 @@ def _by_bitmap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of different labels in each tile that the bitmaps can't rule out. Rows come sorted by tile; a
+    """Pairs of different labels in each tile that neither places nor bitmaps rule out: past the first common
+    shingle, enough of both sets must be left. Rows come sorted by tile; a
     tile has 2 * BLOCK rows at most."""
     tile, rows, found = None, [], set()
 
@@ -180,16 +206,16 @@ def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         right = [r for r in rows if r[0] == 1]
         for i, x in enumerate(left):
             for y in right or left[i + 1 :]:
-                if x[2] != y[2] and 100 * min(x[3], y[3]) >= THRESHOLD * max(x[3], y[3]) and may_link(x[3], x[4], x[5], y[3], y[4], y[5]):
+                if x[2] != y[2] and (100 + THRESHOLD) * min(x[6], y[6]) >= THRESHOLD * (x[3] + y[3]) and may_link(x[3], x[4], x[5], y[3], y[4], y[5]):
                     found.add((min(x[1], y[1]), max(x[1], y[1])))
 
     for batch in batches:
-        key, i, j, side, cid, label, n, sig = (batch.column(k).to_pylist() for k in range(8))
+        key, i, j, side, cid, label, n, pos, sig = (batch.column(k).to_pylist() for k in range(9))
         for k in range(len(key)):
             if (key[k], i[k], j[k]) != tile:
                 compare()
                 tile, rows = (key[k], i[k], j[k]), []
-            rows.append((side[k], cid[k], label[k], n[k], int.from_bytes(sig[k], "little"), 8 * len(sig[k])))
+            rows.append((side[k], cid[k], label[k], n[k], int.from_bytes(sig[k], "little"), 8 * len(sig[k]), n[k] - pos[k]))
         if found:
             a, b = zip(*sorted(found), strict=True)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
@@ -246,9 +272,10 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     Texts with equal sets are one class from the start, so copies are never compared. Two sets that link
     share a shingle among the first n - needed(n) + 1 in any common order; here shingles that many texts
     have come last. Entries of one shingle, sorted by size, form a run. First each entry is compared to the
-    run's leader, which joins groups of near copies at a cost that is linear in their size. Then runs in
+    run's leader, which joins groups of near copies at a cost linear in their size. In long runs it is also compared to the set that shares most. Then runs in
     which several components are left are cut into blocks; tiles of two blocks whose sizes fit and whose
-    labels differ are compared pair by pair. Bitmaps bound each pair's overlap from above, what passes is
+    labels differ are compared pair by pair. Bitmaps bound each pair's overlap from above
+    (wider ones in long runs, so that what passes there is next to linked), what passes is
     decided by intersecting the sorted shingles. Every pair that links is thus compared or in one component
     already; no candidate is capped.
 
@@ -265,15 +292,18 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     profile = scratch.keep(
         docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-        .mapInArrow(_profile, f"doc_id {kind}, n int, cid long, sig binary, often array<struct<key: long, n: long>>"), "profile")
+        .mapInArrow(_profile, f"doc_id {kind}, n int, cid long, sig binary, wide binary, often array<struct<key: long, n: long>>"), "profile")
     total = profile.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     often = profile.select(F.explode("often").alias("o")).groupBy("o.key").agg(F.sum("o.n").alias("n"))
     hot = often.filter(F.col("n") >= max(COMMON_LEAST, -(-total // COMMON))).select("key").toPandas()["key"].to_numpy(np.int64)  # at most COMMON
     common = sc.broadcast(np.sort(hot.view(np.uint64)))
     classes = scratch.keep(
-        profile.filter("cid IS NOT NULL").groupBy("cid").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.max("sig").alias("sig"), F.count(F.lit(1)).alias("copies")), "classes")
-    entries = texts.mapInArrow(_entries(common), "key long, cid long, n int")
-    kept = scratch.keep(entries.repartition(parts, "key").sortWithinPartitions("key", "n", "cid").mapInArrow(_runs, "key long, cid long, n int, leader long"), "kept")
+        profile.filter("cid IS NOT NULL").groupBy("cid").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.max("sig").alias("sig"), F.max("wide").alias("wide"), F.count(F.lit(1)).alias("copies")), "classes")
+    rows = scratch.keep(profile.select("doc_id", "n", "cid"), "rows")
+    scratch.drop("profile")
+    scratch.release()
+    entries = texts.mapInArrow(_entries(common), "key long, cid long, n int, pos int")
+    kept = scratch.keep(entries.repartition(parts, "key").sortWithinPartitions("key", "n", "cid").mapInArrow(_runs, "key long, cid long, n int, pos int, leader long, size int"), "kept")
     scratch.release()
 
     def fetch_and_intersect(pairs: DataFrame, name: str) -> DataFrame:
@@ -288,31 +318,41 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     facts = classes.select("cid", "n", "sig")
     side = lambda c: facts.select(F.col("cid").alias(c), F.col("n").alias(f"n{c}"), F.col("sig").alias(f"s{c}"))
-    stars = kept.filter("leader <> cid").select(F.col("leader").alias("a"), F.col("cid").alias("b")).distinct()
+    run = W.partitionBy("key")
+    stars = kept.filter("leader <> cid").select(F.col("leader").alias("a"), F.col("cid").alias("b"))
+    # in longer runs also to the set that has most in common with others: the one that copies were made from
+    shared = kept.groupBy("cid").agg(F.sum("size").alias("shared"))
+    long = kept.filter("size > 3").select("key", "cid", "n").join(shared, "cid").withColumn("hub", F.max(F.struct("shared", "cid", "n")).over(run))
+    hubs = long.filter((F.col("hub.cid") != F.col("cid")) & (100 * F.least("n", "hub.n") >= THRESHOLD * F.greatest("n", "hub.n")))
+    stars = stars.unionByName(hubs.select(F.col("hub.cid").alias("a"), F.col("cid").alias("b"))).distinct()
     likely = scratch.keep(stars.join(side("a"), "a").join(side("b"), "b").select("a", "na", "sa", "b", "nb", "sb").mapInArrow(_by_bitmap, "a long, b long"), "likely")
+    scratch.release()
     first = scratch.keep(components(fetch_and_intersect(likely, "stars")), "first")
     scratch.release()
 
-    run = W.partitionBy("key")
-    labelled = kept.select("key", "cid", "n").distinct().join(first.select(F.col("node").alias("cid"), "root"), "cid", "left").withColumn("label", F.coalesce("root", "cid"))
+    labelled = kept.select("key", "cid", "n", "pos").join(first.select(F.col("node").alias("cid"), "root"), "cid", "left").withColumn("label", F.coalesce("root", "cid"))
     mixed = (
         labelled.withColumn("lo", F.min("label").over(run)).withColumn("hi", F.max("label").over(run)).filter("lo <> hi")
         .withColumn("block", F.floor((F.row_number().over(run.orderBy("n", "cid")) - 1) / BLOCK).cast("int")).withColumn("size", F.count(F.lit(1)).over(run))
-        .select("key", "cid", "n", "label", "block", "size")
+        .select("key", "cid", "n", "pos", "label", "block", "size")
     )
     mixed = scratch.keep(mixed, "mixed")
+    scratch.drop("kept", "likely")
+    scratch.release()
     blocks = (
         mixed.filter(F.col("size") > BLOCK).groupBy("key", "block").agg(F.min("n").alias("n0"), F.max("n").alias("n1"), F.min("label").alias("l0"), F.max("label").alias("l1"))
         .groupBy("key").agg(F.collect_list(F.struct("block", "n0", "n1", "l0", "l1")).alias("blocks"))
     )
-    one = mixed.filter(F.col("size") <= BLOCK).select("key", F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("side"), "cid", "label", "n")
+    whole = mixed.select("key", F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("side"), "cid", "label", "n", "pos", "size")
+    few, one = whole.filter(F.col("size") <= SHORT).drop("size"), whole.filter((F.col("size") > SHORT) & (F.col("size") <= BLOCK)).drop("size")
     mine = F.element_at(F.filter("blocks", lambda x: x["block"] == F.col("block")), 1)
     meets = lambda x: (100 * x["n1"] >= THRESHOLD * mine["n0"]) & (100 * mine["n1"] >= THRESHOLD * x["n0"]) & ~((x["l0"] == x["l1"]) & (mine["l0"] == mine["l1"]) & (x["l0"] == mine["l0"]))
     many = (
         mixed.filter(F.col("size") > BLOCK).join(blocks, "key").withColumn("other", F.explode(F.transform(F.filter("blocks", meets), lambda x: x["block"])))
-        .select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("block") > F.col("other")).cast("int").alias("side"), "cid", "label", "n")
+        .select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("block") > F.col("other")).cast("int").alias("side"), "cid", "label", "n", "pos")
     )
-    tiles = one.unionByName(many).join(facts.select("cid", "sig"), "cid").select("key", "i", "j", "side", "cid", "label", "n", "sig")
+    wide = one.unionByName(many).join(classes.select("cid", F.col("wide").alias("sig")), "cid")
+    tiles = few.join(facts.select("cid", "sig"), "cid").unionByName(wide).select("key", "i", "j", "side", "cid", "label", "n", "pos", "sig")
     rest = scratch.keep(tiles.repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_tiles, "a long, b long").distinct(), "rest")
     scratch.release()
     second = fetch_and_intersect(rest, "tiles")
@@ -321,7 +361,6 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     reps = final.join(classes.select(F.col("cid").alias("node"), "rep"), "node")
     named = reps.select("node", "root").join(reps.groupBy("root").agg(F.min("rep").alias("least")), "root").select(F.col("node").alias("cid"), "least")
     table = scratch.keep(classes.select("cid", "rep", "copies").join(named, "cid", "left").select("cid", F.coalesce("least", "rep").alias("component_id"), "copies"), "named")
-    rows = profile.select("doc_id", "n", "cid")
     with_set = lookup(rows.filter("cid IS NOT NULL"), table, ["cid"], "copies", rows.count())
     alone = rows.filter("cid IS NULL").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return with_set.select("doc_id", F.col("n").alias("n_shingles"), "component_id").unionByName(alone).select("doc_id", F.col("n_shingles").cast("long").alias("n_shingles"), "component_id")
