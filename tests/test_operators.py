@@ -33,6 +33,40 @@ def test_affine_ransac_recovers(spark):
     assert out[0].inliers >= (~bad).sum() * 0.95 and out[1].inliers == 0 and out[1].f0 == 1.0
 
 
+def test_affine_ransac_uses_all_points(spark, monkeypatch):
+    p, q, _ = planted(2000)
+    p, q = np.r_[p, np.repeat(p[:3], 300, axis=0)], np.r_[q, np.repeat(q[:3], 300, axis=0)]
+    df = spark.createDataFrame([(0, *map(float, (*a, *b))) for a, b in zip(p, q, strict=True)], "g int, row double, col double, mrow double, mcol double")
+    monkeypatch.setattr(fit, "DRAWN", 200)
+    monkeypatch.setattr(fit, "BLOCK", 150)
+    seen = []
+    for parts in (1, 7):
+        seen.append(fit.affine_ransac(df.repartition(parts), ["g"], 2.0, 100).first())
+    r = seen[0]
+    f = np.array([r[x] for x in fit.AFFINE])
+    assert seen[0] == seen[1] and r.n == len(p) and r.inliers == (np.linalg.norm(fit.predict(f, p) - q, axis=1) <= 2.0).sum()
+    # the least squares of all rows inside the best trial: inliers of the planted model are those rows but for a few
+    near = np.linalg.norm(fit.predict(TRUE, p) - q, axis=1) <= 2.0
+    whole = fit.least_squares_affine(p[near], q[near])
+    assert np.abs(fit.predict(f, p) - fit.predict(whole, p)).max() < 0.01
+
+
+def test_affine_ransac_refits_a_large_group_to_all_rows(spark):
+    part = lambda k: F.pmod(F.xxhash64("id", F.lit(k)), F.lit(1000)) / 1000.0
+    row, col = part(1) * 900, part(2) * 900
+    df = spark.range(150_000).select(F.lit(0).alias("g"), row.alias("row"), col.alias("col"), (row * 1.01 + part(3)).alias("mrow"), (col - 7 + part(4)).alias("mcol"))
+    r, all_rows = fit.affine_ransac(df, ["g"], 50.0, 40).first(), df.toPandas()
+    want = fit.least_squares_affine(all_rows[["row", "col"]].to_numpy(), all_rows[["mrow", "mcol"]].to_numpy())
+    assert r.n == r.inliers == 150_000 and np.allclose([r[x] for x in fit.AFFINE], want, atol=1e-8)
+
+
+def test_affine_ransac_few_places_in_a_large_group(spark):
+    places = spark.createDataFrame([(0, 0.0, 0.0), (1, 100.0, 0.0), (2, 0.0, 100.0), (3, 100.0, 100.0)], "k int, row double, col double")
+    many = spark.range(1_200_000).select((F.col("id") % 4).cast("int").alias("k")).join(places, "k").select(F.lit(1).alias("g"), "row", "col", (F.col("row") + 5).alias("mrow"), (F.col("col") * 2).alias("mcol"))
+    r = fit.affine_ransac(many, ["g"], 1.0, 50).first()
+    assert (r.n, r.inliers) == (1_200_000, 1_200_000) and np.allclose([r[x] for x in fit.AFFINE], [1, 0, 5, 0, 2, 0], atol=1e-9)
+
+
 def test_solve_affine_and_lines(spark):
     p, q, _ = planted(wrong=0, noise=0)
     rows = [(0, *map(float, (*a, *b))) for a, b in zip(p, q, strict=True)] + [(1, float(i), 2.0 * i, float(i), float(i)) for i in range(9)]

@@ -8,6 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 AFFINE = [f"f{i}" for i in range(6)]
+IDENTITY = np.array([1.0, 0, 0, 0, 1, 0])
+#: Rows of a group that triples are drawn from, about; different rows that one task scores, about; shares a group is dealt in.
+DRAWN, BLOCK, SALTS = 10_000, 50_000, 64
 
 
 def least_squares_affine(p: np.ndarray, q: np.ndarray) -> np.ndarray | None:
@@ -25,58 +28,97 @@ def predict(f: np.ndarray, p: np.ndarray) -> np.ndarray:
     return np.stack([f[0] * p[:, 0] + f[1] * p[:, 1] + f[2], f[3] * p[:, 0] + f[4] * p[:, 1] + f[5]], axis=1)
 
 
-def ransac_affine(p: np.ndarray, q: np.ndarray, sigma: float, trials: int, seed: int, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The affine with most residuals inside sigma over seeded three-point trials, refitted to its inliers.
-
-    Trials are drawn and scored in blocks, so memory is bounded. With fewer than three inliers the start
-    stays. Returns the parameters and the inlier mask.
-    """
-    start = np.asarray(start, float)
+def trial_affines(p: np.ndarray, q: np.ndarray, trials: int, seed: int) -> np.ndarray:
+    """The affines through seeded triples of points, six parameters a row; triples on a line give none."""
     if len(p) < 3:
-        return start, np.zeros(len(p), bool)
-    rng, best, found = np.random.default_rng(seed), -1, start
-    block = max(1, min(trials, 2_000_000 // len(p)))
-    for lo in range(0, trials, block):
-        n = min(block, trials - lo)
-        pick = rng.integers(0, len(p), (n, 3))
-        a = np.concatenate([p[pick], np.ones((n, 3, 1))], axis=2)
-        fine = np.abs(np.linalg.det(a)) > 1e-9
-        if not fine.any():
-            continue
-        m = np.linalg.solve(a[fine], q[pick[fine]])  # per trial 3x2
-        res = np.linalg.norm(np.einsum("pk,tkd->tpd", np.c_[p, np.ones(len(p))], m) - q[None], axis=2)
-        counts = (res <= sigma).sum(axis=1)
-        k = int(np.argmax(counts))
-        if counts[k] > best:
-            best, found = int(counts[k]), m[k].T.ravel()
-    inside = np.linalg.norm(predict(found, p) - q, axis=1) <= sigma
-    if inside.sum() < 3:
-        return start, np.zeros(len(p), bool)
-    refit = least_squares_affine(p[inside], q[inside])
-    return (found if refit is None else refit), inside
-
-
-def affine_ransac(matches: DataFrame, keys: list[str], sigma: float = 150.0, trials: int = 1000, seed: int = 0, most: int = 100_000) -> DataFrame:
+        return np.empty((0, 6))
+    pick = np.random.default_rng(seed).integers(0, len(p), (trials, 3))
+    a = np.concatenate([p[pick], np.ones((trials, 3, 1))], axis=2)
+    fine = np.abs(np.linalg.det(a)) > 1e-9
+    return np.linalg.solve(a[fine], q[pick[fine]]).transpose(0, 2, 1).reshape(-1, 6)
+
+
+def near(m: np.ndarray, points: np.ndarray, sigma: float) -> np.ndarray:
+    """Whether each affine takes each point (row, col, mrow, mcol) to its match within sigma."""
+    r, c, u, v = points.T
+    f = m.T[:, :, None]
+    return np.hypot(f[0] * r + f[1] * c + f[2] - u, f[3] * r + f[4] * c + f[5] - v) <= sigma
+
+
+def refit(s: np.ndarray, origin: np.ndarray, found: np.ndarray) -> np.ndarray:
+    """The least-squares affine from sums about an origin (n, x, y, u, v, xx, xy, yy, xu, yu, xv, yv); for points
+    on a line what was found."""
+    n, mean = s[0], s[1:5] / s[0]
+    x, y, u, v = mean
+    xx, xy, yy, xu, yu, xv, yv = s[5:] - n * np.array([x * x, x * y, y * y, x * u, y * u, x * v, y * v])
+    det = xx * yy - xy * xy
+    if not det > 1e-9 * xx * yy:
+        return found
+    a, b, c, d = (xu * yy - yu * xy) / det, (yu * xx - xu * xy) / det, (xv * yy - yv * xy) / det, (yv * xx - xv * xy) / det
+    cr, cc, mr, mc = origin + mean
+    return np.array([a, b, mr - a * cr - b * cc, c, d, mc - c * cr - d * cc])
+
+
+def affine_ransac(matches: DataFrame, keys: list[str], sigma: float = 150.0, trials: int = 1000, seed: int = 0) -> DataFrame:
     """One affine per group of matches (row, col, mrow, mcol): f0..f5, n, inliers.
 
-    A group with more than ``most`` points is fitted on that many, evenly spread by hash, and all its points
-    are counted against the result afterwards, in SQL.
+    Only the triples of the trials are drawn from about DRAWN rows of a group, spread evenly by hash. All its
+    rows count for each trial, and the affine with most residuals inside sigma is refitted to all its inliers, both
+    by sums over blocks of about BLOCK different rows, so no task holds a group. With fewer than three
+    inliers the identity stays. ``inliers`` counts all rows against the result.
     """
-    salted = matches.withColumn("_h", F.pmod(F.xxhash64("row", "col", F.lit(seed)), F.lit(1 << 20)))
-    size = matches.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    few = salted.join(size, keys).filter(F.col("_h") < F.least(F.lit(1.0), F.lit(float(most)) / F.col("n")) * (1 << 20))
+    point, c = ["row", "col", "mrow", "mcol"], F.col
     kinds = {f.name: f.dataType.simpleString() for f in matches.schema.fields}
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["row", "col", "mrow", "mcol"])
-        f, _ = ransac_affine(pdf[["row", "col"]].to_numpy(), pdf[["mrow", "mcol"]].to_numpy(), sigma, trials, seed, [1, 0, 0, 0, 1, 0])
+    named = "".join(f"{k} {kinds[k]}, " for k in keys)
+    d = matches.groupBy(*keys, *(c(x).cast("double").alias(x) for x in point)).agg(F.count(F.lit(1)).alias("_w")).withColumn("_h", F.xxhash64(*point, F.lit(seed)))
+    size = d.groupBy(*keys).agg(F.sum("_w").alias("_n"), F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).cast("int").alias("_blocks"))
+    salted = size.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    dealt = d.withColumn("_s", F.pmod("_h", F.lit(SALTS)).cast("int")).join(salted, [*keys, "_s"]).withColumn("_b", F.pmod(F.shiftrightunsigned("_h", 8), c("_blocks")).cast("int"))
+    even = F.pmod(F.xxhash64(*point, F.lit(seed + 1)), F.lit(1 << 20)) / F.lit(float(1 << 20))
+    drawn = dealt.withColumn("_k", F.floor(c("_w") * F.least(F.lit(1.0), F.lit(float(DRAWN)) / c("_n")) + even)).filter("_k > 0")
+
+    def draw(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(point)
+        at = pdf[point].to_numpy().repeat(pdf["_k"].to_numpy(), axis=0)
+        return pd.DataFrame([[*pdf[keys].iloc[0], pdf["_blocks"].iloc[0], trial_affines(at[:, :2], at[:, 2:], trials, seed).ravel(), at.mean(axis=0)]], columns=[*keys, "_blocks", "_m", "_o"])
+
+    def score(pts: pd.DataFrame, models: pd.DataFrame) -> pd.DataFrame:
+        if pts.empty or models.empty:
+            return pd.DataFrame(columns=[*keys, "_c"])
+        m, p, w = np.reshape(models["_m"].iloc[0], (-1, 6)), pts[point].to_numpy(), pts["_w"].to_numpy()
+        step = max(1, 1_000_000 // len(p))
+        counts = [near(m[lo : lo + step], p, sigma) @ w for lo in range(0, len(m), step)]
+        return pd.DataFrame([[*models[keys].iloc[0], np.concatenate([*counts, np.empty(0, np.int64)]).astype(np.int64)]], columns=[*keys, "_c"])
+
+    def add(pts: pd.DataFrame, best: pd.DataFrame) -> pd.DataFrame:
+        if pts.empty or best.empty:
+            return pd.DataFrame(columns=[*keys, "_b", "_sums"])
+        f, o = np.array(best["_f"].iloc[0]), np.array(best["_o"].iloc[0])
+        pts = pts.sort_values(point)
+        p = pts[point].to_numpy()
+        inside = near(f[None], p, sigma)[0]
+        (x, y, u, v), w = (p[inside] - o).T, pts["_w"].to_numpy()[inside].astype(float)
+        sums = [(w * t).sum() for t in (np.ones(len(w)), x, y, u, v, x * x, x * y, y * y, x * u, y * u, x * v, y * v)]
+        return pd.DataFrame([[*best[keys].iloc[0], best["_b"].iloc[0], sums]], columns=[*keys, "_b", "_sums"])
+
+    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+        s = np.stack(pdf.sort_values("_b")["_sums"].to_numpy()).sum(axis=0)
+        f = refit(s, np.array(pdf["_o"].iloc[0]), np.array(pdf["_f"].iloc[0])) if s[0] >= 3 else IDENTITY
         return pd.DataFrame([[*pdf[keys].iloc[0], *f]], columns=[*keys, *AFFINE])
 
-    fitted = few.groupBy(*keys).applyInPandas(run, ", ".join([*(f"{k} {kinds[k]}" for k in keys), *(f"{f} double" for f in AFFINE)]))
-    c = F.col
+    each = lambda df: df.withColumn("_b", F.explode(F.sequence(F.lit(0), c("_blocks") - 1)))
+    by, parts = [*keys, "_b"], dealt.select(*keys, "_b", *point, "_w")
+    models = drawn.select(*keys, "_blocks", *point, "_k").groupBy(*keys).applyInPandas(draw, f"{named}_blocks int, _m array<double>, _o array<double>")
+    counts = parts.groupBy(*by).cogroup(each(models.select(*keys, "_blocks", "_m")).groupBy(*by)).applyInPandas(score, f"{named}_c array<long>")
+    total = counts.select(*keys, F.posexplode("_c").alias("_t", "_c")).groupBy(*keys, "_t").agg(F.sum("_c").alias("_c"))
+    most = total.groupBy(*keys).agg(F.max(F.struct("_c", (-c("_t")).alias("_t"))).alias("_best"))
+    best = models.join(most, keys).select(*keys, "_blocks", "_o", F.slice("_m", 1 - 6 * c("_best._t"), 6).alias("_f"))
+    sums = parts.groupBy(*by).cogroup(each(best).groupBy(*by)).applyInPandas(add, f"{named}_b int, _sums array<double>")
+    solved = sums.join(best.select(*keys, "_o", "_f"), keys).groupBy(*keys).applyInPandas(solve, f"{named}{', '.join(f'{f} double' for f in AFFINE)}")
+    fitted = size.join(solved, keys, "left").select(*keys, "_blocks", *(F.coalesce(f, F.lit(float(x))).alias(f) for f, x in zip(AFFINE, IDENTITY, strict=True)))
     vx, vy = c("mrow") - (c("f0") * c("row") + c("f1") * c("col") + c("f2")), c("mcol") - (c("f3") * c("row") + c("f4") * c("col") + c("f5"))
-    inside = matches.join(fitted, keys).withColumn("_in", (F.sqrt(vx * vx + vy * vy) <= sigma).cast("long"))
-    return inside.groupBy(*keys, *AFFINE).agg(F.count(F.lit(1)).alias("n"), F.sum("_in").alias("inliers"))
+    inside = parts.join(each(fitted).drop("_blocks"), by).withColumn("_in", c("_w") * (F.sqrt(vx * vx + vy * vy) <= sigma).cast("long"))
+    return inside.groupBy(*keys, *AFFINE).agg(F.sum("_w").alias("n"), F.sum("_in").alias("inliers"))
 
 
 def local_affine_field(matches: DataFrame, tile_r: float, tile_c: float, sigma: float = 20.0, trials: int = 200, least: int = 12, seed: int = 0) -> DataFrame:
