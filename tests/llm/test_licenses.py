@@ -57,3 +57,24 @@ def test_no_templates_and_no_rows(spark):
     assert scan_licenses(frame(spark, []), notices(spark)).collect() == []
     odd = spark.createDataFrame([("short", "two words"), (None, "a b c d e f"), ("null", None)], "template string, text string")
     assert scan_licenses(frame(spark, [(1, "a b c d e f")]), odd).collect() == []
+
+
+def test_templates_of_fewer_words_than_a_shingle(spark):
+    rows = [(1, "All rights reserved."), (2, "x y z. ALL RIGHTS\nreserved, and all-rights reserved"), (3, "all rights"), (4, "all the rights reserved"), (5, None), (6, NOTICES[0][1] + " All rights reserved."), (6, "all rights reserved")]
+    short = [("all-rights-reserved", "All rights reserved."), ("one", "Y"), ("four", "and all rights reserved"), ("none", " .")]
+
+    def planted(templates):
+        out = {}
+        for d, t in rows:
+            w = [x for x in re.split(r"[^\w]|_", (t or "").lower()) if x]
+            for name, text in templates:
+                own = [x for x in re.split(r"[^\w]|_", text.lower()) if x]
+                for p in range(len(w) - len(own) + 1) if own else []:
+                    if w[p : p + len(own)] == own:
+                        out.setdefault((d, name), set()).update({p, max(p - 1, 0)})
+        return {(*k, 1.0, min(v), len(v)) for k, v in out.items()}
+
+    got = {tuple(r) for r in scan_licenses(frame(spark, rows), spark.createDataFrame(short, "template string, text string")).collect()}
+    assert got == planted(short) and {g[0] for g in got if g[1] == "all-rights-reserved"} == {1, 2, 6}
+    both = {tuple(r) for r in scan_licenses(frame(spark, rows), notices(spark)).collect()}
+    assert both == planted(short[:1]) | brute(rows, NOTICES) and (6, NOTICES[0][0]) in {g[:2] for g in both}

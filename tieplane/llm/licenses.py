@@ -25,18 +25,49 @@ NOTICES = [
     ("gpl-header", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
     ("bsd-conditions", "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."),
 ]
+#: Notices of fewer than WORDS words, which ORACLE does not state.
+SHORT_NOTICES = [("all-rights-reserved", "All rights reserved.")]
 
 
 def notices(spark: SparkSession) -> DataFrame:
-    rows = [F.struct(F.lit(n).alias("template"), F.lit(t).alias("text")) for n, t in NOTICES]
+    rows = [F.struct(F.lit(n).alias("template"), F.lit(t).alias("text")) for n, t in NOTICES + SHORT_NOTICES]
     return spark.range(1).select(F.inline(F.array(*rows)))
 
 
+def split(text: Column) -> Column:
+    """The words of a text; a word is letters and digits, lower-cased."""
+    return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), "")
+
+
+def runs(words: Column, n: int) -> Column:
+    """Hashes of the runs of n words, in order. Fewer words have none."""
+    each = lambda w: F.transform(F.sequence(F.lit(1), F.size(w) - (n - 1)), lambda i: F.xxhash64(*(F.get(w, i + (k - 1)) for k in range(n))))
+    return F.get(F.transform(F.array(words), lambda w: F.when(F.size(w) >= n, each(w)).otherwise(F.array().cast("array<long>"))), F.lit(0))
+
+
 def shingles(text: Column) -> Column:
-    """Hashes of the runs of WORDS words, in order; a word is letters and digits, lower-cased. Shorter texts have none."""
-    words = F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), "")
-    each = lambda w: F.transform(F.sequence(F.lit(1), F.size(w) - (WORDS - 1)), lambda i: F.xxhash64(*(F.get(w, i + (k - 1)) for k in range(WORDS))))
-    return F.get(F.transform(F.array(words), lambda w: F.when(F.size(w) >= WORDS, each(w)).otherwise(F.array().cast("array<long>"))), F.lit(0))
+    """Hashes of the runs of WORDS words, in order. Shorter texts have none."""
+    return runs(split(text), WORDS)
+
+
+def short_held(docs: DataFrame, short: list, id_col: str, text_col: str) -> DataFrame:
+    """Where templates of fewer than WORDS words stand, each one run of its own length: doc_id, template, t, at,
+    containment. As for any template of one shingle, windows are two runs long and start at every run."""
+    out = None
+    for n in sorted({len(r.words) for r in short}):
+        known = F.array(*map(F.lit, sorted({r.h for r in short if len(r.words) == n})))
+        s = docs.select(F.col(id_col).alias("doc_id"), runs(split(F.col(text_col).cast("string")), n).alias("s")).filter(F.arrays_overlap("s", known))
+        told = docs.sparkSession.range(1).select(F.inline(F.array(*(F.struct(F.lit(r.template).alias("template"), F.lit(r.h).alias("h")) for r in short if len(r.words) == n))))
+        met = s.select("doc_id", F.posexplode("s").alias("at", "h")).join(F.broadcast(told), "h")
+        starts = F.filter(F.array(F.col("at") - 1, F.col("at")), lambda x: x >= 0)
+        held = met.select("doc_id", "template", F.lit(1).alias("t"), F.explode(starts).alias("at"), F.lit(1.0).alias("containment"))
+        out = held if out is None else out.unionByName(held)
+    return out.distinct()
+
+
+def best_windows(held: DataFrame) -> DataFrame:
+    best = F.max(F.struct("containment", (-F.col("at")).alias("at")))
+    return held.groupBy("doc_id", "template").agg(best.alias("best"), F.countDistinct("at").alias("windows")).select("doc_id", "template", F.col("best.containment").alias("containment"), (-F.col("best.at")).cast("int").alias("window"), "windows")
 
 
 def scan_licenses(docs: DataFrame, templates: DataFrame, id_col: str = "doc_id", text_col: str = "text", bands: int = BANDS) -> DataFrame:
@@ -50,19 +81,25 @@ def scan_licenses(docs: DataFrame, templates: DataFrame, id_col: str = "doc_id",
     without any such shingle are passed over before values are computed, which changes no result.
 
     Null and empty texts hold nothing; repeated rows count as one document with their windows added once;
-    templates shorter than WORDS words are ignored, of equal names each counts; other columns are ignored.
+    a template shorter than WORDS words is one shingle, met by runs of its own length, one without words is
+    ignored; of equal names each counts; other columns are ignored.
     """
-    told = templates.select(F.col("template").cast("string").alias("template"), F.array_distinct(shingles(F.col("text").cast("string"))).alias("own")).dropna().filter(F.size("own") > 0)
+    told = templates.select(F.col("template").cast("string").alias("template"), split(F.col("text").cast("string")).alias("words")).dropna().filter(F.size("words") > 0)
     told = told.limit(TEMPLATES + 1)
+    count = told.count()  # TEMPLATES at most
+    if count > TEMPLATES:
+        raise ValueError(f"more than {TEMPLATES} templates: scan with parts of them")
+    whole = F.coalesce(*(F.when(F.size("words") == n, F.get(runs(F.col("words"), n), F.lit(0))) for n in range(1, WORDS)))
+    short = told.filter(F.size("words") < WORDS).withColumn("h", whole).collect()
+    told = told.filter(F.size("words") >= WORDS).select("template", F.array_distinct(runs(F.col("words"), WORDS)).alias("own"))
     value = lambda s, k: F.array_min(F.transform(s, lambda h: F.struct(F.xxhash64(h, k).alias("v"), h.alias("h"))))
     numbers = F.array(*map(F.lit, range(bands)))
     known = told.select("template", "own", F.size("own").alias("t"), F.transform(numbers, lambda k: value(F.col("own"), k)).alias("least"))
-    rows = known.collect()  # TEMPLATES at most
-    if len(rows) > TEMPLATES:
-        raise ValueError(f"more than {TEMPLATES} templates: scan with parts of them")
+    rows = known.collect()
     empty = docs.select(F.col(id_col).alias("doc_id")).limit(0).select("doc_id", F.lit("").alias("template"), F.lit(0.0).alias("containment"), F.lit(0).alias("window"), F.lit(0).cast("long").alias("windows"))
+    few = short_held(docs, short, id_col, text_col) if short else None
     if not rows:
-        return empty
+        return empty if few is None else best_windows(few)
     anchors = F.array(*map(F.lit, sorted({x.h for r in rows for x in r.least})))
     lengths = F.array(*map(F.lit, sorted({r.t for r in rows})))
     banded = known.select("template", "own", "t", F.posexplode("least").alias("band", "x")).select("template", "own", "t", "band", F.col("x.v").alias("v"))
@@ -73,8 +110,7 @@ def scan_licenses(docs: DataFrame, templates: DataFrame, id_col: str = "doc_id",
     met = values.join(F.broadcast(banded), ["t", "band", "v"])
     share = F.size(F.array_intersect("part", "own")) / F.col("t")
     held = met.select("doc_id", "template", "t", "at", share.alias("containment")).filter(F.col("containment") * 100 >= CONTAINED).distinct()
-    best = F.max(F.struct("containment", (-F.col("at")).alias("at")))
-    return held.groupBy("doc_id", "template").agg(best.alias("best"), F.countDistinct("at").alias("windows")).select("doc_id", "template", F.col("best.containment").alias("containment"), (-F.col("best.at")).cast("int").alias("window"), "windows")
+    return best_windows(held if few is None else held.unionByName(few))
 
 
 _VALUES = ", ".join("('{}', '{}')".format(n, t.replace("'", "''")) for n, t in NOTICES)
