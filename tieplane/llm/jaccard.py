@@ -1,31 +1,37 @@
-"""Exact n-gram Jaccard join: prefix tiles in size order, bitmap bounds, sorted-array intersection."""
+"""Exact n-gram Jaccard join: prefix tiles in size bands, bitmap bounds, sorted-array intersection."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from .common import Scratch, lookup
 from .graph import components
-from .shingles import batches_of, mix, shingle_sets
+from .shingles import batches_of, shingle_sets
 
 #: A link is 100 * intersection >= THRESHOLD * union.
 THRESHOLD = 80
 #: Shingles count as common from 1/COMMON of all shingle occurrences, so there are at most COMMON of them.
 COMMON, COMMON_LEAST = 1 << 20, 64
-#: Entries of a side of a tile.
-BLOCK = 256
-#: Largest bitmap, in bits, and how many times as wide those are that long runs are compared by.
-WIDEST, WIDER = 1 << 16, 8
-#: Entries of a run that narrow bitmaps serve; its pairs are few anyway.
+#: Entries of a run that one task sorts, about; longer runs are dealt to PIECES of them at most.
+PIECE, PIECES = 512, 1 << 12
+#: Entries of a run whose pairs are written down at once; those of longer runs meet in tiles.
 SHORT = 16
+#: Entries of a side of a tile, about.
+BLOCK = 2048
+#: Largest bitmap, in bits, and how many times as wide those of tiles are as those of single pairs.
+WIDEST, WIDER = 1 << 16, 8
+#: Pairs of one set that one task fetches the shingles for, about.
+SPREAD = 2048
 #: Bits of the filter that tells which texts' shingles are fetched.
 FILTER_BITS = 24
+#: Sets whose 64-bit names clash, at most: by chance there is one among 2**32.
+RENAMED = 10_000
 
 
 def needed(n):
@@ -33,9 +39,19 @@ def needed(n):
     return -(-THRESHOLD * n // 100)
 
 
-def class_id(s: np.ndarray) -> int:
-    """A 64-bit name of a set; like the shingle hashes it takes equal names for equal things."""
-    return int(mix(np.array([mix(s * np.uint64(0x9E3779B97F4A7C15)).sum() + np.uint64(len(s))], np.uint64)).view(np.int64)[0])
+def set_digest(s: np.ndarray) -> bytes:
+    """128 bits of BLAKE2b over the sorted shingles: what makes two texts one class."""
+    return blake2b(s.tobytes(), digest_size=16).digest()
+
+
+def namer(digest: Callable, renamed: frozenset = frozenset()) -> Callable:
+    """The 64-bit name of a set: the first half of its digest, or where that is in ``renamed`` the second."""
+
+    def name(s: np.ndarray) -> int:
+        low, high = np.frombuffer(digest(s), np.int64).tolist()
+        return high if low in renamed else low
+
+    return name
 
 
 def bitmap(s: np.ndarray, times: int = 1) -> bytes:
@@ -46,55 +62,72 @@ def bitmap(s: np.ndarray, times: int = 1) -> bytes:
     return np.packbits(bits, bitorder="little").tobytes()
 
 
-def may_link(na: int, a: int, wa: int, nb: int, b: int, wb: int) -> bool:
-    """False only if the bitmaps prove that the sets share too little: each bit that only one has stands for
-    a shingle at least that the other lacks. Of bitmaps of two widths the wider is folded."""
-    while wa > wb:
-        wa >>= 1
-        a = (a >> wa | a) & ((1 << wa) - 1)
-    while wb > wa:
-        wb >>= 1
-        b = (b >> wb | b) & ((1 << wb) - 1)
-    both = a & b
-    most = min(na - (a ^ both).bit_count(), nb - (b ^ both).bit_count())
-    return (100 + THRESHOLD) * most >= THRESHOLD * (na + nb)
+def may_link(n: np.ndarray, maps: list[bytes], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """For pairs (i, j) of sets of n shingles: False only if the bitmaps prove that they share too little.
+
+    Each bit that only one has stands for a shingle at least that the other lacks. Of bitmaps of two widths
+    the wider is folded.
+    """
+    width = np.fromiter(map(len, maps), np.int64, len(maps))
+    least, out = np.minimum(width[i], width[j]), np.zeros(len(i), bool)
+    for w in np.unique(least).tolist():
+        pairs = np.flatnonzero(least == w)
+        used = np.unique(np.concatenate([i[pairs], j[pairs]]))
+        bits = np.empty((len(used), w // 8), np.uint64)
+        for own in np.unique(width[used]).tolist():
+            at = np.flatnonzero(width[used] == own)
+            wide = np.frombuffer(b"".join([maps[k] for k in used[at].tolist()]), np.uint64).reshape(len(at), own // w, w // 8)
+            bits[at] = np.bitwise_or.reduce(wide, axis=1)
+        ones = np.bitwise_count(bits).sum(axis=1, dtype=np.int64)
+        step = max(1, (1 << 22) // w)
+        for lo in range(0, len(pairs), step):
+            at = pairs[lo : lo + step]
+            x, y = np.searchsorted(used, i[at]), np.searchsorted(used, j[at])
+            both = np.bitwise_count(bits[x] & bits[y]).sum(axis=1, dtype=np.int64)
+            most = both + np.minimum(n[i[at]] - ones[x], n[j[at]] - ones[y])
+            out[at] = (100 + THRESHOLD) * most >= THRESHOLD * (n[i[at]] + n[j[at]])
+    return out
 
 
 def signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
 
-def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """doc_id, n, cid, sig, wide, and on a batch's first row the shingles that stand in three of its sets at least."""
-    for batch in batches:
-        n, cid, sig, wide, prefixes, seen = [], [], [], [], [], set()
-        for _, texts in batches_of(batch.column(1)):
-            for s in shingle_sets(texts):
-                n.append(len(s))
-                cid.append(class_id(s) if len(s) else None)
-                if cid[-1] in seen:
-                    sig.append(None)
-                    wide.append(None)
-                elif len(s):
-                    seen.add(cid[-1])
-                    sig.append(bitmap(s))
-                    wide.append(bitmap(s, WIDER))
-                    prefixes.append(s[: 2 * (len(s) - needed(len(s)) + 1)])
-                else:
-                    sig.append(None)
-                    wide.append(None)
-        keys, counts = np.unique(np.concatenate(prefixes), return_counts=True) if prefixes else (np.empty(0, np.uint64), np.empty(0, np.int64))
-        often = [{"key": k, "n": c} for k, c in zip(keys[counts > 2].view(np.int64).tolist(), counts[counts > 2].tolist(), strict=True)]
-        kind = pa.list_(pa.struct([("key", pa.int64()), ("n", pa.int64())]))
-        cols = [batch.column(0), pa.array(n, pa.int32()), pa.array(cid, pa.int64()), pa.array(sig, pa.binary()), pa.array(wide, pa.binary()), pa.array([often if i == 0 else [] for i in range(len(n))], kind)]
-        yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n", "cid", "sig", "wide", "often"])
-
-
-def _entries(common):
-    """key, cid, n, pos for the prefix of each set, in the order: rare shingles by hash, then common ones by hash."""
+def _profile(digest: Callable):
+    """doc_id, n, the halves of the set's digest, its bitmaps once a batch, and on a batch's first row the
+    shingles that stand in three of its sets at least."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hot = common.value
+        for batch in batches:
+            n, digests, sig, wide, prefixes, seen = [], [], [], [], [], set()
+            for _, texts in batches_of(batch.column(1)):
+                for s in shingle_sets(texts):
+                    n.append(len(s))
+                    digests.append(digest(s) if len(s) else bytes(16))
+                    if new := len(s) and digests[-1] not in seen:
+                        seen.add(digests[-1])
+                        prefixes.append(s[: 2 * (len(s) - needed(len(s)) + 1)])
+                    sig.append(bitmap(s) if new else None)
+                    wide.append(bitmap(s, WIDER) if new else None)
+            keys, counts = np.unique(np.concatenate(prefixes), return_counts=True) if prefixes else (np.empty(0, np.uint64), np.empty(0, np.int64))
+            often = [{"key": k, "n": c} for k, c in zip(keys[counts > 2].view(np.int64).tolist(), counts[counts > 2].tolist(), strict=True)]
+            kind = pa.list_(pa.struct([("key", pa.int64()), ("n", pa.int64())]))
+            halves, empty = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2), np.array(n) == 0
+            names = [pa.array(halves[:, k], pa.int64(), mask=empty) for k in (0, 1)]
+            cols = [batch.column(0), pa.array(n, pa.int32()), *names, pa.array(sig, pa.binary()), pa.array(wide, pa.binary()), pa.array([often if i == 0 else [] for i in range(len(n))], kind)]
+            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n", "low", "high", "sig", "wide", "often"])
+
+    return run
+
+
+def _entries(common, name: Callable):
+    """key, cid, n, pos for the prefix of each set, in the order: rare shingles by hash, then common ones by hash.
+
+    The last bits of a key are no part of the shingle but the piece of its run that an entry is dealt to.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hot, pieces = common.value
         marks = np.zeros(1 << 24, bool)
         marks[(hot >> np.uint64(40)).astype(np.int64)] = True
 
@@ -105,11 +138,22 @@ def _entries(common):
                 out[at] = hot[np.minimum(np.searchsorted(hot, s[at]), len(hot) - 1)] == s[at]
             return out
 
+        def entries(keys: list, names: list, sizes: list) -> pa.RecordBatch:
+            each = [len(k) for k in keys]
+            place = np.concatenate([np.arange(e, dtype=np.int32) for e in each])
+            key, cid = np.concatenate(keys), np.repeat(np.array(names, np.int64), each)
+            at = np.flatnonzero(is_hot(key))
+            piece = np.zeros(len(key), np.uint64)
+            if len(at):
+                piece[at] = (cid[at].view(np.uint64) >> np.uint64(17)) % pieces[np.searchsorted(hot, key[at])]
+            key = key & ~np.uint64(PIECES - 1) | piece
+            return pa.RecordBatch.from_arrays([signed(key), pa.array(cid), pa.array(np.repeat(np.array(sizes, np.int32), each)), pa.array(place)], ["key", "cid", "n", "pos"])
+
         for batch in batches:
-            keys, names, sizes, seen = [], [], [], set()
+            keys, names, sizes, seen, total = [], [], [], set(), 0
             for _, texts in batches_of(batch.column(0)):
                 for s in shingle_sets(texts):
-                    if not len(s) or (c := class_id(s)) in seen:
+                    if not len(s) or (c := name(s)) in seen:
                         continue
                     seen.add(c)
                     p = len(s) - needed(len(s)) + 1
@@ -123,107 +167,154 @@ def _entries(common):
                     keys.append(rare[:p])
                     names.append(c)
                     sizes.append(len(s))
-                if sum(map(len, keys)) > 200_000:
-                    yield _entry_batch(keys, names, sizes)
-                    keys, names, sizes = [], [], []
+                    total += p
+                if total > 200_000:
+                    yield entries(keys, names, sizes)
+                    keys, names, sizes, total = [], [], [], 0
             if keys:
-                yield _entry_batch(keys, names, sizes)
+                yield entries(keys, names, sizes)
 
     return run
 
 
-def _entry_batch(keys: list, names: list, sizes: list) -> pa.RecordBatch:
-    each = [len(k) for k in keys]
-    place = np.concatenate([np.arange(e, dtype=np.int32) for e in each])
-    return pa.RecordBatch.from_arrays([signed(np.concatenate(keys)), pa.array(np.repeat(np.array(names, np.int64), each)), pa.array(np.repeat(np.array(sizes, np.int32), each)), pa.array(place)], ["key", "cid", "n", "pos"])
-
-
-def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _runs(dealt):
     """From entries sorted by key, n, cid those whose key others have too, each with its run's size (as far as
     this batch goes) and the leader it is compared to first: the smallest set of the run or of the stretch
     whose sizes fit. Keeps one entry between batches.
 
     Two sets that link have enough left past their first common shingle, so an entry that comes too late in
-    its set for even the smallest set of its run is dropped.
+    its set for even the smallest set of its run is dropped. Of a run that is ``dealt`` to pieces a task sees
+    a part only, so all its entries stay.
     """
-    carry, told, least = None, False, 0  # the current leader of the last run; whether it has been put out; the run's smallest n
-    for batch in batches:
-        key, cid, n, pos = (batch.column(i).to_numpy() for i in range(4))
-        if not len(key):
-            continue
-        joined = carry is not None and carry[0] == key[0]
-        if joined:
-            key, cid, n, pos = np.r_[carry[0], key], np.r_[carry[1], cid], np.r_[np.int32(carry[2]), n], np.r_[np.int32(0), pos]
-        same = np.r_[False, (key[1:] == key[:-1]) & (cid[1:] == cid[:-1])]
-        start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-        smallest = np.repeat(n[start], np.diff(np.r_[start, len(key)])).astype(np.int64)
-        if joined:
-            smallest[key == key[0]] = least
-        least = int(smallest[-1])
-        useful = ~same & ((100 + THRESHOLD) * (n - pos).astype(np.int64) >= THRESHOLD * (n + smallest))
-        useful[0] |= joined
-        last = key[-1]
-        key, cid, n, pos = key[useful], cid[useful], n[useful], pos[useful]
-        if not len(key):
-            carry = None
-            continue
-        start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-        size = np.diff(np.r_[start, len(key)])
-        lead = np.repeat(start, size)
-        for r in np.unique(np.repeat(np.arange(len(start)), size)[100 * n[lead].astype(np.int64) < THRESHOLD * n.astype(np.int64)]).tolist():
-            lo, hi = start[r], start[r] + size[r]
-            at = lo
-            while at < hi:  # n ascends, so a stretch ends where a set is too large for its leader
-                end = int(np.searchsorted(n[lo:hi], 100 * int(n[at]) // THRESHOLD, side="right")) + lo
-                lead[at:end] = at
-                at = end
-        out, sizes = np.repeat(size > 1, size), np.repeat(size, size)
-        if joined and told:
-            out[0] = False
-        told = bool(size[-1] > 1)
-        carry = (key[-1], cid[lead[-1]], n[lead[-1]]) if key[-1] == last else None
-        if out.any():
-            at, lead = np.flatnonzero(out), lead[out]
-            cols = [key[at], cid[at], n[at].astype(np.int32), pos[at].astype(np.int32), cid[lead], sizes[at].astype(np.int32)]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["key", "cid", "n", "pos", "leader", "size"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        carry, told, least = None, False, 0  # the current leader of the last run; whether it has been put out; the run's smallest n
+        for batch in batches:
+            key, cid, n, pos = (batch.column(i).to_numpy() for i in range(4))
+            if not len(key):
+                continue
+            joined = carry is not None and carry[0] == key[0]
+            if joined:
+                key, cid, n, pos = np.r_[carry[0], key], np.r_[carry[1], cid], np.r_[np.int32(carry[2]), n], np.r_[np.int32(carry[3]), pos]
+            part = np.isin(key // PIECES, dealt.value)
+            same = np.r_[False, (key[1:] == key[:-1]) & (cid[1:] == cid[:-1])]
+            start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+            smallest = np.repeat(n[start], np.diff(np.r_[start, len(key)])).astype(np.int64)
+            if joined:
+                smallest[key == key[0]] = least
+            least = int(smallest[-1])
+            useful = ~same & (part | ((100 + THRESHOLD) * (n - pos).astype(np.int64) >= THRESHOLD * (n + smallest)))
+            useful[0] |= joined
+            last = key[-1]
+            key, cid, n, pos, part = key[useful], cid[useful], n[useful], pos[useful], part[useful]
+            if not len(key):
+                carry = None
+                continue
+            start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+            size = np.diff(np.r_[start, len(key)])
+            lead = np.repeat(start, size)
+            for r in np.unique(np.repeat(np.arange(len(start)), size)[100 * n[lead].astype(np.int64) < THRESHOLD * n.astype(np.int64)]).tolist():
+                lo, hi = start[r], start[r] + size[r]
+                at = lo
+                while at < hi:  # n ascends, so a stretch ends where a set is too large for its leader
+                    end = int(np.searchsorted(n[lo:hi], 100 * int(n[at]) // THRESHOLD, side="right")) + lo
+                    lead[at:end] = at
+                    at = end
+            out, sizes = np.repeat(size > 1, size) | part, np.repeat(size, size)
+            last_out = bool(out[-1])
+            if joined and told:
+                out[0] = False
+            told = last_out
+            k = lead[-1]
+            carry = (key[-1], cid[k], n[k], pos[k]) if key[-1] == last else None
+            if out.any():
+                at, lead = np.flatnonzero(out), lead[out]
+                cols = [key[at], cid[at], n[at].astype(np.int32), pos[at].astype(np.int32), cid[lead], sizes[at].astype(np.int32)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["key", "cid", "n", "pos", "leader", "size"])
+
+    return run
 
 
 def _by_bitmap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        a, na, sa, b, nb, sb = (batch.column(i).to_pylist() for i in range(6))
-        keep = [may_link(na[i], int.from_bytes(sa[i], "little"), 8 * len(sa[i]), nb[i], int.from_bytes(sb[i], "little"), 8 * len(sb[i])) for i in range(len(a))]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(3)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        n = np.concatenate([batch.column(k).to_numpy() for k in (1, 4)]).astype(np.int64)
+        maps = [x for k in (2, 5) for x in batch.column(k).to_pylist()]
+        at = np.arange(batch.num_rows)
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(3)], ["a", "b"]).filter(pa.array(may_link(n, maps, at, at + len(at)), pa.bool_()))
 
 
-def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of different labels in each tile that neither places nor bitmaps rule out: past the first common
-    shingle, enough of both sets must be left. Rows come sorted by tile; a
-    tile has 2 * BLOCK rows at most."""
-    tile, rows, found = None, [], set()
-
-    def compare() -> None:
-        left = [r for r in rows if r[0] == 0]
-        right = [r for r in rows if r[0] == 1]
-        for i, x in enumerate(left):
-            for y in right or left[i + 1 :]:
-                if x[2] != y[2] and (100 + THRESHOLD) * min(x[6], y[6]) >= THRESHOLD * (x[3] + y[3]) and may_link(x[3], x[4], x[5], y[3], y[4], y[5]):
-                    found.add((min(x[1], y[1]), max(x[1], y[1])))
+def _fits(n: np.ndarray, rest: np.ndarray, label: np.ndarray, i, j) -> np.ndarray:
+    """Whether entries i and j have different labels and enough of both sets left past this shingle; if it is the
+    first that they share, no more than that can be common."""
+    return (label[i] != label[j]) & ((100 + THRESHOLD) * np.minimum(rest[i], rest[j]) >= THRESHOLD * (n[i] + n[j]))
+
+
+def _ordered(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
+    return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
+
+def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs of each run that places do not rule out. Rows come sorted by run; a run has SHORT rows at most,
+    and those of the last one are kept between batches."""
+    kept = [np.empty(0, np.int64)] * 5
     for batch in batches:
-        key, i, j, side, cid, label, n, pos, sig = (batch.column(k).to_pylist() for k in range(9))
-        for k in range(len(key)):
-            if (key[k], i[k], j[k]) != tile:
-                compare()
-                tile, rows = (key[k], i[k], j[k]), []
-            rows.append((side[k], cid[k], label[k], n[k], int.from_bytes(sig[k], "little"), 8 * len(sig[k]), n[k] - pos[k]))
-        if found:
-            a, b = zip(*sorted(found), strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-            found.clear()
-    compare()
-    if found:
-        a, b = zip(*sorted(found), strict=True)
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+        run, cid, label, n, pos = (np.concatenate([k, batch.column(i).to_numpy().astype(np.int64)]) for i, k in enumerate(kept))
+        if not len(run):
+            continue
+        a, b = [], []
+        old = len(kept[0])
+        for d in range(1, SHORT):
+            j = np.arange(max(d, old), len(run))  # the second row is new, so each pair is met once
+            j = j[run[j] == run[j - d]]
+            if len(j):
+                i = j - d
+                ok = _fits(n, n - pos, label, i, j)
+                a.append(cid[i[ok]])
+                b.append(cid[j[ok]])
+        if a:
+            yield _ordered(np.concatenate(a), np.concatenate(b))
+        tail = int(np.searchsorted(run, run[-1]))
+        kept = [x[tail:] for x in (run, cid, label, n, pos)]
+
+
+def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs of each tile that neither places nor bitmaps rule out. Rows come sorted by tile; a tile has about
+    2 * BLOCK rows at most."""
+
+    def compare(parts: list) -> Iterator[pa.RecordBatch]:
+        side, cid, label, n, pos = (np.concatenate([p[k] for p in parts]).astype(np.int64) for k in range(5))
+        maps = [x for p in parts for x in p[5]]
+        left, right, rest, a, b = np.flatnonzero(side == 0), np.flatnonzero(side == 1), n - pos, [], []
+        within = not len(right)
+        right = left if within else right
+        step = max(1, (1 << 20) // len(right))
+        for lo in range(0, len(left), step):
+            i, j = (x.ravel() for x in np.meshgrid(left[lo : lo + step], right, indexing="ij"))
+            ok = _fits(n, rest, label, i, j) & (i < j if within else True)
+            i, j = i[ok], j[ok]
+            ok = may_link(n, maps, i, j)
+            a.append(cid[i[ok]])
+            b.append(cid[j[ok]])
+        if sum(map(len, a)):
+            yield _ordered(np.concatenate(a), np.concatenate(b))
+
+    tile, parts = None, []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        where = np.stack([batch.column(k).to_numpy() for k in range(3)], axis=1)
+        rows = [batch.column(k).to_numpy() for k in range(3, 8)]
+        maps = batch.column(8).to_pylist()
+        cuts = np.flatnonzero(np.r_[True, (where[1:] != where[:-1]).any(axis=1)]).tolist()
+        for lo, hi in zip(cuts, [*cuts[1:], len(where)], strict=True):
+            if parts and tuple(where[lo]) != tile:
+                yield from compare(parts)
+                parts = []
+            tile = tuple(where[lo])
+            parts.append(([*(r[lo:hi] for r in rows), maps[lo:hi]]))
+    if parts:
+        yield from compare(parts)
 
 
 def _bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -234,7 +325,7 @@ def _bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([signed(word), signed(bits)], ["word", "bits"])
 
 
-def _sets(wanted):
+def _sets(wanted, name: Callable):
     """cid and sorted shingles of the texts that the filter lets pass, once a batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -243,7 +334,7 @@ def _sets(wanted):
             names, sets, seen = [], [], set()
             for _, texts in batches_of(batch.column(0)):
                 for s in shingle_sets(texts):
-                    if not len(s) or (c := class_id(s)) in seen:
+                    if not len(s) or (c := name(s)) in seen:
                         continue
                     at = (c & (1 << 64) - 1) >> (64 - FILTER_BITS)
                     if int(bits[at >> 6]) >> (at & 63) & 1:
@@ -265,23 +356,39 @@ def _exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def attach(pairs: DataFrame, side: str, facts: DataFrame, columns: dict[str, str], total: int) -> DataFrame:
+    """Joins to each pair the ``columns`` of the set named in ``side``. A set of many pairs is copied, so that no
+    task meets more than about SPREAD of them."""
+    other = "b" if side == "a" else "a"
+    degrees = pairs.groupBy(side).agg(F.count(F.lit(1)).alias("_degree"))
+    copies = F.ceil(F.col("_degree") / SPREAD).cast("int")
+    dealt = lookup(pairs, degrees, [side], "_degree", total).withColumn("_copy", F.pmod(F.xxhash64(other), copies).cast("int")).drop("_degree")
+    own = facts.select(F.col("cid").alias(side), *(F.col(c).alias(n) for c, n in columns.items())).join(degrees, side)
+    own = own.withColumn("_copy", F.explode(F.sequence(F.lit(0), copies - 1))).drop("_degree")
+    return dealt.join(own, [side, "_copy"]).drop("_copy")
+
+
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest: Callable = set_digest) -> DataFrame:
     """Links texts whose word-shingle sets overlap by THRESHOLD percent and names each one's component.
 
     Returns doc_id, n_shingles, component_id (the smallest doc_id reachable over links, itself included).
     Texts with equal sets are one class from the start, so copies are never compared. Two sets that link
     share a shingle among the first n - needed(n) + 1 in any common order; here shingles that many texts
-    have come last. Entries of one shingle, sorted by size, form a run. First each entry is compared to the
-    run's leader, which joins groups of near copies at a cost linear in their size. In long runs it is also compared to the set that shares most. Then runs in
-    which several components are left are cut into blocks; tiles of two blocks whose sizes fit and whose
-    labels differ are compared pair by pair. Bitmaps bound each pair's overlap from above
-    (wider ones in long runs, so that what passes there is next to linked), what passes is
-    decided by intersecting the sorted shingles. Every pair that links is thus compared or in one component
+    have come last. Entries of one shingle, sorted by size, form a run; runs of very common shingles are dealt
+    to pieces. First each entry is compared to its piece's leader, which joins groups of near copies at a cost
+    linear in their size. In long runs it is also compared to the set that shares most. Then, of runs in
+    which several components are left, short ones give their pairs; long ones are cut into blocks of near
+    sizes, whose tiles of two blocks with fitting sizes and different labels are compared in place. Bitmaps bound each
+    pair's overlap from above (wider ones in tiles, so that what passes there is next to linked), what passes
+    is decided by intersecting the sorted shingles. Every pair that links is thus compared or in one component
     already; no candidate is capped.
 
     Null, empty and blank texts have no shingles, link to nothing and stay alone (also with each other);
-    repeated rows are one class; a null doc_id never names a component of others; an empty table gives no
-    rows; other columns are ignored. Shingles are taken as equal when their 64-bit hashes are.
+    very long texts count whole, in pieces of bounded size; repeated rows are one class; a null doc_id never
+    names a component of others; an empty table gives no rows; other columns are ignored, whatever their names.
+    A class is known by 128 bits of BLAKE2b over its sorted shingles (``digest``); the 64-bit names that rows
+    carry are checked to stand for one digest each, and changed where they do not. In an intersection, two
+    shingles are equal when their 64 bits are.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "jaccard")
@@ -289,72 +396,99 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     kind = docs.schema[id_col].dataType.simpleString()
     texts = docs.select(F.col(text_col).cast("string").alias("text"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    run_of: Column = F.shiftright("key", PIECES.bit_length() - 1)
 
     profile = scratch.keep(
         docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-        .mapInArrow(_profile, f"doc_id {kind}, n int, cid long, sig binary, wide binary, often array<struct<key: long, n: long>>"), "profile")
+        .mapInArrow(_profile(digest), f"doc_id {kind}, n int, low long, high long, sig binary, wide binary, often array<struct<key: long, n: long>>"), "profile")
     total = profile.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     often = profile.select(F.explode("often").alias("o")).groupBy("o.key").agg(F.sum("o.n").alias("n"))
-    hot = often.filter(F.col("n") >= max(COMMON_LEAST, -(-total // COMMON))).select("key").toPandas()["key"].to_numpy(np.int64)  # at most COMMON
-    common = sc.broadcast(np.sort(hot.view(np.uint64)))
-    classes = scratch.keep(
-        profile.filter("cid IS NOT NULL").groupBy("cid").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.max("sig").alias("sig"), F.max("wide").alias("wide"), F.count(F.lit(1)).alias("copies")), "classes")
-    rows = scratch.keep(profile.select("doc_id", "n", "cid"), "rows")
+    hot = often.filter(F.col("n") >= max(COMMON_LEAST, -(-total // COMMON))).toPandas().sort_values("key", key=lambda k: k.to_numpy(np.int64).view(np.uint64))  # at most COMMON
+    keys, pieces = hot["key"].to_numpy(np.int64), np.clip(-(-hot["n"].to_numpy(np.int64) // PIECE), 1, PIECES)
+    common = sc.broadcast((keys.view(np.uint64), pieces.astype(np.uint64)))
+    dealt = sc.broadcast(np.unique(keys[pieces > 1] // PIECES))
+    renamed: frozenset = frozenset()
+    while True:
+        cid = F.when(F.col("low").isin(*renamed), F.col("high")).otherwise(F.col("low")) if renamed else F.col("low")
+        known = profile.filter("low IS NOT NULL").withColumn("cid", cid).groupBy("cid")
+        first_last = F.struct("low", "high")
+        classes = scratch.keep(known.agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.max("sig").alias("sig"), F.max("wide").alias("wide"), F.count(F.lit(1)).alias("copies"), F.min(first_last).alias("x"), F.max(first_last).alias("y")), f"classes{len(renamed)}")
+        clash = {r.cid for r in classes.filter("x <> y").select("cid").limit(RENAMED + 1).collect()}
+        if not clash:
+            break
+        if len(clash) + len(renamed) > RENAMED or clash <= renamed:
+            raise RuntimeError("set names clash")
+        renamed |= clash
+    name = namer(digest, renamed)
+    rows = scratch.keep(profile.select("doc_id", "n", cid.alias("cid")), "rows")
     scratch.drop("profile")
     scratch.release()
-    entries = texts.mapInArrow(_entries(common), "key long, cid long, n int, pos int")
-    kept = scratch.keep(entries.repartition(parts, "key").sortWithinPartitions("key", "n", "cid").mapInArrow(_runs, "key long, cid long, n int, pos int, leader long, size int"), "kept")
+    entries = texts.mapInArrow(_entries(common, name), "key long, cid long, n int, pos int")
+    kept = scratch.keep(entries.repartition(parts, "key").sortWithinPartitions("key", "n", "cid").mapInArrow(_runs(dealt), "key long, cid long, n int, pos int, leader long, size int"), "kept")
     scratch.release()
 
-    def fetch_and_intersect(pairs: DataFrame, name: str) -> DataFrame:
+    def fetch_and_intersect(pairs: DataFrame, label: str) -> DataFrame:
         words = pairs.mapInArrow(_bits, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toPandas()
         bits = np.zeros(1 << (FILTER_BITS - 6), np.uint64)  # a fixed size, whatever the number of pairs
         bits[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64).view(np.uint64)
-        sets = scratch.keep(texts.mapInArrow(_sets(sc.broadcast(bits)), "cid long, s binary").dropDuplicates(["cid"]), f"sets-{name}")
-        full = pairs.join(sets.select(F.col("cid").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("cid").alias("b"), F.col("s").alias("sb")), "b")
-        out = scratch.keep(full.select("a", "sa", "b", "sb").mapInArrow(_exact, "a long, b long"), f"edges-{name}")
-        scratch.drop(f"sets-{name}")
+        sets = scratch.keep(texts.mapInArrow(_sets(sc.broadcast(bits), name), "cid long, s binary").dropDuplicates(["cid"]), f"sets-{label}")
+        count = pairs.count()
+        full = attach(attach(pairs, "a", sets, {"s": "sa"}, count), "b", sets, {"s": "sb"}, count)
+        out = scratch.keep(full.select("a", "sa", "b", "sb").mapInArrow(_exact, "a long, b long"), f"edges-{label}")
+        scratch.drop(f"sets-{label}")
         return out
 
-    facts = classes.select("cid", "n", "sig")
-    side = lambda c: facts.select(F.col("cid").alias(c), F.col("n").alias(f"n{c}"), F.col("sig").alias(f"s{c}"))
-    run = W.partitionBy("key")
+    def by_bitmap(pairs: DataFrame, label: str) -> DataFrame:
+        facts, count = classes.select("cid", "n", "sig"), pairs.count()
+        both = attach(attach(pairs, "a", facts, {"n": "na", "sig": "sa"}, count), "b", facts, {"n": "nb", "sig": "sb"}, count)
+        return scratch.keep(both.select("a", "na", "sa", "b", "nb", "sb").mapInArrow(_by_bitmap, "a long, b long"), label)
+
     stars = kept.filter("leader <> cid").select(F.col("leader").alias("a"), F.col("cid").alias("b"))
     # in longer runs also to the set that has most in common with others: the one that copies were made from
     shared = kept.groupBy("cid").agg(F.sum("size").alias("shared"))
-    long = kept.filter("size > 3").select("key", "cid", "n").join(shared, "cid").withColumn("hub", F.max(F.struct("shared", "cid", "n")).over(run))
-    hubs = long.filter((F.col("hub.cid") != F.col("cid")) & (100 * F.least("n", "hub.n") >= THRESHOLD * F.greatest("n", "hub.n")))
-    stars = stars.unionByName(hubs.select(F.col("hub.cid").alias("a"), F.col("cid").alias("b"))).distinct()
-    likely = scratch.keep(stars.join(side("a"), "a").join(side("b"), "b").select("a", "na", "sa", "b", "nb", "sb").mapInArrow(_by_bitmap, "a long, b long"), "likely")
+    long = scratch.keep(kept.filter("size > 3").select("key", "cid", "n").join(shared, "cid"), "long")
+    of_piece = long.groupBy("key").agg(F.max(F.struct("shared", "cid", "n")).alias("hub")).withColumn("run", run_of)
+    of_run = of_piece.groupBy("run").agg(F.max("hub").alias("hub"))
+    hubs = long.join(of_piece.select("key", "run").join(of_run, "run").select("key", "hub"), "key")
+    hubs = hubs.filter((F.col("hub.cid") != F.col("cid")) & (100 * F.least("n", "hub.n") >= THRESHOLD * F.greatest("n", "hub.n")))
+    stars = scratch.keep(stars.unionByName(hubs.select(F.col("hub.cid").alias("a"), F.col("cid").alias("b"))).distinct(), "met")
+    likely = by_bitmap(stars, "likely")
+    scratch.drop("long", "met")
     scratch.release()
     first = scratch.keep(components(fetch_and_intersect(likely, "stars")), "first")
     scratch.release()
 
-    labelled = kept.select("key", "cid", "n", "pos").join(first.select(F.col("node").alias("cid"), "root"), "cid", "left").withColumn("label", F.coalesce("root", "cid"))
-    mixed = (
-        labelled.withColumn("lo", F.min("label").over(run)).withColumn("hi", F.max("label").over(run)).filter("lo <> hi")
-        .withColumn("block", F.floor((F.row_number().over(run.orderBy("n", "cid")) - 1) / BLOCK).cast("int")).withColumn("size", F.count(F.lit(1)).over(run))
-        .select("key", "cid", "n", "pos", "label", "block", "size")
-    )
-    mixed = scratch.keep(mixed, "mixed")
-    scratch.drop("kept", "likely")
+    roots = first.select(F.col("node").alias("cid"), "root")
+    labelled = scratch.keep(kept.select("key", "cid", "n", "pos").join(roots, "cid", "left").withColumn("label", F.coalesce("root", "cid")).drop("root"), "labelled")
+    of_piece = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("size")).withColumn("run", run_of)
+    of_run = of_piece.groupBy("run").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("size").alias("size")).filter("lo <> hi")
+    mixed = scratch.keep(labelled.join(of_piece.select("key", "run").join(of_run.select("run", "size"), "run"), "key").select("key", "run", "cid", "label", "n", "pos", "size"), "mixed")
+    scratch.drop("kept", "likely", "labelled")
+    scratch.release()
+    few = mixed.filter(F.col("size") <= SHORT).select("run", "cid", "label", "n", "pos").repartition(parts, "run").sortWithinPartitions("run")
+    written = by_bitmap(scratch.keep(few.mapInArrow(_pairs, "a long, b long").distinct(), "written"), "pairs")
+    scratch.drop("written")
     scratch.release()
-    blocks = (
-        mixed.filter(F.col("size") > BLOCK).groupBy("key", "block").agg(F.min("n").alias("n0"), F.max("n").alias("n1"), F.min("label").alias("l0"), F.max("label").alias("l1"))
-        .groupBy("key").agg(F.collect_list(F.struct("block", "n0", "n1", "l0", "l1")).alias("blocks"))
-    )
-    whole = mixed.select("key", F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("side"), "cid", "label", "n", "pos", "size")
-    few, one = whole.filter(F.col("size") <= SHORT).drop("size"), whole.filter((F.col("size") > SHORT) & (F.col("size") <= BLOCK)).drop("size")
-    mine = F.element_at(F.filter("blocks", lambda x: x["block"] == F.col("block")), 1)
-    meets = lambda x: (100 * x["n1"] >= THRESHOLD * mine["n0"]) & (100 * mine["n1"] >= THRESHOLD * x["n0"]) & ~((x["l0"] == x["l1"]) & (mine["l0"] == mine["l1"]) & (x["l0"] == mine["l0"]))
-    many = (
-        mixed.filter(F.col("size") > BLOCK).join(blocks, "key").withColumn("other", F.explode(F.transform(F.filter("blocks", meets), lambda x: x["block"])))
-        .select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("block") > F.col("other")).cast("int").alias("side"), "cid", "label", "n", "pos")
-    )
-    wide = one.unionByName(many).join(classes.select("cid", F.col("wide").alias("sig")), "cid")
-    tiles = few.join(facts.select("cid", "sig"), "cid").unionByName(wide).select("key", "i", "j", "side", "cid", "label", "n", "pos", "sig")
-    rest = scratch.keep(tiles.repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_tiles, "a long, b long").distinct(), "rest")
+    whole = mixed.filter((F.col("size") > SHORT) & (F.col("size") <= BLOCK)).select("run", F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("side"), "cid", "label", "n", "pos")
+    # sizes that link differ by a quarter at most, so blocks hold sizes of one band and meet those of the next
+    banded = mixed.filter(F.col("size") > BLOCK).withColumn("band", F.floor(F.log("n") / float(np.log(100 / THRESHOLD))).cast("int"))
+    of_piece = banded.groupBy("key", "run", "band").agg(F.count(F.lit(1)).alias("c"))
+    cuts = of_piece.select("key", "run", "band").join(of_piece.groupBy("run", "band").agg(F.ceil(F.sum("c") / BLOCK).cast("int").alias("cuts")), ["run", "band"])
+    blocked = banded.join(cuts.select("key", "band", "cuts"), ["key", "band"]).withColumn("block", F.col("band") * (1 << 24) + F.pmod(F.xxhash64("cid"), F.col("cuts")).cast("int"))
+    blocked = scratch.keep(blocked.select("run", "block", "cid", "label", "n", "pos"), "blocked")
+    facts = blocked.groupBy("run", "block").agg(F.min("n").alias("n0"), F.max("n").alias("n1"), F.min("label").alias("l0"), F.max("label").alias("l1"))
+    u, v = facts.alias("u"), facts.alias("v")
+    one = (F.col("u.l0") == F.col("u.l1")) & (F.col("v.l0") == F.col("v.l1")) & (F.col("u.l0") == F.col("v.l0"))
+    sizes = (100 * F.col("u.n1") >= THRESHOLD * F.col("v.n0")) & (100 * F.col("v.n1") >= THRESHOLD * F.col("u.n0"))
+    met = u.join(v, (F.col("u.run") == F.col("v.run")) & (F.col("u.block") <= F.col("v.block")) & sizes & ~one).select("u.run", F.col("u.block").alias("i"), F.col("v.block").alias("j"))
+    ends = F.when(F.col("i") == F.col("j"), F.array(F.lit(0))).otherwise(F.array(F.lit(0), F.lit(1)))
+    met = met.withColumn("side", F.explode(ends)).withColumn("block", F.when(F.col("side") == 0, F.col("i")).otherwise(F.col("j")))
+    many = blocked.join(met, ["run", "block"]).select("run", "i", "j", "side", "cid", "label", "n", "pos")
+    tiles = whole.unionByName(many).join(classes.select("cid", "wide"), "cid").select("run", "i", "j", "side", "cid", "label", "n", "pos", "wide")
+    tiled = scratch.keep(tiles.repartition(parts, "run", "i", "j").sortWithinPartitions("run", "i", "j").mapInArrow(_tiles, "a long, b long"), "tiled")
+    scratch.drop("mixed", "blocked")
     scratch.release()
+    rest = scratch.keep(written.unionByName(tiled).distinct(), "rest")
     second = fetch_and_intersect(rest, "tiles")
     links = first.filter("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(second)
     final = components(links)
