@@ -86,7 +86,7 @@ def chained(seed, n, spread):
     return rows
 
 
-@pytest.mark.parametrize(("common", "block", "piece"), [(64, 2048, 512), (5, 4, 512), (2, 3, 4), (4, 2048, 3)])
+@pytest.mark.parametrize(("common", "block", "piece"), [(64, 1024, 512), (5, 4, 512), (2, 3, 4), (4, 1024, 3)])
 def test_common_shingles_small_tiles_and_pieces_lose_no_link(spark, monkeypatch, common, block, piece):
     monkeypatch.setattr(jaccard, "COMMON_LEAST", common)
     monkeypatch.setattr(jaccard, "BLOCK", block)

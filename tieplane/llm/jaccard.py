@@ -21,9 +21,9 @@ COMMON, COMMON_LEAST = 1 << 20, 64
 #: Entries of a run that one task sorts, about; longer runs are dealt to PIECES of them at most.
 PIECE, PIECES = 512, 1 << 12
 #: Entries of a run whose pairs are written down at once; those of longer runs meet in tiles.
-SHORT = 16
+SHORT = 64
 #: Entries of a side of a tile, about.
-BLOCK = 2048
+BLOCK = 1024
 #: Largest bitmap, in bits, and how many times as wide those of tiles are as those of single pairs.
 WIDEST, WIDER = 1 << 16, 8
 #: Pairs of one set that one task fetches the shingles for, about.
