@@ -2,21 +2,26 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pytest
 import public_tokenizers as P
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from tieplane.llm.packing import best_fit_decreasing, lower_bound, pack, pack_documents
+from tieplane.llm.packing import best_fit_decreasing, gap, lower_bound, pack, pack_documents
 
 from .cases import frame, texts
 
 
-def test_every_piece_is_there_and_sequences_are_gapless(spark):
-    rows = [*texts(), (400, "word " * 5000), (401, "a b c <|endoftext|> d")]
-    got = pack_documents(frame(spark, rows)).collect()
+@pytest.mark.parametrize("plain", [False, True])
+def test_every_piece_is_there_and_sequences_are_gapless(spark, plain):
+    """By default as the library does with add_special_tokens=False; ``plain`` with its encode_special_tokens too."""
+    rows = [*texts(), (400, "word " * 5000), (401, "a b c <|endoftext|> d"), (402, "<|endoftext|>"), (403, "x<|endoftext|><|endoftext|>\n y <|ENDOFTEXT|> <|endoftext|"), (404, "Kept <|endoftext|>" * 900)]
+    got = pack_documents(frame(spark, rows), **({"added": None} if plain else {})).collect()
     tok = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    tok.encode_special_tokens = True
+    if plain:
+        tok.encode_special_tokens = True
+    assert (50256 in tok.encode("a <|endoftext|> b", add_special_tokens=False).ids) != plain
     want = []
     for d, t in rows:
         ids = np.array([*tok.encode(t or "", add_special_tokens=False).ids, 0], "<u4")
@@ -40,11 +45,13 @@ def test_exchange_between_partitions(spark):
     rng = np.random.default_rng(1)
     sizes = rng.integers(1, 2049, 3000).tolist()
     df = spark.createDataFrame([(i, s) for i, s in enumerate(sizes)], "doc_id long, length long")
-    got = pack(df, group=100).toPandas()
+    packed = pack(df, group=100)
+    got = packed.toPandas()
     assert sorted(got["doc_id"]) == [*range(3000)]
     fill = got.groupby("sequence_id")["length"].sum()
     bound = lower_bound(np.bincount(sizes, minlength=2049), 2048)
     alone = len(best_fit_decreasing(np.array(sizes), 2048)[2])
+    assert gap(packed) == (len(fill), bound)
     assert fill.max() <= 2048 and bound <= len(fill) <= 1.02 * alone + 1  # of groups of a hundred pieces only
 
 

@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import base64
+import itertools
+import json
+import logging
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -20,25 +23,33 @@ CAPACITY = 2048
 END = 0
 #: Pieces that one packing task takes at most, about.
 GROUP = 200_000
-ROUNDS = 8
 #: Share of a partition's free space that lies in the bins it hands out if it has a gap: its emptiest ones.
 RELEASED = 0.9
 
 
 @lru_cache(2)
-def encoder(path: str, pattern: str):
-    """The vocabulary of byte_bpe_50k.json: its rank file gives the same ids, several times as fast."""
+def encoder(path: str, pattern: str, added: str | None):
+    """The vocabulary of the json file ``added``: its rank file gives the same ids, several times as fast.
+
+    Like the ``tokenizers`` library by default, it takes the strings of the json's added tokens wherever they
+    stand in a text for those tokens; without ``added`` they are ordinary text.
+    """
     import tiktoken
 
     with open(path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
-    return tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    special = {}
+    if added:
+        with open(added, encoding="utf-8") as f:
+            special = {t["content"]: t["id"] for t in json.load(f)["added_tokens"]}
+    return tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=ranks, special_tokens=special)
 
 
-def vocabulary() -> tuple[str, str]:
+def vocabulary() -> tuple[str, str, str]:
+    """The rank file, the pattern and the json file with the added tokens."""
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, public_tokenizers.path("byte_bpe_50k.json")
 
 
 def lower_bound(counts: np.ndarray, capacity: int) -> int:
@@ -86,16 +97,16 @@ def best_fit_decreasing(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, n
     return bins, offsets, np.array(fill, np.int64)
 
 
-def tokenized_pieces(docs: DataFrame, id_col: str, text_col: str, capacity: int, path: str, pattern: str) -> DataFrame:
+def tokenized_pieces(docs: DataFrame, id_col: str, text_col: str, capacity: int, path: str, pattern: str, added: str | None) -> DataFrame:
     """Pieces of at most ``capacity`` tokens: doc_id, piece, start, length, ids_crc32."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(path, pattern)
+        enc = encoder(path, pattern, added)
         for batch in batches:
             rows, texts = [], batch.column(1)
             for i in range(len(texts)):
-                ids = np.append(enc.encode_to_numpy(texts[i].as_py() or "", disallowed_special=()), END).astype("<u4")
+                ids = np.append(enc.encode_to_numpy(texts[i].as_py() or "", allowed_special="all"), END).astype("<u4")
                 cuts = [0, *range(len(ids) % capacity or capacity, len(ids) + 1, capacity)]
                 rows += [(i, k, a, b - a, zlib.crc32(ids[a:b])) for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False))]
             if rows:
@@ -118,20 +129,30 @@ def packer(r: int, last: bool, capacity: int, names: list[str]):
         kept = np.ones(len(fill), bool)
         kept[order[:given]] = False
         kept |= free == 0
-        # 2**31 bins in each of 2**24 partitions in each of 2**7 rounds
+        # 2**31 bins in each of 2**24 partitions in each of 2**8 rounds; a round keeps a tenth of the free space, so there are some dozens
         return pdf[names].assign(sequence_id=(r << 55) | (int(key[0]) << 31) | bins, offset=offsets, done=kept[bins] | last)
 
     return run
 
 
-def pack(pieces: DataFrame, capacity: int = CAPACITY, group: int = GROUP, rounds: int = ROUNDS) -> DataFrame:
+def gap(packed: DataFrame, capacity: int = CAPACITY) -> tuple[int, int]:
+    """How many sequences there are, and the number that no packing of the same pieces can beat."""
+    counts = np.zeros(capacity + 1, np.int64)
+    for r in packed.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect():  # at most ``capacity`` rows
+        counts[r.length] = r.n
+    return packed.select("sequence_id").distinct().count(), lower_bound(counts, capacity)
+
+
+def pack(pieces: DataFrame, capacity: int = CAPACITY, group: int = GROUP) -> DataFrame:
     """Adds sequence_id and offset to rows with a ``length`` of 1 to ``capacity``.
 
     Each partition of about ``group`` pieces is packed best fit decreasing, and a lower bound from dual
     feasible functions certifies its bin count. A partition that meets its bound hands out its one emptiest bin, so that
     what partitions waste by rounding meets; one with a gap hands out its emptiest bins, with RELEASED of its
-    free space. Their pieces are dealt anew among fewer partitions and packed again. It ends when one partition is left or after ``rounds``. A task holds one
-    partition; the driver holds a count.
+    free space. Their pieces are dealt anew among fewer partitions and packed again. It ends when one partition is
+    left, or none gives pieces back; if several partitions give all their pieces back, so that a round
+    brings nothing, the next one ends it and says so in the log. ``gap`` tells what is left to the bound. A task
+    holds one partition; the driver holds a count.
     """
     spark = pieces.sparkSession
     scratch = Scratch(spark, "packing")
@@ -139,9 +160,10 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, group: int = GROUP, rounds
     names = pieces.columns
     schema = ", ".join([*fields, "sequence_id long", "offset long", "done boolean"])
     done, left, n = [], pieces, pieces.count()
-    for r in range(rounds):
+    stuck = False
+    for r in itertools.count():
         parts = max(1, -(-n // group))
-        last = parts == 1 or r == rounds - 1
+        last = parts == 1 or stuck
 
         if parts == 1:
             dealt = left.withColumn("part", F.lit(0).cast("long"))
@@ -152,23 +174,27 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, group: int = GROUP, rounds
         done.append(packed.filter("done").drop("done"))
         if last:
             break
-        left = packed.filter("NOT done").select(*names)
+        left, before = packed.filter("NOT done").select(*names), n
         n = left.count()
         if not n:
             break
+        if stuck := n >= before:
+            logging.getLogger(__name__).warning("packing: %d pieces in %d partitions were exchanged in vain", n, parts)
     out = done[0]
     for x in done[1:]:
         out = out.unionByName(x)
     return out
 
 
-def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, path: str | None = None, pattern: str | None = None) -> DataFrame:
+def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, path: str | None = None, pattern: str | None = None, added: str | None = "") -> DataFrame:
     """Packs tokenized documents, each ended by END, into sequences of at most ``capacity`` tokens.
 
     Only longer documents are cut, into full pieces after a first one that may be shorter. Returns per
     piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset. A null text counts as empty (one
-    END); repeated rows are packed each; an empty table gives no rows; other columns are ignored.
+    END); very long texts are cut and lose nothing; repeated rows and ties of length are packed each; an empty
+    table gives no rows; other columns are ignored. ``added`` is the json file whose added tokens are recognised
+    in texts, as the ``tokenizers`` library does by default; None takes their strings for ordinary text.
     """
-    path, pattern = path or vocabulary()[0], pattern or vocabulary()[1]
+    path, pattern, added = path or vocabulary()[0], pattern or vocabulary()[1], vocabulary()[2] if added == "" else added
     scratch = Scratch(docs.sparkSession, "pieces")
-    return pack(scratch.keep(tokenized_pieces(docs, id_col, text_col, capacity, path, pattern), "pieces"), capacity)
+    return pack(scratch.keep(tokenized_pieces(docs, id_col, text_col, capacity, path, pattern, added), "pieces"), capacity)
