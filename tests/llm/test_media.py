@@ -20,7 +20,7 @@ def test_round_trip(spark):
         stored = b"P5\n64 %d\n255\n" % (len(payload) // 64) + payload
         want.append((d, len(data), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(stored), hashlib.sha256(stored).hexdigest(), f"{bits:016x}"))
     assert sorted((tuple(r)[:8] for r in got), key=str) == sorted(want, key=str)
-    assert {(r.position, r.caption) for r in got if r.doc_id == 3} == {(1, "Text of document 3")}
+    assert {(r.doc_id, r.position, r.caption) for r in got} == {(d, 1, f"Text of {len((t or '').encode())} bytes") for d, t in rows}
     assert media.media_round_trip(frame(spark, [])).collect() == []
 
 
@@ -36,6 +36,24 @@ def test_sequences_keep_order_and_captions():
     assert media.sequence_of(None) == media.sequence_of("") == []
 
 
+def told(html):
+    return [x["text"] or (x["digest"], x["caption"]) for x in media.sequence_of(html)]
+
+
+def test_malformed_html_loses_no_text_and_moves_no_caption():
+    assert told('<figure><img src="a"><figcaption>cap</figure><p>later text</p>') == [("a", "cap"), "later text"]
+    assert told('<figcaption>stray</figcaption><figure><img src="a" alt="x"></figure>') == ["stray", ("a", "x")]
+    assert told('<figure><img src="a"><figure><img src="b"><figcaption>in</figcaption></figure><figcaption>out</figcaption></figure>') == [("a", "out"), ("b", "in")]
+    assert told('<figure><figure><img src="b" alt="x"></figure><figcaption>out</figcaption></figure>') == [("b", "out")]
+    assert told('<figure><figcaption>out <figure><img src="b"><figcaption>in</figure> more</figcaption><img src="a"></figure>') == [("b", "in"), ("a", "out more")]
+    assert told("<p>one<figure><figcaption>alone</figcaption></figure>two") == ["one", "alone", "two"]
+    assert told('<div><figure><img src="a"><figcaption>cap</div>after') == [("a", "cap"), "after"]
+    assert told('<figure><img src="a"/><figcaption>one</figcaption>text<figcaption>two<p>three') == [("a", "one two three"), "text"]
+    assert told('</figure></figcaption>x</p><img><img src=""><IMG SRC="a">') == ["x", ("a", None)]
+    assert told("<b>x</b><script>lost()</script>y<style>z{}") == ["xy"]
+    assert media.sequence_of('<img src="a" data-bytes="²">')[0]["n_bytes"] is None
+
+
 def test_missing_payloads_and_shared_ones(spark):
     pages = spark.createDataFrame([(1, '<img src="x"><img src="y">'), (2, '<img src="x">'), (3, None)], "doc_id long, html string")
     from pyspark.sql import functions as F

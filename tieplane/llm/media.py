@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import re
 import zlib
 from collections.abc import Iterator
 from html import escape
@@ -40,65 +41,115 @@ def feature_of(samples: bytes) -> str:
     return np.packbits(columns * WIDTH > columns.sum()).tobytes().hex()
 
 
+class _Figure:
+    """An open figure: its media, the pieces of its caption, and whether text goes into the caption now."""
+
+    def __init__(self):
+        self.media: list[dict] = []
+        self.caption: list[dict] = []
+        self.telling = False
+
+
 class _Sequence(HTMLParser):
-    """Text runs and media references in document order. A figure's caption belongs to its media, wherever in
-    the figure it stands; without one the alt text is the caption. Scripts and styles are no text."""
+    """Text runs and media references in document order, none of them lost.
+
+    A figure's caption belongs to all media of that figure, wherever in it the caption stands; without one
+    the alt text is the caption. A figcaption ends where its figure ends at the latest, and a figure where
+    an element around it does. Media of a figure without caption, inside another one, take that one's. A
+    caption without media, or outside figures, is text in its place. Scripts and styles are no text.
+    """
 
-    BREAKS = {"p", "div", "article", "section", "li", "ul", "ol", "tr", "td", "th", "table", "h1", "h2", "h3", "h4", "h5", "h6", "br", "blockquote", "pre", "figure"}
+    HOLDERS = {"html", "body", "main", "article", "section", "aside", "header", "footer", "nav", "div", "blockquote", "table", "tr", "td", "th", "ul", "ol", "li", "figure"}
+    BREAKS = HOLDERS | {"p", "h1", "h2", "h3", "h4", "h5", "h6", "br", "hr", "pre", "dl", "dt", "dd"}
+    MEDIA = {"img", "audio", "video", "source"}
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.items: list[dict] = []
-        self.run, self.caption, self.skip, self.figure = [], None, 0, None
+        self.run: list[str] = []
+        self.skip = 0
+        self.open: list[tuple[str, _Figure | None]] = []
+
+    def inner(self) -> _Figure | None:
+        return next((f for _, f in reversed(self.open) if f), None)
 
     def flush(self) -> None:
         text = " ".join("".join(self.run).split())
         self.run = []
         if text:
-            self.items.append({"kind": "text", "text": text})
+            item = {"kind": "text", "text": text}
+            self.items.append(item)
+            if (figure := self.inner()) and figure.telling:
+                figure.caption.append(item)
+
+    def tell(self, on: bool) -> None:
+        self.flush()
+        if figure := self.inner():
+            figure.telling = on
+
+    def leave(self) -> None:
+        """Closes the innermost open element."""
+        self.flush()
+        _, figure = self.open.pop()
+        if not figure or not figure.media:
+            return
+        if figure.caption:
+            told = " ".join(x["text"] for x in figure.caption)
+            for item in figure.media:
+                item["caption"] = told
+            gone = set(map(id, figure.caption))
+            self.items = [x for x in self.items if id(x) not in gone]
+        elif outer := self.inner():
+            outer.media += figure.media
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if tag in ("script", "style"):
             self.skip += 1
         elif tag == "figcaption":
-            self.flush()
-            self.caption = []
-        elif tag in ("img", "audio", "video", "source") and (src := dict(attrs).get("src")):
+            self.tell(True)
+        elif tag in self.MEDIA and (src := dict(attrs).get("src")):
             self.flush()
             a = dict(attrs)
-            item = {"kind": "media", "digest": src.removeprefix("sha256:"), "caption": a.get("alt"), "n_bytes": int(a["data-bytes"]) if (a.get("data-bytes") or "").isdigit() else None}
+            item = {"kind": "media", "digest": src.removeprefix("sha256:"), "caption": a.get("alt"), "n_bytes": int(a["data-bytes"]) if re.fullmatch("[0-9]{1,18}", a.get("data-bytes") or "") else None}
             self.items.append(item)
-            if self.figure is not None:
-                self.figure.append(item)
+            if figure := self.inner():
+                figure.media.append(item)
         elif tag in self.BREAKS:
             self.flush()
-            if tag == "figure":
-                self.figure = []
+            if tag in self.HOLDERS:
+                self.open.append((tag, _Figure() if tag == "figure" else None))
 
     def handle_endtag(self, tag: str) -> None:
         if tag in ("script", "style"):
             self.skip = max(0, self.skip - 1)
-        elif tag == "figcaption" and self.caption is not None:
-            self.told, self.caption = " ".join("".join(self.caption).split()), None
-            self.pending = self.told
+        elif tag == "figcaption":
+            self.tell(False)
         elif tag in self.BREAKS:
             self.flush()
-        if tag == "figure" and self.figure is not None:
-            for item in self.figure:
-                item["caption"] = getattr(self, "pending", None) or item["caption"]
-            self.figure, self.pending = None, None
+            if tag in self.HOLDERS and any(t == tag for t, _ in self.open):
+                while self.open[-1][0] != tag:
+                    self.leave()
+                self.leave()
+
+    def handle_startendtag(self, tag: str, attrs: list) -> None:
+        self.handle_starttag(tag, attrs)  # as in html, where only void elements have no end
 
     def handle_data(self, data: str) -> None:
         if not self.skip:
-            (self.run if self.caption is None else self.caption).append(data)
+            self.run.append(data)
+
+    def finish(self) -> list[dict]:
+        self.close()
+        while self.open:
+            self.leave()
+        self.flush()
+        return self.items
 
 
 def sequence_of(html: str | None) -> list[dict]:
     parser = _Sequence()
     parser.feed(html or "")
-    parser.close()
-    parser.flush()
-    return [{"position": i, "kind": x["kind"], "text": x.get("text"), "digest": x.get("digest"), "caption": x.get("caption"), "n_bytes": x.get("n_bytes")} for i, x in enumerate(parser.items)]
+    return [{"position": i, "kind": x["kind"], "text": x.get("text"), "digest": x.get("digest"), "caption": x.get("caption"), "n_bytes": x.get("n_bytes")} for i, x in enumerate(parser.finish())]
 
 
 def sequences(rows: DataFrame, id_col: str = "doc_id", html_col: str = "html") -> DataFrame:
@@ -129,7 +180,7 @@ def store_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col
                 name, data = escape(str(batch.column(0)[i].as_py())), (batch.column(1)[i].as_py() or "").encode()
                 image = to_image(data)
                 digest = hashlib.sha256(image).hexdigest()
-                html = f'<article><p>Document {name}</p><figure><img src="sha256:{digest}" data-bytes="{len(data)}"><figcaption>Text of document {name}</figcaption></figure></article>'
+                html = f'<article><p>Document {name}</p><figure><img src="sha256:{digest}" data-bytes="{len(data)}"><figcaption>Text of {len(data)} bytes</figcaption></figure></article>'
                 rows.append((html, digest, None if digest in seen else image))
                 seen.add(digest)
                 size += len(image)
@@ -177,7 +228,7 @@ def media_round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """Stores each whole text as an image, shows it in an html page, and reads both back.
 
     Returns doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature,
-    and the reference's position and caption. Null counts as empty, which is one row of zeros; equal texts share one stored
+    and the reference's position in its page and caption. Null counts as empty, which is one row of zeros; equal texts share one stored
     image and so all values; repeated rows and null ids give rows of their own; an empty table gives no rows;
     other columns are ignored.
     """
