@@ -9,21 +9,30 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER
+from .common import Scratch
 
-#: n-grams of so many bytes, within and across words.
+#: n-grams of so many characters, within and across words.
 GRAMS = (3, 4, 5, 6)
 #: Features are hashed to 2**BITS slots.
 BITS = 20
 #: Labelled rows of each class that are learnt from, at most; the smallest hashes of id and text are taken.
 SAMPLE = 2000
-#: Bytes of text that one piece of scoring work handles.
+#: Distinct n-grams of the labelled rows of a class that are learnt from, at most, in all: rows past that are left out.
+SLOTS = 1 << 24
+#: Characters of text that one piece of scoring work handles.
 STEP = 1 << 20
-FOLD = bytes.maketrans(UPPER.encode() + b"\t\n\r\x0b\x0c", LOWER.encode() + b"     ")
 #: One odd multiplier for each place of an n-gram.
 PLACE = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0xFF51AFD7ED558CCD], np.uint64)
 
 
+def characters(text: str) -> np.ndarray:
+    """The code points of a text between two spaces, A-Z lower-cased, white space of ASCII as spaces."""
+    codes = np.frombuffer(f" {text} ".encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+    codes[(codes >= 65) & (codes <= 90)] += np.uint64(32)
+    codes[(codes >= 9) & (codes <= 13)] = 32
+    return codes
+
+
 class Grams:
     """Slots of a text's distinct n-grams, at most 2**BITS whatever the text's length."""
 
@@ -32,8 +41,8 @@ class Grams:
         self.seen = np.zeros(1 << BITS, bool)
 
     def window(self, data: np.ndarray, starts: int) -> np.ndarray:
-        """Distinct slots of the n-grams that start in the first ``starts`` bytes."""
-        data = data.astype(np.uint64) + np.uint64(1)
+        """Distinct slots of the n-grams that start at the first ``starts`` characters."""
+        data = data + np.uint64(1)
         found, part = [np.empty(0, np.int32)], np.zeros(len(data), np.uint64)
         for k in range(min(max(GRAMS), len(data))):
             part = part[: len(data) - k] + data[k:] * PLACE[k]
@@ -46,7 +55,7 @@ class Grams:
         return slots[self.last[slots] == at]
 
     def __call__(self, text: str) -> np.ndarray:
-        data = np.frombuffer(b" " + text.encode().translate(FOLD) + b" ", np.uint8)
+        data = characters(text)
         if len(data) <= STEP:
             return self.window(data, len(data))
         parts = []
@@ -61,10 +70,13 @@ class Grams:
 
 
 class Model:
-    """Scores texts: the sum of the weights of a text's n-grams, by the root of their number, and a bias."""
+    """Scores texts: the sum of the weights of a text's n-grams, by the root of their number, and a bias.
+
+    ``learnt`` is False if there were not labels of both classes.
+    """
 
-    def __init__(self, weights: np.ndarray, bias: float):
-        self.weights, self.bias = weights, bias
+    def __init__(self, weights: np.ndarray, bias: float, learnt: bool = True):
+        self.weights, self.bias, self.learnt = weights, bias, learnt
 
     def score(self, texts: list[str]) -> np.ndarray:
         grams = Grams()
@@ -72,24 +84,27 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z + self.bias, -40, 40)))
 
 
-def fit(texts: list[str], labels: np.ndarray, smoothing: float = 1.0, penalty: float = 1e-4, steps: int = 150) -> Model:
-    """Logistic regression on presence features times their naive Bayes log-count ratios.
+def log_count_ratios(seen: np.ndarray, positive: np.ndarray, y: np.ndarray, smoothing: float) -> np.ndarray:
+    """The naive Bayes log-count ratio of each slot; 0 if it is in fewer than three texts or hardly tied to a class."""
+    ratio = np.log((positive + smoothing) / (y.sum() + 2 * smoothing)) - np.log((seen - positive + smoothing) / (len(y) - y.sum() + 2 * smoothing))
+    ratio[(seen < 3) | (np.abs(ratio) < 0.3)] = 0
+    return ratio
+
 
-    Deterministic: full gradients with momentum, from zero. Slots seen in fewer than three texts or hardly
-    tied to a class carry no weight. With one class only, all texts get that class's smoothed share.
+def fit(rows: list[np.ndarray], labels: np.ndarray, smoothing: float = 1.0, penalty: float = 1e-4, steps: int = 150) -> Model:
+    """Logistic regression on presence features (the slots of each text) times their naive Bayes log-count ratios.
+
+    Deterministic: full gradients with momentum, from zero. With one class only, all texts get that class's
+    smoothed share.
     """
-    grams = Grams()
-    rows = [grams(t) for t in texts]
     y = labels.astype(np.float64)
     if not len(y) or y.min() == y.max():
-        return Model(np.zeros(1 << BITS, np.float32), float(np.log((y.sum() + 1) / (len(y) - y.sum() + 1))))
+        return Model(np.zeros(1 << BITS, np.float32), float(np.log((y.sum() + 1) / (len(y) - y.sum() + 1))), False)
     seen, p = np.zeros(1 << BITS), np.zeros(1 << BITS)
     for r, label in zip(rows, y.tolist(), strict=True):
         seen[r] += 1
         p[r] += label
-    q = seen - p
-    ratio = np.log((p + smoothing) / (y.sum() + 2 * smoothing)) - np.log((q + smoothing) / (len(y) - y.sum() + 2 * smoothing))
-    ratio[(seen < 3) | (np.abs(ratio) < 0.3)] = 0
+    ratio = log_count_ratios(seen, p, y, smoothing)
     size = np.array([max(1, len(r)) for r in rows]) ** -0.5
     rows = [r[ratio[r] != 0] for r in rows]
     slots, row = np.concatenate(rows), np.repeat(np.arange(len(rows), dtype=np.int32), [len(r) for r in rows])
@@ -119,35 +134,55 @@ def held_out(id_col: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE) -> Model:
-    """Learns from at most ``sample`` labelled rows of each class, those of the smallest id hashes.
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE, slots: int = SLOTS) -> Model:
+    """Learns from at most ``sample`` labelled rows of each class, those of the smallest id hashes, and of them no
+    more than have ``slots`` n-grams in all.
 
-    Labels of held-out rows are never read. One task fits the model; its memory is bounded by ``sample``
-    and the n-gram slots. Null labels are ignored; of repeated labels of one id the largest counts.
+    Labels of held-out rows are never read. Of rows with one id the smallest text counts, of repeated labels of
+    one id the largest; null labels are ignored. Features are drawn in many tasks; the one that fits the
+    model holds them, which ``sample`` and ``slots`` bound whatever the texts' number and length.
     """
-    known = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_label")).dropna().filter(~held_out("_id"))
-    known = known.groupBy("_id").agg(F.max("_label").alias("_label"))
-    chosen = [known.filter(F.col("_label") == k).orderBy(F.xxhash64("_id"), "_id").limit(sample) for k in (0, 1)]
+    known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).dropna().filter(~held_out("id"))
+    known = known.groupBy("id").agg(F.max("label").alias("label"))
+    chosen = [known.filter(F.col("label") == k).orderBy(F.xxhash64("id"), "id").limit(sample) for k in (0, 1)]
     few = F.broadcast(chosen[0].unionByName(chosen[1]))  # at most 2 * sample rows
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text")).join(few, "_id")
+    texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).join(few, "id")
+    texts = texts.groupBy("id", "label").agg(F.min("text").alias("text")).select(F.xxhash64("id").alias("h"), "label", "text")
+
+    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        grams = Grams()
+        for batch in batches:
+            for lo in range(batch.num_rows):
+                s = grams(batch.column(2)[lo].as_py())
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, 1), batch.column(1).slice(lo, 1), pa.array([len(s)], pa.int64()), pa.array([s.tobytes()], pa.binary())], ["h", "label", "n", "slots"])
+
+    rows = Scratch(docs.sparkSession, "toxicity").keep(texts.mapInArrow(features, "h long, label int, n long, slots binary"), "features")
+    sizes = rows.select("h", "label", "n").toPandas().sort_values("h")  # at most 2 * sample rows
+    sizes = sizes[sizes.groupby("label")["n"].cumsum() <= slots]
+    if not len(sizes):
+        return fit([], np.empty(0))
+    last = sizes.groupby("label")["h"].max()
+    within = F.lit(False)
+    for label, h in last.items():
+        within = within | ((F.col("label") == int(label)) & (F.col("h") <= int(h)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if (first := next(batches, None)) is None:
             return
-        pdf = pa.Table.from_batches([first, *batches]).to_pandas()
-        pdf = pdf.assign(_text=pdf["_text"].fillna("")).sort_values(["_id", "_text"], kind="stable")
-        model = fit(pdf["_text"].tolist(), pdf["_label"].to_numpy())
-        yield pa.RecordBatch.from_arrays([pa.array([model.weights.tobytes()]), pa.array([model.bias])], ["weights", "bias"])
+        table = pa.Table.from_batches([first, *batches])
+        order = np.argsort(table.column("h").to_numpy(), kind="stable").tolist()
+        column, y = table.column("slots"), table.column("label").to_numpy()
+        model = fit([np.frombuffer(column[i].as_buffer(), np.int32) for i in order], y[order])
+        yield pa.RecordBatch.from_arrays([pa.array([model.weights.tobytes()]), pa.array([model.bias]), pa.array([model.learnt])], ["weights", "bias", "learnt"])
 
-    got = rows.select("_id", "_text", "_label").repartition(1).mapInArrow(run, "weights binary, bias double").collect()
-    return Model(np.frombuffer(got[0].weights, np.float32), got[0].bias) if got else fit([], np.empty(0))
+    (got,) = rows.filter(within).select("h", "label", "slots").repartition(1).mapInArrow(run, "weights binary, bias double, learnt boolean").collect()
+    return Model(np.frombuffer(got.weights, np.float32), got.bias, got.learnt)
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", out: str = "score") -> DataFrame:
-    """Adds the score of each whole text to all columns of ``docs``; null counts as empty."""
+    """Adds the score of each whole text to all columns of ``docs``, which must not have one of that name; null
+    counts as empty."""
     sent = docs.sparkSession.sparkContext.broadcast((model.weights, model.bias))  # 2**BITS floats
-    if out in docs.columns:
-        docs = docs.drop(out)
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -166,8 +201,9 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     """Learns toxicity from the labels and scores every document.
 
     Returns doc_id, held_out, score (0 to 1), predicted (1 if score >= 0.5). Empty and null texts get the
-    score of a text without n-grams; repeated rows are scored alike; without labels every score is 0.5.
-    Only the text enters a score. Other columns are ignored.
+    score of two spaces; very long texts are scored whole, a stretch at a time; repeated rows and ties are scored
+    alike; a null id is scored and never learnt from; without labels every score is 0.5; an empty table
+    gives no rows. Only the text enters a score. Other columns are ignored, whatever their names.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     scored = score(rows, train(docs, labels, id_col, text_col))
