@@ -46,6 +46,15 @@ def test_chunks_join_to_the_text_and_are_cut_by_content(spark):
     assert max(len(c) for r in got for c in r.c) <= 4096
 
 
+def test_any_script_is_cut_by_content(spark):
+    rng = random.Random(9)
+    for first in (0x430, 0x4E00, 0x5D0, 0xE01, 0x1F600):
+        long = "".join(" " if rng.random() < 0.1 else chr(first + rng.randrange(30)) for _ in range(20_000))
+        a, b = spark.createDataFrame([(long,), (chr(first) * 5 + long,)], "t string").select(exact.chunks(F.col("t")).alias("c")).collect()
+        assert "".join(a.c).encode("latin-1").decode() == long
+        assert len(set(a.c) & set(b.c)) > 0.5 * len(set(a.c))
+
+
 def test_empty_table(spark):
     assert exact.exact_groups(frame(spark, [])).collect() == []
 
@@ -53,3 +62,8 @@ def test_empty_table(spark):
 def test_a_hot_group(spark):
     rows = [(i, "Copied Text") for i in range(3000)] + [(i, f"text {i // 2}") for i in range(3000, 4000)]
     assert Counter(map(tuple, exact.exact_groups(frame(spark, rows)).collect())) == expected(rows)
+
+
+def test_one_row_repeated_very_often(spark):
+    rows = [(7, "Same")] * 3000 + [(3, "same"), (None, "x"), (None, "x"), (1, "y")]
+    assert Counter(map(tuple, exact.exact_groups(frame(spark, rows)).collect())) == expected(rows) | Counter()
