@@ -78,3 +78,21 @@ def test_templates_of_fewer_words_than_a_shingle(spark):
     assert got == planted(short) and {g[0] for g in got if g[1] == "all-rights-reserved"} == {1, 2, 6}
     both = {tuple(r) for r in scan_licenses(frame(spark, rows), notices(spark)).collect()}
     assert both == planted(short[:1]) | brute(rows, NOTICES) and (6, NOTICES[0][0]) in {g[:2] for g in both}
+
+
+def test_a_text_of_a_million_words_with_a_notice(spark):
+    words = [f"w{i % 9973}" for i in range(1_000_000)]
+    for at, (_, notice) in zip((10, 300_001, 999_000), (NOTICES[0], NOTICES[4], NOTICES[7]), strict=True):
+        words[at : at + len(notice.split())] = notice.split()
+    got = {tuple(r) for r in scan_licenses(frame(spark, [(1, " ".join(words)), (2, "short")]), notices(spark)).collect()}
+    assert {(g[0], g[1]) for g in got} == {(1, NOTICES[k][0]) for k in (0, 4, 7)}
+    assert got == brute([(1, " ".join(words))], NOTICES)
+
+
+def test_more_templates_than_one_pass_takes(spark, monkeypatch):
+    from tieplane.llm import licenses
+
+    monkeypatch.setattr(licenses, "TEMPLATES", 3)
+    rows = [(k, f"before {t} after") for k, (_, t) in enumerate(NOTICES)]
+    got = {tuple(r) for r in scan_licenses(frame(spark, rows), notices(spark)).collect()}
+    assert got == brute(rows, NOTICES)

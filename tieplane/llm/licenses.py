@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import Scratch
+
 WORDS = 5
 #: Bands of one MinHash value each. A window of twice a template's length that holds CONTAINED of it has a
 #: Jaccard similarity of 0.8 / 2.2 at least, so one band meets with a chance of 1 - (1 - 0.36)**24 > 0.9999.
 BANDS = 24
 #: Share, in percent, of a template's shingles that a window must hold.
 CONTAINED = 80
-#: Templates that one scan takes; what is broadcast is bounded by TEMPLATES * BANDS rows.
-TEMPLATES = 5000
+#: Templates that one pass over the texts takes; what is broadcast, and what stands in the plan, is bounded by
+#: TEMPLATES * BANDS values. With more, there are more passes.
+TEMPLATES = 500
 
 #: Notices of public licenses (name, text).
 NOTICES = [
@@ -82,13 +87,20 @@ def scan_licenses(docs: DataFrame, templates: DataFrame, id_col: str = "doc_id",
 
     Null and empty texts hold nothing; repeated rows count as one document with their windows added once;
     a template shorter than WORDS words is one shingle, met by runs of its own length, one without words is
-    ignored; of equal names each counts; other columns are ignored.
+    ignored; of equal names each counts; very long texts are scanned whole; an empty table gives no rows; other
+    columns are ignored, whatever their names.
     """
-    told = templates.select(F.col("template").cast("string").alias("template"), split(F.col("text").cast("string")).alias("words")).dropna().filter(F.size("words") > 0)
-    told = told.limit(TEMPLATES + 1)
-    count = told.count()  # TEMPLATES at most
-    if count > TEMPLATES:
-        raise ValueError(f"more than {TEMPLATES} templates: scan with parts of them")
+    told = templates.select(F.col("template").cast("string").alias("template"), F.col("text").cast("string").alias("text"), F.monotonically_increasing_id().alias("row"))
+    passes = -(-templates.count() // TEMPLATES)
+    if passes > 1:
+        told = Scratch(docs.sparkSession, "templates").keep(told, "told")
+    each = [windows_held(docs, told.filter(F.pmod(F.xxhash64("row"), F.lit(passes)) == k) if passes > 1 else told, id_col, text_col, bands) for k in range(max(1, passes))]
+    return best_windows(reduce(DataFrame.unionByName, each))
+
+
+def windows_held(docs: DataFrame, templates: DataFrame, id_col: str, text_col: str, bands: int) -> DataFrame:
+    """The windows that hold enough of a template: doc_id, template, t, at, containment."""
+    told = templates.select("template", split(F.col("text")).alias("words")).dropna().filter(F.size("words") > 0)
     whole = F.coalesce(*(F.when(F.size("words") == n, F.get(runs(F.col("words"), n), F.lit(0))) for n in range(1, WORDS)))
     short = told.filter(F.size("words") < WORDS).withColumn("h", whole).collect()
     told = told.filter(F.size("words") >= WORDS).select("template", F.array_distinct(runs(F.col("words"), WORDS)).alias("own"))
@@ -96,21 +108,25 @@ def scan_licenses(docs: DataFrame, templates: DataFrame, id_col: str = "doc_id",
     numbers = F.array(*map(F.lit, range(bands)))
     known = told.select("template", "own", F.size("own").alias("t"), F.transform(numbers, lambda k: value(F.col("own"), k)).alias("least"))
     rows = known.collect()
-    empty = docs.select(F.col(id_col).alias("doc_id")).limit(0).select("doc_id", F.lit("").alias("template"), F.lit(0.0).alias("containment"), F.lit(0).alias("window"), F.lit(0).cast("long").alias("windows"))
-    few = short_held(docs, short, id_col, text_col) if short else None
+    none = docs.select(F.col(id_col).alias("doc_id")).filter(F.lit(False)).select("doc_id", F.lit("").alias("template"), F.lit(0).alias("t"), F.lit(0).alias("at"), F.lit(0.0).alias("containment"))
+    few = short_held(docs, short, id_col, text_col) if short else none
     if not rows:
-        return empty if few is None else best_windows(few)
+        return few
     anchors = F.array(*map(F.lit, sorted({x.h for r in rows for x in r.least})))
     lengths = F.array(*map(F.lit, sorted({r.t for r in rows})))
     banded = known.select("template", "own", "t", F.posexplode("least").alias("band", "x")).select("template", "own", "t", "band", F.col("x.v").alias("v"))
     found = docs.select(F.col(id_col).alias("doc_id"), shingles(F.col(text_col).cast("string")).alias("s")).filter(F.arrays_overlap("s", anchors))
-    starts = F.flatten(F.transform(lengths, lambda t: F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.size("s") - 1), t), lambda i: F.struct(t.alias("t"), i.alias("at")))))
-    cut = found.select("doc_id", "s", F.explode(starts).alias("w")).select("doc_id", "w.t", "w.at", F.slice("s", F.col("w.at") + 1, 2 * F.col("w.t")).alias("part")).filter(F.arrays_overlap("part", anchors))
+    places = F.filter(F.sequence(F.lit(0), F.size("s") - 1), lambda i: F.array_contains(anchors, F.get("s", i)))
+    # a shingle at p lies in the windows that start at the last two multiples of t up to p
+    around = lambda p: F.flatten(F.transform(lengths, lambda t: F.array(*(F.struct(t.alias("t"), (p - F.pmod(p, t) - k * t).alias("at")) for k in (0, 1)))))
+    starts = F.array_distinct(F.filter(F.flatten(F.transform(places, around)), lambda w: w["at"] >= 0))
+    parts = F.transform(starts, lambda w: F.struct(w["t"].alias("t"), w["at"].alias("at"), F.slice("s", w["at"] + 1, 2 * w["t"]).alias("part")))
+    cut = found.select("doc_id", F.explode(parts).alias("w")).select("doc_id", "w.t", "w.at", "w.part")
     values = cut.select("doc_id", "t", "at", "part", F.posexplode(F.transform(numbers, lambda k: value(F.col("part"), k)["v"])).alias("band", "v"))
     met = values.join(F.broadcast(banded), ["t", "band", "v"])
     share = F.size(F.array_intersect("part", "own")) / F.col("t")
     held = met.select("doc_id", "template", "t", "at", share.alias("containment")).filter(F.col("containment") * 100 >= CONTAINED).distinct()
-    return best_windows(held if few is None else held.unionByName(few))
+    return held.unionByName(few)
 
 
 _VALUES = ", ".join("('{}', '{}')".format(n, t.replace("'", "''")) for n, t in NOTICES)
