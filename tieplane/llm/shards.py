@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import itertools
+from collections import Counter
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -9,7 +13,8 @@ from pyspark.sql import Window as W
 from .common import HEAVY, Scratch, ranked
 
 SHARDS = 16
-ROUNDS = 8
+#: Rounds go on while each cuts the number of cut edges by this share at least.
+GAIN = 0.001
 #: Share of its capacity by which a shard may be overfull between rounds, so that moves needn't all be swaps.
 SLACK = 0.03
 #: Requests of a pair of shards are granted bucket by bucket, the largest gains first.
@@ -19,20 +24,56 @@ BUCKETS = 64
 def grant(requests: list, room: dict[int, int], shards: int) -> list[tuple[int, int, int, float]]:
     """Shares of requests that keep every shard within its room.
 
-    ``requests`` has (source, target, bucket, documents). First what two shards ask of each other is swapped,
-    then the room left in each target is given to sources in turn. At most shards**2 * BUCKETS figures.
+    ``requests`` has (source, target, bucket, documents). First what two shards ask of each other is swapped, then
+    what more shards ask of each other in a ring; then the room of each target is given to the source that asks
+    most, what that source gives up to the one that asks most of it, and so on. At most shards**2 * BUCKETS figures.
     """
-    asked: dict[tuple[int, int], int] = {}
+    left: Counter = Counter()
     for s, t, _, n in requests:
-        asked[s, t] = asked.get((s, t), 0) + n
-    quota = {(s, t): min(n, asked.get((t, s), 0)) for (s, t), n in asked.items()}
-    room = dict(room)
-    for t in range(shards):
-        waiting = sorted((s for s in range(shards) if asked.get((s, t), 0) > quota.get((s, t), 0)), key=lambda s: (-asked[s, t], s))
-        for k, s in enumerate(waiting):
-            more = min(asked[s, t] - quota[s, t], room.get(t, 0) // (len(waiting) - k))
-            quota[s, t] += more
-            room[t] = room.get(t, 0) - more
+        left[s, t] += n
+    quota: Counter = Counter()
+
+    def push(edges: list[tuple[int, int]], most: int) -> int:
+        n = min([most, *(left[e] for e in edges)])
+        for e in edges:
+            left[e] -= n
+            quota[e] += n
+        return n
+
+    def ring(start: int) -> list[tuple[int, int]]:
+        """The edges of a shortest ring through a shard, or none."""
+        came, queue = {}, [start]
+        for s in queue:
+            for t in range(shards):
+                if left[s, t] > 0 and t not in came:
+                    came[t] = s
+                    queue.append(t)
+                    if t == start:
+                        path, at = [], t
+                        while not path or at != start:
+                            path.append((came[at], at))
+                            at = came[at]
+                        return path
+        return []
+
+    total = sum(left.values())
+    for s, t in sorted(left):
+        if left[s, t] and left[t, s]:
+            push([(s, t), (t, s)], total)
+    for s in range(shards):
+        while path := ring(s):
+            push(path, total)
+    for end in sorted(room, key=lambda t: (-room[t], t)):
+        free = room[end]
+        while free > 0:
+            path, at = [], end
+            while asking := [s for s in range(shards) if left[s, at] > 0 and s != end and all(s != x for x, _ in path)]:
+                s = max(asking, key=lambda x: (left[x, at], -x))
+                path.append((s, at))
+                at = s
+            if not path:
+                break
+            free -= push(path, free)
     out = []
     for s, t, bucket, n in sorted(requests):
         got = min(n, quota[s, t])
@@ -42,15 +83,15 @@ def grant(requests: list, room: dict[int, int], shards: int) -> list[tuple[int,
     return out
 
 
-def balanced_shards(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def balanced_shards(docs: DataFrame, shards: int = SHARDS, gain: float = GAIN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Deals documents to shards whose row counts differ by one at most, with linked documents together.
 
     Documents are linked if their texts are equal; a text stands for the hub of its documents, so links are
     never listed pair by pair. Documents start dealt in turn. In each round every (text, shard) fragment looks at
     the shard with most of the text's documents and asks to move there; a join with the granted quotas
     moves whole fragments, or part of one that is larger than its quota. Quotas are the swaps that two
-    shards ask of each other plus the room of the target, which is its capacity and SLACK less its linked
-    documents. In the end what is past a capacity, and all documents without links, fill what is left. A text with more documents than fit in one
+    shards or a ring of them ask of each other plus the room of targets, which is their capacity and SLACK less
+    their linked documents. Rounds end when nothing is granted or a round gains less than ``gain`` of the cut edges. In the end what is past a capacity, and all documents without links, fill what is left. A text with more documents than fit in one
     shard has as many homes as it needs, its fullest shards.
 
     Returns doc_id, size (UTF-8 bytes plus 1), text_crc32, law ('rows'), shard, slot (gapless in a shard),
@@ -76,7 +117,8 @@ def balanced_shards(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS,
     total = F.sum("n").over(W.partitionBy("hub"))
     state = scratch.keep(hubs.withColumn("total", total).filter("total > 1"), "state0")
     load = {r.label: r.n for r in state.groupBy("label").agg(F.sum("n").alias("n")).collect()}
-    for k in range(1, rounds + 1):
+    cut = None
+    for k in itertools.count(1):
         room = {s: max(0, capacity[s] + int(capacity[s] * SLACK) - load.get(s, 0)) for s in range(shards)}
         by_size = W.partitionBy("hub").orderBy(F.desc("n"), F.desc(F.xxhash64("hub", "label")))
         homes = F.ceil(F.col("total") / max(1, min(capacity.values())))
@@ -93,13 +135,15 @@ def balanced_shards(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS,
         granted = grant(wanted, room, shards)
         if not granted:
             break
-        rows = F.array(*(F.struct(*(F.lit(x).alias(c) for x, c in zip(g, ("label", "target", "bucket", "share"), strict=True))) for g in granted))
-        quotas = F.broadcast(spark.range(1).select(F.inline(rows)))  # at most shards**2 * BUCKETS rows
+        quotas = F.broadcast(spark.createDataFrame(pd.DataFrame(granted, columns=["label", "target", "bucket", "share"]), "label int, target int, bucket int, share double"))  # at most shards**2 * BUCKETS rows
         moved = asks.join(quotas, ["label", "target", "bucket"], "left").withColumn("go", F.when(F.col("moves"), F.floor(F.col("n") * F.coalesce("share", F.lit(0.0)) + 1e-9)).otherwise(0).cast("long"))
         parts = F.array(F.struct(F.col("label").alias("label"), (F.col("n") - F.col("go")).alias("n")), F.struct(F.col("target").alias("label"), F.col("go").alias("n")))
         after = moved.select("hub", "total", F.inline(parts)).filter("n > 0").groupBy("hub", "label", "total").agg(F.sum("n").alias("n"))
         state = scratch.keep(after.select("hub", "label", "n", "total"), f"state{k}")
         load = {r.label: r.n for r in state.groupBy("label").agg(F.sum("n").alias("n")).collect()}
+        before, cut = cut, state.groupBy("hub").agg((F.first("total") - F.max("n")).alias("cut")).agg(F.coalesce(F.sum("cut"), F.lit(0))).first()[0]
+        if before is not None and cut > before * (1 - gain):
+            break
 
     # documents of a text take its fragments in turn: ranks of a text's documents by (text, block) meet the intervals
     spans = state.groupBy("hub").agg(F.sort_array(F.collect_list(F.struct("label", "n"))).alias("f"), F.max("total").alias("total"))
@@ -129,3 +173,16 @@ def balanced_shards(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS,
     dealt = scratch.keep(dealt.withColumn("block", F.pmod(F.xxhash64("text_crc32", "doc_id"), F.lit(blocks)).cast("int")), "dealt")
     out = ranked(dealt, ["shard"], "block", ["doc_id", "hub"], "slot")
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def cut_edges(placed: DataFrame) -> tuple[int, int, int]:
+    """What the result of ``balanced_shards`` cuts: the documents that share their text with others; how many of them are
+    not in the shard with most of their text's documents; and how many not in the fullest shards that their
+    text needs at the least, which is 0 if nothing is cut without need."""
+    capacity = placed.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).agg(F.coalesce(F.max("n"), F.lit(1))).first()[0]
+    texts = placed.filter("size > 1").groupBy("text_crc32", "size", "shard").agg(F.count(F.lit(1)).alias("n"))
+    texts = texts.groupBy("text_crc32", "size").agg(F.sum("n").alias("n"), F.sort_array(F.collect_list("n"), asc=False).alias("f")).filter("n > 1")  # a figure a shard
+    total = lambda a: F.aggregate(a, F.lit(0).cast("long"), lambda s, x: s + x)
+    homes = F.slice("f", 1, F.ceil(F.col("n") / capacity).cast("int"))
+    r = texts.agg(*(F.coalesce(F.sum(x), F.lit(0)) for x in (F.col("n"), F.col("n") - F.get("f", F.lit(0)), F.col("n") - total(homes)))).first()
+    return r[0], r[1], r[2]
