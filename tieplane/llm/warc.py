@@ -16,7 +16,8 @@ from .common import Scratch, lookup
 
 #: Bytes of a record's block from which it is cut into segments, and bytes of a chunk of a body.
 SEGMENT, CHUNK = 16 << 10, 4 << 10
-PER_FILE = 20_000
+#: Records of a file, which one task reads whole: 33 MB at most, as a record has up to SEGMENT bytes and its headers.
+PER_FILE = 2_000
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 HEAD = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n"
 
