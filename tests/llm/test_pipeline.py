@@ -2,7 +2,7 @@ import zlib
 
 import corpus_pipeline as pipeline
 
-from .cases import lower
+from .cases import CLASHES, frame, lower, texts
 from .test_jaccard import expected
 from .test_toxicity import corpus
 
@@ -52,3 +52,39 @@ def test_odd_and_empty_tables(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     assert pipeline.run(spark, str(tmp_path)).collect() == []
+
+
+def odd_columns(spark, rows):
+    """The columns of documents and many that could clash with names that stages use themselves."""
+    from pyspark.sql import functions as F
+
+    more = ["_id", "_row", "_text", "_sha", "_first", "copy_row", "copy_text", "toxic_score", "_toxic_score", "first_id", "kept", "best", "keep_id", "text_sha256", "component_id", "n", "low", "row", "length", "piece", "h"]
+    taken = {c.split(" ")[0] for c in CLASHES.split(", ")}
+    return frame(spark, rows).select("*", *(F.lit(f"own {c}").alias(c) for c in more if c not in taken))
+
+
+def test_stages_take_odd_rows_and_clashing_columns(spark, tmp_path):
+    rows = texts(4) + [(800, "again and again")] * 300
+    docs = odd_columns(spark, rows)
+    spark.createDataFrame([(i, i % 2) for i in range(25)], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for name, stage in pipeline.STAGES[:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns, name
+        kept = out.collect()
+        assert kept and all(r.copy_row == "own copy_row" and r.toxic_score == "own toxic_score" and r.h is None for r in kept), name
+    once = [(r.doc_id, r.text) for r in pipeline.drop_copies(spark, docs, str(tmp_path)).collect()]
+    groups = {}
+    for d, t in rows:
+        groups[lower(t)] = max((x for x in (groups.get(lower(t)), d) if x is not None), default=None)
+    assert sorted(((d, lower(t)) for d, t in once), key=str) == sorted(((d, t) for t, d in groups.items()), key=str)
+    empty = docs.limit(0)
+    for name, stage in pipeline.STAGES:
+        assert stage(spark, empty, str(tmp_path)).collect() == [], name
+    packed = pipeline.pack(spark, docs, str(tmp_path)).collect()
+    assert sum(r.piece == 0 for r in packed) == len(rows)
+
+
+def test_no_labels_keep_everything(spark, tmp_path):
+    spark.createDataFrame([], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = frame(spark, texts(4))
+    assert pipeline.drop_toxic(spark, docs, str(tmp_path)).count() == docs.count()
