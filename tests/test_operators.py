@@ -209,7 +209,7 @@ def test_patch_kernels():
     assert all(min(abs(r - a) + abs(c - b) for r, c in found) <= 4 for a in (12, 27) for b in (12, 27))
     assert Z.subpixel(np.full((3, 3), 0.5)) == (0.0, 0.0) and (Z.sobel(np.ones((5, 5))) == 0).all()
     left = RNG.uniform(0, 255, (40, 60))
-    i, j, s = matching.register_overlap(left, left[2:, 20:], 3, 25, 2, 4)
+    i, j, s = Z.register(left, left[2:, 20:], 3, 25, 2, 4)
     assert (i, j) == (2, 20) and s > 0.99
     p = np.c_[RNG.uniform(0, 10, (50, 2)), np.zeros(50)]
     p[:, 2] = 2 * p[:, 0] - p[:, 1] + 1
@@ -232,7 +232,7 @@ def test_matching_of_shifted_tiles(spark):
     rows = kept.collect()
     assert len(rows) >= 8 and all((r.mrow - r.row, r.mcol - r.col) == (4.0, 2.0) for r in rows)
     cells = spark.createDataFrame([(0, 0, i, 20 + 6 * (i // 8), 20 + 6 * (i % 8), 22.0 + 6 * (i // 8), 20.0 + 6 * (i % 8)) for i in range(60)], "lccd int, rccd int, pid int, row int, col int, pr double, pc double")
-    hits = matching.search_in_tiles(cells, a, b, 6, 4, 0.9).collect()
+    hits = matching.search_in_tiles(cells, a, b, Z.Search(6, 4, sharpness=30.0), 0.9).collect()
     assert len(hits) > 50 and all(abs(h.mrow - 24 - 6 * (h.pid // 8)) < 0.5 and abs(h.mcol - 22 - 6 * (h.pid % 8)) < 0.5 for h in hits)
 
 
@@ -300,3 +300,94 @@ def test_sampling_counts_go_on_over_tiles(spark):
     assert sorted(map(tuple, observations.every_nth(m, 5, per_tile=True).collect())) == [(t, i) for t in range(3) for i in (0, 5)]
     flat = [(t, i) for t in range(3) for i in range(7)]
     assert sorted(map(tuple, observations.every_nth(m, 5, per_tile=False).collect())) == flat[::5]
+
+
+def test_nearest_neighbours_wherever_they_lie(spark):
+    rng = np.random.default_rng(12)
+    places = [*rng.uniform(0, 50, (60, 2)).tolist(), *rng.normal(0, 1e-3, (40, 2)).tolist(), *[[7.0, 7.0]] * 50, [1e6, -1e6], [-3e5, 2e5]]
+    right = spark.createDataFrame([(i % 2, i, *p) for i, p in enumerate(places)], "g int, sid long, srow double, scol double")
+    asked = [*rng.uniform(-20, 80, (30, 2)).tolist(), [7.0, 7.0], [1e6, 1e6], [-1e5, 0.0]]
+    left = spark.createDataFrame([(i % 3, i, *p) for i, p in enumerate(asked)], "g int, pid long, row double, col double")
+    for k in (1, 4, 90):
+        got = {}
+        for r in joins.knn_join(left, right, ("row", "col"), ("srow", "scol"), k, ["pid"], ["d2", "sid"], ["g"], start=2.0).collect():
+            got.setdefault(r.pid, []).append((r.rk, r.sid))
+        for i, (y, x) in enumerate(asked):
+            near = sorted((((y - b) ** 2 + (x - a) ** 2), s) for s, (b, a) in enumerate(places) if s % 2 == i % 3)[:k]
+            assert [s for _, s in sorted(got.get(i, []))] == [s for _, s in near], (i, k)
+    assert joins.knn_join(left, right.limit(0), ("row", "col"), ("srow", "scol"), 2, ["pid"], ["d2", "sid"], ["g"]).collect() == []
+
+
+def test_lists_of_points_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(matching, "LIST", 10)
+    pts = spark.createDataFrame([(0, i) for i in range(300)] + [(1, 300)], "ccd int, pid int")
+    sizes = [(r.ccd, len(r.pts)) for r in matching.listed(pts, ["ccd"], ["pid"], ["pid"]).collect()]
+    assert sum(n for _, n in sizes) == 301 and max(n for _, n in sizes) <= 30
+
+
+def strip(rng, n=3, side=64, overlap=24):
+    """Tiles of one wide image whose neighbours share columns, and one shifted copy of the image."""
+    wide = rng.uniform(0, 255, (side, n * (side - overlap) + overlap)).cumsum(0).cumsum(1)
+    wide = (wide - wide.mean()) / wide.std() + rng.normal(0, 1, wide.shape)
+    return wide, [wide[:, i * (side - overlap) : i * (side - overlap) + side] for i in range(n)]
+
+
+TILES = "seq string, level int, ccd int, rows int, cols int, samples array<float>"
+
+
+def tiles_of(spark, images):
+    return spark.createDataFrame([("s", 0, i, *a.shape, [float(v) for v in a.ravel()]) for i, a in enumerate(images)], TILES)
+
+
+def test_links_within_a_strip_and_overlaps(spark):
+    _, images = strip(np.random.default_rng(4))
+    tiles = tiles_of(spark, [images[0], images[1], np.roll(images[2], (2, 1), (0, 1))])
+    links = matching.within_strip(tiles, Z.Search(4, 3, kind="blend", sharpness=30.0), 0.9, overlap=24, step=(8, 8)).collect()
+    moved = {(r.ccd_l, round(r.mrow - r.row), round(r.mcol - (r.col - 64 + 24))) for r in links}
+    assert len(links) > 15 and moved == {(0, 0, 0), (1, 2, 1)}
+    got = {r.ccd: (r.dr, r.dc) for r in matching.register_overlaps(tiles_of(spark, [images[0], images[1][3:]]), 24, 4, 3, 2, 4).collect()}
+    assert got == {0: (3, 0)}
+
+
+def test_cross_strip_match_finds_a_planted_shift_and_keeps_better_old_matches(spark):
+    _, images = strip(np.random.default_rng(5))
+    left, right = tiles_of(spark, images), tiles_of(spark, [np.roll(a, (3, -2), (0, 1)) for a in images])
+    mosaic = spark.createDataFrame([(i, 0, 64, i * 40, i * 40 + 64) for i in range(3)] + [(3, 0, 0, 0, 0)], "ccd int, r0 int, r1 int, c0 int, c1 int")
+    rows = [(k, k % 3, 16.0 + k // 2, 20.0 + k % 20, 9 if k == 5 else None, 1.0 if k == 5 else None, 1.0 if k == 5 else None, 2.0 if k == 5 else None) for k in range(60)]
+    points = spark.createDataFrame(rows, "pid long, ccd int, row double, col double, rccd int, mrow double, mcol double, score double")
+    near = spark.createDataFrame([(float(r), float(c), r + 3.0, c - 2.0) for r in range(0, 64, 8) for c in range(0, 150, 8)], "row double, col double, mrow double, mcol double")
+    for controls, reach in ((near, 3), (near.limit(0), 8)):
+        out = {r.pid: r for r in matching.cross_strip_match(points, controls, mosaic, mosaic, [1, 0, 0, 0, 1, 0], left, right, Z.Search(reach, 4, 1, kind="blend"), 0.9, radius=20.0, wide=8).collect()}
+        assert len(out) == 60 and out[5].rccd == 9 and out[5].score == 2.0
+        hits = [r for r in out.values() if r.pid != 5 and r.mrow is not None]
+        assert len(hits) > 40
+        moved = {(round(r.mrow - r.row), round(r.mcol + 40 * r.rccd - r.col - 40 * r.ccd)) for r in hits}
+        assert moved == {(3, -2)}
+
+
+def test_tie_points_join_links_of_both_strips(spark):
+    _, images = strip(np.random.default_rng(6), n=2)
+    left, right = tiles_of(spark, images), tiles_of(spark, images)
+    same = lambda links: links.select(F.col("ccd_l").alias("ccd"), "row", "col").unionByName(links.select(F.col("ccd_r").alias("ccd"), F.rint("mrow").alias("row"), F.rint("mcol").alias("col"))).distinct().select("ccd", "row", "col", F.col("ccd").alias("img_id"), F.col("row").alias("mrow"), F.col("col").alias("mcol"))
+    ties = matching.tie_points(left, right, same, Z.Search(4, 3), 0.9, lambda x: x, overlap=24, step=(8, 8))
+    assert ties.count() > 10
+
+
+def test_field_prediction_falls_back_to_the_whole_affine(spark):
+    pts = spark.createDataFrame([(1, 5.0, 5.0), (2, 15.0, 5.0), (3, 25.0, 5.0)], "pid long, row double, col double")
+    field = spark.createDataFrame([(0, 0, 1.0, 0.0, 2.0, 0.0, 1.0, 0.0), (1, 0, 1.0, 0.0, 99.0, 0.0, 1.0, 0.0)], "tile_r long, tile_c long, f0 double, f1 double, f2 double, f3 double, f4 double, f5 double")
+    got = {r.pid: (r.local, r.pr, r.pc) for r in matching.predict_by_field(pts, field, [1, 0, 0, 0, 1, 0], 10.0, 10.0, 2.0).collect()}
+    assert got == {1: (True, 7.0, 5.0), 2: (False, 15.0, 5.0), 3: (False, 25.0, 5.0)}
+
+
+def test_energy_prefers_near_places_and_the_gate_forbids_far_ones():
+    image = np.random.default_rng(7).uniform(0, 255, (40, 40))
+    image[22:31, 10:19] = image[10:19, 10:19]
+    pair = Z.Pair(image, image)
+    assert Z.Search(12, 4, 1).find(pair, 14, 14, 20, 14)[:2] == (14, 14)  # equal scores: the first in row order
+    assert Z.Search(12, 4, 1, smooth=0.2).find(pair, 14, 14, 22, 14)[:2] == (26, 14)
+    assert Z.Search(12, 4, 1, gate=5.0).find(pair, 14, 14, 20, 14, affine=(27.0, 14.0))[:2] == (26, 14)
+    assert Z.Search(2, 4, 1, gate=1.0).find(pair, 14, 14, 14, 14, affine=(30.0, 30.0)) is None
+    r, c, _ = Z.Search(1, 4, 1, blur=3.0).find(pair, 14, 14, 14, 14)
+    assert abs(r - 14) < 0.5 and abs(c - 14) < 0.5
+    assert all(Z.Search(3, 4, kind=k).find(Z.Pair(image, np.roll(image, (1, 2), (0, 1)), k), 20, 25, 20, 25)[:2] == (21, 27) for k in ("gray", "blend", "census"))

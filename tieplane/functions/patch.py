@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -117,24 +120,134 @@ def affine_correlation(left: np.ndarray, right: np.ndarray, lr: int, lc: int, rr
     return correlation(left[lr - half : lr + half + 1, lc - half : lc + half + 1].astype(float), bilinear(right.astype(float), at[0], at[1]))
 
 
+class Pair:
+    """Two images whose windows are compared, many places at a time.
+
+    ``kind`` is gray (correlation), blend (0.90 gray and 0.10 of the gradients) or census (0.8 of the signatures'
+    agreement and 0.2 gray).
+    """
+
+    def __init__(self, left: np.ndarray, right: np.ndarray, kind: str = "gray"):
+        self.images, self.kind = [left.astype(np.float64), right.astype(np.float64)], kind
+        self.gradients = [sobel(x) for x in self.images] if kind == "blend" else None
+
+    def fits(self, side: int, r: np.ndarray, c: np.ndarray, half: int) -> np.ndarray:
+        h, w = self.images[side].shape
+        return (r >= half) & (c >= half) & (r < h - half) & (c < w - half)
+
+    @staticmethod
+    def _windows(image: np.ndarray, r: np.ndarray, c: np.ndarray, half: int) -> np.ndarray:
+        side = 2 * half + 1
+        return np.lib.stride_tricks.sliding_window_view(image, (side, side))[r - half, c - half].reshape(len(r), -1)
+
+    @staticmethod
+    def _correlate(one: np.ndarray, many: np.ndarray) -> np.ndarray:
+        x, y = one - one.mean(axis=1, keepdims=True), many - many.mean(axis=1, keepdims=True)
+        return (x * y).sum(axis=1) / np.sqrt(np.maximum((x * x).sum(axis=1), FLOOR) * np.maximum((y * y).sum(axis=1), FLOOR))
+
+    def scores(self, r: int, c: int, rr: np.ndarray, cc: np.ndarray, half: int) -> np.ndarray:
+        """The score of the left window about (r, c) with the right one about each place; -inf where one doesn't fit."""
+        out = np.full(len(rr), -np.inf)
+        here = np.array([r]), np.array([c])
+        if not self.fits(0, *here, half)[0]:
+            return out
+        ok = self.fits(1, rr, cc, half)
+        if not ok.any():
+            return out
+        one, many = self._windows(self.images[0], *here, half), self._windows(self.images[1], rr[ok], cc[ok], half)
+        gray = self._correlate(one, many)
+        if self.kind == "blend":
+            gray = 0.90 * gray + 0.10 * self._correlate(self._windows(self.gradients[0], *here, half), self._windows(self.gradients[1], rr[ok], cc[ok], half))
+        elif self.kind == "census":
+            mid = one.shape[1] // 2
+            bits = [np.delete(x < x[:, mid : mid + 1], mid, axis=1) for x in (one, many)]
+            gray = 0.8 * (1.0 - 2.0 * (bits[0] != bits[1]).mean(axis=1)) + 0.2 * gray
+        out[ok] = gray
+        return out
+
+
+@dataclass(frozen=True)
+class Search:
+    """How a place is looked for near a prediction.
+
+    Every ``stride``-th offset within the reach is tried first, then all within ``refine`` of the best, with windows
+    of ``refine_half``; the least energy 1 - score + ``smooth`` * distance / reach decides, of equal ones the first in
+    row order. Places further than ``gate`` from the affine's are passed over. With ``sharpness`` the result is
+    the centroid of the places within ``window`` of the best under weights exp(-sharpness * energy), the energy being
+    there 1 - (score + 1) / 2; with ``blur`` that of all places of the reach under exp(-blur * (1 - score + smooth * distance)).
+    """
+
+    reach: int = 8
+    half: int = 4
+    stride: int = 2
+    refine: int = 2
+    refine_half: int | None = None
+    smooth: float = 0.0
+    gate: float | None = None
+    sharpness: float | None = None
+    window: int = 1
+    blur: float | None = None
+    kind: str = "gray"
+
+    def find(self, pair: Pair, r: int, c: int, pr: int, pc: int, reach: tuple[int, int] | None = None, affine: tuple[float, float] | None = None) -> tuple[float, float, float] | None:
+        """Row, column and score, or None if no window fits."""
+        far = reach or (self.reach, self.reach)
+        if self.blur is not None:
+            i, j = self._grid(far, self.stride)
+            s = pair.scores(r, c, pr + i, pc + j, self.half)
+            w = np.where(np.isfinite(s), np.exp(-self.blur * (1 - s + self.smooth * np.hypot(i, j))), 0.0)
+            return ((w * (pr + i)).sum() / w.sum(), (w * (pc + j)).sum() / w.sum(), float(s.max())) if w.sum() > 0 else None
+        best = self._best(pair, r, c, pr, pc, far, self.stride, self.half, affine)
+        if best is not None and self.stride > 1:
+            fine = self._best(pair, r, c, best[0], best[1], (self.refine, self.refine), 1, self.refine_half or self.half, affine)
+            best = fine if fine is not None and (fine[2] > best[2] or self.refine_half in (None, self.half)) else best
+        if best is None or self.sharpness is None:
+            return best
+        i, j = self._grid((self.window, self.window), 1)
+        s = pair.scores(r, c, best[0] + i, best[1] + j, self.refine_half or self.half)
+        w = np.where(np.isfinite(s), np.exp(-self.sharpness * (1 - np.clip((np.where(np.isfinite(s), s, -1.0) + 1) / 2, 0, 1))), 0.0)
+        return float((w * (best[0] + i)).sum() / w.sum()), float((w * (best[1] + j)).sum() / w.sum()), max(best[2], float(s.max()))
+
+    @staticmethod
+    def _grid(reach: tuple[int, int], stride: int) -> tuple[np.ndarray, np.ndarray]:
+        i, j = np.meshgrid(np.arange(-reach[0], reach[0] + 1, stride), np.arange(-reach[1], reach[1] + 1, stride), indexing="ij")
+        return i.ravel(), j.ravel()
+
+    def _best(self, pair: Pair, r: int, c: int, pr: int, pc: int, reach: tuple[int, int], stride: int, half: int, affine) -> tuple[int, int, float] | None:
+        i, j = self._grid(reach, stride)
+        s = pair.scores(r, c, pr + i, pc + j, half)
+        if self.gate is not None and affine is not None:
+            s = np.where((np.abs(affine[0] - (pr + i)) < self.gate) & (np.abs(affine[1] - (pc + j)) < self.gate), s, -np.inf)
+        energy = np.round(1 - s + self.smooth * np.hypot(i, j) / max(1, *reach), 9)
+        k = int(np.argmin(energy))
+        return (pr + int(i[k]), pc + int(j[k]), float(s[k])) if np.isfinite(s[k]) else None
+
+
 def search(left: np.ndarray, right: np.ndarray, lr: int, lc: int, pr: int, pc: int, reach: int, half: int, stride: int = 2) -> tuple[int, int, float] | None:
     """Best place near a prediction: every ``stride``-th offset first, then all within a stride of the best.
     Of equal scores the first in row order stays. None if no window fits."""
-    patch = left[lr - half : lr + half + 1, lc - half : lc + half + 1].astype(float)
-    if patch.shape != (2 * half + 1,) * 2:
-        return None
-    fits = lambda r, c: half <= r < right.shape[0] - half and half <= c < right.shape[1] - half
-    score = lambda r, c: correlation(patch, right[r - half : r + half + 1, c - half : c + half + 1].astype(float))
-
-    def best(places) -> tuple[int, int, float] | None:
-        found = None
-        for r, c in places:
-            if fits(r, c) and (found is None or (s := score(r, c)) > found[2]):
-                found = (r, c, score(r, c))
-        return found
-
-    coarse = best((pr + i, pc + j) for i in range(-reach, reach + 1, stride) for j in range(-reach, reach + 1, stride))
-    return coarse and best((coarse[0] + i, coarse[1] + j) for i in range(-stride, stride + 1) for j in range(-stride, stride + 1))
+    return Search(reach, half, stride, refine=stride).find(Pair(left, right), lr, lc, pr, pc)
+
+
+def register(left: np.ndarray, right: np.ndarray, rows: int, cols: int, half: int = 2, step: int = 16) -> tuple[int, int, float]:
+    """The shift (i, j), |i| <= rows and 0 <= j < cols, at which left (r + i, c + j) looks like right (r, c): that with
+    the highest mean correlation of windows every ``step`` samples of the overlap; of equal ones the first."""
+    side, best = 2 * half + 1, (0, 0, -2.0)
+    if min(*left.shape, *right.shape) < side:
+        return best
+    a, b = (np.lib.stride_tricks.sliding_window_view(x.astype(np.float64), (side, side)) for x in (left, right))
+    norm = lambda x: (lambda d: d / np.sqrt(np.maximum((d * d).sum(axis=(2, 3), keepdims=True), FLOOR)))(x - x.mean(axis=(2, 3), keepdims=True))
+    for i in range(-rows, rows + 1):
+        for j in range(cols):
+            h, w = min(a.shape[0] - max(0, i), b.shape[0] - max(0, -i)), min(a.shape[1] - j, b.shape[1])
+            if h < 1 or w < 1:
+                continue
+            x = a[max(0, i) : max(0, i) + h : step, j : j + w : step]
+            y = b[max(0, -i) : max(0, -i) + h : step, :w:step]
+            m = round(float((norm(x) * norm(y)).sum(axis=(2, 3)).mean()), 9)
+            if m > best[2]:
+                best = (i, j, m)
+    return best
 
 
 def subpixel(scores: np.ndarray, sharpness: float = 30.0) -> tuple[float, float]:
@@ -170,3 +283,25 @@ def corners(image: np.ndarray, cell: int = 8, border: int = 4, least: float = 0.
             if block[i, j] > least:
                 out.append((r + int(i), c + int(j), float(block[i, j])))
     return out
+
+
+def affine_scores(pairs, side: int, lr: int, lc: int, rr: float, rc: float, linear, half: int):
+    """Adds score: the left window (column limg) about (lr, lc) against the right image (rimg) resampled about (rr, rc). A Pandas
+    function over Arrow batches, as resampling has no column expression."""
+    shape = lambda v: np.asarray(v, np.float64).reshape(side, side)
+
+    @F.pandas_udf("double")
+    def score(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([affine_correlation(shape(x), shape(y), lr, lc, rr, rc, np.array(linear), half) for x, y in zip(a, b, strict=True)], dtype="float64")
+
+    return pairs.withColumn("score", F.nanvl(score("limg", "rimg"), F.lit(None).cast("double")))
+
+
+def gradients(tiles):
+    """Adds gradient, |Sx| + |Sy| of each sample of a tile (rows, cols, samples)."""
+
+    @F.pandas_udf("array<double>")
+    def magnitude(samples: pd.Series, rows: pd.Series, cols: pd.Series) -> pd.Series:
+        return pd.Series([sobel(np.asarray(v).reshape(r, c)).ravel() for v, r, c in zip(samples, rows, cols, strict=True)])
+
+    return tiles.withColumn("gradient", magnitude("samples", "rows", "cols"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -132,11 +134,14 @@ def local_affine_field(matches: DataFrame, tile_r: float, tile_c: float, sigma:
 
 def quadratic_surface(pairs: DataFrame, keys: list[str], dr: str, dc: str, value: str, weight: str, out: str) -> DataFrame:
     """The value at the origin of a weighted quadratic in (dr, dc) per group; groups of fewer than six points,
-    or in a degenerate place, get the weighted mean. Sums are pre-aggregated, kernels see 28 numbers a group."""
-    r, c, z, w = (F.col(x) for x in (dr, dc, value, weight))
-    basis = [F.lit(1.0), r, c, r * r, r * c, c * c]
-    sums = [F.sum(w * basis[i] * basis[j]).alias(f"_a{i}{j}") for i in range(6) for j in range(i, 6)] + [F.sum(w * basis[i] * z).alias(f"_b{i}") for i in range(6)]
-    s = pairs.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), *sums)
+    or in a degenerate place, get the weighted mean. Sums are pre-aggregated, kernels see 22 numbers a group."""
+    # fifteen moments hold all products of the basis 1, r, c, rr, rc, cc
+    basis = [(0, 0), (1, 0), (0, 1), (2, 0), (1, 1), (0, 2)]
+    moments = [(i, j) for d in range(5) for i in range(d, -1, -1) for j in (d - i,)]
+    power = lambda i, j: reduce(lambda x, y: x * y, [F.col(dr)] * i + [F.col(dc)] * j, F.col(weight))
+    d = pairs.select(*keys, F.col(value).alias("_z"), *(power(i, j).alias(f"_m{i}{j}") for i, j in moments))
+    sums = [F.sum(f"_m{i}{j}").alias(f"_m{i}{j}") for i, j in moments] + [F.sum(F.col(f"_m{i}{j}") * F.col("_z")).alias(f"_b{i}{j}") for i, j in basis]
+    s = d.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), *sums)
 
     @F.pandas_udf("double")
     def solve(n: pd.Series, a: pd.Series, b: pd.Series) -> pd.Series:
@@ -148,14 +153,18 @@ def quadratic_surface(pairs: DataFrame, keys: list[str], dr: str, dc: str, value
         mean = v[:, 0] / np.where(m[:, 0, 0] == 0, np.nan, m[:, 0, 0])
         scale = np.sqrt(np.maximum(np.einsum("kii->ki", m), 1e-300))
         norm = m / scale[:, :, None] / scale[:, None, :]
-        fine = (n.to_numpy() >= 6) & (np.linalg.cond(norm) < 1e10)
+        left, pivot = norm.copy(), np.full(len(n), np.inf)
+        for k in range(6):  # the least pivot of an elimination tells whether the system is as good as singular
+            pivot = np.minimum(pivot, left[:, k, k])
+            left = left - left[:, :, k, None] * left[:, None, k, :] / np.where(left[:, k, k] > 1e-9, left[:, k, k], np.inf)[:, None, None]
+        fine = (n.to_numpy() >= 6) & (pivot > 1e-9)
         x = np.full(len(n), np.nan)
         if fine.any():
             x[fine] = np.linalg.solve(norm[fine], (v / scale)[fine][..., None])[:, 0, 0] / scale[fine, 0]
         return pd.Series(np.where(fine, x, mean))
 
-    names = [f"_a{i}{j}" for i in range(6) for j in range(i, 6)]
-    return s.withColumn(out, solve("_n", F.array(*names), F.array(*(f"_b{i}" for i in range(6))))).select(*keys, F.col("_n").alias("n"), out)
+    names = [f"_m{basis[i][0] + basis[j][0]}{basis[i][1] + basis[j][1]}" for i in range(6) for j in range(i, 6)]
+    return s.withColumn(out, solve("_n", F.array(*names), F.array(*(f"_b{i}{j}" for i, j in basis)))).select(*keys, F.col("_n").alias("n"), out)
 
 
 def time_polynomials(samples: DataFrame, keys: list[str], t: str, values: list[str], degree: int = 3) -> DataFrame:

@@ -182,6 +182,13 @@ def dem_sample(points: DataFrame, dem: DataFrame, width: int, height: int, row:
     return p.join(d, ["_r", "_c"]).groupBy(*points.columns).agg((F.sum(F.col("_w") * F.col("_h")) / F.sum("_w")).alias(h))
 
 
+def dem_nearest(points: DataFrame, dem: DataFrame, row: str, col: str, h: str) -> DataFrame:
+    """The height of the pixel (r, c) that a fractional place rounds to, halves up; null outside the raster."""
+    near = lambda x: F.floor(F.col(x) + 0.5).cast("long")
+    d = dem.select(F.col("r").cast("long").alias("_r"), F.col("c").cast("long").alias("_c"), F.col(h).alias(h))
+    return points.withColumn("_r", near(row)).withColumn("_c", near(col)).join(d, ["_r", "_c"], "left").drop("_r", "_c")
+
+
 def buckets(points: DataFrame, x: str, y: str, size: float, keys: list[str] = ()) -> DataFrame:
     """Adds the cell (ci, cj) of each point, counted from the smallest coordinates."""
     low = points.agg(F.min(x).alias("_x0"), F.min(y).alias("_y0"))

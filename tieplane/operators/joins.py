@@ -6,6 +6,8 @@ equi-join on the cell feeds the exact predicate. Cells are as large as the reach
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -42,24 +44,41 @@ def nearest_k(pairs: DataFrame, by: list[str], k: int, order: list) -> DataFrame
     return pairs.withColumn("rk", F.row_number().over(W.partitionBy(*by).orderBy(*order))).filter(F.col("rk") <= k)
 
 
-def knn_join(left: DataFrame, right: DataFrame, left_at: tuple[str, str], right_at: tuple[str, str], k: int, by: list[str], order: list, keys: list[str] = (), start: float = 64.0, rounds: int = 12) -> DataFrame:
-    """Exact k nearest: the radius doubles for the points that have not k within it, until all have or nothing
-    lies further out. Each round joins only what is left, so its cost follows the data's density."""
-    rest, radius, out = left, start, None
-    there = right.groupBy(*keys).agg(F.count(F.lit(1)).alias("_there"))
-    if keys:
-        rest = rest.join(there.select(*keys), list(keys), "left_semi")
-    for r in range(rounds):
-        pairs = radius_join(rest, right, left_at, right_at, radius, list(keys), closed=True)
-        counted = pairs.withColumn("_n", F.count(F.lit(1)).over(W.partitionBy(*by)))
-        counted = counted.join(there, list(keys)) if keys else counted.join(F.broadcast(there))
-        enough = F.lit(True) if r == rounds - 1 else F.col("_n") >= F.least(F.lit(k), F.col("_there"))
-        full = nearest_k(counted.filter(enough), by, k, order).drop("_n", "_there")
-        out = full if out is None else out.unionByName(full)
-        rest = rest.join(full.select(*by).distinct(), by, "left_anti")
-        if r == rounds - 1 or rest.isEmpty():
-            return out
-        radius *= 2
+def knn_join(left: DataFrame, right: DataFrame, left_at: tuple[str, str], right_at: tuple[str, str], k: int, by: list[str], order: list, keys: list[str] = (), start: float = 16.0) -> DataFrame:
+    """Exact k nearest within ``keys``, in one pass, wherever they lie; fewer only where there are fewer.
+
+    The right points are counted in cells of ``start`` and of twice, four times, ... that size, up to one cell
+    that holds all. A left point takes the smallest of its cells that holds k: they are no further than that
+    cell's diagonal, so only right points within the diagonal are paired, by an equi-join on cells of that size.
+    So the pairs of a point follow k and not the data's density. Of right points in one place only k are paired.
+    ``order`` starts with d2, the squared distance; rk is the rank from 1.
+    """
+    keys = list(keys)
+    (lr, lc), (rr, rc) = left_at, right_at
+    box = lambda d, r, c: d.agg(F.min(r).alias("r0"), F.max(r).alias("r1"), F.min(c).alias("c0"), F.max(c).alias("c1"))
+    r0, r1, c0, c1 = box(left, lr, lc).unionByName(box(right, rr, rc)).agg(F.min("r0"), F.max("r1"), F.min("c0"), F.max("c1")).first()
+    span = max(r1 - r0, c1 - c0) if r0 is not None else 0.0
+    top = max(0, math.ceil(math.log2(max(1.0, span / start)))) + 1
+    r0, c0 = r0 or 0.0, c0 or 0.0
+    fine = lambda r, c: (F.floor((F.col(r) - r0) / start).cast("long").alias("_br"), F.floor((F.col(c) - c0) / start).cast("long").alias("_bc"))
+    up = lambda c, level: F.call_function("shiftright", c, level)
+    levels = F.sequence(F.lit(0), F.lit(top))
+    first = nearest_k(right.withColumns({"_pr": F.col(rr) + 0.0, "_pc": F.col(rc) + 0.0}), [*keys, "_pr", "_pc"], k, order[1:]).drop("_pr", "_pc", "rk") if len(order) > 1 else right
+    counts = first.select(*keys, *fine(rr, rc)).groupBy(*keys, "_br", "_bc").agg(F.count(F.lit(1)).alias("_n"))
+    counts = counts.withColumn("_l", F.explode(levels)).groupBy(*keys, "_l", up(F.col("_br"), F.col("_l")).alias("_br"), up(F.col("_bc"), F.col("_l")).alias("_bc")).agg(F.sum("_n").alias("_n"))
+    enough = counts.filter((F.col("_n") >= k) | (F.col("_l") == top)).select(*keys, "_l", F.col("_br").alias("_ur"), F.col("_bc").alias("_uc"))
+    cells = left.select(*keys, *fine(lr, lc)).distinct().withColumn("_l", F.explode(levels)).withColumns({"_ur": up(F.col("_br"), F.col("_l")), "_uc": up(F.col("_bc"), F.col("_l"))})
+    level = cells.join(enough, [*keys, "_l", "_ur", "_uc"]).groupBy(*keys, "_br", "_bc").agg(F.min("_l").alias("_l"))
+    placed = left.withColumns(dict(zip(("_br", "_bc"), fine(lr, lc), strict=True))).join(level, [*keys, "_br", "_bc"])
+    reach = F.array(*(F.lit(i) for i in range(-2, 3)))
+    around = lambda c: F.explode(F.transform(reach, lambda i: up(F.col(c), F.col("_l")) + i))
+    placed = placed.withColumn("_ur", around("_br")).withColumn("_uc", around("_bc")).drop("_br", "_bc")
+    used = level.select("_l").distinct()  # ``top`` rows at most
+    there = first.withColumns(dict(zip(("_br", "_bc"), fine(rr, rc), strict=True))).withColumn("_l", F.explode(levels)).join(F.broadcast(used), "_l").withColumns({"_ur": up(F.col("_br"), F.col("_l")), "_uc": up(F.col("_bc"), F.col("_l"))}).drop("_br", "_bc")
+    dr, dc = F.col(lr) - F.col(rr), F.col(lc) - F.col(rc)
+    diagonal = 2.0000001 * F.pow(start * F.pow(F.lit(2.0), F.col("_l")), 2)
+    pairs = placed.join(there, [*keys, "_l", "_ur", "_uc"]).withColumn("d2", dr * dr + dc * dc).filter(F.col("d2") <= diagonal).drop("_l", "_ur", "_uc")
+    return nearest_k(pairs, by, k, order)
 
 
 def adaptive_neighbours(pairs: DataFrame, by: list[str], radius: float, least: int, most: int, order: list) -> DataFrame:
@@ -80,7 +99,7 @@ def tile_lookup(points: DataFrame, mosaic: DataFrame, on: str, prefix: str) -> D
     return points.join(named, on, "left")
 
 
-def candidate_tiles(points: DataFrame, mosaic: DataFrame, row: str, col: str, search_r: float, search_c: float) -> DataFrame:
+def candidate_tiles(points: DataFrame, mosaic: DataFrame, row: str, col: str, search_r, search_c) -> DataFrame:
     """Tiles of a point in three tiers: those that hold it, else those its search window touches, else the
     nearest one (of equally near ones the lowest id). Tiles of no extent never count."""
     boxes = mosaic.filter("r1 > r0 AND c1 > c0").agg(F.sort_array(F.collect_list(F.struct("ccd", "r0", "r1", "c0", "c1"))).alias("_boxes"))

@@ -20,6 +20,17 @@ from .upsert import first_by, upsert_by_score
 C = F.col
 
 
+#: Points that travel to an image as one list, about.
+LIST = 2000
+
+
+def listed(points: DataFrame, keys: list[str], columns: list[str], spread: list[str]) -> DataFrame:
+    """Points as lists ``pts`` of about LIST each: keys of many points get several, so no row grows with the data."""
+    slices = points.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / LIST).cast("int").alias("_of"))
+    dealt = points.join(slices, keys).withColumn("_s", F.pmod(F.xxhash64(*spread), C("_of")))
+    return dealt.groupBy(*keys, "_s").agg(F.collect_list(F.struct(*columns)).alias("pts")).drop("_s")
+
+
 def downsample(tiles: DataFrame, k: int = 2) -> DataFrame:
     """The next pyramid level: block means cut to whole numbers, tile by tile in an Arrow kernel."""
 
@@ -51,7 +62,7 @@ def with_patches(points: DataFrame, tiles: DataFrame, half: int) -> DataFrame:
     tile travel to its image as one list, so an image is copied once and not once a point."""
     side = 2 * half + 1
     extra = [c for c in points.columns if c not in ("seq", "level", "ccd")]
-    packed = points.groupBy("seq", "level", "ccd", F.pmod(F.xxhash64("row", "col"), F.lit(8)).alias("_s")).agg(F.collect_list(F.struct(*extra)).alias("pts"))
+    packed = listed(points, ["seq", "level", "ccd"], extra, ["row", "col"])
     cut = lambda p: F.flatten(F.transform(F.sequence(F.lit(-half), F.lit(half)), lambda i: F.slice("samples", ((p["row"] + i) * C("cols") + p["col"] - half + 1).cast("int"), side)))
     inside = lambda p: (p["row"] >= half) & (p["col"] >= half) & (p["row"] < C("rows") - half) & (p["col"] < C("cols") - half)
     both = packed.join(tiles, ["seq", "level", "ccd"])
@@ -132,44 +143,126 @@ def grid_predictions(cells: DataFrame, seeds: DataFrame, affines: DataFrame, key
     return p.withColumn("mode", mode).withColumn("pr", F.when(use, C("row") + C("sr")).otherwise(C("pr"))).withColumn("pc", F.when(use, C("col") + C("sc")).otherwise(C("pc"))).drop("n", "sr", "sc")
 
 
-def search_in_tiles(points: DataFrame, left: DataFrame, right: DataFrame, reach: int, half: int, least: float, smooth: float = 0.0) -> DataFrame:
-    """Searches each predicted place in the right tile: coarse steps, fine steps, then the sub-pixel centroid.
+def search_in_tiles(points: DataFrame, left: DataFrame, right: DataFrame, how: Z.Search, least: float) -> DataFrame:
+    """Looks for points (lccd, rccd, pid, row, col) near their predicted places (pr, pc) in the right tiles, as ``how``
+    says. Returns pid, rccd, mrow, mcol, score of those that reach ``least``.
 
-    ``points`` has lccd, rccd, pid, row, col, pr, pc; ``left`` and ``right`` are tiles. Points of a tile pair
-    are dealt to slices, so that one busy pair is the work of several tasks. The energy 1 - score + smooth *
-    distance to the prediction decides. Returns pid, rccd, mrow, mcol, score.
+    Optional columns: reach_r, reach_c (a reach of each point's own) and ar, ac (the place by the affine, for the
+    gate). Points travel to their images as lists of bounded length.
     """
-    names = ["pid", "row", "col", "pr", "pc"]
-    packed = points.groupBy("lccd", "rccd", F.pmod(F.xxhash64("pid"), F.lit(16)).alias("slice")).agg(F.collect_list(F.struct(*names)).alias("pts"))
+    own = [c for c in ("reach_r", "reach_c", "ar", "ac") if c in points.columns]
     img = lambda t, p: t.select(C("ccd").alias(f"{p}ccd"), C("rows").alias(f"{p}rows"), C("cols").alias(f"{p}cols"), C("samples").alias(f"{p}img"))
-    work = packed.join(img(left, "l"), "lccd").join(img(right, "r"), "rccd")
+    work = listed(points, ["lccd", "rccd"], ["pid", "row", "col", "pr", "pc", *own], ["pid"]).join(img(left, "l"), "lccd").join(img(right, "r"), "rccd")
     kind = points.schema["pid"].dataType.simpleString()
+    nearest = lambda x: int(np.floor(x + 0.5))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
             for w in pdf.itertuples():
-                a, b = np.asarray(w.limg, np.float64).reshape(w.lrows, w.lcols), np.asarray(w.rimg, np.float64).reshape(w.rrows, w.rcols)
+                pair = Z.Pair(np.asarray(w.limg).reshape(w.lrows, w.lcols), np.asarray(w.rimg).reshape(w.rrows, w.rcols), how.kind)
                 for p in w.pts:
-                    pr, pc = int(np.floor(p["pr"] + 0.5)), int(np.floor(p["pc"] + 0.5))
-                    hit = Z.search(a, b, int(p["row"]), int(p["col"]), pr, pc, reach, half)
-                    if hit is None or hit[2] - smooth * np.hypot(hit[0] - pr, hit[1] - pc) < least:
-                        continue
-                    r, c, s = hit
-                    window = np.full((3, 3), np.nan)
-                    left_patch = a[int(p["row"]) - half : int(p["row"]) + half + 1, int(p["col"]) - half : int(p["col"]) + half + 1]
-                    for i in range(-1, 2):
-                        for j in range(-1, 2):
-                            q = b[max(0, r + i - half) : r + i + half + 1, max(0, c + j - half) : c + j + half + 1]
-                            if q.shape == left_patch.shape:
-                                window[i + 1, j + 1] = Z.correlation(left_patch, q)
-                    dr, dc = Z.subpixel(window)
-                    out.append((p["pid"], w.rccd, r + dr, c + dc, s))
+                    reach = (int(p["reach_r"]), int(p["reach_c"])) if "reach_r" in own else None
+                    affine = (p["ar"], p["ac"]) if "ar" in own else None
+                    hit = how.find(pair, nearest(p["row"]), nearest(p["col"]), nearest(p["pr"]), nearest(p["pc"]), reach, affine)
+                    if hit is not None and hit[2] >= least:
+                        out.append((p["pid"], w.rccd, *map(float, hit)))
             yield pd.DataFrame(out, columns=["pid", "rccd", "mrow", "mcol", "score"])
 
     return work.mapInPandas(run, f"pid {kind}, rccd int, mrow double, mcol double, score double")
 
 
+def predict_by_field(points: DataFrame, field: DataFrame, whole: list[float], tile_r: float, tile_c: float, reach: float) -> DataFrame:
+    """Adds pr, pc by the affine of a point's tile (``field``: tile_r, tile_c, f0..f5 of the valid ones); where there is none,
+    or it is more than 4 reach off the affine ``whole`` in either coordinate, by the latter. ``local`` says which."""
+    f = [F.lit(float(x)) for x in whole]
+    place = lambda g: (g[0] * C("row") + g[1] * C("col") + g[2], g[3] * C("row") + g[4] * C("col") + g[5])
+    (gr, gc), (lr, lc) = place(f), place([C(x) for x in fit.AFFINE])
+    d = points.withColumns({"tile_r": F.floor(C("row") / tile_r), "tile_c": F.floor(C("col") / tile_c)}).join(field.select("tile_r", "tile_c", *fit.AFFINE), ["tile_r", "tile_c"], "left")
+    near = F.coalesce((F.abs(lr - gr) <= 4 * reach) & (F.abs(lc - gc) <= 4 * reach), F.lit(False))
+    return d.withColumn("local", near).withColumns({"pr": F.when(C("local"), lr).otherwise(gr), "pc": F.when(C("local"), lc).otherwise(gc)}).drop("tile_r", "tile_c", *fit.AFFINE)
+
+
+def match_by_field(left: DataFrame, right: DataFrame, keys: list[str], field: DataFrame, whole: list[float], tile_r: float, tile_c: float, reach: float, least: float, score: str | None = None) -> DataFrame:
+    """The best right point in the band about each left one's place by the local field. ``score`` names a column that
+    holds it; without, patches are compared."""
+    pairs = joins.band_join(predict_by_field(left, field, whole, tile_r, tile_c, reach), right, ("pr", "pc"), ("rrow", "rcol"), 2.0 * reach, reach, keys)
+    return joins.argmax_pairs(pairs.withColumn("score", C(score)) if score else score_pairs(pairs, blend=False), ["pid"], "score", least, ["rid"])
+
+
+def local_disparity(points: DataFrame, controls: DataFrame, radius: float, least: int = 5, most: int = 24, floor: float = 8.0) -> DataFrame:
+    """Mean and deviation of the disparities of the controls (row, col, mrow, mcol) near each point: those within the radius,
+    at least the ``least`` nearest, ``most`` at most, weighted by a Gaussian of half the radius. Returns pid, n, dr, dc, sr, sc of points
+    with three or more; deviations count as ``floor`` at least. Without any control no point has them."""
+    s = controls.select(F.monotonically_increasing_id().alias("sid"), C("row").alias("srow"), C("col").alias("scol"), (C("mrow") - C("row")).alias("vr"), (C("mcol") - C("col")).alias("vc"))
+    p = points.select("pid", "row", "col")
+    order = ["d2", "vr", "vc", "sid"]
+    nearest = joins.knn_join(p, s, ("row", "col"), ("srow", "scol"), least, ["pid"], order).drop("rk")
+    inside = joins.radius_join(p, s, ("row", "col"), ("srow", "scol"), radius, closed=True)
+    both = nearest.unionByName(inside).dropDuplicates(["pid", "sid"])
+    near = joins.adaptive_neighbours(both, ["pid"], radius, least, most, order).withColumn("w", F.greatest(F.exp(-C("d2") / (radius * radius / 2)), F.lit(1e-6)))
+    mean = near.groupBy("pid").agg(F.count(F.lit(1)).alias("n"), robust.weighted_mean(C("vr"), C("w")).alias("dr"), robust.weighted_mean(C("vc"), C("w")).alias("dc"), F.sum("w").alias("_w")).filter("n >= 3")
+    spread = lambda v, m, out: F.greatest(F.sqrt(F.greatest(F.sum(C("w") * (C(v) - C(m)) * (C(v) - C(m))) / F.max("_w"), F.lit(1.0))), F.lit(floor)).alias(out)
+    d = near.join(mean, "pid")
+    return d.groupBy("pid").agg(F.max("n").alias("n"), F.max("dr").alias("dr"), F.max("dc").alias("dc"), spread("vr", "dr", "sr"), spread("vc", "dc", "sc"))
+
+
+def cross_strip_places(points: DataFrame, controls: DataFrame, whole: list[float], reach: int, radius: float, most: int = 30, blind: int = 96) -> DataFrame:
+    """Where points (pid, row, col in mosaic coordinates) are looked for in the other mosaic: pr, pc, reach_r, reach_c. Near
+    controls by their mean disparity and three deviations (``most`` at most, ``reach`` at least), else by the affine and ``blind``."""
+    d = points.join(local_disparity(points, controls, radius).select("pid", "dr", "dc", "sr", "sc"), "pid", "left")
+    known, f = C("dr").isNotNull(), [F.lit(float(x)) for x in whole]
+    place = lambda a, b, c: a * C("row") + b * C("col") + c
+    far = lambda s: F.when(known, F.greatest(F.lit(reach), F.least(F.lit(most), F.floor(3.0 * s + 0.5)))).otherwise(max(reach, blind)).cast("int")
+    return d.withColumns({
+        "ar": place(*f[:3]), "ac": place(*f[3:]), "pr": F.when(known, C("row") + C("dr")).otherwise(place(*f[:3])), "pc": F.when(known, C("col") + C("dc")).otherwise(place(*f[3:])),
+        "reach_r": far(C("sr")), "reach_c": far(C("sc")),
+    }).drop("dr", "dc", "sr", "sc")
+
+
+def in_two_phases(places: DataFrame, mosaic: DataFrame, find, least: float, wide: int = 160) -> DataFrame:
+    """The best hit of each place: first in its candidate tiles; for places without a hit of ``least``, in all tiles around the
+    affine's place with a reach of ``wide`` at least. ``find(places with tile)`` returns pid, tile, score and more."""
+    best = lambda hits: first_by(hits, ["pid"], [F.desc("score"), "tile"])
+    tried = best(find(joins.candidate_tiles(places, mosaic, "pr", "pc", C("reach_r"), C("reach_c"))))
+    good = tried.filter(C("score") >= least)
+    rest = places.join(good.select("pid"), "pid", "left_anti").withColumns({"pr": C("ar"), "pc": C("ac"), "reach_r": F.greatest("reach_r", F.lit(wide)), "reach_c": F.greatest("reach_c", F.lit(wide))})
+    valid = mosaic.filter("r1 > r0 AND c1 > c0").agg(F.sort_array(F.collect_list("ccd")).alias("_t"))  # one row: a sensor's tiles
+    again = rest.join(F.broadcast(valid)).withColumn("tile", F.explode("_t")).drop("_t").withColumn("tier", F.lit(4))
+    poor = tried.filter(C("score") < least).join(rest.select("pid"), "pid", "left_semi")
+    second = best(find(again).unionByName(poor)).filter(C("score") >= least)
+    return good.withColumn("retried", F.lit(False)).unionByName(second.withColumn("retried", F.lit(True)))
+
+
+def cross_strip_match(points: DataFrame, controls: DataFrame, source: DataFrame, target: DataFrame, whole: list[float], left: DataFrame, right: DataFrame, how: Z.Search, least: float, radius: float = 500.0, wide: int = 160) -> DataFrame:
+    """Matches points (pid, ccd, row, col and the old rccd, mrow, mcol, score, null without) of one strip's tiles in the other
+    strip: places in mosaic coordinates, two phases, and an upsert in which an old match of an equal score stays."""
+    moved = joins.tile_lookup(points, source, "ccd", "s").select("pid", C("ccd").alias("lccd"), C("row").alias("lrow"), C("col").alias("lcol"), (C("row") + C("s_r0")).alias("row"), (C("col") + C("s_c0")).alias("col"))
+    places = cross_strip_places(moved, controls, whole, how.reach, radius)
+
+    def find(d: DataFrame) -> DataFrame:
+        t = joins.tile_lookup(d, target, "tile", "t")
+        asked = t.select("pid", "lccd", C("tile").alias("rccd"), C("lrow").alias("row"), C("lcol").alias("col"), (C("pr") - C("t_r0")).alias("pr"), (C("pc") - C("t_c0")).alias("pc"), "reach_r", "reach_c")
+        return search_in_tiles(asked, left, right, how, -2.0).select("pid", C("rccd").alias("tile"), "mrow", "mcol", "score")
+
+    hits = in_two_phases(places, target, find, least, wide).select("pid", C("tile").alias("rccd"), "mrow", "mcol", "score")
+    return upsert_by_score(points, hits, ["pid"], ["rccd", "mrow", "mcol", "score"], "score", "rccd")
+
+
+def within_strip(tiles: DataFrame, how: Z.Search, least: float, overlap: int = 48, step: tuple[int, int] = (48, 16)) -> DataFrame:
+    """Links of each tile with the next of its strip: grid places in the last ``overlap`` columns, looked for at the same place of
+    the overlap there. Returns ccd_l, row, col, ccd_r, mrow, mcol, score."""
+    r, c = step
+    rows = F.transform(F.sequence(F.lit(1), F.floor(C("rows") / r)), lambda i: ((i - 1) * r + r // 2).cast("int"))
+    cols = F.filter(F.transform(F.sequence(F.lit(1), F.lit(overlap // c)), lambda j: ((j - 1) * c + c // 2 + C("cols") - overlap).cast("int")), lambda x: x >= 0)
+    there = tiles.select(C("ccd").alias("_next")).distinct()
+    grid = tiles.filter(C("rows") >= r).select(C("ccd").alias("lccd"), (C("ccd") + 1).alias("rccd"), "cols", F.explode(rows).alias("row"), cols.alias("_c"))
+    points = grid.join(there, C("rccd") == C("_next")).select("lccd", "rccd", F.explode("_c").alias("col"), "row", "cols")
+    points = points.withColumns({"pr": C("row").cast("double"), "pc": (C("col") - C("cols") + overlap).cast("double"), "pid": (C("lccd").cast("long") * (1 << 40)) + C("row") * (1 << 16) + C("col")})
+    hits = search_in_tiles(points, tiles, tiles, how, least).drop("rccd")
+    return points.select("pid", C("lccd").alias("ccd_l"), "row", "col", C("rccd").alias("ccd_r")).join(hits, "pid").drop("pid")
+
+
 def refine_iteratively(matches: DataFrame, keys: list[str], rounds: int, snapshot, radius: float = 500.0, k: float = 3.0) -> DataFrame:
     """Alternates affine gate and neighbourhood filter; each round's table is a snapshot."""
     now = matches
@@ -192,21 +285,18 @@ def global_affine(matches: DataFrame, mosaic: DataFrame, sigma: float = 150.0, t
     return fit.affine_ransac(on, ["g"], sigma, trials).drop("g")
 
 
-def register_overlap(left: np.ndarray, right: np.ndarray, rows: int, cols: int, half: int = 2, step: int = 16) -> tuple[int, int, float]:
-    """The shift within rows by cols at which sample windows of two overlapping tiles agree best on average."""
-    best = (0, 0, -2.0)
-    for i in range(-rows, rows + 1):
-        for j in range(0, cols):
-            w = min(left.shape[1], right.shape[1]) - j
-            r0, r1 = max(0, i), min(left.shape[0], right.shape[0] + i)
-            if w < 2 * half + 1 or r1 - r0 < 2 * half + 1:
-                continue
-            a, b = left[r0:r1, j : j + w], right[r0 - i : r1 - i, :w]
-            s = [Z.correlation(a[r : r + 2 * half + 1, c : c + 2 * half + 1], b[r : r + 2 * half + 1, c : c + 2 * half + 1]) for r in range(0, a.shape[0] - 2 * half, step) for c in range(0, w - 2 * half, step)]
-            m = float(np.mean(s)) if s else -2.0
-            if m > best[2]:
-                best = (i, j, m)
-    return best
+def register_overlaps(tiles: DataFrame, overlap: int, rows: int, cols: int, half: int = 2, step: int = 16) -> DataFrame:
+    """The shift of each tile against the next of its strip, from the last ``overlap`` columns of one and the first of the other:
+    ccd, dr, dc, score. A task compares one pair of tiles."""
+    right = tiles.select((C("ccd") - 1).alias("ccd"), C("rows").alias("rrows"), C("cols").alias("rcols"), C("samples").alias("rsamples"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            shape = lambda v, r, c: np.asarray(v, np.float64).reshape(r, c)
+            out = [(w.ccd, *Z.register(shape(w.samples, w.rows, w.cols)[:, -overlap:], shape(w.rsamples, w.rrows, w.rcols)[:, :overlap], rows, cols, half, step)) for w in pdf.itertuples()]
+            yield pd.DataFrame(out, columns=["ccd", "dr", "dc", "score"])
+
+    return tiles.select("ccd", "rows", "cols", "samples").join(right, "ccd").mapInPandas(run, "ccd int, dr int, dc int, score double")
 
 
 def rematch_features(points: DataFrame, seeds: DataFrame, right: DataFrame, affines: DataFrame, keys: list[str], radius: float = 500.0, near: float = 64.0, far: float = 128.0, seed_min: int = 3, least: float = 0.6) -> DataFrame:
@@ -234,10 +324,27 @@ def inter_tile_ties(left_links: DataFrame, cross: DataFrame, right_links: DataFr
     return l.join(side("a"), ["accd", "ar", "ac"]).join(side("b"), ["bccd", "br", "bc"]).join(r, ["aimg", "amr", "amc", "bimg", "bmr", "bmc"])
 
 
-def semi_dense(cells: DataFrame, left: DataFrame, right: DataFrame, keys: list[str], reach: int = 8, half: int = 4, least: float = 0.5) -> DataFrame:
-    """Grid points matched around their predictions and upserted over all right tiles."""
-    hits = search_in_tiles(cells, left, right, reach, half, least)
+def semi_dense(cells: DataFrame, left: DataFrame, right: DataFrame, keys: list[str], how: Z.Search = Z.Search(smooth=0.1, gate=128.0), least: float = 0.5) -> DataFrame:
+    """Grid points matched around their predictions (pr, pc; the affine's place ar, ac for the gate) under an energy of score
+    and distance, and upserted over all right tiles."""
+    hits = search_in_tiles(cells, left, right, how, least)
     base = cells.select(*keys, "pid", "row", "col").dropDuplicates(["pid"]).select("*", F.lit(None).cast("int").alias("rccd"), *(F.lit(None).cast("double").alias(c) for c in ("mrow", "mcol", "score")))
     return upsert_by_score(base, hits, ["pid"], ["rccd", "mrow", "mcol", "score"], "score", "rccd")
 
 
+def refine_globally(matches: DataFrame, left: DataFrame, right: DataFrame, reach: int = 2, half: int = 9, smooth: float = 0.0) -> DataFrame:
+    """Sub-pixel places of matches (pid, lccd, rccd, row, col, mrow, mcol): the centroid of all places within reach under
+    weights exp(-3 energy), without a gate. What has no window keeps its place."""
+    asked = matches.select("pid", "lccd", "rccd", "row", "col", C("mrow").alias("pr"), C("mcol").alias("pc"))
+    hits = search_in_tiles(asked, left, right, Z.Search(reach, half, 1, smooth=smooth, blur=3.0), -2.0)
+    better = hits.select("pid", C("mrow").alias("_r"), C("mcol").alias("_c"), C("score").alias("_s"))
+    d = matches.join(better, "pid", "left")
+    out = {"mrow": F.coalesce("_r", "mrow"), "mcol": F.coalesce("_c", "mcol")} | ({"score": F.coalesce("_s", "score")} if "score" in matches.columns else {})
+    return d.withColumns(out).drop("_r", "_c", "_s")
+
+
+def tie_points(left: DataFrame, right: DataFrame, cross, how: Z.Search, least: float, keep, overlap: int = 48, step: tuple[int, int] = (48, 16)) -> DataFrame:
+    """Tie points over the seams of two strips: links inside the left strip, filtered by ``keep``; both their ends matched
+    across by ``cross``; and links inside the right strip that join the same places."""
+    own, other = (keep(within_strip(t, how, least, overlap, step)) for t in (left, right))
+    return inter_tile_ties(own, cross(own), other)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -56,6 +58,34 @@ def observe(points: DataFrame, image: int, row: str, col: str, ccd: str, io: Dat
     return d.select("point_id", F.lit(image).alias("image"), F.lit(image).alias("ord"), "xp", "yp", "et", "Xs", "Ys", "Zs", "phi", "omega", "kappa", x.alias("X"), y.alias("Y"), z.alias("Z"))
 
 
+def ray_dem(rays: DataFrame, keys: list[str], dem: DataFrame, rows: int, cols: int, tol: float = 0.01, rounds: int = 100, radius: float = geo.RADIUS, every: int = 4) -> DataFrame:
+    """Where rays (direction d0..d2, origin o0..o2) meet a raster of heights (r, c, h; latitude downwards, longitude wrapping).
+
+    Each round meets the sphere through the height found last and looks the height there up, by a join, so the
+    raster may have any size. It ends when heights change by less than ``tol``. Returns keys, x, y, z, h, settled;
+    rays that miss have nulls and are settled. Every few rounds the table is a checkpoint, which cuts its plan.
+    """
+    from .grid import dem_nearest
+
+    spark = rays.sparkSession
+    now = rays.select(*keys, *(f"d{i}" for i in range(3)), *(f"o{i}" for i in range(3)), F.lit(0.0).alias("_h"), F.lit(False).alias("_done"), *(F.lit(None).cast("double").alias(c) for c in ("_x", "_y", "_z")))
+    places = dem.select("r", "c", C("h").alias("_n"))
+    for k in range(rounds):
+        x, y, z = geo.ray_sphere([C(f"d{i}") for i in range(3)], [C(f"o{i}") for i in range(3)], radius + C("_h"))
+        d = settled(now, {"_gx": x, "_gy": y, "_gz": z})
+        lat, lon, _ = geo.to_lat_lon(C("_gx"), C("_gy"), C("_gz"), radius)
+        d = settled(d, {"_row": (90.0 - lat) / 180.0 * (rows - 1), "_col": (lon + 180.0) / 360.0 * (cols - 1)})
+        d = dem_nearest(d, places, "_row", "_col", "_n")
+        new = F.coalesce("_n", "_h")
+        held = lambda was, now_: F.when(C("_done"), C(was)).otherwise(C(now_)).alias(was)
+        now = d.select(*keys, *(f"d{i}" for i in range(3)), *(f"o{i}" for i in range(3)), F.when(C("_done"), C("_h")).otherwise(new).alias("_h"), (C("_done") | (F.abs(new - C("_h")) < tol) | C("_gx").isNull()).alias("_done"), held("_x", "_gx"), held("_y", "_gy"), held("_z", "_gz"))
+        if k % every == every - 1:
+            now = now.checkpoint() if spark.sparkContext.getCheckpointDir() else now
+            if now.filter("NOT _done").isEmpty():
+                break
+    return now.select(*keys, C("_x").alias("x"), C("_y").alias("y"), C("_z").alias("z"), F.when(C("_x").isNotNull(), C("_h")).alias("h"), C("_done").alias("settled"))
+
+
 def footprint(rows: DataFrame, io: DataFrame, timing: DataFrame, polys: DataFrame) -> DataFrame:
     """Longitude, latitude and height of the four corners of each tile (ccd, rows, cols)."""
     corners = F.array(*(F.struct(F.lit(k).alias("k"), r.alias("row"), c.alias("col")) for k, (r, c) in enumerate([(F.lit(0.0), F.lit(0.0)), (F.lit(0.0), C("cols") * 1.0), (C("rows") * 1.0, F.lit(0.0)), (C("rows") * 1.0, C("cols") * 1.0)])))
@@ -70,9 +100,6 @@ def ground_to_image(points: DataFrame, begin: float, line_rate: float, params: l
 
     Vectorised over an Arrow batch. Adds img_row and img_col, null where it doesn't settle.
     """
-    import numpy as np
-    import pandas as pd
-
     from .triangulate import project
 
     @F.pandas_udf("struct<img_row: double, img_col: double>")
@@ -90,7 +117,7 @@ def ground_to_image(points: DataFrame, begin: float, line_rate: float, params: l
             det = io[1] * io[5] - io[2] * io[4]
             sample = ((a * io[5] - b * io[2]) / det + 1024) / binning + 0.5
             line = (b * io[1] - a * io[4]) / det - (tdi / 2 - 64 - (binning / 2 - 0.5))
-            if not (np.abs(line) >= 1e-3).any():
+            if not (np.abs(line) >= 1e-6).any():
                 break
             et = et + np.where(np.isfinite(line), line, 0) * line_rate * binning
         ok = np.abs(line) < 1

@@ -9,23 +9,30 @@ from ..functions import geometry as geo
 from . import proxies as P
 from .proxies import r6
 from .registry import query
+from .sqltext import observed, solved
 
 C = F.col
 
 
 @query("ag11_affine_least_squares", """WITH c AS (SELECT ccd, avg(row) AS cr, avg(col) AS cc, avg(mrow) AS mr, avg(mcol) AS mc FROM matched GROUP BY ccd), d AS (SELECT m.ccd, row - cr AS x, col - cc AS y, mrow - mr AS u, mcol - mc AS v FROM matched m JOIN c ON m.ccd = c.ccd),
 s AS (SELECT ccd, count(*) AS n, sum(x*x) AS xx, sum(x*y) AS xy, sum(y*y) AS yy, sum(x*u) AS xu, sum(y*u) AS yu, sum(x*v) AS xv, sum(y*v) AS yv FROM d GROUP BY ccd), f AS (SELECT *, CASE WHEN xx*yy - xy*xy > 1e-9 * xx * yy THEN xx*yy - xy*xy END AS det FROM s)
-SELECT f.ccd, n, round((xu*yy - yu*xy) / det, 5) + 0.0 AS f0, round((yu*xx - xu*xy) / det, 5) + 0.0 AS f1, round(mr - (xu*yy - yu*xy) / det * cr - (yu*xx - xu*xy) / det * cc, 4) + 0.0 AS f2, round((xv*yy - yv*xy) / det, 5) + 0.0 AS f3, round((yv*xx - xv*xy) / det, 5) + 0.0 AS f4 FROM f JOIN c ON f.ccd = c.ccd""")
+SELECT f.ccd, n, round((xu*yy - yu*xy) / det, 5) + 0.0 AS f0, round((yu*xx - xu*xy) / det, 5) + 0.0 AS f1, round(mr - (xu*yy - yu*xy) / det * cr - (yu*xx - xu*xy) / det * cc, 4) + 0.0 AS f2, round((xv*yy - yv*xy) / det, 5) + 0.0 AS f3, round((yv*xx - xv*xy) / det, 5) + 0.0 AS f4, round(mc - (xv*yy - yv*xy) / det * cr - (yv*xx - xv*xy) / det * cc, 4) + 0.0 AS f5 FROM f JOIN c ON f.ccd = c.ccd""")
 def ag11(spark, sf_dir):
     f = robust.solve_affine(P.matched(spark, sf_dir), ["ccd"], "row", "col", "mrow", "mcol")
-    return f.select("ccd", "n", r6(C("f0"), 5).alias("f0"), r6(C("f1"), 5).alias("f1"), r6(C("f2"), 4).alias("f2"), r6(C("f3"), 5).alias("f3"), r6(C("f4"), 5).alias("f4"))
+    return f.select("ccd", "n", r6(C("f0"), 5).alias("f0"), r6(C("f1"), 5).alias("f1"), r6(C("f2"), 4).alias("f2"), r6(C("f3"), 5).alias("f3"), r6(C("f4"), 5).alias("f4"), r6(C("f5"), 4).alias("f5"))
 
 
-@query("ag12_quadratic_surface")
+_BASIS = ["1.0", "x", "y", "x*x", "x*y", "y*y"]
+_SUMS = ", ".join([f"sum(w * {_BASIS[i]} * {_BASIS[j]}) AS a{i}{j}" for i in range(6) for j in range(i, 6)] + [f"sum(w * {_BASIS[i]} * dr) AS b{i}" for i in range(6)])
+
+
+@query("ag12_quadratic_surface", f"""WITH w0 AS (SELECT l.pid, s.row - l.row AS x, s.col - l.col AS y, s.mrow - s.row AS dr, (l.row - s.row)*(l.row - s.row) + (l.col - s.col)*(l.col - s.col) AS d2 FROM pt l JOIN matched s ON l.ccd = s.ccd AND abs(l.row - s.row) < 500),
+su AS (SELECT pid, count(*) AS n, {_SUMS} FROM (SELECT *, exp(-d2 / 80000.0) AS w FROM w0 WHERE d2 < 250000) GROUP BY pid), {solved('(SELECT * FROM su WHERE n >= 6)', 'pid', lambda i, j: f'a{i}{j}', lambda i: f'b{i}', 6)}
+SELECT su.pid, n, round(CASE WHEN least_pivot > 1e-9 THEN x0 ELSE b0 / a00 END, 3) + 0.0 AS pred FROM su LEFT JOIN xs ON su.pid = xs.pid""")
 def ag12(spark, sf_dir):
     m = P.matched(spark, sf_dir)
     s = m.select("ccd", C("pid").alias("sid"), C("row").alias("srow"), C("col").alias("scol"), (C("mrow") - C("row")).alias("dr"))
-    near = joins.radius_join(P.pt(spark, sf_dir).select("ccd", "pid", "row", "col"), s, ("row", "col"), ("srow", "scol"), 500.0, ["ccd"])
+    near = joins.radius_join(P.pt(spark, sf_dir).select("ccd", "pid", "row", "col"), s.drop("sid"), ("row", "col"), ("srow", "scol"), 500.0, ["ccd"])
     pairs = near.select("pid", (C("srow") - C("row")).alias("x"), (C("scol") - C("col")).alias("y"), "dr", geo.gaussian(F.sqrt("d2"), 200.0).alias("w"))
     return fit.quadratic_surface(pairs, ["pid"], "x", "y", "dr", "w", "pred").select("pid", "n", r6(C("pred"), 3).alias("pred"))
 
@@ -40,60 +47,107 @@ def ag15(spark, sf_dir):
     return fit.local_affine_field(P.matched(spark, sf_dir).select("row", "col", "mrow", "mcol"), 8000.0, 50.0, 20.0, 60)
 
 
-@query("ag16_time_polynomial", """WITH g AS (SELECT oid % 8 AS strip, t, y FROM ephem), b AS (SELECT strip, min(t) AS t0, max(t) - min(t) AS span FROM g GROUP BY strip)
-SELECT strip, t0, 8 AS terms FROM b""")
+_POWERS = ", ".join([f"sum(power(u, {k})) AS s{k}" for k in range(7)] + [f"sum(power(u, {k}) * v) AS w{k}" for k in range(4)])
+
+
+@query("ag16_time_polynomial", f"""WITH g AS (SELECT oid % 8 AS strip, t, y FROM ephem), b AS (SELECT strip, min(t) AS t0, max(t) - min(t) AS span FROM g GROUP BY strip),
+l AS (SELECT strip, t, 'y' AS param, y AS v FROM g UNION ALL SELECT strip, t, 'half', y * 0.5 FROM g), su AS (SELECT l.strip, param, any_value(t0) AS t0, {_POWERS} FROM (SELECT l.*, t0, (t - t0) / span AS u FROM l JOIN b ON l.strip = b.strip) l GROUP BY l.strip, param),
+{solved('su', 'strip, param, t0', lambda i, j: f's{i + j}', lambda i: f'w{i}', 4)} SELECT strip, param, t0, round(x0, 2) + 0.0 AS c0, round(x1, 2) + 0.0 AS c1, round(x2, 2) + 0.0 AS c2, round(x3, 2) + 0.0 AS c3 FROM xs""")
 def ag16(spark, sf_dir):
     g = P.ephem(spark, sf_dir).select((C("oid") % 8).alias("strip"), "t", C("y"), (C("y") * 0.5).alias("half"))
-    p = fit.time_polynomials(g, ["strip"], "t", ["y", "half"])
-    return p.groupBy("strip", "t0").agg(F.sum(F.size("coefs")).cast("int").alias("terms"))
+    span = g.groupBy("strip").agg((F.max("t") - F.min("t")).alias("span"))
+    p = fit.time_polynomials(g, ["strip"], "t", ["y", "half"]).join(span, "strip")
+    # coefficients per span of the strip, so that all are of a size with the values
+    return p.select("strip", "param", "t0", *(r6(C("coefs")[k] * F.pow("span", F.lit(float(k))), 2).alias(f"c{k}") for k in range(4)))
 
 
 @query("g16_denoise")
 def g16(spark, sf_dir):
-    cloud = P.cloud(spark, sf_dir).withColumn("key", F.xxhash64("x", "y", "z", "strip")).dropDuplicates(["key"])
+    from . import proxies
+
+    li = proxies.table(spark, sf_dir, "lineitem")
+    cloud = li.select((C("l_quantity") * 10).alias("x"), (C("l_discount") * 1000).alias("y"), (C("l_extendedprice") / 1000).alias("z"), C("l_returnflag").alias("strip"), F.monotonically_increasing_id().alias("key"))
     return denoise.denoise(cloud, "key", 50.0).groupBy("strip", "reason").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _io_table(spark):
+    return P.mosaic(spark).select("ccd", *(F.lit(v).alias(n) for n, v in (("x0", 0.01), ("x_s", 0.012), ("x_l", 0.0001), ("y0", -0.02), ("y_s", 0.0002), ("y_l", -0.012), ("k0", 1e-4), ("k1", 2e-6), ("k2", 3e-9))))
+
+
+_PX, _PY = "(0.01 + 0.012 * {s})", "(-0.02 + 0.0002 * {s})"
+
+
 def _stereo(spark, sf_dir):
-    """Two views of ground points made of the point proxy, on a simple pair of trajectories."""
+    """Two views of the point proxy, from a pair of trajectories that change over time."""
     from ..operators import observations
 
-    io = P.mosaic(spark).select("ccd", *(F.lit(v).alias(n) for n, v in (("x0", 0.0), ("x_s", 0.012), ("x_l", 0.0), ("y0", 0.0), ("y_s", 0.0), ("y_l", 0.012), ("k0", 0.0), ("k1", 0.0), ("k2", 0.0))))
     timing = P.mosaic(spark).select("ccd", F.lit(0.0).alias("begin"), F.lit(1e-4).alias("line_rate"))
-    pose = lambda y, tilt: [[0.0, v, 0.0, 0.0, 0.0] for v in (0.0, y, 3.7e6, 0.0, tilt, 0.0)]
     both = None
     for image, (y, tilt) in enumerate(((-3.0e4, 0.1), (3.0e4, -0.1))):
-        polys = spark.range(1).select(*(F.array(*map(F.lit, p)).alias(f"p{i}") for i, p in enumerate(pose(y, tilt))))
+        pose = [[0.0, 5.0, 10.0, 0.0, 0.0], [0.0, y, 1.5, 0.25, 0.0], [0.0, 3.7e6, 0.0, 0.0, 0.0], [0.0, 0.001, 0.0, 0.0, 0.0], [0.0, tilt, 1e-5, 0.0, 0.0], [0.0, 0.002, 0.0, 0.0, 1e-7]]
+        polys = spark.range(1).select(*(F.array(*map(F.lit, p)).alias(f"p{i}") for i, p in enumerate(pose)))
         pts = P.pt(spark, sf_dir).select(C("pid").alias("point_id"), "ccd", "row", "col")
-        one = observations.observe(pts, image, "row", "col", "ccd", io, timing, polys)
+        one = observations.observe(pts, image, "row", "col", "ccd", _io_table(spark), timing, polys)
         both = one if both is None else both.unionByName(one)
     return both
 
 
-@query("b1_observations", """WITH v(image, y, w) AS (VALUES (0, -3.0e4::DOUBLE, 0.1::DOUBLE), (1, 3.0e4::DOUBLE, -0.1::DOUBLE))
-SELECT pid AS point_id, image, round(0.012 * ((col - 0.5) * 1.0 - 1024.0), 6) + 0.0 AS xp, round(row * 0.0001, 9) + 0.0 AS et FROM pt, v""")
+@query("b1_observations", f"""WITH v(image, py0, pw) AS (VALUES (0, -3.0e4::DOUBLE, 0.1::DOUBLE), (1, 3.0e4::DOUBLE, -0.1::DOUBLE)), o0 AS (SELECT pid AS point_id, image, py0, pw, (col - 0.5) * 1.0 - 1024.0 AS s, row * 0.0001 AS et FROM pt, v),
+o1 AS (SELECT *, {_PX.format(s='s')} AS px, {_PY.format(s='s')} AS py, 10.0 * et + 5.0 AS xo, (0.25 * et + 1.5) * et + py0 AS yo, 3.7e6::DOUBLE AS zo, 0.001::DOUBLE AS phi, 1e-5 * et + pw AS omega, 1e-7 * et * et * et + 0.002 AS kappa FROM o0), {observed('o1')}
+SELECT point_id, image, round(xp, 6) + 0.0 AS xp, round(yp, 6) + 0.0 AS yp, round(et, 9) + 0.0 AS et, round(xo, 6) + 0.0 AS "Xs", round(yo, 6) + 0.0 AS "Ys", round(zo, 6) + 0.0 AS "Zs", phi, round(omega, 9) + 0.0 AS omega, round(kappa, 9) + 0.0 AS kappa,
+round(gx, 2) + 0.0 AS "X", round(gy, 2) + 0.0 AS "Y", round(gz, 2) + 0.0 AS "Z" FROM ob""")
 def b1(spark, sf_dir):
-    return _stereo(spark, sf_dir).select("point_id", "image", r6(C("xp")).alias("xp"), r6(C("et"), 9).alias("et"))
+    digits = {"et": 9, "omega": 9, "kappa": 9, "X": 2, "Y": 2, "Z": 2}
+    names = ["xp", "yp", "et", "Xs", "Ys", "Zs", "phi", "omega", "kappa", "X", "Y", "Z"]
+    return _stereo(spark, sf_dir).select("point_id", "image", *(r6(C(n), digits.get(n, 6)).alias(n) for n in names))
 
 
-@query("b3_forward_intersection")
+@query("b3_forward_intersection", """SELECT pid AS point_id, floor(row) * 50 - 1.1e6 + 0.2 AS "X", col * 3000 - 2e5 + 0.2 AS "Y", floor(sqrt(3396190.0::DOUBLE * 3396190.0 - (floor(row) * 50 - 1.1e6) * (floor(row) * 50 - 1.1e6) - (col * 3000 - 2e5) * (col * 3000 - 2e5))) + 0.2 AS "Z",
+0.0::DOUBLE AS res0, 0.0::DOUBLE AS res1 FROM pt""")
 def b3(spark, sf_dir):
     from ..operators import triangulate
 
-    rays = _stereo(spark, sf_dir).filter("Z IS NOT NULL")
-    return triangulate.forward_intersection(rays).select("point_id", r6(C("Z"), 0).alias("Z"))
+    x, y = F.floor("row") * 50 - 1.1e6, C("col") * 3000 - 2e5
+    z = F.floor(F.sqrt(F.lit(geo.RADIUS) * geo.RADIUS - x * x - y * y))
+    ground = P.pt(spark, sf_dir).select(C("pid").alias("point_id"), (x + 0.2).alias("gx"), (y + 0.2).alias("gy"), (z + 0.2).alias("gz"))
+    both = None
+    for image, (ys, tilt) in enumerate(((-3.0e5, 0.1), (3.0e5, -0.1))):
+        pose = dict(zip(("Xs", "Ys", "Zs", "phi", "omega", "kappa"), (0.0, ys, 3.7e6, 0.001, tilt, 0.002), strict=True))
+        u, v = geo.ground_to_focal(geo.rotation(*(F.lit(pose[a]) for a in ("phi", "omega", "kappa"))), [F.lit(pose[a]) for a in ("Xs", "Ys", "Zs")], [C("gx"), C("gy"), C("gz")], F.lit(11995.48))
+        one = ground.select("point_id", F.lit(image).alias("ord"), u.alias("xp"), v.alias("yp"), *(F.lit(a).alias(n) for n, a in pose.items()), (C("gx") + 40.0).alias("X"), (C("gy") - 30.0).alias("Y"), (C("gz") + 50.0).alias("Z"))
+        both = one if both is None else both.unionByName(one)
+    out = triangulate.forward_intersection(both)
+    return out.select("point_id", *(r6(C(n), 1).alias(n) for n in "XYZ"), r6(C("res0"), 3).alias("res0"), r6(C("res1"), 3).alias("res1"))
 
 
-@query("pr28_footprint")
+@query("pr28_footprint", f"""WITH k(corner, fr, fc) AS (VALUES (0, 0.0::DOUBLE, 0.0::DOUBLE), (1, 0, 1), (2, 1, 0), (3, 1, 1)), o0 AS (SELECT ccd, corner, fr * (r1 - r0) AS row, fc * (c1 - c0) AS col FROM mosaic, k),
+o1 AS (SELECT *, {_PX.format(s='(col - 0.5 - 1024.0)')} AS px, {_PY.format(s='(col - 0.5 - 1024.0)')} AS py, 100.0 * row * 1e-4 AS xo, 0.0::DOUBLE AS yo, 3.7e6::DOUBLE AS zo, 0.0::DOUBLE AS phi, 0.0::DOUBLE AS omega, 0.0::DOUBLE AS kappa FROM o0), {observed('o1')}
+SELECT ccd, corner, round(degrees(asin(gz / sqrt(gx*gx + gy*gy + gz*gz))), 6) + 0.0 AS lat, round(degrees(atan2(gy, gx)), 6) + 0.0 AS lon, round(sqrt(gx*gx + gy*gy + gz*gz) - 3396190.0, 3) + 0.0 AS h FROM ob""")
 def pr28(spark, sf_dir):
     from ..operators import observations
 
-    io = P.mosaic(spark).select("ccd", *(F.lit(v).alias(n) for n, v in (("x0", 0.0), ("x_s", 0.012), ("x_l", 0.0), ("y0", 0.0), ("y_s", 0.0), ("y_l", 0.012), ("k0", 0.0), ("k1", 0.0), ("k2", 0.0))))
     timing = P.mosaic(spark).select("ccd", F.lit(0.0).alias("begin"), F.lit(1e-4).alias("line_rate"))
-    polys = spark.range(1).select(*(F.array(*map(F.lit, [0.0, v, 0.0, 0.0, 0.0])).alias(f"p{i}") for i, v in enumerate((0.0, 0.0, 3.7e6, 0.0, 0.0, 0.0))))
+    polys = spark.range(1).select(*(F.array(*map(F.lit, [0.0, v, w, 0.0, 0.0])).alias(f"p{i}") for i, (v, w) in enumerate(((0.0, 100.0), (0.0, 0.0), (3.7e6, 0.0), (0.0, 0.0), (0.0, 0.0), (0.0, 0.0)))))
     size = P.mosaic(spark).select("ccd", (C("r1") - C("r0")).alias("rows"), (C("c1") - C("c0")).alias("cols"))
-    foot = observations.footprint(size, io, timing, polys)
-    return foot.select("ccd", "corner", *(r6(C(x)).alias(x) for x in ("lat", "lon", "h")))
+    foot = observations.footprint(size, _io_table(spark), timing, polys)
+    return foot.select("ccd", "corner", r6(C("lat")).alias("lat"), r6(C("lon")).alias("lon"), r6(C("h"), 3).alias("h"))
+
+
+@query("pr18_ground_to_image", "SELECT pid, round(row, 2) + 0.0 AS img_row, round(col, 2) + 0.0 AS img_col FROM pt")
+def pr18(spark, sf_dir):
+    """From the image to the ground and back; without distortion, whose inverse is an approximation."""
+    from ..operators import observations
+
+    io = [0.01, 0.012, 0.0001, -0.02, 0.0002, -0.012, 0.0, 0.0, 0.0]
+    names = ["x0", "x_s", "x_l", "y0", "y_s", "y_l", "k0", "k1", "k2"]
+    table = P.mosaic(spark).select("ccd", *(F.lit(v).alias(n) for n, v in zip(names, io, strict=True)))
+    timing = P.mosaic(spark).select("ccd", F.lit(0.0).alias("begin"), F.lit(1e-4).alias("line_rate"))
+    pose = [[0.0, 0.0, 1.0, 0.0, 0.0], [0.0, 0.0, 3000.0, 0.0, 0.0], [0.0, 3.7e6, 0.0, 0.0, 0.0], [0.0, 0.001, 0.0, 0.0, 0.0], [0.0, 0.002, 0.0, 0.0, 0.0], [0.0, 0.0, 0.0, 0.0, 0.0]]
+    polys = spark.range(1).select(*(F.array(*map(F.lit, p)).alias(f"p{i}") for i, p in enumerate(pose)))
+    pts = P.pt(spark, sf_dir).select(C("pid").alias("point_id"), "ccd", "row", "col")
+    ground = observations.observe(pts, 0, "row", "col", "ccd", table, timing, polys).select(C("point_id").alias("pid"), "X", "Y", "Z")
+    back = observations.ground_to_image(ground, 0.0, 1e-4, pose, io, 44000)
+    return back.select("pid", r6(C("img_row"), 2).alias("img_row"), r6(C("img_col"), 2).alias("img_col"))
 
 
 @query("m8_global_affine")

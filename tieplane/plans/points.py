@@ -54,29 +54,29 @@ def pr4(spark, sf_dir):
     return P.pt(spark, sf_dir).select("pid", r.alias("pr"), c.alias("pc"))
 
 
-@query("pr5_affine_frame_shift", """SELECT l.ccd AS left_ccd, r.ccd AS right_ccd, round(-2.0::DOUBLE + 1.0 * l.r0 + 0.001 * l.c0 - r.r0, 6) + 0.0 AS f2, round(3.0::DOUBLE + 0.0005 * l.r0 + 0.99 * l.c0 - r.c0, 6) + 0.0 AS f5
+@query("pr5_affine_frame_shift", """SELECT l.ccd AS left_ccd, r.ccd AS right_ccd, 1.0::DOUBLE AS f0, 0.001::DOUBLE AS f1, 0.0005::DOUBLE AS f3, 0.99::DOUBLE AS f4, round(-2.0::DOUBLE + 1.0 * l.r0 + 0.001 * l.c0 - r.r0, 6) + 0.0 AS f2, round(3.0::DOUBLE + 0.0005 * l.r0 + 0.99 * l.c0 - r.c0, 6) + 0.0 AS f5
 FROM mosaic l, mosaic r""")
 def pr5(spark, sf_dir):
     m = P.mosaic(spark)
     pairs = m.select(C("ccd").alias("left_ccd"), C("r0").alias("a"), C("c0").alias("b")).crossJoin(m.select(C("ccd").alias("right_ccd"), C("r0").alias("c"), C("c0").alias("d")))
     f = geo.affine_shift(AFFINE, C("a"), C("b"), C("c"), C("d"))
-    return pairs.select("left_ccd", "right_ccd", r6(f[2]).alias("f2"), r6(f[5]).alias("f5"))
+    return pairs.select("left_ccd", "right_ccd", *(r6(x).alias(f"f{i}") for i, x in enumerate(f)))
 
 
 _DET = "(1.0 + 0.001 * ccd) * 0.99 - 0.001 * 0.0005"
 
 
-@query("pr6_affine_inverse", f"SELECT ccd, round(0.99 / ({_DET}), 6) + 0.0 AS f0, round(-0.001 / ({_DET}), 6) + 0.0 AS f1, round((0.001 * 3.0 - 0.99 * -2.0) / ({_DET}), 6) + 0.0 AS f2, round((1.0 + 0.001 * ccd) / ({_DET}), 6) + 0.0 AS f4 FROM mosaic")
+@query("pr6_affine_inverse", f"SELECT ccd, round(0.99 / ({_DET}), 6) + 0.0 AS f0, round(-0.001 / ({_DET}), 6) + 0.0 AS f1, round((0.001 * 3.0 - 0.99 * -2.0) / ({_DET}), 6) + 0.0 AS f2, round(-0.0005 / ({_DET}), 6) + 0.0 AS f3, round((1.0 + 0.001 * ccd) / ({_DET}), 6) + 0.0 AS f4, round((0.0005 * -2.0 - (1.0 + 0.001 * ccd) * 3.0) / ({_DET}), 6) + 0.0 AS f5 FROM mosaic")
 def pr6(spark, sf_dir):
     f = geo.affine_inverse([1.0 + 0.001 * C("ccd"), *map(F.lit, AFFINE[1:])])
-    return P.mosaic(spark).select("ccd", r6(f[0]).alias("f0"), r6(f[1]).alias("f1"), r6(f[2]).alias("f2"), r6(f[4]).alias("f4"))
+    return P.mosaic(spark).select("ccd", *(r6(x).alias(f"f{i}") for i, x in enumerate(f)))
 
 
-@query("pr7_affine_upsample", "SELECT ccd, -2.0 * (1 << ccd) + 0.0::DOUBLE AS f2, 3.0 * (1 << ccd) + 0.0::DOUBLE AS f5 FROM mosaic")
+@query("pr7_affine_upsample", "SELECT ccd, 1.0::DOUBLE AS f0, 0.001::DOUBLE AS f1, -4.0 * (1 << ccd) + 0.0::DOUBLE AS f2, 0.0005::DOUBLE AS f3, 0.99::DOUBLE AS f4, 6.0 * (1 << ccd) + 0.0::DOUBLE AS f5 FROM mosaic")
 def pr7(spark, sf_dir):
     m = P.mosaic(spark).withColumn("s", F.expr("cast(shiftleft(1, ccd) AS double)"))
-    f = geo.affine_upsample([1.0, 0.001, C("s") * -2.0, 0.0005, 0.99, C("s") * 3.0], 1.0)
-    return m.select("ccd", f[2].alias("f2"), f[5].alias("f5"))
+    f = geo.affine_upsample([1.0, 0.001, C("s") * -2.0, 0.0005, 0.99, C("s") * 3.0], 2.0)
+    return m.select("ccd", *(x.cast("double").alias(f"f{i}") for i, x in enumerate(f)))
 
 
 def _io(ccd):
@@ -165,12 +165,13 @@ def pr15(spark, sf_dir):
 
 
 @query("pr17_ground_to_focal", _ROT + """, v AS (SELECT pid, r0*(row - 10) + r3*(col - 20) + r6*-3000.0 AS a, r1*(row - 10) + r4*(col - 20) + r7*-3000.0 AS b, r2*(row - 10) + r5*(col - 20) + r8*-3000.0 AS c FROM m JOIN (SELECT pid, row, col FROM pt) USING (pid))
-SELECT pid, round(11995.48 / nullif(c, 0) * a, 3) + 0.0 AS x, round(11995.48 / nullif(c, 0) * b, 3) + 0.0 AS y FROM v WHERE abs(c) > 1""")
+SELECT pid, round(11995.48 / nullif(c, 0) * a, CASE WHEN abs(c) > 1 THEN 3 ELSE -2 END) + 0.0 AS x, round(11995.48 / nullif(c, 0) * b, CASE WHEN abs(c) > 1 THEN 3 ELSE -2 END) + 0.0 AS y FROM v""")
 def pr17(spark, sf_dir):
     ground, origin = [C("row"), C("col"), F.lit(-3000.0)], [F.lit(10.0), F.lit(20.0), F.lit(0.0)]
     x, y = geo.ground_to_focal(_rotation(), origin, ground, F.lit(11995.48))
     deep = C("r2") * (C("row") - 10) + C("r5") * (C("col") - 20) + C("r8") * -3000.0
-    return _posed(spark, sf_dir).filter(F.abs(deep) > 1).select("pid", r6(x, 3).alias("x"), r6(y, 3).alias("y"))
+    near = lambda v: F.when(F.abs(deep) > 1, r6(v, 3)).otherwise(r6(v, -2))  # noqa: E731  next to the camera's plane places run off
+    return _posed(spark, sf_dir).select("pid", near(x).alias("x"), near(y).alias("y"))
 
 
 @query("pr20_lat_lon", """WITH g AS (SELECT pid, row * 50 + 1e6 AS x, col * 3000 + 5e5 AS y, score * 100 + 3e6 AS z FROM pt), q AS (SELECT *, sqrt(x*x + y*y + z*z) AS rho FROM g)
@@ -190,11 +191,14 @@ def pr21(spark, sf_dir):
     return g.join(F.broadcast(k)).select("pid", r6(e, 2).alias("e"), r6(n, 2).alias("n"), r6(h, 2).alias("h"))
 
 
-@query("pr23_quaternion", _ROT + """, q2 AS (SELECT *, r0 + r4 + r8 AS t, 2 * sqrt(greatest(0, 1 + r0 + r4 + r8)) AS s0 FROM m)
-SELECT pid, round(s0 / 4, 6) + 0.0 AS w, round((r7 - r5) / s0, 6) + 0.0 AS x, round((r2 - r6) / s0, 6) + 0.0 AS y, round((r3 - r1) / s0, 6) + 0.0 AS z FROM q2 WHERE t > 0""")
+@query("pr23_quaternion", _ROT + """, q2 AS (SELECT *, CASE WHEN r0 + r4 + r8 > 0 THEN 0 WHEN r0 > r4 AND r0 > r8 THEN 1 WHEN r4 > r8 THEN 2 ELSE 3 END AS br FROM m),
+q3 AS (SELECT *, 2 * sqrt(CASE br WHEN 0 THEN 1 + r0 + r4 + r8 WHEN 1 THEN 1 + r0 - r4 - r8 WHEN 2 THEN 1 + r4 - r0 - r8 ELSE 1 + r8 - r0 - r4 END) AS sz FROM q2),
+q4 AS (SELECT pid, CASE br WHEN 0 THEN sz / 4 WHEN 1 THEN (r7 - r5) / sz WHEN 2 THEN (r2 - r6) / sz ELSE (r3 - r1) / sz END AS w, CASE br WHEN 0 THEN (r7 - r5) / sz WHEN 1 THEN sz / 4 WHEN 2 THEN (r1 + r3) / sz ELSE (r2 + r6) / sz END AS x,
+  CASE br WHEN 0 THEN (r2 - r6) / sz WHEN 1 THEN (r1 + r3) / sz WHEN 2 THEN sz / 4 ELSE (r5 + r7) / sz END AS y, CASE br WHEN 0 THEN (r3 - r1) / sz WHEN 1 THEN (r2 + r6) / sz WHEN 2 THEN (r5 + r7) / sz ELSE sz / 4 END AS z FROM q3)
+SELECT pid, """ + ", ".join(f"round(CASE WHEN w < 0 THEN -{n} ELSE {n} END, 6) + 0.0 AS {n}" for n in "wxyz") + " FROM q4")
 def pr23(spark, sf_dir):
-    q = geo.quaternion(_rotation())
-    return _posed(spark, sf_dir).filter("r0 + r4 + r8 > 0").select("pid", *(r6(x).alias(n) for x, n in zip(q, "wxyz", strict=True)))
+    # angles of all sizes, so that each of the four branches is met
+    return _posed(spark, sf_dir).select("pid", *(r6(x).alias(n) for n, x in zip("wxyz", geo.quaternion(_rotation()), strict=True)))
 
 
 @query("pr24_clock_string", "SELECT event_id AS pid, (event_id + 1307904494)::DOUBLE + user_id / 65536.0 AS sec FROM events")
@@ -393,9 +397,9 @@ def w5(spark, sf_dir):
     return r.filter((C("n") <= 50) | chosen).select("pid")
 
 
-@query("w6_seeded_sample", None)
+@query("w6_seeded_sample", "SELECT ccd, pid FROM matched QUALIFY row_number() OVER (PARTITION BY ccd ORDER BY md5(pid || ':7'), pid) <= 20")
 def w6(spark, sf_dir):
-    w = W.partitionBy("ccd").orderBy(F.xxhash64("pid", F.lit(7)), "pid")
+    w = W.partitionBy("ccd").orderBy(F.md5(F.concat(C("pid").cast("string"), F.lit(":7")).cast("binary")), "pid")
     return P.matched(spark, sf_dir).withColumn("k", F.row_number().over(w)).filter("k <= 20").select("ccd", "pid")
 
 
@@ -426,12 +430,12 @@ def se3(spark, sf_dir):
 
 
 @query("b8_reprojection_residual", _ROT + """, v AS (SELECT pid, xp, yp, r0*(row - 10) + r3*(col - 20) + r6*-3000.0 AS a, r1*(row - 10) + r4*(col - 20) + r7*-3000.0 AS b, r2*(row - 10) + r5*(col - 20) + r8*-3000.0 AS c FROM m JOIN (SELECT pid, row, col FROM pt) USING (pid))
-SELECT pid, round(sqrt((11995.48 / c * a - xp)*(11995.48 / c * a - xp) + (11995.48 / c * b - yp)*(11995.48 / c * b - yp)) / 0.012, 1) + 0.0 AS res FROM v WHERE abs(c) > 100""")
+SELECT pid, round(sqrt((11995.48 / nullif(c, 0) * a - xp)*(11995.48 / nullif(c, 0) * a - xp) + (11995.48 / nullif(c, 0) * b - yp)*(11995.48 / nullif(c, 0) * b - yp)) / 0.012, CASE WHEN abs(c) > 100 THEN 1 ELSE -5 END) + 0.0 AS res FROM v""")
 def b8(spark, sf_dir):
     x, y = geo.ground_to_focal(_rotation(), [F.lit(10.0), F.lit(20.0), F.lit(0.0)], [C("row"), C("col"), F.lit(-3000.0)], F.lit(11995.48))
     deep = C("r2") * (C("row") - 10) + C("r5") * (C("col") - 20) + C("r8") * -3000.0
     res = F.sqrt((x - C("xp")) * (x - C("xp")) + (y - C("yp")) * (y - C("yp"))) / 0.012
-    return _posed(spark, sf_dir).filter(F.abs(deep) > 100).select("pid", r6(res, 1).alias("res"))
+    return _posed(spark, sf_dir).select("pid", F.when(F.abs(deep) > 100, r6(res, 1)).otherwise(r6(res, -5)).alias("res"))
 
 
 @query("f4_border_test", "SELECT pid FROM pt WHERE row >= 100 AND col >= 5 AND row < 43000 AND col < 140")
@@ -462,8 +466,42 @@ def pr27(spark, sf_dir):
     return stretch(balanced, "score", ["ccd"]).select("pid", r6(C("score"), 4).alias("g"))
 
 
-@query("pr16_dem_nearest_pixel", "SELECT pid, ((floor(row / 600 + 0.5) * 31 + floor(col / 2 + 0.5) * 17) % 101)::BIGINT AS h FROM pt WHERE floor(row / 600 + 0.5) < 73 AND floor(col / 2 + 0.5) < 75")
+_DEM = "dem AS (SELECT i AS r, j AS c, (i * 31 + j * 17) % 101 * 1.0::DOUBLE AS h FROM range(73) a(i), range(75) b(j))"
+
+
+def _dem(spark):
+    """A raster of 73 by 75 heights, made from a rule."""
+    return spark.range(73 * 75).select(F.floor(C("id") / 75).alias("r"), (C("id") % 75).alias("c")).withColumn("h", (C("r") * 31 + C("c") * 17) % 101 * 1.0)
+
+
+@query("sc16_dem_nearest_pixel", "WITH " + _DEM + " SELECT pid, h FROM pt LEFT JOIN dem ON floor(row / 600 + 0.5)::BIGINT = r AND floor(col / 2 + 0.5)::BIGINT = c")
 def sc16(spark, sf_dir):
-    dem = spark.range(73).select(C("id").alias("r")).crossJoin(spark.range(75).select(C("id").alias("c"))).withColumn("h", (C("r") * 31 + C("c") * 17) % 101)
-    p = P.pt(spark, sf_dir).select("pid", F.floor(C("row") / 600 + 0.5).alias("r"), F.floor(C("col") / 2 + 0.5).alias("c"))
-    return p.join(dem, ["r", "c"]).select("pid", "h")
+    from ..operators.grid import dem_nearest
+
+    p = P.pt(spark, sf_dir).select("pid", (C("row") / 600).alias("y"), (C("col") / 2).alias("x"))
+    return dem_nearest(p, _dem(spark), "y", "x", "h").select("pid", "h")
+
+
+def _ray_dem_sql(rounds: int = 12) -> str:
+    """Rounds of the fixpoint: the sphere through the height found last, the place on it, the height there."""
+    text, last = [], "k0"
+    for i in range(rounds):
+        text.append(f"s{i} AS (SELECT *, qb*qb - 4.0*qa*(qo - (3396190.0::DOUBLE + h) * (3396190.0::DOUBLE + h)) AS disc FROM {last})")
+        text.append(f"t{i} AS (SELECT *, CASE WHEN disc >= 0 THEN sqrt(disc) END AS root FROM s{i})")
+        text.append(f"l{i} AS (SELECT *, CASE WHEN ((-qb + root) / 2.0 / qa) * ((-qb + root) / 2.0 / qa) > ((-qb - root) / 2.0 / qa) * ((-qb - root) / 2.0 / qa) THEN (-qb - root) / 2.0 / qa ELSE (-qb + root) / 2.0 / qa END AS l FROM t{i})")
+        text.append(f"g{i} AS (SELECT *, l * a + 1000.0 AS gx, l * b + 2000.0 AS gy, l * c + -3700000.0 AS gz FROM l{i})")
+        text.append(f"p{i} AS (SELECT *, degrees(asin(greatest(-1.0, least(1.0, gz / sqrt(gx*gx + gy*gy + gz*gz))))) AS lat, degrees(atan2(gy, gx)) AS lon FROM g{i})")
+        text.append(f"n{i} AS (SELECT p{i}.*, dem.h AS nh FROM p{i} LEFT JOIN dem ON floor((90.0 - lat) / 180.0 * 72 + 0.5)::BIGINT = dem.r AND floor((lon + 180.0) / 360.0 * 74 + 0.5)::BIGINT = dem.c)")
+        text.append(f"k{i + 1} AS (SELECT pid, a, b, c, qa, qb, qo, CASE WHEN done THEN h ELSE coalesce(nh, h) END AS h, done OR abs(coalesce(nh, h) - h) < 0.01 OR root IS NULL AS done, CASE WHEN done THEN x ELSE gx END AS x, CASE WHEN done THEN y ELSE gy END AS y, CASE WHEN done THEN z ELSE gz END AS z FROM n{i})")
+        last = f"k{i + 1}"
+    return ", ".join(text) + f" SELECT pid, round(x, 1) + 0.0 AS x, round(y, 1) + 0.0 AS y, round(z, 1) + 0.0 AS z, CASE WHEN x IS NOT NULL THEN h END AS h, done AS settled FROM {last}"
+
+
+@query("pr16_ray_dem", _RAY + ", " + _DEM + """, k0 AS (SELECT pid, a, b, c, a*a + b*b + c*c AS qa, 2.0 * (a * 1000.0 + b * 2000.0 + c * -3700000.0) AS qb, 1000.0*1000.0 + 2000.0*2000.0 + 3700000.0::DOUBLE*3700000.0 AS qo,
+0.0::DOUBLE AS h, false AS done, NULL::DOUBLE AS x, NULL::DOUBLE AS y, NULL::DOUBLE AS z FROM d), """ + _ray_dem_sql())
+def pr16(spark, sf_dir):
+    from ..operators.observations import ray_dem
+
+    rays = _posed(spark, sf_dir).select("pid", *(x.alias(f"d{i}") for i, x in enumerate(_direction())), F.lit(1000.0).alias("o0"), F.lit(2000.0).alias("o1"), F.lit(-3700000.0).alias("o2"))
+    out = ray_dem(rays, ["pid"], _dem(spark), rows=73, cols=75, tol=0.01, rounds=12)
+    return out.select("pid", *(r6(C(v), 1).alias(v) for v in "xyz"), "h", "settled")

@@ -99,7 +99,9 @@ def g11b(spark, sf_dir):
     return grid.holes_near(cells_of(spark, sf_dir), 2)
 
 
-@query("g10_inland_holes")
+@query("g10_inland_holes", "RECURSIVE" + CELLS + """, bx AS (SELECT min(ir) AS r0, max(ir) AS r1, min(ic) AS c0, max(ic) AS c1 FROM cl), ho AS (SELECT i AS ir, j AS ic FROM bx, range(-200, 400) a(i), range(-200, 1200) b(j) WHERE i BETWEEN r0 AND r1 AND j BETWEEN c0 AND c1 AND (i, j) NOT IN (SELECT (ir, ic) FROM cl)),
+op AS (SELECT ir, ic FROM ho, bx WHERE ir IN (r0, r1) OR ic IN (c0, c1) UNION SELECT ho.ir, ho.ic FROM op JOIN ho ON (ho.ir = op.ir AND abs(ho.ic - op.ic) = 1) OR (ho.ic = op.ic AND abs(ho.ir - op.ir) = 1))
+SELECT ir, ic FROM ho WHERE (ir, ic) NOT IN (SELECT (ir, ic) FROM op)""")
 def g10(spark, sf_dir):
     return grid.inland_holes(cells_of(spark, sf_dir))
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions import geometry as geo
-from ..operators import diff, joins, robust, upsert
+from ..operators import diff, fit, joins, matching, robust, upsert
 from . import proxies as P
 from .points import _AC, _AR, AFFINE
 from .proxies import r6
@@ -35,10 +35,59 @@ def _seeds(spark, sf_dir):
 _D2 = "(l.row - s.row) * (l.row - s.row) + (l.col - s.col) * (l.col - s.col)"
 
 
+_FIELD = """fc AS (SELECT floor(row / 250)::BIGINT AS tr, floor(col / 50)::BIGINT AS tc, avg(row) AS cr, avg(col) AS cc, avg(mrow) AS mr, avg(mcol) AS mc FROM matched GROUP BY ALL),
+fd AS (SELECT fc.*, row - cr AS x, col - cc AS y, mrow - mr AS u, mcol - mc AS v FROM matched JOIN fc ON floor(row / 250)::BIGINT = tr AND floor(col / 50)::BIGINT = tc),
+fs AS (SELECT tr, tc, cr, cc, mr, mc, count(*) AS n, sum(x*x) AS xx, sum(x*y) AS xy, sum(y*y) AS yy, sum(x*u) AS xu, sum(y*u) AS yu, sum(x*v) AS xv, sum(y*v) AS yv FROM fd GROUP BY ALL),
+ff AS (SELECT *, CASE WHEN xx*yy - xy*xy > 1e-9 * xx * yy THEN xx*yy - xy*xy END AS det FROM fs WHERE n >= 12),
+fa AS (SELECT tr, tc, (xu*yy - yu*xy) / det AS f0, (yu*xx - xu*xy) / det AS f1, mr - (xu*yy - yu*xy) / det * cr - (yu*xx - xu*xy) / det * cc AS f2, (xv*yy - yv*xy) / det AS f3, (yv*xx - xv*xy) / det AS f4, mc - (xv*yy - yv*xy) / det * cr - (yv*xx - xv*xy) / det * cc AS f5 FROM ff WHERE det IS NOT NULL),
+fp0 AS (SELECT m.ccd, pid, """ + f"{_AR} AS gr, {_AC} AS gc" + """, f0*row + f1*col + f2 AS lr, f3*row + f4*col + f5 AS lc FROM matched m LEFT JOIN fa ON floor(row / 250)::BIGINT = tr AND floor(col / 50)::BIGINT = tc),
+fp1 AS (SELECT ccd, pid, coalesce(abs(lr - gr) <= 32 AND abs(lc - gc) <= 32, false) AS local, gr, gc, lr, lc FROM fp0), fq AS (SELECT ccd, pid, local, CASE WHEN local THEN lr ELSE gr END AS pr, CASE WHEN local THEN lc ELSE gc END AS pc FROM fp1)"""
+
+
+@query("j4_field_guided_match", "WITH " + _FIELD + """, c AS (SELECT fq.*, r.pid AS rid, r.score FROM fq JOIN matched r ON fq.ccd = r.ccd AND abs(pr - r.mrow) < 16 AND abs(pc - r.mcol) < 8 WHERE r.score >= 5)
+SELECT pid, local, rid, score FROM c QUALIFY row_number() OVER (PARTITION BY pid ORDER BY score DESC, rid) = 1""")
+def j4(spark, sf_dir):
+    m = P.matched(spark, sf_dir)
+    tiled = m.withColumns({"tile_r": F.floor(C("row") / 250), "tile_c": F.floor(C("col") / 50)})
+    field = robust.solve_affine(tiled, ["tile_r", "tile_c"], "row", "col", "mrow", "mcol").filter("n >= 12 AND f0 IS NOT NULL")
+    out = matching.match_by_field(m.select("ccd", "pid", "row", "col"), _right(spark, sf_dir), ["ccd"], field, list(AFFINE), 250.0, 50.0, 8.0, 5.0, score="rscore")
+    return out.select("pid", "local", "rid", "score")
+
+
+_PHASES = f"""dp AS (SELECT l.pid, s.pid AS sid, (l.row - s.row)*(l.row - s.row) + (l.col - s.col)*(l.col - s.col) AS d2, s.mrow - s.row AS vr, s.mcol - s.col AS vc FROM src l, ctl s),
+dr AS (SELECT *, row_number() OVER (PARTITION BY pid ORDER BY d2, vr, vc, sid) AS rk FROM dp), dw AS (SELECT *, greatest(exp(-d2 / 1800.0), 1e-6) AS w FROM dr WHERE rk <= 24 AND (d2 <= 3600 OR rk <= 5)),
+dm AS (SELECT pid, sum(w * vr) / sum(w) AS mr, sum(w * vc) / sum(w) AS mc, sum(w) AS sw FROM dw GROUP BY pid HAVING count(*) >= 3),
+ds AS (SELECT pid, any_value(mr) AS mr, any_value(mc) AS mc, greatest(sqrt(greatest(sum(w * (vr - mr) * (vr - mr)) / any_value(sw), 1.0)), 8.0) AS sr, greatest(sqrt(greatest(sum(w * (vc - mc) * (vc - mc)) / any_value(sw), 1.0)), 8.0) AS sc FROM dw JOIN dm USING (pid) GROUP BY pid),
+pl AS (SELECT src.pid, {_AR} AS ar, {_AC} AS ac, CASE WHEN mr IS NOT NULL THEN row + mr ELSE {_AR} END AS pr, CASE WHEN mr IS NOT NULL THEN col + mc ELSE {_AC} END AS pc,
+  CASE WHEN mr IS NOT NULL THEN greatest(4, least(30, floor(3.0 * sr + 0.5))) ELSE 96 END AS rr, CASE WHEN mr IS NOT NULL THEN greatest(4, least(30, floor(3.0 * sc + 0.5))) ELSE 96 END AS rc FROM src LEFT JOIN ds USING (pid)),
+tb AS (SELECT pl.*, m.ccd, pr >= r0 AND pr <= r1 AND pc >= c0 AND pc <= c1 AS t1, pr + rr >= r0 AND pr - rr <= r1 AND pc + rc >= c0 AND pc - rc <= c1 AS t2, power(greatest(r0 - pr, pr - r1, 0), 2) + power(greatest(c0 - pc, pc - c1, 0), 2) AS far FROM pl, mosaic m),
+tk AS (SELECT *, CASE WHEN t1 THEN 1 WHEN t2 THEN 2 ELSE 3 END AS tier, row_number() OVER (PARTITION BY pid ORDER BY far, ccd) AS rk FROM tb), tz AS (SELECT *, min(tier) OVER (PARTITION BY pid) AS best FROM tk), ca1 AS (SELECT * FROM tz WHERE tier = best AND (tier < 3 OR rk = 1)),
+h1 AS (SELECT ca1.pid, ca1.ccd AS tile, r.pid AS rid, r.score FROM ca1 JOIN dst r ON r.tile = ca1.ccd AND abs(r.row - pr) <= rr AND abs(r.col - pc) <= rc), b1 AS (SELECT * FROM (SELECT pid, tile, max(score) AS score FROM h1 GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY pid ORDER BY score DESC, tile) = 1),
+h2 AS (SELECT pl.pid, r.tile, max(r.score) AS score FROM pl JOIN dst r ON abs(r.row - ar) <= greatest(rr, 100) AND abs(r.col - ac) <= greatest(rc, 100) WHERE pl.pid NOT IN (SELECT pid FROM b1 WHERE score >= 58) GROUP BY ALL),
+b2 AS (SELECT * FROM (SELECT * FROM h2 UNION ALL SELECT pid, tile, score FROM b1 WHERE score < 58) WHERE score >= 58 QUALIFY row_number() OVER (PARTITION BY pid ORDER BY score DESC, tile) = 1)"""
+
+
+@query("j12_two_phase_match", "WITH src AS (SELECT pid, row, col FROM pt WHERE ccd < 4), ctl AS (SELECT pid, row, col, mrow, mcol FROM matched WHERE k > 90), dst AS (SELECT pid, img_id AS tile, mrow AS row, mcol AS col, score FROM matched), " + _PHASES + """
+SELECT pid, tile, score, false AS retried FROM b1 WHERE score >= 58 UNION ALL SELECT pid, tile, score, true FROM b2""")
+def j12(spark, sf_dir):
+    """On points: what a search in a tile would score is the best score of the tile's points within reach."""
+    m = P.matched(spark, sf_dir)
+    src = P.pt(spark, sf_dir).filter("ccd < 4").select("pid", "row", "col")
+    dst = m.select(C("img_id").alias("tile"), C("mrow").alias("rrow"), C("mcol").alias("rcol"), "score")
+    places = matching.cross_strip_places(src, m.filter("k > 90").select("row", "col", "mrow", "mcol"), list(AFFINE), 4, 60.0)
+
+    def find(d):
+        near = joins.band_join(d.select("pid", "tile", "pr", "pc", "reach_r", "reach_c"), dst, ("pr", "pc"), ("rrow", "rcol"), 101.0, 101.0, ["tile"])
+        hit = near.filter((F.abs(C("rrow") - C("pr")) <= C("reach_r")) & (F.abs(C("rcol") - C("pc")) <= C("reach_c")))
+        return hit.groupBy("pid", "tile").agg(F.max("score").alias("score"))
+
+    return matching.in_two_phases(places, P.mosaic(spark), find, 58.0, wide=100).select("pid", "tile", "score", "retried")
+
+
 @query("j6_knn_prediction", f"""WITH p AS (SELECT l.pid, {_D2} AS d2, s.mrow - s.row AS dr, s.mcol - s.col AS dc, row_number() OVER (PARTITION BY l.pid ORDER BY {_D2}, s.pid) AS rk FROM pt l JOIN matched s ON l.ccd = s.ccd)
 SELECT pid, count(*) AS k, round(sum(1.0 / (d2 + 1.0) * dr) / sum(1.0 / (d2 + 1.0)), 6) + 0.0 AS dr, round(sum(1.0 / (d2 + 1.0) * dc) / sum(1.0 / (d2 + 1.0)), 6) + 0.0 AS dc FROM p WHERE rk <= 5 GROUP BY pid""")
 def j6(spark, sf_dir):
-    near = joins.knn_join(P.pt(spark, sf_dir), _seeds(spark, sf_dir), ("row", "col"), ("srow", "scol"), 5, ["pid"], ["d2", "sid"], ["ccd"], start=200.0)
+    near = joins.knn_join(P.pt(spark, sf_dir), _seeds(spark, sf_dir), ("row", "col"), ("srow", "scol"), 5, ["pid"], ["d2", "sid"], ["ccd"])
     w = geo.inverse_square(C("d2"))
     return near.groupBy("pid").agg(F.count(F.lit(1)).alias("k"), r6(robust.weighted_mean(C("dr"), w)).alias("dr"), r6(robust.weighted_mean(C("dc"), w)).alias("dc"))
 
@@ -63,7 +112,7 @@ SELECT pid, any_value(n) AS n, round(any_value(mean), 6) + 0.0 AS mean, round(gr
 def j9(spark, sf_dir):
     seeds = _seeds(spark, sf_dir)
     l = P.matched(spark, sf_dir).select("ccd", "pid", "row", "col")
-    five = joins.knn_join(l, seeds, ("row", "col"), ("srow", "scol"), 6, ["pid"], ["d2", "sid"], ["ccd"], start=200.0)
+    five = joins.knn_join(l, seeds, ("row", "col"), ("srow", "scol"), 6, ["pid"], ["d2", "sid"], ["ccd"])
     inside = joins.radius_join(l, seeds, ("row", "col"), ("srow", "scol"), 200.0, ["ccd"], closed=True)
     both = five.drop("rk").unionByName(inside).filter("pid <> sid").dropDuplicates(["pid", "sid"])
     near = joins.adaptive_neighbours(both, ["pid"], 200.0, 5, 24, ["d2", "sid"]).withColumn("w", F.greatest(F.exp(-C("d2") / 20000.0), F.lit(1e-6)))
@@ -181,7 +230,7 @@ def j21(spark, sf_dir):
 SELECT ccd, round(median(sqrt(d2)), 6) + 0.0 AS gap FROM p GROUP BY ccd""")
 def j22(spark, sf_dir):
     l = P.matched(spark, sf_dir).select("ccd", "pid", "row", "col")
-    near = joins.knn_join(l, _seeds(spark, sf_dir), ("row", "col"), ("srow", "scol"), 2, ["pid"], ["d2", "sid"], ["ccd"], start=200.0)
+    near = joins.knn_join(l, _seeds(spark, sf_dir), ("row", "col"), ("srow", "scol"), 2, ["pid"], ["d2", "sid"], ["ccd"])
     return near.filter("pid <> sid").groupBy("ccd", "pid").agg(F.min("d2").alias("d2")).groupBy("ccd").agg(r6(F.median(F.sqrt("d2"))).alias("gap"))
 
 
