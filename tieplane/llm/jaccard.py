@@ -288,7 +288,7 @@ def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         left, right, rest, a, b = np.flatnonzero(side == 0), np.flatnonzero(side == 1), n - pos, [], []
         within = not len(right)
         right = left if within else right
-        step = max(1, (1 << 20) // len(right))
+        step = max(1, (1 << 17) // len(right))
         for lo in range(0, len(left), step):
             i, j = (x.ravel() for x in np.meshgrid(left[lo : lo + step], right, indexing="ij"))
             ok = _fits(n, rest, label, i, j) & (i < j if within else True)
