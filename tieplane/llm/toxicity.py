@@ -19,8 +19,8 @@ BITS = 20
 SAMPLE = 2000
 #: Distinct n-grams of the labelled rows of a class that are learnt from, at most, in all: rows past that are left out.
 SLOTS = 1 << 24
-#: Characters of text that one piece of scoring work handles.
-STEP = 1 << 20
+#: Characters of text that one piece of scoring work handles; slots that travel in one row; entries that are summed at once.
+STEP, ROW, CHUNK = 1 << 20, 512, 1 << 20
 #: One odd multiplier for each place of an n-gram.
 PLACE = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0xFF51AFD7ED558CCD], np.uint64)
 
@@ -106,22 +106,32 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, smoothing: float = 1.0, pena
         p[r] += label
     ratio = log_count_ratios(seen, p, y, smoothing)
     size = np.array([max(1, len(r)) for r in rows]) ** -0.5
-    rows = [r[ratio[r] != 0] for r in rows]
-    slots, row = np.concatenate(rows), np.repeat(np.arange(len(rows), dtype=np.int32), [len(r) for r in rows])
-    del rows
-    used = np.unique(slots)
+    for i, r in enumerate(rows):  # in place, so that what is left out is freed
+        rows[i] = r[ratio[r] != 0]
+    row, column = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r) for r in rows]), np.concatenate(rows)
+    rows.clear()
+    used = np.flatnonzero(np.bincount(column, minlength=1 << BITS))
     place = np.zeros(1 << BITS, np.int32)
     place[used] = np.arange(len(used))
-    column = place[slots]
-    value = (ratio[slots] * size[row]).astype(np.float32)
-    del slots
+    value = np.empty(len(row), np.float32)
+    parts = [slice(lo, lo + CHUNK) for lo in range(0, len(row), CHUNK)]
+    for k in parts:
+        value[k] = ratio[column[k]] * size[row[k]]
+        column[k] = place[column[k]]
+
+    def summed(at: np.ndarray, weights, n: int) -> np.ndarray:
+        total = np.zeros(n)
+        for k in parts:
+            total += np.bincount(at[k], weights=weights(k), minlength=n)
+        return total
+
     w, b, vw, vb = np.zeros(len(used)), 0.0, np.zeros(len(used)), 0.0
     weight = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean())) / len(y)
-    rate = 4.0 / (np.bincount(row, weights=value**2, minlength=len(y)).mean() + 1)
+    rate = 4.0 / (summed(row, lambda k: value[k].astype(np.float64) ** 2, len(y)).mean() + 1)
     for _ in range(steps):
-        z = np.bincount(row, weights=value * w[column], minlength=len(y)) + b
+        z = summed(row, lambda k: value[k] * w[column[k]], len(y)) + b  # noqa: B023
         g = (1 / (1 + np.exp(-np.clip(z, -40, 40))) - y) * weight
-        vw = 0.9 * vw - rate * (np.bincount(column, weights=value * g[row], minlength=len(used)) + penalty * w)
+        vw = 0.9 * vw - rate * (summed(column, lambda k: value[k] * g[row[k]], len(used)) + penalty * w)  # noqa: B023
         vb = 0.9 * vb - rate * g.sum()
         w, b = w + vw, b + vb
     out = np.zeros(1 << BITS, np.float32)
@@ -152,12 +162,15 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams = Grams()
         for batch in batches:
-            for lo in range(batch.num_rows):
-                s = grams(batch.column(2)[lo].as_py())
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, 1), batch.column(1).slice(lo, 1), pa.array([len(s)], pa.int64()), pa.array([s.tobytes()], pa.binary())], ["h", "label", "n", "slots"])
-
-    rows = Scratch(docs.sparkSession, "toxicity").keep(texts.mapInArrow(features, "h long, label int, n long, slots binary"), "features")
-    sizes = rows.select("h", "label", "n").toPandas().sort_values("h")  # at most 2 * sample rows
+            for h, label, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                s = grams(text)
+                cuts = range(0, max(1, len(s)), ROW)
+                cols = [[h] * len(cuts), [label] * len(cuts), [len(s)] + [0] * (len(cuts) - 1), [*range(len(cuts))], [s[lo : lo + ROW].tobytes() for lo in cuts]]
+                kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["h", "label", "n", "part", "slots"])
+
+    rows = Scratch(docs.sparkSession, "toxicity").keep(texts.mapInArrow(features, "h long, label int, n long, part int, slots binary"), "features")
+    sizes = rows.filter("part = 0").select("h", "label", "n").toPandas().sort_values("h")  # at most 2 * sample rows
     sizes = sizes[sizes.groupby("label")["n"].cumsum() <= slots]
     if not len(sizes):
         return fit([], np.empty(0))
@@ -167,15 +180,21 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         within = within | ((F.col("label") == int(label)) & (F.col("h") <= int(h)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if (first := next(batches, None)) is None:
+        found: dict[int, list] = {}
+        for batch in batches:
+            for h, label, part, slots in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                found.setdefault(h, []).append((part, label, slots))
+        if not found:
             return
-        table = pa.Table.from_batches([first, *batches])
-        order = np.argsort(table.column("h").to_numpy(), kind="stable").tolist()
-        column, y = table.column("slots"), table.column("label").to_numpy()
-        model = fit([np.frombuffer(column[i].as_buffer(), np.int32) for i in order], y[order])
+        texts, y = [], []
+        for h in sorted(found):
+            parts = sorted(found.pop(h))
+            texts.append(np.frombuffer(b"".join(p[2] for p in parts), np.int32))
+            y.append(parts[0][1])
+        model = fit(texts, np.array(y))
         yield pa.RecordBatch.from_arrays([pa.array([model.weights.tobytes()]), pa.array([model.bias]), pa.array([model.learnt])], ["weights", "bias", "learnt"])
 
-    (got,) = rows.filter(within).select("h", "label", "slots").repartition(1).mapInArrow(run, "weights binary, bias double, learnt boolean").collect()
+    (got,) = rows.filter(within).select("h", "label", "part", "slots").repartition(1).mapInArrow(run, "weights binary, bias double, learnt boolean").collect()
     return Model(np.frombuffer(got.weights, np.float32), got.bias, got.learnt)
 
 
