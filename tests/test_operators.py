@@ -211,10 +211,22 @@ def test_patch_kernels():
     left = RNG.uniform(0, 255, (40, 60))
     i, j, s = Z.register(left, left[2:, 20:], 3, 25, 2, 4)
     assert (i, j) == (2, 20) and s > 0.99
-    p = np.c_[RNG.uniform(0, 10, (50, 2)), np.zeros(50)]
-    p[:, 2] = 2 * p[:, 0] - p[:, 1] + 1
-    p[:10, 2] += 50
-    assert np.allclose(fit.plane_ransac(p, 0.1, 100, 0)[0], [2, -1, 1])
+
+
+def test_plane_ransac_and_trials_that_follow_the_share_of_inliers(spark):
+    rng = np.random.default_rng(15)
+    rows = []
+    for g, (share, plane) in enumerate((((0.8), (2, -1, 1)), ((0.12), (0.5, 3, -4)))):
+        p = rng.uniform(0, 10, (600, 2))
+        z = p @ np.array(plane[:2]) + plane[2] + rng.normal(0, 0.01, 600)
+        bad = rng.random(600) > share
+        z[bad] = rng.uniform(-100, 100, bad.sum())
+        rows += [(g, *map(float, r)) for r in np.c_[p, z]]
+    got = {r.g: r for r in fit.plane_ransac(spark.createDataFrame(rows, "g int, x double, y double, z double"), ["g"], 0.1, trials=50).collect()}
+    assert np.allclose([got[0].a, got[0].b, got[0].c], (2, -1, 1), atol=0.05) and got[0].inliers > 440
+    assert np.allclose([got[1].a, got[1].b, got[1].c], (0.5, 3, -4), atol=0.05) and got[1].inliers > 50  # 50 triples find it with a chance of 8 %
+    assert fit.needed_trials(0.9) < 10 < 3000 < fit.needed_trials(0.13) < 3200
+    assert fit.plane_ransac(spark.createDataFrame([], "g int, x double, y double, z double"), ["g"], 0.1).collect() == []
 
 
 def test_matching_of_shifted_tiles(spark):
@@ -390,4 +402,4 @@ def test_energy_prefers_near_places_and_the_gate_forbids_far_ones():
     assert Z.Search(2, 4, 1, gate=1.0).find(pair, 14, 14, 14, 14, affine=(30.0, 30.0)) is None
     r, c, _ = Z.Search(1, 4, 1, blur=3.0).find(pair, 14, 14, 14, 14)
     assert abs(r - 14) < 0.5 and abs(c - 14) < 0.5
-    assert all(Z.Search(3, 4, kind=k).find(Z.Pair(image, np.roll(image, (1, 2), (0, 1)), k), 20, 25, 20, 25)[:2] == (21, 27) for k in ("gray", "blend", "census"))
+    assert all(Z.Search(3, 4, 1, kind=k).find(Z.Pair(image, np.roll(image, (1, 2), (0, 1)), k), 20, 25, 20, 25)[:2] == (21, 27) for k in ("gray", "blend", "census"))

@@ -30,16 +30,6 @@ def predict(f: np.ndarray, p: np.ndarray) -> np.ndarray:
     return np.stack([f[0] * p[:, 0] + f[1] * p[:, 1] + f[2], f[3] * p[:, 0] + f[4] * p[:, 1] + f[5]], axis=1)
 
 
-def trial_affines(p: np.ndarray, q: np.ndarray, trials: int, seed: int) -> np.ndarray:
-    """The affines through seeded triples of points, six parameters a row; triples on a line give none."""
-    if len(p) < 3:
-        return np.empty((0, 6))
-    pick = np.random.default_rng(seed).integers(0, len(p), (trials, 3))
-    a = np.concatenate([p[pick], np.ones((trials, 3, 1))], axis=2)
-    fine = np.abs(np.linalg.det(a)) > 1e-9
-    return np.linalg.solve(a[fine], q[pick[fine]]).transpose(0, 2, 1).reshape(-1, 6)
-
-
 def near(m: np.ndarray, points: np.ndarray, sigma: float) -> np.ndarray:
     """Whether each affine takes each point (row, col, mrow, mcol) to its match within sigma."""
     r, c, u, v = points.T
@@ -47,32 +37,53 @@ def near(m: np.ndarray, points: np.ndarray, sigma: float) -> np.ndarray:
     return np.hypot(f[0] * r + f[1] * c + f[2] - u, f[3] * r + f[4] * c + f[5] - v) <= sigma
 
 
+def near_plane(m: np.ndarray, points: np.ndarray, sigma: float) -> np.ndarray:
+    """Whether each plane z = a x + b y + c is within sigma of each point (x, y, z), upwards."""
+    x, y, z = points.T
+    f = m.T[:, :, None]
+    return np.abs(f[0] * x + f[1] * y + f[2] - z) <= sigma
+
+
+def through_triples(points: np.ndarray, trials: int, seed: int) -> np.ndarray:
+    """The linear maps of the first two coordinates and 1 to the others through seeded triples of points, a row each,
+    output by output; triples on a line give none."""
+    outputs = points.shape[1] - 2
+    if len(points) < 3:
+        return np.empty((0, 3 * outputs))
+    pick = np.random.default_rng(seed).integers(0, len(points), (trials, 3))
+    a = np.concatenate([points[pick][:, :, :2], np.ones((trials, 3, 1))], axis=2)
+    fine = np.abs(np.linalg.det(a)) > 1e-9
+    return np.linalg.solve(a[fine], points[pick[fine]][:, :, 2:]).transpose(0, 2, 1).reshape(-1, 3 * outputs)
+
+
 def refit(s: np.ndarray, origin: np.ndarray, found: np.ndarray) -> np.ndarray:
-    """The least-squares affine from sums about an origin (n, x, y, u, v, xx, xy, yy, xu, yu, xv, yv); for points
-    on a line what was found."""
-    n, mean = s[0], s[1:5] / s[0]
-    x, y, u, v = mean
-    xx, xy, yy, xu, yu, xv, yv = s[5:] - n * np.array([x * x, x * y, y * y, x * u, y * u, x * v, y * v])
+    """The least-squares map from sums about an origin: n, the sums of x, y and the outputs, xx, xy, yy, and xu, yu for each
+    output u; for points on a line what was found."""
+    outputs = len(origin) - 2
+    n, mean = s[0], s[1 : 3 + outputs] / s[0]
+    x, y = mean[:2]
+    xx, xy, yy = s[3 + outputs : 6 + outputs] - n * np.array([x * x, x * y, y * y])
     det = xx * yy - xy * xy
     if not det > 1e-9 * xx * yy:
         return found
-    a, b, c, d = (xu * yy - yu * xy) / det, (yu * xx - xu * xy) / det, (xv * yy - yv * xy) / det, (yv * xx - xv * xy) / det
-    cr, cc, mr, mc = origin + mean
-    return np.array([a, b, mr - a * cr - b * cc, c, d, mc - c * cr - d * cc])
+    out = []
+    for k in range(outputs):
+        xu, yu = s[6 + outputs + 2 * k : 8 + outputs + 2 * k] - n * mean[2 + k] * mean[:2]
+        a, b = (xu * yy - yu * xy) / det, (yu * xx - xu * xy) / det
+        out += [a, b, origin[2 + k] + mean[2 + k] - a * (origin[0] + x) - b * (origin[1] + y)]
+    return np.array(out)
 
 
-def affine_ransac(matches: DataFrame, keys: list[str], sigma: float = 150.0, trials: int = 1000, seed: int = 0) -> DataFrame:
-    """One affine per group of matches (row, col, mrow, mcol): f0..f5, n, inliers.
+def needed_trials(share: float, confidence: float = 0.999) -> float:
+    """How many triples it takes to draw one of inliers only with that confidence."""
+    return np.log(1 - confidence) / np.log1p(-min(max(share, 1e-9) ** 3, 1 - 1e-12))
 
-    Only the triples of the trials are drawn from about DRAWN rows of a group, spread evenly by hash. All its
-    rows count for each trial, and the affine with most residuals inside sigma is refitted to all its inliers, both
-    by sums over blocks of about BLOCK different rows, so no task holds a group. With fewer than three
-    inliers the identity stays. ``inliers`` counts all rows against the result.
-    """
-    point, c = ["row", "col", "mrow", "mcol"], F.col
-    kinds = {f.name: f.dataType.simpleString() for f in matches.schema.fields}
+
+def _ransac(df: DataFrame, keys: list[str], point: list[str], names: list[str], identity: np.ndarray, inside_of, sigma: float, trials: int, seed: int) -> DataFrame:
+    c, outputs = F.col, len(point) - 2
+    kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
     named = "".join(f"{k} {kinds[k]}, " for k in keys)
-    d = matches.groupBy(*keys, *(c(x).cast("double").alias(x) for x in point)).agg(F.count(F.lit(1)).alias("_w")).withColumn("_h", F.xxhash64(*point, F.lit(seed)))
+    d = df.groupBy(*keys, *(c(x).cast("double").alias(x) for x in point)).agg(F.count(F.lit(1)).alias("_w")).withColumn("_h", F.xxhash64(*point, F.lit(seed)))
     size = d.groupBy(*keys).agg(F.sum("_w").alias("_n"), F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).cast("int").alias("_blocks"))
     salted = size.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     dealt = d.withColumn("_s", F.pmod("_h", F.lit(SALTS)).cast("int")).join(salted, [*keys, "_s"]).withColumn("_b", F.pmod(F.shiftrightunsigned("_h", 8), c("_blocks")).cast("int"))
@@ -82,48 +93,97 @@ def affine_ransac(matches: DataFrame, keys: list[str], sigma: float = 150.0, tri
     def draw(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(point)
         at = pdf[point].to_numpy().repeat(pdf["_k"].to_numpy(), axis=0)
-        return pd.DataFrame([[*pdf[keys].iloc[0], pdf["_blocks"].iloc[0], trial_affines(at[:, :2], at[:, 2:], trials, seed).ravel(), at.mean(axis=0)]], columns=[*keys, "_blocks", "_m", "_o"])
+        return pd.DataFrame([[*pdf[keys].iloc[0], pdf["_blocks"].iloc[0], through_triples(at, trials, seed).ravel(), at.mean(axis=0)]], columns=[*keys, "_blocks", "_m", "_o"])
 
     def score(pts: pd.DataFrame, models: pd.DataFrame) -> pd.DataFrame:
         if pts.empty or models.empty:
             return pd.DataFrame(columns=[*keys, "_c"])
-        m, p, w = np.reshape(models["_m"].iloc[0], (-1, 6)), pts[point].to_numpy(), pts["_w"].to_numpy()
+        m, p, w = np.reshape(models["_m"].iloc[0], (-1, len(names))), pts[point].to_numpy(), pts["_w"].to_numpy()
         step = max(1, 1_000_000 // len(p))
-        counts = [near(m[lo : lo + step], p, sigma) @ w for lo in range(0, len(m), step)]
+        counts = [inside_of(m[lo : lo + step], p, sigma) @ w for lo in range(0, len(m), step)]
         return pd.DataFrame([[*models[keys].iloc[0], np.concatenate([*counts, np.empty(0, np.int64)]).astype(np.int64)]], columns=[*keys, "_c"])
 
     def add(pts: pd.DataFrame, best: pd.DataFrame) -> pd.DataFrame:
         if pts.empty or best.empty:
             return pd.DataFrame(columns=[*keys, "_b", "_sums"])
         f, o = np.array(best["_f"].iloc[0]), np.array(best["_o"].iloc[0])
-        pts = pts.sort_values(point)
-        p = pts[point].to_numpy()
-        inside = near(f[None], p, sigma)[0]
-        (x, y, u, v), w = (p[inside] - o).T, pts["_w"].to_numpy()[inside].astype(float)
-        sums = [(w * t).sum() for t in (np.ones(len(w)), x, y, u, v, x * x, x * y, y * y, x * u, y * u, x * v, y * v)]
-        return pd.DataFrame([[*best[keys].iloc[0], best["_b"].iloc[0], sums]], columns=[*keys, "_b", "_sums"])
+        p = pts.sort_values(point)
+        w, p = p["_w"].to_numpy().astype(float), p[point].to_numpy()
+        inside = inside_of(f[None], p, sigma)[0]
+        q, w = (p[inside] - o).T, w[inside]
+        terms = [np.ones(len(w)), *q, q[0] * q[0], q[0] * q[1], q[1] * q[1], *(q[i] * q[2 + k] for k in range(outputs) for i in (0, 1))]
+        return pd.DataFrame([[*best[keys].iloc[0], best["_b"].iloc[0], [(w * t).sum() for t in terms]]], columns=[*keys, "_b", "_sums"])
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         s = np.stack(pdf.sort_values("_b")["_sums"].to_numpy()).sum(axis=0)
-        f = refit(s, np.array(pdf["_o"].iloc[0]), np.array(pdf["_f"].iloc[0])) if s[0] >= 3 else IDENTITY
-        return pd.DataFrame([[*pdf[keys].iloc[0], *f]], columns=[*keys, *AFFINE])
+        f = refit(s, np.array(pdf["_o"].iloc[0]), np.array(pdf["_f"].iloc[0])) if s[0] >= 3 else identity
+        return pd.DataFrame([[*pdf[keys].iloc[0], *f]], columns=[*keys, *names])
+
+    def count(pts: pd.DataFrame, fitted: pd.DataFrame) -> pd.DataFrame:
+        if pts.empty or fitted.empty:
+            return pd.DataFrame(columns=[*keys, *names, "_w", "_in"])
+        w = pts["_w"].to_numpy()
+        inside = inside_of(fitted[names].to_numpy()[:1], pts[point].to_numpy(), sigma)[0]
+        return pd.DataFrame([[*fitted[keys].iloc[0], *fitted[names].iloc[0], w.sum(), w[inside].sum()]], columns=[*keys, *names, "_w", "_in"])
 
-    each = lambda df: df.withColumn("_b", F.explode(F.sequence(F.lit(0), c("_blocks") - 1)))
+    each = lambda x: x.withColumn("_b", F.explode(F.sequence(F.lit(0), c("_blocks") - 1)))
     by, parts = [*keys, "_b"], dealt.select(*keys, "_b", *point, "_w")
+    listed = ", ".join(f"{f} double" for f in names)
     models = drawn.select(*keys, "_blocks", *point, "_k").groupBy(*keys).applyInPandas(draw, f"{named}_blocks int, _m array<double>, _o array<double>")
     counts = parts.groupBy(*by).cogroup(each(models.select(*keys, "_blocks", "_m")).groupBy(*by)).applyInPandas(score, f"{named}_c array<long>")
     total = counts.select(*keys, F.posexplode("_c").alias("_t", "_c")).groupBy(*keys, "_t").agg(F.sum("_c").alias("_c"))
     most = total.groupBy(*keys).agg(F.max(F.struct("_c", (-c("_t")).alias("_t"))).alias("_best"))
-    best = models.join(most, keys).select(*keys, "_blocks", "_o", F.slice("_m", 1 - 6 * c("_best._t"), 6).alias("_f"))
+    best = models.join(most, keys).select(*keys, "_blocks", "_o", F.slice("_m", 1 - len(names) * c("_best._t"), len(names)).alias("_f"))
     sums = parts.groupBy(*by).cogroup(each(best).groupBy(*by)).applyInPandas(add, f"{named}_b int, _sums array<double>")
-    solved = sums.join(best.select(*keys, "_o", "_f"), keys).groupBy(*keys).applyInPandas(solve, f"{named}{', '.join(f'{f} double' for f in AFFINE)}")
-    fitted = size.join(solved, keys, "left").select(*keys, "_blocks", *(F.coalesce(f, F.lit(float(x))).alias(f) for f, x in zip(AFFINE, IDENTITY, strict=True)))
-    vx, vy = c("mrow") - (c("f0") * c("row") + c("f1") * c("col") + c("f2")), c("mcol") - (c("f3") * c("row") + c("f4") * c("col") + c("f5"))
-    inside = parts.join(each(fitted).drop("_blocks"), by).withColumn("_in", c("_w") * (F.sqrt(vx * vx + vy * vy) <= sigma).cast("long"))
-    return inside.groupBy(*keys, *AFFINE).agg(F.sum("_w").alias("n"), F.sum("_in").alias("inliers"))
+    solved = sums.join(best.select(*keys, "_o", "_f"), keys).groupBy(*keys).applyInPandas(solve, named + listed)
+    fresh = [c(k).alias(k) for k in [*keys, "_blocks"]]  # columns of their own, as cogrouped tables must not share any
+    fitted = size.join(solved, keys, "left").select(*fresh, *(F.coalesce(f, F.lit(float(x))).alias(f) for f, x in zip(names, identity, strict=True)))
+    counted = parts.groupBy(*by).cogroup(each(fitted).groupBy(*by)).applyInPandas(count, f"{named}{listed}, _w long, _in long")
+    return counted.groupBy(*keys, *names).agg(F.sum("_w").alias("n"), F.sum("_in").alias("inliers"))
+
+
+def _until_sure(df: DataFrame, keys: list[str], trials: int, most: int, run) -> DataFrame:
+    """``run(groups, trials)``, and again for the groups whose share of inliers leaves that number of triples unsure; those get
+    as many as the worst of them needs, ``most`` at most."""
+    first = run(df, trials)
+    first = first.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else first.cache()
+    share = F.greatest(F.col("inliers") / F.col("n"), F.lit(1e-3))
+    need = first.select(*keys, F.ceil(F.lit(float(-np.log(1e-3))) / -F.log1p(-F.least(F.pow(share, F.lit(3.0)), F.lit(1 - 1e-12)))).alias("_need"), "inliers")
+    unsure = need.filter((F.col("_need") > trials) & (F.col("inliers") >= 3))
+    worst = unsure.agg(F.max("_need")).first()[0]
+    if worst is None:
+        return first
+    groups = unsure.select(*keys)
+    again = run(df.join(groups, keys, "left_semi"), int(min(worst, most)))
+    return first.join(groups, keys, "left_anti").unionByName(again)
+
+
+#: Triples of a group at most, and drawn at first.
+MOST, FIRST = 150_000, 300
+
+
+def affine_ransac(matches: DataFrame, keys: list[str], sigma: float = 150.0, trials: int = FIRST, seed: int = 0, most: int = MOST) -> DataFrame:
+    """One affine per group of matches (row, col, mrow, mcol): f0..f5, n, inliers.
+
+    Only the triples of the trials are drawn from about DRAWN rows of a group, spread evenly by hash. All its
+    rows count for each trial, and the affine with most residuals inside sigma is refitted to all its inliers, both
+    by sums over blocks of about BLOCK different rows, so no task holds a group. Groups in which a triple of inliers
+    only may have been missed, by the share of inliers found and a confidence of 0.999, are tried again with as
+    many triples as that takes, ``most`` at most. With fewer than three inliers the identity stays. ``inliers``
+    counts all rows against the result.
+    """
+    point = ["row", "col", "mrow", "mcol"]
+    return _until_sure(matches.select(*keys, *point), keys, trials, most, lambda d, n: _ransac(d, keys, point, AFFINE, IDENTITY, near, sigma, n, seed))
+
 
+def plane_ransac(points: DataFrame, keys: list[str], sigma: float, trials: int = FIRST, seed: int = 0, most: int = MOST) -> DataFrame:
+    """One plane z = a x + b y + c per group of points (x, y, z) like ``affine_ransac``: a, b, c, n, inliers. With fewer than
+    three inliers the plane is z = 0."""
+    point = ["x", "y", "z"]
+    return _until_sure(points.select(*keys, *point), keys, trials, most, lambda d, n: _ransac(d, keys, point, ["a", "b", "c"], np.zeros(3), near_plane, sigma, n, seed))
 
-def local_affine_field(matches: DataFrame, tile_r: float, tile_c: float, sigma: float = 20.0, trials: int = 200, least: int = 12, seed: int = 0) -> DataFrame:
+
+def local_affine_field(matches: DataFrame, tile_r: float, tile_c: float, sigma: float = 20.0, trials: int = FIRST, least: int = 12, seed: int = 0) -> DataFrame:
     """An affine per tile, fitted to the points of the tile grown by half a tile on each side: tile_r, tile_c,
     f0..f5, n, inliers, valid. Each point goes to the four tiles at most whose grown area it lies in."""
     near = lambda x, size: F.array_distinct(F.array(F.floor(F.col(x) / size - 0.5), F.floor(F.col(x) / size + 0.5)))
@@ -191,16 +251,3 @@ def time_polynomials(samples: DataFrame, keys: list[str], t: str, values: list[s
     powers = F.array(*(f"_s{k}" for k in range(2 * degree + 1)))
     each = F.explode(F.array(*(F.struct(F.lit(v).alias("param"), F.array(*(f"_{i}y{k}" for k in range(degree + 1))).alias("y")) for i, v in enumerate(values))))
     return s.withColumn("_p", powers).withColumn("_e", each).select(*keys, "_e.param", "t0", solve("_p", "_e.y", "span").alias("coefs"))
-
-
-def plane_ransac(p: np.ndarray, sigma: float, trials: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """z = a x + b y + c with most points inside sigma, refitted; and the inliers."""
-    rng, best = np.random.default_rng(seed), np.zeros(len(p), bool)
-    h = np.c_[p[:, :2], np.ones(len(p))]
-    for _ in range(trials):
-        k = rng.choice(len(p), 3, replace=False)
-        if abs(np.linalg.det(h[k])) > 1e-9:
-            inside = np.abs(h @ np.linalg.solve(h[k], p[k, 2]) - p[:, 2]) <= sigma
-            best = inside if inside.sum() > best.sum() else best
-    use = best if best.sum() >= 3 else np.ones(len(p), bool)
-    return np.linalg.lstsq(h[use], p[use, 2], rcond=None)[0], best

@@ -277,7 +277,7 @@ def refine_iteratively(matches: DataFrame, keys: list[str], rounds: int, snapsho
     return now
 
 
-def global_affine(matches: DataFrame, mosaic: DataFrame, sigma: float = 150.0, trials: int = 1000) -> DataFrame:
+def global_affine(matches: DataFrame, mosaic: DataFrame, sigma: float = 150.0, trials: int = fit.FIRST) -> DataFrame:
     """One affine for a pair of mosaics from the matches of all tiles, in whole mosaic coordinates."""
     m = joins.tile_lookup(joins.tile_lookup(matches, mosaic, "ccd", "l"), mosaic, "img_id", "r")
     cut = lambda x: x.cast("long").cast("double")

@@ -39,12 +39,19 @@ def ag12(spark, sf_dir):
 
 @query("ag14_affine_ransac")
 def ag14(spark, sf_dir):
-    return fit.affine_ransac(P.matched(spark, sf_dir).select("ccd", "row", "col", "mrow", "mcol"), ["ccd"], 20.0, 300)
+    return fit.affine_ransac(P.matched(spark, sf_dir).select("ccd", "row", "col", "mrow", "mcol"), ["ccd"], 20.0)
+
+
+@query("ag13_plane_ransac")
+def ag13(spark, sf_dir):
+    cloud = P.cloud(spark, sf_dir).select("strip", C("x").alias("x"), C("y").alias("y"), "z")
+    out = fit.plane_ransac(cloud, ["strip"], 10.0)
+    return out.select("strip", *(r6(C(x)).alias(x) for x in "abc"), "n", "inliers")
 
 
 @query("ag15_local_affine_field")
 def ag15(spark, sf_dir):
-    return fit.local_affine_field(P.matched(spark, sf_dir).select("row", "col", "mrow", "mcol"), 8000.0, 50.0, 20.0, 60)
+    return fit.local_affine_field(P.matched(spark, sf_dir).select("row", "col", "mrow", "mcol"), 8000.0, 50.0, 20.0)
 
 
 _POWERS = ", ".join([f"sum(power(u, {k})) AS s{k}" for k in range(7)] + [f"sum(power(u, {k}) * v) AS w{k}" for k in range(4)])
@@ -154,4 +161,4 @@ def pr18(spark, sf_dir):
 def m8(spark, sf_dir):
     from ..operators import matching
 
-    return matching.global_affine(P.matched(spark, sf_dir), P.mosaic(spark), 60.0, 300)
+    return matching.global_affine(P.matched(spark, sf_dir), P.mosaic(spark), 60.0)
