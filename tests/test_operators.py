@@ -282,8 +282,12 @@ def test_snapshots_and_streams(spark, tmp_path):
     stream.upsert_stream(spark, src, str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination()
     batch([(1, 0, 1.0, 1.0, 2, 9.0, 9.0, 0.5), (2, 0, 1.0, 1.0, 4, 2.0, 2.0, 0.1)], "b")
     stream.upsert_stream(spark, src, str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination()
-    got = {r.pid: r.img_id for r in sinks.latest(spark, str(tmp_path / "out")).collect()}
+    got = {r.pid: r.img_id for r in stream.current(spark, str(tmp_path / "out")).collect()}
     assert got == {1: 3, 2: 4}
+    batch([(9, 7, 1.0, 1.0, 5, 1.0, 1.0, 0.5)], "c")
+    stream.upsert_stream(spark, src, str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination()
+    assert {r.pid for r in stream.current(spark, str(tmp_path / "out")).collect()} == {1, 2, 9}
+    assert len(list((tmp_path / "out/ccd=0").glob("v*"))) == 2 and len(list((tmp_path / "out/ccd=7").glob("v*"))) == 1  # other tiles are left alone
 
 
 def test_config():
@@ -403,3 +407,52 @@ def test_energy_prefers_near_places_and_the_gate_forbids_far_ones():
     r, c, _ = Z.Search(1, 4, 1, blur=3.0).find(pair, 14, 14, 14, 14)
     assert abs(r - 14) < 0.5 and abs(c - 14) < 0.5
     assert all(Z.Search(3, 4, 1, kind=k).find(Z.Pair(image, np.roll(image, (1, 2), (0, 1)), k), 20, 25, 20, 25)[:2] == (21, 27) for k in ("gray", "blend", "census"))
+
+
+def test_exact_quantiles_by_histograms(spark, monkeypatch):
+    rng = np.random.default_rng(21)
+    groups = {0: rng.normal(0, 1, 900), 1: np.r_[np.zeros(500), rng.exponential(1e6, 401)], 2: rng.integers(0, 3, 800).astype(float), 3: np.array([5.0]), 4: np.array([1.0, 2.0]), None: rng.uniform(-1e-9, 1e9, 700)}
+    df = spark.createDataFrame([(g, float(v)) for g, vs in groups.items() for v in vs] + [(0, None), (9, None)], "g int, v double")
+    shares = [0.0, 0.003, 0.5, 0.95, 1.0]
+    for held in (10**6, 50):
+        monkeypatch.setattr(robust, "HELD", held)
+        monkeypatch.setattr(robust, "LARGEST", 10**6)
+        monkeypatch.setattr(robust, "BINS", 7)
+        got = {r.g: r.q for r in robust.exact_quantiles(df, ["g"], "v", shares, "q").collect()}
+        assert set(got) == set(groups)
+        for g, vs in groups.items():
+            assert np.allclose(got[g], np.quantile(vs, shares), rtol=1e-12, atol=1e-12), (held, g)
+        (one,) = robust.exact_quantiles(df, [], "v", [0.5], "q").collect()
+        assert np.isclose(one.q[0], np.median(np.concatenate(list(groups.values()))))
+
+
+def test_lines_are_numbered_over_splits(spark, tmp_path):
+    body = [f"line {i}" if i % 7 else "" for i in range(3000)]
+    (tmp_path / "a.txt").write_text("\n".join(body))
+    (tmp_path / "b.txt").write_text("x\r\ny\r\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    got = text.lines(spark, str(tmp_path)).collect()
+    spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert sorted((r.line, r.value) for r in got if r.file.endswith("a.txt")) == [(i + 1, f"line {i}") for i in range(3000) if i % 7]
+    assert sorted((r.line, r.value) for r in got if r.file.endswith("b.txt")) == [(1, "x"), (2, "y")]
+
+
+def test_writers_and_small_readers(spark, tmp_path):
+    pts = spark.createDataFrame([(1.0, 2.0, 3.0), (4.0, 5.0, 6.0)], "x double, y double, z double")
+    sinks.ascii_ply(pts, str(tmp_path / "ply"))
+    ply = "".join(f.read_text() for f in (tmp_path / "ply").glob("part-*")).splitlines()
+    assert ply[:3] == ["ply", "format ascii 1.0", "element vertex 2"] and ply[-2:] == ["1.000000 2.000000 3.000000", "4.000000 5.000000 6.000000"]
+    sinks.metrics_csv(pts.select("x"), str(tmp_path / "csv"))
+    assert spark.read.option("header", True).csv(str(tmp_path / "csv")).count() == 2
+    assert [r.value for r in sinks.stats_json(pts.limit(1)).collect()] == ['{"x":1.0,"y":2.0,"z":3.0}']
+    m = spark.createDataFrame([(1.0, 2.0, 0.5, 0.25, 0.9, 0, 1)], "R1 double, C1 double, dx double, dy double, score double, left_ccd int, right_ccd int")
+    sinks.mosaic_points(m, str(tmp_path / "mosaic"))
+    assert "R1 C1 dx dy score left_ccd right_ccd" in "".join(f.read_text() for f in (tmp_path / "mosaic").glob("part-*"))
+    files = spark.createDataFrame([("a.TIF",), ("b.txt",), ("c.png",)], "file string")
+    assert [r.file for r in sinks.products(files).collect()] == ["b.txt"]
+    assert sinks.append_hits(pts.select("x"), pts.select("x", "y")).columns == ["x", "y"]
+    (tmp_path / "io.txt").write_text("\n".join("\t".join(str(v) for v in (i, *range(10))) for i in range(10)))
+    assert text.interior_orientation(text.lines(spark, str(tmp_path / "io.txt"))).count() == 10
+    events = spark.createDataFrame([("2024-01-01 00:01:00", 1, 0.5), ("2024-01-01 00:04:00", 1, 1.5), ("2024-01-01 00:06:00", 2, 1.0)], "ts string, ccd int, score double").withColumn("ts", F.to_timestamp("ts"))
+    assert sorted((r.ccd, r.n, r.score) for r in stream.windowed_counts(events).collect()) == [(1, 2, 1.0), (2, 1, 1.0)]

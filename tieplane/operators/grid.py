@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from .robust import exact_quantiles, with_median
 from .upsert import best_cell
 
 
@@ -43,9 +44,8 @@ def despike(cells: DataFrame, x: str, y: str, k: float = 3.0, least_threshold: f
     """Cells without those whose inconsistency passes median + k 1.4826 MAD and that have enough neighbours.
     Fewer than ``samples`` cells are left alone; with no spread the threshold is the median."""
     inc = inconsistency(cells, x, y)
-    med = inc.agg(F.median("inconsistency").alias("_med"), F.count(F.lit(1)).alias("_n"))
-    d = inc.join(F.broadcast(med)).withColumn("_d", F.abs(F.col("inconsistency") - F.col("_med")))
-    d = d.join(F.broadcast(d.agg(F.median("_d").alias("_mad"))))
+    d = with_median(inc, [], "inconsistency", "_med").join(F.broadcast(inc.agg(F.count(F.lit(1)).alias("_n")))).withColumn("_d", F.abs(F.col("inconsistency") - F.col("_med")))
+    d = with_median(d, [], "_d", "_mad")
     scale = 1.4826 * F.col("_mad")
     threshold = F.greatest(F.when(scale > 1e-12, F.col("_med") + k * scale).otherwise(F.col("_med")), F.lit(float(least_threshold)))
     bad = (F.col("_n") >= samples) & (F.col("inconsistency") > threshold) & (F.col("n_window") - 1 >= neighbours)
@@ -129,8 +129,9 @@ def inland_holes(cells: DataFrame, rounds: int = 100_000) -> DataFrame:
     right = ends.filter("_b < c1").select("ir", (F.col("_b") + 1).alias("a"), F.col("c1").alias("b"), F.lit(True).alias("open"))
     empty = box.filter("r0 IS NOT NULL").select(F.explode(F.sequence("r0", "r1")).alias("ir"), "c0", "c1").join(there.select("ir").distinct(), "ir", "left_anti").select("ir", F.col("c0").alias("a"), F.col("c1").alias("b"), F.lit(True).alias("open"))
     runs = inner.unionByName(left).unionByName(right).unionByName(empty).join(F.broadcast(box)).withColumn("open", F.col("open") | (F.col("ir") == F.col("r0")) | (F.col("ir") == F.col("r1"))).select("ir", "a", "b", "open")
+    spark = cells.sparkSession
     for _ in range(rounds):
-        runs = runs.checkpoint() if runs.sparkSession.sparkContext.getCheckpointDir() else runs.cache()
+        runs = runs.checkpoint() if spark.sparkContext.getCheckpointDir() else runs.cache()  # a checkpoint wherever there is a shared folder
         opened = runs.filter("open")
         reach = opened.select(F.explode(F.array(F.col("ir") - 1, F.col("ir") + 1)).alias("ir"), F.col("a").alias("oa"), F.col("b").alias("ob"))
         new = runs.filter("NOT open").join(reach, "ir").filter("a <= ob AND oa <= b").select("ir", "a").distinct()
@@ -221,7 +222,7 @@ def balance_columns(pixels: DataFrame, value: str, col: str, keys: list[str]) ->
 
 def stretch(pixels: DataFrame, value: str, keys: list[str], low: float = 0.003, high: float = 0.997) -> DataFrame:
     """Values between two quantiles of their tile spread over 0 to 255, others cut off."""
-    q = pixels.groupBy(*keys).agg(F.percentile(value, F.array(F.lit(low), F.lit(high))).alias("_q"))
+    q = exact_quantiles(pixels, keys, value, [low, high], "_q")
     d = pixels.join(q, keys)
     x = (F.col(value) - F.col("_q")[0]) / F.nullif(F.col("_q")[1] - F.col("_q")[0], F.lit(0.0)) * 255.0
     return d.withColumn(value, F.greatest(F.lit(0.0), F.least(F.lit(255.0), x))).select(*pixels.columns)

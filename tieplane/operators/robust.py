@@ -9,11 +9,79 @@ from pyspark.sql import Window as W
 SCALE = 1.4826
 
 
+#: Values of a group that one task may hold; larger groups' ranks are found by histograms. A group counts as large
+#: only from 1/LARGEST of all rows, so there are fewer than LARGEST of them.
+HELD, LARGEST, BINS = 1_000_000, 1000, 1024
+
+
+def exact_quantiles(df: DataFrame, keys: list[str], value: str, shares: list[float], out: str) -> DataFrame:
+    """Per group the interpolated quantiles of a value, as an array; exact whatever the group's size.
+
+    A group that fits into a task is sorted there. In a large one the interval that holds the wanted ranks is
+    narrowed by counting values in BINS bins, a pass over the data each time, until what is left in it fits.
+    Nulls don't count. Without keys the result is one row.
+    """
+    spark, v = df.sparkSession, F.col(value).cast("double")
+    named = [f"_k{i}" for i in range(len(keys))]
+    d = df.select(*(F.col(k).alias(n) for k, n in zip(keys, named, strict=True)), v.alias("_v")).filter("_v IS NOT NULL")
+    sizes = d.groupBy(*named).agg(F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+    total, most = sizes.agg(F.sum("_n"), F.max("_n")).first()
+    held = max(HELD, (total or 0) // LARGEST)
+    large = sizes.filter(F.col("_n") > held).collect() if (most or 0) > held else []  # fewer than LARGEST rows
+    back = [F.col(n).alias(k) for k, n in zip(keys, named, strict=True)]
+    wanted = F.array(*(F.lit(float(s)) for s in shares))
+    if not large:
+        return d.groupBy(*named).agg(F.percentile("_v", wanted).alias(out)).select(*back, out)
+    kinds = ", ".join([f"{n} {d.schema[n].dataType.simpleString()}" for n in named])
+    keyed = (kinds + ", ") * bool(named)
+    groups = [tuple(r[n] for n in named) for r in large]
+    mark = spark.createDataFrame([(*g, True) for g in groups], f"{keyed}_big boolean")
+    on = lambda left, right: left.join(F.broadcast(right), F.lit(True) if not named else [F.col(f"l.{n}").eqNullSafe(F.col(f"r.{n}")) for n in named])
+    big = on(d.alias("l"), mark.alias("r")).select(*(F.col(f"l.{n}") for n in named), "_v")
+    # target: group, share, the two ranks, the interval, how many values lie below it, how many in it
+    left = {(g, i): [int(s * (r._n - 1)), min(r._n - 1, int(s * (r._n - 1)) + 1), r._lo, r._hi, 0, r._n] for g, r in zip(groups, large, strict=True) for i, s in enumerate(shares)}
+    while todo := {k: t for k, t in left.items() if t[5] > held and t[2] < t[3]}:
+        spec = spark.createDataFrame([(*g, i, t[2], t[3]) for (g, i), t in todo.items()], f"{keyed}_i int, _lo double, _hi double")
+        near = on(big.alias("l"), spec.alias("r")).filter("_v BETWEEN _lo AND _hi")
+        place = F.least(F.lit(BINS - 1), F.floor((F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * BINS)).cast("int")
+        bins = near.select(*(F.col(f"l.{n}").alias(n) for n in named), "_i", place.alias("_b"), "_v").groupBy(*named, "_i", "_b").agg(F.count(F.lit(1)).alias("n"), F.min("_v").alias("a"), F.max("_v").alias("z")).collect()
+        found: dict = {}
+        for r in bins:
+            found.setdefault((tuple(r[n] for n in named), r._i), []).append((r._b, r.n, r.a, r.z))
+        for key, t in todo.items():
+            below, low, inside = t[4], None, 0
+            for _, n, a, z in sorted(found[key]):
+                if low is None and below + n <= t[0]:
+                    below += n
+                    continue
+                low = a if low is None else low
+                inside += n
+                if below + inside > t[1]:
+                    break
+            left[key][2:] = [low, z, below, inside]
+    spec = spark.createDataFrame([(*g, i, *t[:5]) for (g, i), t in left.items()], f"{keyed}_i int, _r0 long, _r1 long, _lo double, _hi double, _below long")
+    rest = on(big.alias("l"), spec.alias("r")).filter("_v BETWEEN _lo AND _hi AND _lo < _hi").select(*(F.col(f"l.{n}").alias(n) for n in named), "_i", "_r0", "_r1", "_below", "_v")
+    at = rest.groupBy(*named, "_i", "_r0", "_r1", "_below").agg(F.sort_array(F.collect_list("_v")).alias("s"))
+    pairs = {(tuple(r[n] for n in named), r._i): (r.a, r.z) for r in at.select(*named, "_i", F.get("s", (F.col("_r0") - F.col("_below")).cast("int")).alias("a"), F.get("s", (F.col("_r1") - F.col("_below")).cast("int")).alias("z")).collect()}
+    rows = []
+    for g, r in zip(groups, large, strict=True):
+        q = []
+        for i, s in enumerate(shares):
+            a, z = pairs.get((g, i), (left[g, i][2], left[g, i][3]))
+            pos = s * (r._n - 1)
+            q.append(a + (z - a) * (pos - int(pos)))
+        rows.append((*g, q))
+    done = spark.createDataFrame(rows, f"{keyed}{out} array<double>")
+    if not named:
+        return done
+    small = d.alias("l").join(F.broadcast(mark).alias("r"), [F.col(f"l.{n}").eqNullSafe(F.col(f"r.{n}")) for n in named], "left_anti")
+    return small.groupBy(*named).agg(F.percentile("_v", wanted).alias(out)).unionByName(done).select(*back, out)
+
+
 def with_median(df: DataFrame, keys: list[str], value: str, out: str) -> DataFrame:
-    """Adds a group's median by an aggregate and a join; an overall median comes from one row."""
-    if keys:
-        return df.join(df.groupBy(*keys).agg(F.median(value).alias(out)), keys, "left")
-    return df.join(F.broadcast(df.agg(F.median(value).alias(out))))
+    """Adds a group's median; an overall median comes from one row."""
+    q = exact_quantiles(df, keys, value, [0.5], "_q").withColumn(out, F.get("_q", F.lit(0))).drop("_q")
+    return df.join(q, keys, "left") if keys else df.join(F.broadcast(q))
 
 
 def mad_stats(df: DataFrame, keys: list[str], value: str) -> DataFrame:
@@ -33,11 +101,12 @@ def robust_z_filter(df: DataFrame, keys: list[str], values: list[str], k: float,
     for i, v in enumerate(values):
         out = with_median(out, keys, v, f"_m{i}").withColumn(f"_d{i}", F.abs(F.col(v) - F.col(f"_m{i}")))
         out = with_median(out, keys, f"_d{i}", f"_a{i}")
-    n = F.count(F.lit(1)).over(W.partitionBy(*keys) if keys else W.partitionBy(F.lit(0)))
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    out = out.join(sizes, keys) if keys else out.join(F.broadcast(sizes))
     fine = F.lit(True)
     for i in range(len(values)):
         fine = fine & F.when(F.col(f"_a{i}") == 0, True).otherwise(0.6745 * F.col(f"_d{i}") <= k * F.col(f"_a{i}"))
-    return out.withColumn("_n", n).filter((F.col("_n") < least) | fine).select(*df.columns)
+    return out.filter((F.col("_n") < least) | fine).select(*df.columns)
 
 
 def weighted_median(df: DataFrame, keys: list[str], value: str, weight: str, tie: list[str], out: str = "wmedian") -> DataFrame:

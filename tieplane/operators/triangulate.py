@@ -77,23 +77,33 @@ def forward_intersection(rays: DataFrame, f: float = 11995.48, rays_per_point: i
     return flat.mapInPandas(run, f"point_id {kind}, X double, Y double, Z double, res0 double, res1 double")
 
 
-def block_adjustment(rays: DataFrame, poses: dict, f: float = 11995.48, degree: int = 1, rounds: int = 8, weights: tuple[float, float] = (20.0, 0.006), heights: tuple[float, float] | None = None) -> tuple[dict, list[float]]:
-    """Corrections of trajectories: per image and pose parameter a polynomial of time, all points eliminated.
+def time_basis(u: np.ndarray, t: np.ndarray, degree: int, frequencies: tuple[float, ...]) -> np.ndarray:
+    """Powers of the scaled time u, then cosine and sine of each frequency (per unit of t): what a correction is made of."""
+    waves = [f(2 * np.pi * w * t) for w in frequencies for f in (np.cos, np.sin)]
+    return np.concatenate([u[:, None] ** np.arange(degree + 1), *(x[:, None] for x in waves)], axis=1)
+
+
+def block_adjustment(rays: DataFrame, poses: dict, f: float = 11995.48, degree: int = 1, rounds: int = 8, weights: tuple[float, float] = (20.0, 0.006), heights: tuple[float, float] | None = None, frequencies: tuple[float, ...] = (), fixed: tuple = ()) -> tuple[dict, list[float]]:
+    """Corrections of trajectories: per image and pose parameter a polynomial of time and, for jitter, waves of the given
+    ``frequencies``; all points are eliminated.
 
     ``rays``: point_id, image, et, xp, yp, pose, start X, Y, Z. ``poses``: image -> (t0, span). Unknowns are the
-    6 * (degree + 1) coefficients of each image. Executors linearise and eliminate their points (the Schur
-    complement), partial reduced systems are summed by tree; the driver holds and solves only that system,
-    whose size is that of the unknowns. Corrections are drawn to zero by the inverse squares of ``weights``
-    (metres, radians); ``heights`` (radius, deviation) draws points to a sphere, as the jitter form has it.
-    Returns the coefficients and the cost of each round.
+    6 * (degree + 1 + 2 * len(frequencies)) coefficients of each image but the ``fixed`` ones. Executors linearise and
+    eliminate their points (the Schur complement), partial reduced systems are summed; the driver holds and solves only
+    that system, whose size is that of the unknowns. Corrections are drawn to zero by the inverse squares of ``weights``
+    (metres, radians); ``heights`` (radius, deviation) draws points to a sphere, as the jitter form has it. Without a fixed
+    image and heights, a common shift, turn and scale of all stays free but for those weights.
+    Returns the coefficients, per image an array of parameter by term, and the cost of each round.
     """
     spark = rays.sparkSession
-    images, k = sorted(poses), degree + 1
+    images, k = sorted(poses), degree + 1 + 2 * len(frequencies)
     size = len(images) * 6 * k
     cols = ["xp", "yp", "et", "Xs", "Ys", "Zs", "phi", "omega", "kappa", "X", "Y", "Z"]
     number = F.create_map(*(x for i, im in enumerate(images) for x in (F.lit(im), F.lit(float(i)))))
-    packed = rays.groupBy("point_id").agg(F.flatten(F.sort_array(F.collect_list(F.array(number[F.col("image")], *(F.col(c).cast("double") for c in cols))))).alias("v")).select("v").cache()
+    packed = rays.groupBy("point_id").agg(F.flatten(F.sort_array(F.collect_list(F.array(number[F.col("image")], *(F.col(c).cast("double") for c in cols))))).alias("v")).select("v")
+    packed = packed.checkpoint() if spark.sparkContext.getCheckpointDir() else packed.cache()
     prior = np.tile(np.r_[np.full(3 * k, weights[0] ** -2), np.full(3 * k, weights[1] ** -2)], len(images))
+    held = np.repeat([im in fixed for im in images], 6 * k)
     theta, costs = np.zeros(size), []
     span = np.array([poses[im] for im in images], float)
 
@@ -102,8 +112,8 @@ def block_adjustment(rays: DataFrame, poses: dict, f: float = 11995.48, degree:
         n, m, _ = v.shape
         image = v[:, :, 0].astype(int).reshape(-1)
         flat = v.reshape(-1, v.shape[2])
-        u = (flat[:, 3] - span[image, 0]) / span[image, 1]
-        basis = u[:, None] ** np.arange(k)
+        t = flat[:, 3] - span[image, 0]
+        basis = time_basis(t / span[image, 1], t, degree, frequencies)
         coef = c.reshape(len(images), 6, k)
         pose = flat[:, 4:10] + np.einsum("npk,nk->np", coef[image], basis)
         point = np.repeat(np.arange(n), m)
@@ -155,10 +165,19 @@ def block_adjustment(rays: DataFrame, poses: dict, f: float = 11995.48, degree:
         h, g = sums[: size * size].reshape(size, size), sums[size * size : -1]
         costs.append(float(sums[-1]))
         a = h + np.diag(prior)
+        g = g - prior * theta
+        a[held], a[:, held], g[held] = 0.0, 0.0, 0.0
+        a[held, held] = 1.0
         scale = np.sqrt(np.diag(a))
-        step = np.linalg.solve(a / scale[:, None] / scale, (g - prior * theta) / scale) / scale
+        step = np.linalg.solve(a / scale[:, None] / scale, g / scale) / scale
         theta = theta + step
         if np.abs(step * scale).max() < 1e-6:
             break
     packed.unpersist()
     return {im: theta.reshape(len(images), 6, k)[i] for i, im in enumerate(images)}, costs
+
+
+def residual_report(points: DataFrame) -> DataFrame:
+    """Of points with res0 and res1 (pixels): how many, the mean and root mean square of each ray's residuals, and the share over one."""
+    both = points.select(F.posexplode(F.array("res0", "res1")).alias("ray", "res"))
+    return both.groupBy("ray").agg(F.count(F.lit(1)).alias("n"), F.avg("res").alias("mean"), F.sqrt(F.avg(F.col("res") * F.col("res"))).alias("rms"), F.avg((F.col("res") > 1).cast("double")).alias("over_one"))

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from ..operators import denoise, fit, joins, robust
 from ..functions import geometry as geo
 from . import proxies as P
 from .proxies import r6
-from .registry import query
+from .registry import QUERIES, query
 from .sqltext import observed, solved
 
 C = F.col
@@ -127,6 +128,60 @@ def b3(spark, sf_dir):
     return out.select("point_id", *(r6(C(n), 1).alias(n) for n in "XYZ"), r6(C("res0"), 3).alias("res0"), r6(C("res1"), 3).alias("res1"))
 
 
+#: Planted corrections of the second image: metres and radians, constant and per unit of scaled time; a wave of 0.7 per second.
+_TRUE = {"Xs": (3.0, 1.0), "Ys": (-2.0, 0.5), "Zs": (1.5, -1.0), "phi": (2e-5, 1e-5), "omega": (-3e-5, 2e-5), "kappa": (4e-5, -1e-5)}
+_WAVE = {"Xs": (0.5, -0.25), "Ys": (0.25, 0.5), "Zs": (0.0, 0.25), "phi": (2e-6, 0.0), "omega": (-1e-6, 3e-6), "kappa": (0.0, 0.0)}
+
+
+def _adjusted(spark, sf_dir, frequencies):
+    """Corrections found from exact rays to points of the sphere, when the poses that are told lack the planted ones."""
+    from ..operators import triangulate
+
+    x, y = C("row") * 50 - 1.1e6, C("col") * 3000 - 2e5
+    ground = P.pt(spark, sf_dir).select(C("pid").alias("point_id"), (C("row") * 1e-4).alias("et"), x.alias("gx"), y.alias("gy"), F.sqrt(F.lit(geo.RADIUS) * geo.RADIUS - x * x - y * y).alias("gz"))
+    both, span = None, 4.4
+    for image, (ys, tilt) in enumerate(((-3.0e5, 0.1), (3.0e5, -0.1))):
+        told = dict(zip(_TRUE, (0.0, ys, 3.7e6, 0.001, tilt, 0.002), strict=True))
+        d = ground
+        for n, value in told.items():
+            true = F.lit(value)
+            if image:
+                true = true + _TRUE[n][0] + _TRUE[n][1] * (C("et") / span)
+                for w in frequencies:
+                    true = true + _WAVE[n][0] * F.cos(2 * np.pi * w * C("et")) + _WAVE[n][1] * F.sin(2 * np.pi * w * C("et"))
+            d = d.withColumn(f"t_{n}", true)
+        u, v = geo.ground_to_focal(geo.rotation(*(C(f"t_{a}") for a in ("phi", "omega", "kappa"))), [C(f"t_{a}") for a in ("Xs", "Ys", "Zs")], [C("gx"), C("gy"), C("gz")], F.lit(11995.48))
+        one = d.select("point_id", F.lit(image).alias("image"), "et", u.alias("xp"), v.alias("yp"), *(F.lit(a).alias(n) for n, a in told.items()), C("gx").alias("X"), C("gy").alias("Y"), C("gz").alias("Z"))
+        both = one if both is None else both.unionByName(one)
+    theta, costs = triangulate.block_adjustment(both, {0: (0.0, span), 1: (0.0, span)}, degree=1, rounds=8, weights=(1e4, 10.0), heights=(geo.RADIUS, 0.1), frequencies=frequencies, fixed=(0,))
+    rows = [(im, n, term, float(theta[im][q][term])) for im in theta for q, n in enumerate(_TRUE) for term in range(theta[im].shape[1])]
+    out = spark.createDataFrame(rows, "image int, param string, term int, coef double")
+    return out.select("image", "param", "term", F.when(C("param").isin("Xs", "Ys", "Zs"), r6(C("coef"), 1)).otherwise(r6(C("coef"), 6)).alias("coef"))
+
+
+def _planted(waves: bool) -> str:
+    rows = [(im, n, term, float(v) if im else 0.0) for im in (0, 1) for n in _TRUE for term, v in enumerate(_TRUE[n] + (_WAVE[n] if waves else ()))]
+    return "SELECT im::INT AS image, n AS param, term::INT AS term, round(v, CASE WHEN n IN ('Xs', 'Ys', 'Zs') THEN 1 ELSE 6 END) + 0.0 AS coef FROM (VALUES " + ", ".join(f"({im}, '{n}', {t}, {v!r}::DOUBLE)" for im, n, t, v in rows) + ") x(im, n, term, v)"
+
+
+@query("b4_block_adjustment", _planted(False))
+def b4(spark, sf_dir):
+    return _adjusted(spark, sf_dir, ())
+
+
+@query("b5_jitter_adjustment", _planted(True))
+def b5(spark, sf_dir):
+    return _adjusted(spark, sf_dir, (0.7,))
+
+
+@query("ag23_residual_report", "SELECT ray::INT AS ray, count(*) AS n, 0.0::DOUBLE AS rms, 0.0::DOUBLE AS over_one FROM pt, (VALUES (0), (1)) r(ray) GROUP BY ray")
+def ag23(spark, sf_dir):
+    from ..operators import triangulate
+
+    report = triangulate.residual_report(QUERIES["b3_forward_intersection"](spark, sf_dir))
+    return report.select("ray", "n", r6(C("rms"), 3).alias("rms"), r6(C("over_one")).alias("over_one"))
+
+
 @query("pr28_footprint", f"""WITH k(corner, fr, fc) AS (VALUES (0, 0.0::DOUBLE, 0.0::DOUBLE), (1, 0, 1), (2, 1, 0), (3, 1, 1)), o0 AS (SELECT ccd, corner, fr * (r1 - r0) AS row, fc * (c1 - c0) AS col FROM mosaic, k),
 o1 AS (SELECT *, {_PX.format(s='(col - 0.5 - 1024.0)')} AS px, {_PY.format(s='(col - 0.5 - 1024.0)')} AS py, 100.0 * row * 1e-4 AS xo, 0.0::DOUBLE AS yo, 3.7e6::DOUBLE AS zo, 0.0::DOUBLE AS phi, 0.0::DOUBLE AS omega, 0.0::DOUBLE AS kappa FROM o0), {observed('o1')}
 SELECT ccd, corner, round(degrees(asin(gz / sqrt(gx*gx + gy*gy + gz*gz))), 6) + 0.0 AS lat, round(degrees(atan2(gy, gx)), 6) + 0.0 AS lon, round(sqrt(gx*gx + gy*gy + gz*gz) - 3396190.0, 3) + 0.0 AS h FROM ob""")

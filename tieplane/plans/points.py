@@ -418,10 +418,10 @@ def w9(spark, sf_dir):
     return near.groupBy((C("roi") + 1).alias("roi")).agg(r6(F.median("R1")).alias("r"), r6(F.median("C1")).alias("c"))
 
 
-@query("se1_union_tables", "SELECT 'main' AS src, count(*) AS n, round(sum(mcol), 3) + 0.0 AS s FROM matched UNION ALL SELECT 'link', count(*), round(sum(col), 3) + 0.0 FROM pt")
+@query("se1_union_tables", "SELECT 'main' AS src, pid, mcol AS c FROM matched UNION ALL SELECT 'link', pid, col FROM pt")
 def se1(spark, sf_dir):
-    main, link = P.matched(spark, sf_dir).select(F.lit("main").alias("src"), C("mcol").alias("c")), P.pt(spark, sf_dir).select(F.lit("link").alias("src"), C("col").alias("c"))
-    return main.unionByName(link).groupBy("src").agg(F.count(F.lit(1)).alias("n"), r6(F.sum("c"), 3).alias("s"))
+    main, link = P.matched(spark, sf_dir).select(F.lit("main").alias("src"), "pid", C("mcol").alias("c")), P.pt(spark, sf_dir).select(F.lit("link").alias("src"), "pid", C("col").alias("c"))
+    return main.unionByName(link)
 
 
 @query("se3_distinct_coordinates", "SELECT DISTINCT round_even(col * 1000, 0) / 1000 AS c, floor(row / 60) AS h FROM pt")

@@ -10,11 +10,15 @@ MATCH = ["row", "col", "img_id", "mrow", "mcol", "score"]
 
 
 def lines(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
-    """file, line (from 1), value. A file is read as a whole, as its order has meaning; many files make the
-    parallelism, and no file is larger than one tile's table."""
+    """file, line (from 1), value of all lines but blank ones. Files are read in splits, as any text: a line's number is its
+    place in its split, by the order of reading, after the lines of the file's splits before, which are counted."""
     reader = spark.read.option("pathGlobFilter", glob) if glob else spark.read
-    text = reader.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
-    return text.select("file", F.posexplode(F.split("value", "\r?\n")).alias("line", "value")).withColumn("line", F.col("line") + 1).filter(F.trim("value") != "")
+    text = reader.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_b"), F.monotonically_increasing_id().alias("_i"), F.regexp_replace("value", "\r$", "").alias("value"))
+    counts = text.groupBy("file", "_b").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(W.partitionBy("file").orderBy("_b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    inner = text.withColumn("_r", F.row_number().over(W.partitionBy("file", "_b").orderBy("_i")))
+    numbered = inner.join(counts.withColumn("_s", before).select("file", "_b", "_s"), ["file", "_b"])
+    return numbered.select("file", (F.col("_s") + F.col("_r")).cast("int").alias("line"), "value").filter(F.trim("value") != "")
 
 
 def numbered(values: DataFrame, file: Column, order: list, value: str = "value") -> DataFrame:

@@ -18,16 +18,33 @@ def merge(current: DataFrame | None, batch: DataFrame) -> DataFrame:
     return first_by(both, ["pid"], [F.col("score").desc_nulls_last(), "_new", F.col("img_id").asc_nulls_last(), "mrow", "mcol"]).drop("_new")
 
 
+def _tiles(spark: SparkSession, target: str) -> list[str]:
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(target)
+    fs = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
+    return sorted(s.getPath().getName() for s in fs.listStatus(hadoop)) if fs.exists(hadoop) else []
+
+
+def current(spark: SparkSession, target: str) -> DataFrame:
+    """The upserted table: the latest version of each tile."""
+    out = spark.createDataFrame([], SCHEMA)
+    for name in _tiles(spark, target):
+        out = out.unionByName(latest(spark, f"{target}/{name}"))
+    return out
+
+
+def upsert_batch(spark: SparkSession, batch: DataFrame, target: str) -> None:
+    """Merges a batch into the tiles that it has rows of, a sensor's few; other tiles are not touched."""
+    there = set(_tiles(spark, target))
+    for r in batch.select("ccd").distinct().orderBy("ccd").collect():
+        name = f"ccd={r.ccd}"
+        old = latest(spark, f"{target}/{name}") if name in there else None
+        snapshot(merge(old, batch.filter(F.col("ccd").eqNullSafe(F.lit(r.ccd)))), f"{target}/{name}")
+
+
 def upsert_stream(spark: SparkSession, source: str, target: str, checkpoint: str):
     """Starts the query. A batch that is replayed changes nothing, as merging it again keeps what is there."""
     stream = spark.readStream.schema(SCHEMA).parquet(source)
-
-    def apply(batch: DataFrame, _: int) -> None:
-        hadoop = spark._jvm.org.apache.hadoop.fs.Path(target)
-        there = hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
-        snapshot(merge(latest(spark, target) if there else None, batch), target)
-
-    return stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return stream.writeStream.foreachBatch(lambda batch, _: upsert_batch(spark, batch, target)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def windowed_counts(events: DataFrame, ts: str = "ts", late: str = "10 minutes", size: str = "5 minutes") -> DataFrame:
