@@ -456,3 +456,26 @@ def test_writers_and_small_readers(spark, tmp_path):
     assert text.interior_orientation(text.lines(spark, str(tmp_path / "io.txt"))).count() == 10
     events = spark.createDataFrame([("2024-01-01 00:01:00", 1, 0.5), ("2024-01-01 00:04:00", 1, 1.5), ("2024-01-01 00:06:00", 2, 1.0)], "ts string, ccd int, score double").withColumn("ts", F.to_timestamp("ts"))
     assert sorted((r.ccd, r.n, r.score) for r in stream.windowed_counts(events).collect()) == [(1, 2, 1.0), (2, 1, 1.0)]
+
+
+def test_the_step_graph_runs_on_real_steps(spark, tmp_path):
+    from tieplane.plans import stereo
+
+    rng = np.random.default_rng(31)
+    wide = rng.uniform(0, 255, (96, 168)).cumsum(0).cumsum(1)
+    wide = (wide - wide.mean()) / wide.std() * 40 + rng.normal(0, 20, wide.shape) + 128
+    images = [wide[:, 0:96], wide[:, 72:168]]
+    left, right = tiles_of(spark, images), tiles_of(spark, [np.roll(a, (2, 1), (0, 1)) for a in images])
+    c = config.parse("grid_match:\n  spacing: 12\n  window: 9\n  search: 4\nfeature_match:\n  sigma: 4\n")
+    made = stereo.steps(spark, c, str(tmp_path), overlap=24, corner_cell=12)
+    tables, log = pipeline.run(spark, c, made, {"left": left, "right": right})
+    status = {r.step: (r.status, r.message) for r in log.collect()}
+    assert all(status[s][0] == "done" for s in ("preprocess", "mosaic", "downsample", "feature_match", "grid_match", "inter_tile_match", "export")), status
+    assert status["adjustment"] == ("failed", "missing io, timing, polys_l, polys_r") and status["trajectory"][0] == "skipped"
+    assert [(r.ccd, r.r0, r.c0) for r in tables["mosaic_l"].orderBy("ccd").collect()] == [(0, 0, 0), (1, 0, 72)]
+    moved = [(round(r.mrow - r.row), round(r.mcol - r.col)) for r in tables["grid"].filter("mrow IS NOT NULL").collect()]
+    assert len(moved) > 60 and sum(x == (2, 1) for x in moved) > 0.9 * len(moved)
+    assert np.allclose(tables["affine"], [1, 0, 2, 0, 1, 1], atol=0.2)
+    assert tables["ties"].count() > 0 and len(list(tmp_path.glob("text/ccd=*"))) == 2
+    planned = pipeline.run(spark, c, made, {"left": left, "right": right}, dry=True)[1]
+    assert {r.step: r.status for r in planned.collect()}["preprocess"] == "planned"

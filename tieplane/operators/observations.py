@@ -124,3 +124,16 @@ def ground_to_image(points: DataFrame, begin: float, line_rate: float, params: l
         return pd.DataFrame({"img_row": np.where(ok, (et - begin) / line_rate, np.nan), "img_col": np.where(ok, sample, np.nan)})
 
     return points.withColumn("_p", locate("X", "Y", "Z")).select("*", F.nanvl("_p.img_row", F.lit(None)).alias("img_row"), F.nanvl("_p.img_col", F.lit(None)).alias("img_col")).drop("_p")
+
+
+def trajectory_series(samples: DataFrame, keys: list[str], epoch: str = "2000-01-01 12:00:00") -> DataFrame:
+    """Poses (et, Xs, Ys, Zs, phi, omega, kappa) as a time series: utc (seconds after ``epoch`` as a timestamp's text), place, velocity to
+    the next sample, quaternion and matrix. The last sample of a group has no velocity."""
+    w = W.partitionBy(*keys).orderBy("et")
+    d = settled(samples, {f"r{i}": x for i, x in enumerate(geo.rotation(C("phi"), C("omega"), C("kappa")))})
+    dt = F.nullif(F.lead("et").over(w) - C("et"), F.lit(0.0))
+    velocity = [((F.lead(c).over(w) - C(c)) / dt).alias(f"V{c[0]}") for c in ("Xs", "Ys", "Zs")]
+    q = [x.alias(f"q{n}") for n, x in zip("wxyz", geo.quaternion([C(f"r{i}") for i in range(9)]), strict=True)]
+    seconds = F.unix_timestamp(F.lit(epoch).cast("timestamp")) + F.floor("et").cast("long")
+    utc = F.date_format(F.timestamp_seconds(seconds), "yyyy-MM-dd'T'HH:mm:ss")
+    return d.select(*keys, utc.alias("utc"), "et", "Xs", "Ys", "Zs", *velocity, *q, *(C(f"r{i}") for i in range(9)))

@@ -130,7 +130,7 @@ def b3(spark, sf_dir):
 
 #: Planted corrections of the second image: metres and radians, constant and per unit of scaled time; a wave of 0.7 per second.
 _TRUE = {"Xs": (3.0, 1.0), "Ys": (-2.0, 0.5), "Zs": (1.5, -1.0), "phi": (2e-5, 1e-5), "omega": (-3e-5, 2e-5), "kappa": (4e-5, -1e-5)}
-_WAVE = {"Xs": (0.5, -0.25), "Ys": (0.25, 0.5), "Zs": (0.0, 0.25), "phi": (2e-6, 0.0), "omega": (-1e-6, 3e-6), "kappa": (0.0, 0.0)}
+_WAVE = {"Xs": (0.5, -0.22), "Ys": (0.22, 0.5), "Zs": (0.0, 0.22), "phi": (2e-6, 0.0), "omega": (-1e-6, 3e-6), "kappa": (0.0, 0.0)}
 
 
 def _adjusted(spark, sf_dir, frequencies):
@@ -182,6 +182,20 @@ def ag23(spark, sf_dir):
     return report.select("ray", "n", r6(C("rms"), 3).alias("rms"), r6(C("over_one")).alias("over_one"))
 
 
+@query("h10_trajectory_series", """WITH s AS (SELECT oid % 8 AS strip, oid, t AS et, y AS px, oid * 2.0::DOUBLE AS py, -(0.001 * (oid % 100)) AS p, 0.02::DOUBLE AS w, 0.0001 * (oid % 1000) AS k FROM ephem QUALIFY row_number() OVER (PARTITION BY oid % 8, t ORDER BY oid) = 1),
+l AS (SELECT *, lead(et) OVER q - et AS dt, lead(px) OVER q - px AS dx, lead(py) OVER q - py AS dy, sqrt(1 + cos(p)*cos(k) - sin(p)*sin(w)*sin(k) + cos(w)*cos(k) + cos(p)*cos(w)) * 2 AS sz FROM s WINDOW q AS (PARTITION BY strip ORDER BY et))
+SELECT strip, strftime(TIMESTAMP '2000-01-01 12:00:00' + to_seconds(floor(et)::BIGINT), '%Y-%m-%dT%H:%M:%S') AS utc, et, round(dx / dt, 7) + 0.0 AS "VX", round(dy / dt, 7) + 0.0 AS "VY", round(sz / 4, 6) + 0.0 AS qw, round((-(sin(p)*sin(k)) + cos(p)*sin(w)*cos(k) + sin(w)) / sz, 6) + 0.0 AS qx FROM l""")
+def h10(spark, sf_dir):
+    from pyspark.sql import Window as W
+
+    from ..operators import observations
+
+    e = P.ephem(spark, sf_dir).withColumn("k", F.row_number().over(W.partitionBy(C("oid") % 8, "t").orderBy("oid"))).filter("k = 1")
+    samples = e.select((C("oid") % 8).alias("strip"), C("t").alias("et"), C("y").alias("Xs"), (C("oid") * 2.0).alias("Ys"), F.lit(0.0).alias("Zs"), (0.001 * (C("oid") % 100)).alias("phi"), F.lit(0.02).alias("omega"), (0.0001 * (C("oid") % 1000)).alias("kappa"))
+    out = observations.trajectory_series(samples, ["strip"])
+    return out.select("strip", "utc", "et", r6(C("VX"), 7).alias("VX"), r6(C("VY"), 7).alias("VY"), r6(C("qw")).alias("qw"), r6(C("qx")).alias("qx"))
+
+
 @query("pr28_footprint", f"""WITH k(corner, fr, fc) AS (VALUES (0, 0.0::DOUBLE, 0.0::DOUBLE), (1, 0, 1), (2, 1, 0), (3, 1, 1)), o0 AS (SELECT ccd, corner, fr * (r1 - r0) AS row, fc * (c1 - c0) AS col FROM mosaic, k),
 o1 AS (SELECT *, {_PX.format(s='(col - 0.5 - 1024.0)')} AS px, {_PY.format(s='(col - 0.5 - 1024.0)')} AS py, 100.0 * row * 1e-4 AS xo, 0.0::DOUBLE AS yo, 3.7e6::DOUBLE AS zo, 0.0::DOUBLE AS phi, 0.0::DOUBLE AS omega, 0.0::DOUBLE AS kappa FROM o0), {observed('o1')}
 SELECT ccd, corner, round(degrees(asin(gz / sqrt(gx*gx + gy*gy + gz*gz))), 6) + 0.0 AS lat, round(degrees(atan2(gy, gx)), 6) + 0.0 AS lon, round(sqrt(gx*gx + gy*gy + gz*gz) - 3396190.0, 3) + 0.0 AS h FROM ob""")
