@@ -466,7 +466,7 @@ def test_the_step_graph_runs_on_real_steps(spark, tmp_path):
     wide = (wide - wide.mean()) / wide.std() * 40 + rng.normal(0, 20, wide.shape) + 128
     images = [wide[:, 0:96], wide[:, 72:168]]
     left, right = tiles_of(spark, images), tiles_of(spark, [np.roll(a, (2, 1), (0, 1)) for a in images])
-    c = config.parse("grid_match:\n  spacing: 12\n  window: 9\n  search: 4\nfeature_match:\n  sigma: 4\n")
+    c = config.parse("grid_match:\n  spacing: 10\n  window: 9\n  search: 4\nfeature_match:\n  sigma: 4\n")
     made = stereo.steps(spark, c, str(tmp_path), overlap=24, corner_cell=12)
     tables, log = pipeline.run(spark, c, made, {"left": left, "right": right})
     status = {r.step: (r.status, r.message) for r in log.collect()}

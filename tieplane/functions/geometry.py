@@ -136,6 +136,23 @@ def from_lat_lon(lat: Column, lon: Column, h: Column, radius: float = RADIUS) ->
     return rho * F.cos(la) * F.cos(lo), rho * F.cos(la) * F.sin(lo), rho * F.sin(la)
 
 
+def to_geodetic(x: Column, y: Column, z: Column, a: float, flattening: float, rounds: int = 12) -> tuple[Column, Column, Column]:
+    """Latitude, longitude (degrees) and height on an ellipsoid by fixed-point rounds, which end far below 1e-10; a loop inside one
+    expression. Places on the axis have longitude 0."""
+    e2 = flattening * (2 - flattening)
+    p = F.sqrt(x * x + y * y)
+    prime = lambda lat: a / F.sqrt(1.0 - e2 * F.sin(lat) * F.sin(lat))
+    lat = F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), F.atan2(z, p * (1.0 - e2)), lambda lat, _: F.atan2(z + e2 * prime(lat) * F.sin(lat), p))
+    made = F.get(F.transform(F.array(lat), lambda v: F.struct(v.alias("lat"), (p * F.cos(v) + z * F.sin(v) - a * F.sqrt(1.0 - e2 * F.sin(v) * F.sin(v))).alias("h"))), F.lit(0))
+    return F.degrees(made["lat"]), F.degrees(F.atan2(y, x)), made["h"]
+
+
+def from_geodetic(lat: Column, lon: Column, h: Column, a: float, flattening: float) -> tuple[Column, Column, Column]:
+    la, lo, e2 = F.radians(lat), F.radians(lon), flattening * (2 - flattening)
+    n = a / F.sqrt(1.0 - e2 * F.sin(la) * F.sin(la))
+    return (n + h) * F.cos(la) * F.cos(lo), (n + h) * F.cos(la) * F.sin(lo), (n * (1.0 - e2) + h) * F.sin(la)
+
+
 def local_frame(x: Column, y: Column, z: Column, cx: Column, cy: Column, cz: Column, radius: float = RADIUS, exaggeration: float = 5.0) -> tuple[Column, Column, Column]:
     """East, north about a centre, and the exaggerated height over the sphere instead of up."""
     rho = F.sqrt(cx * cx + cy * cy + cz * cz)

@@ -81,6 +81,23 @@ def knn_join(left: DataFrame, right: DataFrame, left_at: tuple[str, str], right_
     return nearest_k(pairs, by, k, order)
 
 
+def held(df: DataFrame) -> DataFrame:
+    """A table that several later steps read, computed once: a checkpoint in the shared folder; where there is none, on one
+    machine, it is cached."""
+    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.cache()
+
+
+def ranked_by_ranges(df: DataFrame, keys: list[str], order: list[str], out: str) -> DataFrame:
+    """Adds the 0-based place of each row within ``keys`` by ``order`` (columns, a total order), whatever a key's size: rows are
+    sorted in ranges that split even one key's rows, and the counts of a key's ranges before give each its base."""
+    dealt = held(df.repartitionByRange(*keys, *order).withColumn("_part", F.spark_partition_id()))  # so that a range keeps its number
+    counts = dealt.groupBy(*keys, "_part").agg(F.count(F.lit(1)).alias("_c"))
+    before = F.coalesce(F.sum("_c").over((W.partitionBy(*keys) if keys else W.partitionBy(F.lit(0))).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))  # as many rows as ranges
+    inner = dealt.withColumn("_r", F.row_number().over(W.partitionBy(*keys, "_part").orderBy(*order)) - 1)
+    based = counts.withColumn("_s", before).drop("_c")
+    return inner.join(based, [*keys, "_part"]).withColumn(out, (F.col("_s") + F.col("_r")).cast("long")).drop("_part", "_s", "_r")
+
+
 def adaptive_neighbours(pairs: DataFrame, by: list[str], radius: float, least: int, most: int, order: list) -> DataFrame:
     """Of pairs with d2: those within the radius or among the ``least`` nearest, ``most`` at most."""
     ranked = pairs.withColumn("rk", F.row_number().over(W.partitionBy(*by).orderBy(*order)))

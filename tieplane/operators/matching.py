@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import patch as Z
 from . import fit, joins, robust
+from .joins import held
 from .upsert import first_by, upsert_by_score
 
 C = F.col
@@ -85,10 +86,11 @@ def match_exhaustively(left: DataFrame, right: DataFrame, keys: list[str], least
     return joins.argmax_pairs(pairs, ["pid"], "score", least, ["rid"])
 
 
-def match_in_band(left: DataFrame, right: DataFrame, keys: list[str], reach: float, least: float) -> DataFrame:
-    """The best right point within 2 reach by reach of the prediction (pr, pc) of each left one."""
+def match_in_band(left: DataFrame, right: DataFrame, keys: list[str], reach: float, least: float, score: str | None = None) -> DataFrame:
+    """The best right point within 2 reach by reach of the prediction (pr, pc) of each left one. ``score`` names a column
+    that holds it; without, patches are compared."""
     pairs = joins.band_join(left, right, ("pr", "pc"), ("rrow", "rcol"), 2.0 * reach, reach, keys)
-    return joins.argmax_pairs(score_pairs(pairs, blend=False), ["pid"], "score", least, ["rid"])
+    return joins.argmax_pairs(pairs.withColumn("score", C(score)) if score else score_pairs(pairs, blend=False), ["pid"], "score", least, ["rid"])
 
 
 def predict_points(points: DataFrame, affines: DataFrame, keys: list[str], scale: float = 1.0) -> DataFrame:
@@ -186,8 +188,7 @@ def predict_by_field(points: DataFrame, field: DataFrame, whole: list[float], ti
 def match_by_field(left: DataFrame, right: DataFrame, keys: list[str], field: DataFrame, whole: list[float], tile_r: float, tile_c: float, reach: float, least: float, score: str | None = None) -> DataFrame:
     """The best right point in the band about each left one's place by the local field. ``score`` names a column that
     holds it; without, patches are compared."""
-    pairs = joins.band_join(predict_by_field(left, field, whole, tile_r, tile_c, reach), right, ("pr", "pc"), ("rrow", "rcol"), 2.0 * reach, reach, keys)
-    return joins.argmax_pairs(pairs.withColumn("score", C(score)) if score else score_pairs(pairs, blend=False), ["pid"], "score", least, ["rid"])
+    return match_in_band(predict_by_field(left, field, whole, tile_r, tile_c, reach), right, keys, reach, least, score)
 
 
 def local_disparity(points: DataFrame, controls: DataFrame, radius: float, least: int = 5, most: int = 24, floor: float = 8.0) -> DataFrame:
@@ -224,7 +225,8 @@ def in_two_phases(places: DataFrame, mosaic: DataFrame, find, least: float, wide
     """The best hit of each place: first in its candidate tiles; for places without a hit of ``least``, in all tiles around the
     affine's place with a reach of ``wide`` at least. ``find(places with tile)`` returns pid, tile, score and more."""
     best = lambda hits: first_by(hits, ["pid"], [F.desc("score"), "tile"])
-    tried = best(find(joins.candidate_tiles(places, mosaic, "pr", "pc", C("reach_r"), C("reach_c"))))
+    places = held(places)
+    tried = held(best(find(joins.candidate_tiles(places, mosaic, "pr", "pc", C("reach_r"), C("reach_c")))))
     good = tried.filter(C("score") >= least)
     rest = places.join(good.select("pid"), "pid", "left_anti").withColumns({"pr": C("ar"), "pc": C("ac"), "reach_r": F.greatest("reach_r", F.lit(wide)), "reach_c": F.greatest("reach_c", F.lit(wide))})
     valid = mosaic.filter("r1 > r0 AND c1 > c0").agg(F.sort_array(F.collect_list("ccd")).alias("_t"))  # one row: a sensor's tiles
@@ -299,7 +301,7 @@ def register_overlaps(tiles: DataFrame, overlap: int, rows: int, cols: int, half
     return tiles.select("ccd", "rows", "cols", "samples").join(right, "ccd").mapInPandas(run, "ccd int, dr int, dc int, score double")
 
 
-def rematch_features(points: DataFrame, seeds: DataFrame, right: DataFrame, affines: DataFrame, keys: list[str], radius: float = 500.0, near: float = 64.0, far: float = 128.0, seed_min: int = 3, least: float = 0.6) -> DataFrame:
+def rematch_features(points: DataFrame, seeds: DataFrame, right: DataFrame, affines: DataFrame, keys: list[str], radius: float = 500.0, near: float = 64.0, far: float = 128.0, seed_min: int = 3, least: float = 0.6, score: str | None = None) -> DataFrame:
     """Unmatched features again: three seeds or more around predict by their weighted mean and a narrow band,
     fewer leave the affine and a wide one. Hits are upserted by score."""
     s = seeds.select(*keys, C("row").alias("srow"), C("col").alias("scol"), (C("mrow") - C("row")).alias("dr"), (C("mcol") - C("col")).alias("dc"))
@@ -310,7 +312,7 @@ def rematch_features(points: DataFrame, seeds: DataFrame, right: DataFrame, affi
     local = F.coalesce(C("_n") >= seed_min, F.lit(False))
     close = p.filter(local).withColumn("pr", C("row") + C("_dr")).withColumn("pc", C("col") + C("_dc"))
     wide = p.filter(~local)
-    hits = match_in_band(close.drop("_n", "_dr", "_dc"), right, keys, near, least).unionByName(match_in_band(wide.drop("_n", "_dr", "_dc"), right, keys, far, least))
+    hits = match_in_band(close.drop("_n", "_dr", "_dc"), right, keys, near, least, score).unionByName(match_in_band(wide.drop("_n", "_dr", "_dc"), right, keys, far, least, score))
     return first_by(hits, ["pid"], [F.desc("score"), "rid"])
 
 
@@ -346,5 +348,5 @@ def refine_globally(matches: DataFrame, left: DataFrame, right: DataFrame, reach
 def tie_points(left: DataFrame, right: DataFrame, cross, how: Z.Search, least: float, keep, overlap: int = 48, step: tuple[int, int] = (48, 16)) -> DataFrame:
     """Tie points over the seams of two strips: links inside the left strip, filtered by ``keep``; both their ends matched
     across by ``cross``; and links inside the right strip that join the same places."""
-    own, other = (keep(within_strip(t, how, least, overlap, step)) for t in (left, right))
-    return inter_tile_ties(own, cross(own), other)
+    own, other = (held(keep(within_strip(t, how, least, overlap, step))) for t in (left, right))
+    return inter_tile_ties(own, held(cross(own)), other)

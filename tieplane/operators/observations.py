@@ -9,23 +9,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions import geometry as geo
+from .joins import ranked_by_ranges
 
 C = F.col
 
 
-def every_nth(matches: DataFrame, n: int, per_tile: bool) -> DataFrame:
-    """Every n-th match in the order of tile and line; the count starts anew in each tile or goes on.
-
-    Going on, each tile's count starts where those before it end: the tiles' sizes, a row each, are summed,
-    so no task sees all matches.
-    """
-    inner = F.row_number().over(W.partitionBy("ccd").orderBy("line")) - 1
-    d = matches.withColumn("_i", inner)
-    if not per_tile:
-        sizes = matches.groupBy("ccd").agg(F.count(F.lit(1)).alias("_n"))
-        before = F.coalesce(F.sum("_n").over(W.partitionBy(F.lit(0)).orderBy("ccd").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-        d = d.join(sizes.withColumn("_b", before).select("ccd", "_b"), "ccd").withColumn("_i", C("_i") + C("_b")).drop("_b")
-    return d.filter(C("_i") % n == 0).drop("_i")
+def every_nth(matches: DataFrame, n: int, per_tile: bool, line: str = "line") -> DataFrame:
+    """Every n-th match in the order of tile and line; the count starts anew in each tile or goes on over all."""
+    ranked = ranked_by_ranges(matches, ["ccd"], [line], "_i") if per_tile else ranked_by_ranges(matches, [], ["ccd", line], "_i")
+    return ranked.filter(C("_i") % n == 0).drop("_i")
 
 
 def settled(df: DataFrame, cols: dict[str, Column]) -> DataFrame:
@@ -95,6 +87,14 @@ def footprint(rows: DataFrame, io: DataFrame, timing: DataFrame, polys: DataFram
     return o.select(F.floor(C("point_id") / 4).cast("int").alias("ccd"), (C("point_id") % 4).cast("int").alias("corner"), lat.alias("lat"), lon.alias("lon"), h.alias("h"))
 
 
+def feature_places(features: DataFrame, scale: int, io: DataFrame, timing: DataFrame, polys: DataFrame) -> DataFrame:
+    """Latitude, longitude and height of features (ccd, r, c) of a level whose pixels are ``scale`` samples wide."""
+    pts = features.select("ccd", F.struct("r", "c").alias("point_id"), (C("r") * float(scale)).alias("row"), (C("c") * float(scale)).alias("col"))
+    o = observe(pts.withColumn("point_id", F.struct("ccd", "point_id")), 0, "row", "col", "ccd", io, timing, polys)
+    lat, lon, h = geo.to_lat_lon(C("X"), C("Y"), C("Z"))
+    return o.select("point_id.ccd", "point_id.point_id.r", "point_id.point_id.c", lat.alias("lat"), lon.alias("lon"), h.alias("h"))
+
+
 def ground_to_image(points: DataFrame, begin: float, line_rate: float, params: list[list[float]], io: list[float], rows: int, f: float = 11995.48, binning: float = 1.0, tdi: float = 128.0, rounds: int = 100) -> DataFrame:
     """Image place of ground points (X, Y, Z): the scan line is found by iterating the line offset to below one.
 

@@ -173,6 +173,18 @@ def failure_reason(in_image: Column, has_window: Column, seeds: Column, least: i
     )
 
 
+def reason_report(rows: DataFrame, reason: str, bucket: str, key: str, most: int = 800) -> tuple[DataFrame, DataFrame]:
+    """Counts by reason and bucket, and a sample: of each reason the ``most`` rows of smallest hash of the key."""
+    counts = rows.groupBy(reason, bucket).agg(F.count(F.lit(1)).alias("n"))
+    w = W.partitionBy(reason).orderBy(F.md5(F.col(key).cast("string").cast("binary")), key)
+    return counts, rows.withColumn("_k", F.row_number().over(w)).filter(F.col("_k") <= most).drop("_k")
+
+
+def valid_tiles(mosaic: DataFrame) -> DataFrame:
+    """Tiles that have an extent."""
+    return mosaic.filter("r1 > r0 AND c1 > c0")
+
+
 def weighted_mean(value: Column, weight: Column) -> Column:
     return F.sum(weight * value) / F.nullif(F.sum(weight), F.lit(0.0))
 

@@ -196,6 +196,20 @@ def h10(spark, sf_dir):
     return out.select("strip", "utc", "et", r6(C("VX"), 7).alias("VX"), r6(C("VY"), 7).alias("VY"), r6(C("qw")).alias("qw"), r6(C("qx")).alias("qx"))
 
 
+@query("b9_feature_ground_places", f"""WITH f AS (SELECT DISTINCT ccd, floor(row / 16)::BIGINT AS r, floor(col / 16)::BIGINT AS c FROM pt), o0 AS (SELECT ccd, r, c, c * 16.0::DOUBLE AS col, r * 16.0::DOUBLE * 0.0001 AS et FROM f),
+o1 AS (SELECT *, {_PX.format(s='(col - 0.5 - 1024.0)')} AS px, {_PY.format(s='(col - 0.5 - 1024.0)')} AS py, 100.0 * et AS xo, 0.0::DOUBLE AS yo, 3.7e6::DOUBLE AS zo, 0.0::DOUBLE AS phi, 0.01::DOUBLE AS omega, 0.0::DOUBLE AS kappa FROM o0), {observed('o1')}
+SELECT ccd, r, c, round(degrees(asin(gz / sqrt(gx*gx + gy*gy + gz*gz))), 6) + 0.0 AS lat, round(degrees(atan2(gy, gx)), 4) + 0.0 AS lon FROM ob""")
+def b9(spark, sf_dir):
+    """Features of the coarsest level, times 16, on the ground."""
+    from ..operators import observations
+
+    features = P.pt(spark, sf_dir).select("ccd", F.floor(C("row") / 16).alias("r"), F.floor(C("col") / 16).alias("c")).distinct()
+    timing = P.mosaic(spark).select("ccd", F.lit(0.0).alias("begin"), F.lit(1e-4).alias("line_rate"))
+    polys = spark.range(1).select(*(F.array(*map(F.lit, [0.0, v, w, 0.0, 0.0])).alias(f"p{i}") for i, (v, w) in enumerate(((0.0, 100.0), (0.0, 0.0), (3.7e6, 0.0), (0.0, 0.0), (0.01, 0.0), (0.0, 0.0)))))
+    out = observations.feature_places(features, 16, _io_table(spark), timing, polys)
+    return out.select("ccd", "r", "c", r6(C("lat")).alias("lat"), r6(C("lon"), 4).alias("lon"))
+
+
 @query("pr28_footprint", f"""WITH k(corner, fr, fc) AS (VALUES (0, 0.0::DOUBLE, 0.0::DOUBLE), (1, 0, 1), (2, 1, 0), (3, 1, 1)), o0 AS (SELECT ccd, corner, fr * (r1 - r0) AS row, fc * (c1 - c0) AS col FROM mosaic, k),
 o1 AS (SELECT *, {_PX.format(s='(col - 0.5 - 1024.0)')} AS px, {_PY.format(s='(col - 0.5 - 1024.0)')} AS py, 100.0 * row * 1e-4 AS xo, 0.0::DOUBLE AS yo, 3.7e6::DOUBLE AS zo, 0.0::DOUBLE AS phi, 0.0::DOUBLE AS omega, 0.0::DOUBLE AS kappa FROM o0), {observed('o1')}
 SELECT ccd, corner, round(degrees(asin(gz / sqrt(gx*gx + gy*gy + gz*gz))), 6) + 0.0 AS lat, round(degrees(atan2(gy, gx)), 6) + 0.0 AS lon, round(sqrt(gx*gx + gy*gy + gz*gz) - 3396190.0, 3) + 0.0 AS h FROM ob""")

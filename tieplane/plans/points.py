@@ -8,7 +8,8 @@ from pyspark.sql import Window as W
 
 from ..functions import geometry as geo
 from ..operators import robust
-from ..operators.joins import tile_lookup
+from ..operators.joins import ranked_by_ranges, tile_lookup
+from ..operators.observations import every_nth
 from . import proxies as P
 from .proxies import r6
 from .registry import query
@@ -382,15 +383,56 @@ def w2(spark, sf_dir):
 
 @query("w4_systematic_sample", "SELECT pid FROM matched QUALIFY (row_number() OVER (PARTITION BY ccd ORDER BY pid) - 1) % 10 = 0")
 def w4(spark, sf_dir):
-    n = F.row_number().over(W.partitionBy("ccd").orderBy("pid")) - 1
-    return P.matched(spark, sf_dir).withColumn("n", n).filter("n % 10 = 0").select("pid")
+    return every_nth(P.matched(spark, sf_dir), 10, per_tile=True, line="pid").select("pid")
+
+
+@query("w4b_running_sample", "SELECT pid FROM matched QUALIFY (row_number() OVER (ORDER BY ccd, pid) - 1) % 7 = 0")
+def w4b(spark, sf_dir):
+    return every_nth(P.matched(spark, sf_dir), 7, per_tile=False, line="pid").select("pid")
+
+
+@query("f9_valid_tiles", "SELECT ccd FROM (SELECT ccd, r0, CASE WHEN ccd % 3 = 0 THEN r0 ELSE r1 END AS r1, c0, c1 FROM mosaic) WHERE r1 > r0 AND c1 > c0")
+def f9(spark, sf_dir):
+    return robust.valid_tiles(P.mosaic(spark).withColumn("r1", F.when(C("ccd") % 3 == 0, C("r0")).otherwise(C("r1")))).select("ccd")
+
+
+@query("f11b_reason_sample", f"""WITH v AS (SELECT *, sqrt((mrow - {_AR})*(mrow - {_AR}) + (mcol - {_AC})*(mcol - {_AC})) AS res FROM match),
+c AS (SELECT pid, coalesce(CASE WHEN NOT (col >= 5) THEN 'outside' WHEN NOT (row >= 1000) THEN 'no_window' WHEN k < 6 THEN 'few_seeds' WHEN score IS NULL THEN 'no_candidate' WHEN score < 8 THEN 'low_score' WHEN res >= 30 THEN 'affine_gate' END, 'matched') AS reason FROM v)
+SELECT pid, reason FROM c QUALIFY row_number() OVER (PARTITION BY reason ORDER BY md5(pid::VARCHAR), pid) <= 50""")
+def f11b(spark, sf_dir):
+    vx, vy = robust.affine_residual(C("row"), C("col"), C("mrow"), C("mcol"), AFFINE)
+    reason = robust.failure_reason(C("col") >= 5, C("row") >= 1000, C("k"), 6, C("score"), 8.0, F.sqrt(vx * vx + vy * vy), 30.0)
+    rows = P.match(spark, sf_dir).select("pid", "ccd", F.coalesce(reason, F.lit("matched")).alias("reason"))
+    return robust.reason_report(rows, "reason", "ccd", "pid", 50)[1].select("pid", "reason")
+
+
+@query("pr19_geodetic", "SELECT pid, round(row / 499.3 - 44, 7) + 0.0 AS lat, round(col * 2 - 150, 8) + 0.0 AS lon, round(score * 100, 4) + 0.0 AS h FROM pt")
+def pr19(spark, sf_dir):
+    """Places told on an ellipsoid, made Cartesian and found again."""
+    x, y, z = geo.from_geodetic(C("row") / 499.3 - 44, C("col") * 2 - 150, C("score") * 100, 3396190.0, 1 / 169.8)
+    d = P.pt(spark, sf_dir).select("pid", x.alias("x"), y.alias("y"), z.alias("z"))
+    lat, lon, h = geo.to_geodetic(C("x"), C("y"), C("z"), 3396190.0, 1 / 169.8)
+    return d.select("pid", r6(lat, 7).alias("lat"), r6(lon, 8).alias("lon"), r6(h, 4).alias("h"))
+
+
+@query("pr29_plane_round_trip", _FOCAL + "SELECT pid, round(xp, 5) + 0.0 AS x, round(yp, 5) + 0.0 AS y FROM fp")
+def pr29(spark, sf_dir):
+    """From the image to the plane Z = 0 of a local frame and back."""
+    d = _posed(spark, sf_dir)
+    origin = [F.lit(10.0), F.lit(20.0), F.lit(3000.0)]
+    x, y, z = geo.ray_plane(_direction(), origin, 0.0)
+    d = d.select("pid", *(C(f"r{i}") for i in range(9)), x.alias("gx"), y.alias("gy"), z.alias("gz"))
+    u, v = geo.ground_to_focal(_rotation(), origin, [C("gx"), C("gy"), C("gz")], F.lit(11995.48))
+    return d.select("pid", r6(u, 5).alias("x"), r6(v, 5).alias("y"))
 
 
 @query("w5_even_thinning", """WITH r AS (SELECT pid, ccd, row_number() OVER (PARTITION BY ccd ORDER BY row, col, pid) - 1 AS i, count(*) OVER (PARTITION BY ccd) AS n FROM pt),
 j AS (SELECT ccd, n, unnest(range(0, 50)) AS j FROM (SELECT DISTINCT ccd, n FROM r WHERE n > 50)), k AS (SELECT DISTINCT ccd, round_even(j * ((n - 1) / 49.0::DOUBLE), 0)::BIGINT AS i FROM j)
 SELECT pid FROM r WHERE n <= 50 OR (ccd, i) IN (SELECT (ccd, i) FROM k)""")
 def w5(spark, sf_dir):
-    r = P.pt(spark, sf_dir).withColumn("i", (F.row_number().over(W.partitionBy("ccd").orderBy("row", "col", "pid")) - 1).cast("long")).withColumn("n", F.count(F.lit(1)).over(W.partitionBy("ccd")))
+    p = P.pt(spark, sf_dir).select("pid", "ccd", "row", "col")
+    sizes = p.groupBy("ccd").agg(F.count(F.lit(1)).alias("n"))
+    r = ranked_by_ranges(p, ["ccd"], ["row", "col", "pid"], "i").join(sizes, "ccd")
     # the j that a row could be chosen for is its place over the stride, rounded either way
     stride = (C("n") - 1) / F.lit(49.0)
     chosen = F.exists(F.sequence(F.floor(C("i") / stride) - 1, F.floor(C("i") / stride) + 1), lambda j: (j >= 0) & (j < 50) & (F.rint(j * stride) == C("i")))

@@ -54,6 +54,30 @@ def j4(spark, sf_dir):
     return out.select("pid", "local", "rid", "score")
 
 
+@query("j5_rematch_features", f"""WITH un AS (SELECT pid, ccd, row, col FROM match WHERE img_id IS NULL), a0 AS (SELECT u.pid, (u.row - s.row)*(u.row - s.row) + (u.col - s.col)*(u.col - s.col) AS d2, s.mrow - s.row AS dr, s.mcol - s.col AS dc FROM un u JOIN matched s ON u.ccd = s.ccd WHERE (u.row - s.row)*(u.row - s.row) + (u.col - s.col)*(u.col - s.col) < 10000),
+g AS (SELECT pid, count(*) AS n, sum(1.0 / (d2 + 1.0) * dr) / sum(1.0 / (d2 + 1.0)) AS dr, sum(1.0 / (d2 + 1.0) * dc) / sum(1.0 / (d2 + 1.0)) AS dc FROM a0 GROUP BY pid),
+p AS (SELECT un.pid, ccd, coalesce(n >= 3, false) AS local, CASE WHEN coalesce(n >= 3, false) THEN row + dr ELSE {_AR} END AS pr, CASE WHEN coalesce(n >= 3, false) THEN col + dc ELSE {_AC} END AS pc FROM un LEFT JOIN g ON un.pid = g.pid)
+SELECT p.pid, r.pid AS rid, r.score FROM p JOIN matched r ON p.ccd = r.ccd AND abs(pr - r.mrow) < CASE WHEN local THEN 32 ELSE 64 END AND abs(pc - r.mcol) < CASE WHEN local THEN 16 ELSE 32 END WHERE r.score >= 5 QUALIFY row_number() OVER (PARTITION BY p.pid ORDER BY r.score DESC, r.pid) = 1""")
+def j5(spark, sf_dir):
+    m = P.match(spark, sf_dir)
+    affines = P.mosaic(spark).select("ccd", *(F.lit(float(x)).alias(f) for f, x in zip(fit.AFFINE, AFFINE, strict=True)))
+    un = m.filter("img_id IS NULL").select("ccd", "pid", "row", "col")
+    out = matching.rematch_features(un, P.matched(spark, sf_dir), _right(spark, sf_dir), affines, ["ccd"], 100.0, 16.0, 32.0, 3, 5.0, score="rscore")
+    return out.select("pid", "rid", "score")
+
+
+@query("u2_cross_strip_upsert", """WITH h AS (SELECT pid, (img_id + 1) % 10 AS img_id, mrow * 1.01 + 3 AS mrow, CASE k % 3 WHEN 0 THEN score WHEN 1 THEN score + 1 ELSE score - 1 END AS score FROM matched UNION ALL SELECT pid, 4, row, 0.5 FROM match WHERE img_id IS NULL AND k % 2 = 0)
+SELECT m.pid, CASE WHEN h.pid IS NULL OR m.score >= h.score THEN m.img_id ELSE h.img_id END AS img_id, round(CASE WHEN h.pid IS NULL OR m.score >= h.score THEN m.mrow ELSE h.mrow END, 3) + 0.0 AS mrow, round(CASE WHEN h.pid IS NULL OR m.score >= h.score THEN m.score ELSE h.score END, 6) + 0.0 AS score FROM match m LEFT JOIN h ON m.pid = h.pid""")
+def u2(spark, sf_dir):
+    """What is there stays when its score is as high."""
+    m = P.match(spark, sf_dir)
+    step = F.when(C("k") % 3 == 0, 0.0).when(C("k") % 3 == 1, 1.0).otherwise(-1.0)
+    hits = m.filter("img_id IS NOT NULL").select("pid", ((C("img_id") + 1) % 10).cast("int").alias("img_id"), (C("mrow") * 1.01 + 3).alias("mrow"), (C("score") + step).alias("score"))
+    hits = hits.unionByName(m.filter("img_id IS NULL AND k % 2 = 0").select("pid", F.lit(4).alias("img_id"), C("row").alias("mrow"), F.lit(0.5).alias("score")))
+    out = upsert.upsert_by_score(m.select("pid", "img_id", "mrow", "score"), hits, ["pid"], ["img_id", "mrow", "score"], "score", "img_id")
+    return out.select("pid", "img_id", r6(C("mrow"), 3).alias("mrow"), r6(C("score")).alias("score"))
+
+
 _PHASES = f"""dp AS (SELECT l.pid, s.pid AS sid, (l.row - s.row)*(l.row - s.row) + (l.col - s.col)*(l.col - s.col) AS d2, s.mrow - s.row AS vr, s.mcol - s.col AS vc FROM src l, ctl s),
 dr AS (SELECT *, row_number() OVER (PARTITION BY pid ORDER BY d2, vr, vc, sid) AS rk FROM dp), dw AS (SELECT *, greatest(exp(-d2 / 1800.0), 1e-6) AS w FROM dr WHERE rk <= 24 AND (d2 <= 3600 OR rk <= 5)),
 dm AS (SELECT pid, sum(w * vr) / sum(w) AS mr, sum(w * vc) / sum(w) AS mc, sum(w) AS sw FROM dw GROUP BY pid HAVING count(*) >= 3),
@@ -158,9 +182,9 @@ def j14(spark, sf_dir):
 SELECT a.ccd, a.i, pid, other FROM a JOIN b ON a.ccd = b.ccd AND a.i = b.i""")
 def j15(spark, sf_dir):
     m = P.matched(spark, sf_dir)
-    a = m.select("ccd", F.row_number().over(W.partitionBy("ccd").orderBy("pid")).alias("i"), "pid")
-    b = m.select("ccd", F.row_number().over(W.partitionBy("ccd").orderBy("mcol", "pid")).alias("i"), C("pid").alias("other"))
-    return a.join(b, ["ccd", "i"]).select("ccd", C("i").cast("long").alias("i"), "pid", "other")
+    a = joins.ranked_by_ranges(m.select("ccd", "pid"), ["ccd"], ["pid"], "i")
+    b = joins.ranked_by_ranges(m.select("ccd", "mcol", C("pid").alias("other")), ["ccd"], ["mcol", "other"], "i")
+    return a.join(b, ["ccd", "i"]).select("ccd", (C("i") + 1).alias("i"), "pid", "other")
 
 
 def _runs(spark, sf_dir):
