@@ -92,6 +92,7 @@ def test_common_shingles_small_tiles_and_pieces_lose_no_link(spark, monkeypatch,
     monkeypatch.setattr(jaccard, "BLOCK", block)
     monkeypatch.setattr(jaccard, "PIECE", piece)
     monkeypatch.setattr(jaccard, "SPREAD", block)
+    monkeypatch.setattr(jaccard, "HEAVY", 1 << 30)
     monkeypatch.setattr(jaccard, "SHORT", 2)
     rows = chained(common, 70, 4)
     want = expected(rows)

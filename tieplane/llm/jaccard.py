@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, lookup
+from .common import HEAVY, Scratch, lookup
 from .graph import components
 from .shingles import batches_of, shingle_sets
 
@@ -26,7 +26,7 @@ SHORT = 64
 BLOCK = 1024
 #: Largest bitmap, in bits, and how many times as wide those of tiles are as those of single pairs.
 WIDEST, WIDER = 1 << 16, 8
-#: Pairs of one set that one task fetches the shingles for, about.
+#: Pairs of one set that are never split.
 SPREAD = 2048
 #: Bits of the filter that tells which texts' shingles are fetched.
 FILTER_BITS = 24
@@ -357,14 +357,17 @@ def _exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def attach(pairs: DataFrame, side: str, facts: DataFrame, columns: dict[str, str], total: int) -> DataFrame:
-    """Joins to each pair the ``columns`` of the set named in ``side``. A set of many pairs is copied, so that no
-    task meets more than about SPREAD of them."""
-    other = "b" if side == "a" else "a"
-    degrees = pairs.groupBy(side).agg(F.count(F.lit(1)).alias("_degree"))
-    copies = F.ceil(F.col("_degree") / SPREAD).cast("int")
-    dealt = lookup(pairs, degrees, [side], "_degree", total).withColumn("_copy", F.pmod(F.xxhash64(other), copies).cast("int")).drop("_degree")
-    own = facts.select(F.col("cid").alias(side), *(F.col(c).alias(n) for c, n in columns.items())).join(degrees, side)
-    own = own.withColumn("_copy", F.explode(F.sequence(F.lit(0), copies - 1))).drop("_degree")
+    """Joins to each pair the ``columns`` of the set named in ``side``. A set with more than a HEAVYth of all pairs is copied, so
+    that no task meets many more; there are fewer than HEAVY such sets."""
+    other, most = "b" if side == "a" else "a", max(SPREAD, total // HEAVY)
+    own = facts.select(F.col("cid").alias(side), *(F.col(c).alias(n) for c, n in columns.items()))
+    heavy = pairs.groupBy(side).agg(F.ceil(F.count(F.lit(1)) / most).cast("int").alias("_of")).filter("_of > 1").collect()
+    if not heavy:
+        return pairs.join(own, side)
+    many = F.broadcast(pairs.sparkSession.createDataFrame(heavy, f"{side} long, _of int"))
+    copies = F.coalesce("_of", F.lit(1))
+    dealt = pairs.join(many, side, "left").withColumn("_copy", F.pmod(F.xxhash64(other), copies).cast("int")).drop("_of")
+    own = own.join(many, side, "left").withColumn("_copy", F.explode(F.sequence(F.lit(0), copies - 1))).drop("_of")
     return dealt.join(own, [side, "_copy"]).drop("_copy")
 
 
