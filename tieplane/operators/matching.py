@@ -80,10 +80,50 @@ def score_pairs(pairs: DataFrame, a: str = "lpatch", b: str = "rpatch", side: in
     return g.withColumn("score", Z.score_blend(gray, Z.zncc(C("_ga"), C("_gb")))).drop("_ga", "_gb")
 
 
+#: Patches of a side that one task of an exhaustive comparison holds, about.
+SIDE = 2000
+
+
+def best_by_patch(left: DataFrame, right: DataFrame, keys: list[str], least: float, but_itself: bool = False) -> DataFrame:
+    """The right patch (rid, rpatch) that correlates best with each left one (pid, lpatch) of equal keys: keys, pid, rid, score (nine
+    digits) from ``least`` on; of equal scores the smallest rid, with ``but_itself`` none of the point's own number.
+
+    All pairs are compared, as products of normalised patches: a key's sides are cut into blocks of about SIDE, and a
+    task takes two of them, so its memory is bounded; what moves grows with the number of blocks.
+    """
+    kinds = {f.name: f.dataType.simpleString() for f in [*left.schema.fields, *right.schema.fields]}
+    cut = lambda d, n: d.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / SIDE).cast("int").alias(n))
+    blocks = held(cut(left, "_ls").join(cut(right, "_rs"), keys))
+    own = lambda d, n, of: d.withColumn(of, F.pmod(F.xxhash64(n), C(of + "s")).cast("int"))
+    every = lambda of: F.explode(F.sequence(F.lit(0), C(of + "s") - 1)).alias(of)
+    l = own(left.join(blocks, keys), "pid", "_l").select(*keys, "pid", "lpatch", "_l", every("_r"))
+    r = own(right.join(blocks, keys), "rid", "_r").select(*(C(k).alias(k) for k in keys), "rid", "rpatch", "_r", every("_l"))
+
+    def normal(v: pd.Series) -> np.ndarray:
+        a = np.stack(v.to_numpy()).astype(np.float64)
+        a = a - a.mean(axis=1, keepdims=True)
+        return a / np.sqrt(np.maximum((a * a).sum(axis=1, keepdims=True), Z.FLOOR))
+
+    def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if a.empty or b.empty:
+            return pd.DataFrame(columns=[*keys, "pid", "rid", "score"])
+        b = b.sort_values("rid")
+        s = np.round(normal(a["lpatch"]) @ normal(b["rpatch"]).T, 9)
+        if but_itself:
+            s[a["pid"].to_numpy()[:, None] == b["rid"].to_numpy()[None]] = -np.inf
+        k = s.argmax(axis=1)
+        out = a[keys].assign(pid=a["pid"], rid=b["rid"].to_numpy()[k], score=s[np.arange(len(a)), k])
+        return out[out["score"] >= least]
+
+    schema = ", ".join(f"{k} {kinds[k]}" for k in [*keys, "pid", "rid"]) + ", score double"
+    hits = l.groupBy(*keys, "_l", "_r").cogroup(r.groupBy(*keys, "_l", "_r")).applyInPandas(run, schema)
+    return first_by(hits, ["pid"], [F.desc("score"), "rid"])
+
+
 def match_exhaustively(left: DataFrame, right: DataFrame, keys: list[str], least: float) -> DataFrame:
     """The best right point of every left one within a tile pair; for the coarsest level, whose tiles are small."""
-    pairs = score_pairs(left.join(right, keys), blend=False)
-    return joins.argmax_pairs(pairs, ["pid"], "score", least, ["rid"])
+    best = best_by_patch(left.select(*keys, "pid", "lpatch"), right.select(*keys, "rid", "rpatch"), keys, least)
+    return best.join(left, [*keys, "pid"]).join(right, [*keys, "rid"])
 
 
 def match_in_band(left: DataFrame, right: DataFrame, keys: list[str], reach: float, least: float, score: str | None = None) -> DataFrame:

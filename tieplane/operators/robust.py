@@ -121,6 +121,16 @@ def weighted_median(df: DataFrame, keys: list[str], value: str, weight: str, tie
     return d.groupBy(*keys).agg(F.coalesce(reached, middle).alias(out))
 
 
+def moments(pairs: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
+    """Count, means mr, mc, variances vr, vc and covariance cov of two values per group, from sums that are added up before the
+    shuffle; for values of a size with their spread, such as disparities."""
+    a, b, n = F.col(x), F.col(y), F.col("n")
+    s = pairs.select(*keys, a.alias("_a"), b.alias("_b")).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.sum("_a").alias("_a"), F.sum("_b").alias("_b"), F.sum(F.col("_a") * F.col("_a")).alias("_aa"), F.sum(F.col("_b") * F.col("_b")).alias("_bb"), F.sum(F.col("_a") * F.col("_b")).alias("_ab"))
+    mean = {"mr": F.col("_a") / n, "mc": F.col("_b") / n}
+    zero = F.lit(0.0)
+    return s.select(*keys, "n", *(v.alias(k) for k, v in mean.items()), F.greatest(zero, F.col("_aa") / n - mean["mr"] * mean["mr"]).alias("vr"), F.greatest(zero, F.col("_bb") / n - mean["mc"] * mean["mc"]).alias("vc"), (F.col("_ab") / n - mean["mr"] * mean["mc"]).alias("cov"))
+
+
 def mahalanobis_ok(n: Column, mr: Column, mc: Column, vr: Column, vc: Column, cov: Column, dr: Column, dc: Column, k: float = 1.0, least: int = 5) -> Column:
     """Whether a disparity lies within k of its neighbours' distribution; variances count as 1 at least, and
     where they are as good as singular each axis is tested by itself."""

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import patch as Z
-from ..operators.joins import argmax_pairs
 from . import proxies as P
 from .proxies import r6
 from .registry import query
@@ -79,9 +78,8 @@ def z5(spark, sf_dir):
 @query("j2_exhaustive_argmax", f"""WITH m AS (SELECT pid, ccd, patch::DOUBLE[] AS a FROM patches), p AS (SELECT l.pid, r.pid AS rid, round({_zncc('l.a', 'r.a')}, 9) AS s FROM m l JOIN m r ON l.ccd = r.ccd AND l.pid <> r.pid)
 SELECT pid, rid, round(s, 6) + 0.0 AS s FROM p WHERE s >= 0.1 QUALIFY row_number() OVER (PARTITION BY pid ORDER BY s DESC, rid) = 1""")
 def j2(spark, sf_dir):
-    s, q = Z.moments(C("patch"))
-    p = P.patches(spark, sf_dir).withColumns({"s": s, "q": q})  # once a patch, not once a pair
-    left, right = p.toDF("pid", "ccd", "a", "sa", "qa"), p.toDF("rid", "ccd", "b", "sb", "qb")
-    pairs = left.join(right, "ccd").filter("pid <> rid")
-    score = Z.zncc_from_moments(F.lit(float(N)), C("sa"), C("qa"), C("sb"), C("qb"), Z.dot(C("a"), C("b")))
-    return argmax_pairs(pairs.select("pid", "rid", F.round(score, 9).alias("s")), ["pid"], "s", 0.1, ["rid"]).select("pid", "rid", r6(C("s")).alias("s"))
+    from ..operators.matching import best_by_patch
+
+    p = P.patches(spark, sf_dir)
+    out = best_by_patch(p.select("ccd", "pid", C("patch").alias("lpatch")), p.select("ccd", C("pid").alias("rid"), C("patch").alias("rpatch")), ["ccd"], 0.1, but_itself=True)
+    return out.select("pid", "rid", r6(C("score")).alias("s"))

@@ -322,8 +322,8 @@ SELECT pid FROM t WHERE CASE WHEN a * b - cov * cov < 1e-6 THEN abs(x) / sqrt(a)
 def o4(spark, sf_dir):
     vx, vy = robust.affine_residual(C("row"), C("col"), C("mrow"), C("mcol"), AFFINE)
     v = P.matched(spark, sf_dir).filter(robust.affine_gate(vx, vy, 45.0, 40.0, 20.0))
-    pairs = joins.radius_join(v.select("ccd", "pid", "row", "col"), _seeds(spark, sf_dir), ("row", "col"), ("srow", "scol"), 300.0, ["ccd"])
-    n = pairs.groupBy("pid").agg(F.count(F.lit(1)).alias("n"), F.avg("dr").alias("mr"), F.avg("dc").alias("mc"), F.var_pop("dr").alias("vr"), F.var_pop("dc").alias("vc"), F.covar_pop("dr", "dc").alias("cov"))
+    pairs = joins.radius_join(v.select("ccd", "pid", "row", "col"), _seeds(spark, sf_dir).drop("sid"), ("row", "col"), ("srow", "scol"), 300.0, ["ccd"])
+    n = robust.moments(pairs, ["pid"], "dr", "dc")
     fine = robust.mahalanobis_ok(C("n"), C("mr"), C("mc"), C("vr"), C("vc"), C("cov"), C("mrow") - C("row"), C("mcol") - C("col"))
     return v.join(n, "pid").filter(fine).select("pid")
 
