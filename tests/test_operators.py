@@ -385,8 +385,11 @@ def test_tie_points_join_links_of_both_strips(spark):
     _, images = strip(np.random.default_rng(6), n=2)
     left, right = tiles_of(spark, images), tiles_of(spark, images)
     same = lambda links: links.select(F.col("ccd_l").alias("ccd"), "row", "col").unionByName(links.select(F.col("ccd_r").alias("ccd"), F.rint("mrow").alias("row"), F.rint("mcol").alias("col"))).distinct().select("ccd", "row", "col", F.col("ccd").alias("img_id"), F.col("row").alias("mrow"), F.col("col").alias("mcol"))
-    ties = matching.tie_points(left, right, same, Z.Search(4, 3), 0.9, lambda x: x, overlap=24, step=(8, 8))
-    assert ties.count() > 10
+    ties = matching.tie_points(left, right, same, same, Z.Search(4, 3), 0.9, lambda x: x, overlap=24, step=(8, 8)).collect()
+    assert len(ties) > 20 and {r.strip for r in ties} == {"left", "right"}
+    assert all((r.row, r.col, r.mrow, r.mcol) == (r.a_row, r.a_col, r.b_row, r.b_col) and (r.a_img, r.b_img) == (0, 1) for r in ties)
+    links = matching.within_strip(left, Z.Search(4, 3), 0.9, overlap=24, step=(8, 8))
+    assert matching.inter_tile_ties(links, same(links), links).count() == links.count()
 
 
 def test_field_prediction_falls_back_to_the_whole_affine(spark):
@@ -476,6 +479,7 @@ def test_the_step_graph_runs_on_real_steps(spark, tmp_path):
     moved = [(round(r.mrow - r.row), round(r.mcol - r.col)) for r in tables["grid"].filter("mrow IS NOT NULL").collect()]
     assert len(moved) > 60 and sum(x == (2, 1) for x in moved) > 0.9 * len(moved)
     assert np.allclose(tables["affine"], [1, 0, 2, 0, 1, 1], atol=0.2)
-    assert tables["ties"].count() > 0 and len(list(tmp_path.glob("text/ccd=*"))) == 2
+    ties = tables["ties"].collect()
+    assert {r.strip for r in ties} == {"left", "right"} and len(list(tmp_path.glob("text/ccd=*"))) == 2
     planned = pipeline.run(spark, c, made, {"left": left, "right": right}, dry=True)[1]
     assert {r.step: r.status for r in planned.collect()}["preprocess"] == "planned"

@@ -385,8 +385,21 @@ def refine_globally(matches: DataFrame, left: DataFrame, right: DataFrame, reach
     return d.withColumns(out).drop("_r", "_c", "_s")
 
 
-def tie_points(left: DataFrame, right: DataFrame, cross, how: Z.Search, least: float, keep, overlap: int = 48, step: tuple[int, int] = (48, 16)) -> DataFrame:
-    """Tie points over the seams of two strips: links inside the left strip, filtered by ``keep``; both their ends matched
-    across by ``cross``; and links inside the right strip that join the same places."""
-    own, other = (held(keep(within_strip(t, how, least, overlap, step))) for t in (left, right))
-    return inter_tile_ties(own, held(cross(own)), other)
+def ends_across(links: DataFrame, cross: DataFrame) -> DataFrame:
+    """Links (ccd_l, row, col, ccd_r, mrow, mcol) both of whose ends match across (``cross``: ccd, row, col, img_id, mrow, mcol; equal
+    places after rounding to whole pixels), with the places there: a_img, a_row, a_col, b_img, b_row, b_col."""
+    side = lambda p: cross.select(C("ccd").alias(f"_{p}ccd"), F.rint("row").alias(f"_{p}r"), F.rint("col").alias(f"_{p}c"), C("img_id").alias(f"{p}_img"), C("mrow").alias(f"{p}_row"), C("mcol").alias(f"{p}_col"))
+    l = links.withColumns({"_accd": C("ccd_l"), "_ar": F.rint("row"), "_ac": F.rint("col"), "_bccd": C("ccd_r"), "_br": F.rint("mrow"), "_bc": F.rint("mcol")})
+    both = l.join(side("a"), ["_accd", "_ar", "_ac"]).join(side("b"), ["_bccd", "_br", "_bc"])
+    return both.select("ccd_l", "row", "col", "ccd_r", "mrow", "mcol", "a_img", "a_row", "a_col", "b_img", "b_row", "b_col")
+
+
+def tie_points(left: DataFrame, right: DataFrame, to_right, to_left, how: Z.Search, least: float, keep, overlap: int = 48, step: tuple[int, int] = (48, 16)) -> DataFrame:
+    """Tie points over the seams of two strips: links inside the left strip, filtered by ``keep``, whose ends ``to_right`` matches across;
+    and links inside the right strip, whose ends ``to_left`` does. ``strip`` says where a link lies."""
+    out = None
+    for name, tiles, cross in (("left", left, to_right), ("right", right, to_left)):
+        links = held(keep(within_strip(tiles, how, least, overlap, step)))
+        one = ends_across(links, held(cross(links))).withColumn("strip", F.lit(name))
+        out = one if out is None else out.unionByName(one)
+    return out

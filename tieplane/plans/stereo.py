@@ -95,8 +95,11 @@ def steps(spark: SparkSession, c: settings.Config, work: str, overlap: int = 48,
         rows = size.filter(C("h") >= g.spacing).select("ccd", "w", at.alias("i")).filter(C("w") >= g.spacing)
         cells = rows.select("ccd", "i", F.explode(F.sequence(F.lit(0), F.floor(C("w") / g.spacing) - 1)).alias("j"))
         cells = cells.select("ccd", (C("ccd").cast("long") * (1 << 40) + C("i") * (1 << 20) + C("j")).alias("pid"), (C("i") * g.spacing + centre).cast("double").alias("row"), (C("j") * g.spacing + centre).cast("double").alias("col"))
-        guessed = matching.grid_predictions(cells, t["matches"].select("ccd", "row", "col", "mrow", "mcol"), t["affines"], ["ccd"], m.seed_radius)
-        plain = matching.predict_points(cells.select("ccd", "pid", "row", "col"), t["affines"], ["ccd"]).select("pid", C("pr").alias("ar"), C("pc").alias("ac"))
+        # a tile without an affine of its own takes that of the whole strip
+        own = t["affines"].filter("inliers >= 3").select("ccd", *(C(f).alias(f"own_{f}") for f in fit.AFFINE))
+        affines = size.select("ccd").join(own, "ccd", "left").select("ccd", *(F.coalesce(f"own_{f}", F.lit(float(x))).alias(f) for f, x in zip(fit.AFFINE, t["affine"], strict=True)))
+        guessed = matching.grid_predictions(cells, t["matches"].select("ccd", "row", "col", "mrow", "mcol"), affines, ["ccd"], m.seed_radius)
+        plain = matching.predict_points(cells.select("ccd", "pid", "row", "col"), affines, ["ccd"]).select("pid", C("pr").alias("ar"), C("pc").alias("ac"))
         asked = guessed.join(plain, "pid").select("ccd", C("ccd").alias("lccd"), C("ccd").alias("rccd"), "pid", "row", "col", "pr", "pc", "ar", "ac")
         how = Z.Search(reach=min(g.search, 8), half=g.window // 2, stride=1, smooth=g.lambda2, gate=float(g.weak_range), sharpness=30.0, kind="blend")
         return {"grid": keep(matching.semi_dense(asked, t["left"], t["right"], ["ccd"], how, g.min_score), "grid")}
@@ -104,15 +107,24 @@ def steps(spark: SparkSession, c: settings.Config, work: str, overlap: int = 48,
     def inter_tile_match(t):
         how = Z.Search(4, half, sharpness=None, kind="blend")
 
-        def across(links):
-            ends = links.select(C("ccd_l").alias("ccd"), "row", "col").unionByName(links.select(C("ccd_r").alias("ccd"), F.rint("mrow").alias("row"), F.rint("mcol").alias("col"))).distinct()
-            ends = ends.select((C("ccd").cast("long") * (1 << 40) + C("row").cast("long") * (1 << 20) + C("col").cast("long")).alias("pid"), "ccd", C("row").cast("double").alias("row"), C("col").cast("double").alias("col"), F.lit(None).cast("int").alias("rccd"), *(F.lit(None).cast("double").alias(x) for x in ("mrow", "mcol", "score")))
-            placed = joins.tile_lookup(joins.tile_lookup(t["matches"], t["mosaic_l"], "ccd", "l"), t["mosaic_r"], "rccd", "r")
-            controls = placed.select((C("row") + C("l_r0")).alias("row"), (C("col") + C("l_c0")).alias("col"), (C("mrow") + C("r_r0")).alias("mrow"), (C("mcol") + C("r_c0")).alias("mcol"))
-            hits = matching.cross_strip_match(ends, controls, t["mosaic_l"], t["mosaic_r"], t["affine"], t["left"], t["right"], Z.Search(4, half, 1, kind="blend"), g.min_score, m.seed_radius, wide=16)
-            return hits.filter("rccd IS NOT NULL").select("ccd", "row", "col", C("rccd").alias("img_id"), "mrow", "mcol")
+        placed = joins.tile_lookup(joins.tile_lookup(t["matches"], t["mosaic_l"], "ccd", "l"), t["mosaic_r"], "rccd", "r")
+        there = placed.select((C("row") + C("l_r0")).alias("row"), (C("col") + C("l_c0")).alias("col"), (C("mrow") + C("r_r0")).alias("mrow"), (C("mcol") + C("r_c0")).alias("mcol"))
+        back = there.select(C("mrow").alias("row"), C("mcol").alias("col"), C("row").alias("mrow"), C("col").alias("mcol"))
+        f = t["affine"]
+        inverse = np.linalg.inv(np.array([f[:3], f[3:], [0, 0, 1]]))[:2].ravel().tolist()
 
-        return {"ties": keep(matching.tie_points(t["left"], t["right"], across, how, g.min_score, lambda x: x, overlap, (step, step)), "ties")}
+        def across(controls, affine, source, target, left, right):
+            def run(links):
+                ends = links.select(C("ccd_l").alias("ccd"), "row", "col").unionByName(links.select(C("ccd_r").alias("ccd"), F.rint("mrow").alias("row"), F.rint("mcol").alias("col"))).distinct()
+                ends = ends.select((C("ccd").cast("long") * (1 << 40) + C("row").cast("long") * (1 << 20) + C("col").cast("long")).alias("pid"), "ccd", C("row").cast("double").alias("row"), C("col").cast("double").alias("col"), F.lit(None).cast("int").alias("rccd"), *(F.lit(None).cast("double").alias(x) for x in ("mrow", "mcol", "score")))
+                hits = matching.cross_strip_match(ends, controls, source, target, affine, left, right, Z.Search(4, half, 1, kind="blend"), g.min_score, m.seed_radius, wide=16)
+                return hits.filter("rccd IS NOT NULL").select("ccd", "row", "col", C("rccd").alias("img_id"), "mrow", "mcol")
+
+            return run
+
+        to_right = across(there, f, t["mosaic_l"], t["mosaic_r"], t["left"], t["right"])
+        to_left = across(back, inverse, t["mosaic_r"], t["mosaic_l"], t["right"], t["left"])
+        return {"ties": keep(matching.tie_points(t["left"], t["right"], to_right, to_left, how, g.min_score, lambda x: x, overlap, (step, step)), "ties")}
 
     def adjustment(t):
         both = None
@@ -132,7 +144,7 @@ def steps(spark: SparkSession, c: settings.Config, work: str, overlap: int = 48,
     sensor = ["io", "timing", "polys_l", "polys_r"]
     return {
         "preprocess": Step(preprocess, ["left", "right"]), "mosaic": Step(mosaic, ["left", "right"]), "downsample": Step(downsample, ["left", "right"]),
-        "feature_match": Step(feature_match, ["levels_l", "levels_r", "mosaic_l"]), "grid_match": Step(grid_match, ["matches", "affines"]),
+        "feature_match": Step(feature_match, ["levels_l", "levels_r", "mosaic_l"]), "grid_match": Step(grid_match, ["matches", "affines", "affine"]),
         "inter_tile_match": Step(inter_tile_match, ["matches", "affine", "mosaic_l", "mosaic_r"]), "adjustment": Step(adjustment, ["grid", *sensor]), "export": Step(export, ["grid"]),
     }
 
