@@ -197,7 +197,8 @@ def bpe_round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Returns doc_id, n_tokens, ids_sha256 (of the decimal ids joined by a space), decoded_sha256, and with
     ``with_ids`` the ids and the decoded bytes. Words depend on nothing outside themselves, so the corpus is
     replayed block by block where it lies, without a shuffle; a lost task is simply run again. Null is empty:
-    no tokens. Repeated rows give repeated results, a null id stays null, other columns are ignored. ``path``
+    no tokens. A very long text is encoded whole, in a block of its own. Repeated rows and ties give repeated results,
+    a null id stays null, an empty table gives no rows, other columns are ignored, whatever their names. ``path``
     must exist on all machines.
     """
     path, pattern = path or vocabulary()[0], pattern or vocabulary()[1]

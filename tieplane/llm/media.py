@@ -229,8 +229,8 @@ def media_round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     Returns doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature,
     and the reference's position in its page and caption. Null counts as empty, which is one row of zeros; equal texts share one stored
-    image and so all values; repeated rows and null ids give rows of their own; an empty table gives no rows;
-    other columns are ignored.
+    image and so all values; repeated rows and null ids give rows of their own; a very long text is one tall image; an
+    empty table gives no rows; other columns are ignored, whatever their names.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "media")

@@ -96,7 +96,8 @@ def balanced_shards(docs: DataFrame, shards: int = SHARDS, gain: float = GAIN, i
 
     Returns doc_id, size (UTF-8 bytes plus 1), text_crc32, law ('rows'), shard, slot (gapless in a shard),
     grown_shard (null). A null text has size 1 and the crc32 of no bytes, and no links. Repeated rows are
-    documents of their own; a null id is allowed; an empty table gives no rows; other columns are ignored.
+    documents of their own; very long texts count as one row each, like any; ties are broken by hash, so results do not
+    depend on partitions; a null id is allowed; an empty table gives no rows; other columns are ignored, whatever their names.
     Ranks are computed in two levels, so no task holds a shard or a text's documents as a whole.
     """
     spark = docs.sparkSession

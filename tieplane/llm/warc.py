@@ -264,7 +264,8 @@ def warc_round_trip(pages: DataFrame, id_col: str = "page_id", url_col: str = "u
 
     Returns page_id, payload_bytes, payload_digest (base32 SHA-1), record_type, refers_to. Null html is an
     empty payload, null urls get a URN, a null page_id loses against any other. A revisit's length and digest
-    are those of the response that it refers to. An empty table gives no rows; other columns are ignored.
+    are those of the response that it refers to. Very long payloads are cut into segments and joined again; repeated rows
+    are records of their own, one of which the others revisit; an empty table gives no rows; other columns are ignored.
     """
     spark = pages.sparkSession
     scratch = Scratch(spark, "warc")
