@@ -1,0 +1,18 @@
+"""Centre and robust spread of samples, which several kernels share."""
+
+from __future__ import annotations
+
+import numpy as np
+
+#: What makes a median absolute deviation the standard deviation of a normal distribution.
+NORMAL = 1.4826
+
+
+def robust_scale(values: np.ndarray, flat: float = 1e-12) -> tuple[float, float]:
+    """The median, and the scaled median of the distances from it; where more than half of the samples are equal, so that this is no
+    more than ``flat``, the standard deviation instead. Nothing has centre and spread 0."""
+    if values.size == 0:
+        return 0.0, 0.0
+    centre = float(np.median(values))
+    spread = NORMAL * float(np.median(np.abs(values - centre)))
+    return centre, spread if spread > flat else float(np.std(values))

@@ -7,40 +7,35 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.scale import robust_scale
 from .grid import buckets, halo
 
 
-def spread_of(v: np.ndarray) -> tuple[float, float]:
-    if not v.size:
-        return 0.0, 0.0
-    mid = float(np.median(v))
-    s = 1.4826 * float(np.median(np.abs(v - mid)))
-    return mid, s if s > 1e-12 else float(v.std())
-
-
-def _heights(p: np.ndarray, use: np.ndarray) -> np.ndarray:
-    """Heights of all points over a quadratic (of few points a plane) fitted to some in their principal frame."""
-    centre = p[use].mean(axis=0)
-    axes = np.linalg.svd(p[use] - centre, full_matrices=False)[2]
-    if axes[-1, 2] < 0:
-        axes = axes * np.array([[1.0], [1.0], [-1.0]])
-    u, v, w = ((p - centre) @ axes.T).T
-    a = np.stack([np.ones_like(u), u, v] + ([u * u, u * v, v * v] if use.sum() >= 6 else []), axis=1)
-    return w - a @ np.linalg.lstsq(a[use], w[use], rcond=None)[0]
+def heights_over(p: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Heights of all points over a weighted polynomial surface in the weighted principal frame: quadratic where six points
+    or more have weight, else a plane. Heights count upwards."""
+    d = p - np.average(p, axis=0, weights=weight)
+    frame = np.linalg.eigh((d * weight[:, None]).T @ d)[1]  # columns, the normal first
+    normal = frame[:, 0] if frame[2, 0] >= 0 else -frame[:, 0]
+    u, v, h = d @ frame[:, 2], d @ frame[:, 1], d @ normal
+    terms = [(0, 0), (1, 0), (0, 1)] + ([(2, 0), (1, 1), (0, 2)] if np.count_nonzero(weight) >= 6 else [])
+    basis = np.stack([u**i * v**j for i, j in terms], axis=1)
+    root = np.sqrt(weight)
+    return h - basis @ np.linalg.lstsq(basis * root[:, None], h * root, rcond=None)[0]
 
 
 def surface_residuals(p: np.ndarray, sigma: float, rounds: int) -> np.ndarray:
-    """Signed heights over a surface refitted to the points within sigma robust deviations."""
-    use, out = np.ones(len(p), bool), np.zeros(len(p))
-    for _ in range(max(1, rounds) + 1):
-        if use.sum() < 3:
-            break
-        out = _heights(p, use)
-        mid, s = spread_of(out[use])
-        if s <= 1e-12:
-            break
-        use = np.abs(out - mid) <= sigma * s
-    return out
+    """Signed heights over a surface by iteratively reweighted least squares: weight 1 within sigma robust deviations, else 0."""
+    weight, heights = np.ones(len(p)), np.zeros(len(p))
+    for _ in range(1 + max(1, rounds)):
+        if np.count_nonzero(weight) < 3:
+            return heights
+        heights = heights_over(p, weight)
+        centre, spread = robust_scale(heights[weight > 0])
+        if spread <= 1e-12:
+            return heights
+        weight = (np.abs(heights - centre) <= sigma * spread).astype(float)
+    return heights
 
 
 def denoise(points: DataFrame, key: str, cell: float, radius: int = 1, least: int = 8, sigma: float = 3.0, spike: float = 3.0, rounds: int = 3, limit: float = 0.0) -> DataFrame:
@@ -60,7 +55,7 @@ def denoise(points: DataFrame, key: str, cell: float, radius: int = 1, least: in
         if len(pdf) >= least:
             pdf = pdf.sort_values(["x", "y", "z", key])
             own, r = pdf["own"].to_numpy(), surface_residuals(pdf[["x", "y", "z"]].to_numpy(), sigma, rounds)
-            mid, s = spread_of(r)
+            mid, s = robust_scale(r)
             gate = sigma * s if s > 1e-12 else np.inf
             bad = np.abs(r - mid) > (min(gate, limit) if limit > 0 else gate)
         return pd.DataFrame({key: pdf[key][own], "bad": bad[own]})
@@ -72,7 +67,7 @@ def denoise(points: DataFrame, key: str, cell: float, radius: int = 1, least: in
         own, bad, z = pdf["own"].to_numpy(), pdf["bad"].to_numpy(), pdf["z"].to_numpy()
         out = np.zeros(len(pdf), np.int32)
         if len(pdf) >= least:
-            mid, s = spread_of(z[~bad] if (~bad).any() else z)
+            mid, s = robust_scale(z[~bad] if (~bad).any() else z)
             out[(np.abs(z - mid) > spike * s) & (s > 1e-12)] = 2
         out[bad] = 1
         return pd.DataFrame({key: pdf[key][own], "reason": out[own]})
