@@ -137,3 +137,9 @@ def trajectory_series(samples: DataFrame, keys: list[str], epoch: str = "2000-01
     seconds = F.unix_timestamp(F.lit(epoch).cast("timestamp")) + F.floor("et").cast("long")
     utc = F.date_format(F.timestamp_seconds(seconds), "yyyy-MM-dd'T'HH:mm:ss")
     return d.select(*keys, utc.alias("utc"), "et", "Xs", "Ys", "Zs", *velocity, *q, *(C(f"r{i}") for i in range(9)))
+
+
+def ground_match(rays: DataFrame, keys: list[str], dem: DataFrame, dem_rows: int, dem_cols: int, begin: float, line_rate: float, params: list[list[float]], io: list[float], lines: int) -> DataFrame:
+    """Where what rays see on a raster of heights lies in another image: keys, X, Y, Z, h, img_row, img_col."""
+    ground = ray_dem(rays, keys, dem, dem_rows, dem_cols).filter("x IS NOT NULL").select(*keys, C("x").alias("X"), C("y").alias("Y"), C("z").alias("Z"), "h")
+    return ground_to_image(ground, begin, line_rate, params, io, lines)

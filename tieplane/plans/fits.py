@@ -210,6 +210,22 @@ def b9(spark, sf_dir):
     return out.select("ccd", "r", "c", r6(C("lat")).alias("lat"), r6(C("lon"), 4).alias("lon"))
 
 
+@query("h5_ground_match", "SELECT pid, round(row + 1000, 2) + 0.0 AS img_row, round(col, 2) + 0.0 AS img_col FROM pt")
+def h5(spark, sf_dir):
+    """From one image to a raster of heights and into an image that begins a thousand lines earlier on the same way."""
+    from ..operators import observations
+    from .points import _dem
+
+    io = [0.01, 0.012, 0.0001, -0.02, 0.0002, -0.012, 0.0, 0.0, 0.0]
+    pose = [[0.0, 0.0, 1.0, 0.0, 0.0], [0.0, 0.0, 3000.0, 0.0, 0.0], [0.0, 3.7e6, 0.0, 0.0, 0.0], [0.0, 0.001, 0.0, 0.0, 0.0], [0.0, 0.002, 0.0, 0.0, 0.0], [0.0, 0.0, 0.0, 0.0, 0.0]]
+    xp, yp = geo.focal_plane(C("col"), F.lit(1.0), F.lit(128.0), [F.lit(v) for v in io])
+    et = C("row") * 1e-4
+    d = geo.ray(geo.rotation(F.lit(0.001), F.lit(0.002), F.lit(0.0)), xp, yp, F.lit(11995.48))
+    rays = P.pt(spark, sf_dir).select("pid", *(x.alias(f"d{i}") for i, x in enumerate(d)), et.alias("o0"), (et * 3000.0).alias("o1"), F.lit(3.7e6).alias("o2"))
+    out = observations.ground_match(rays, ["pid"], _dem(spark), 73, 75, -0.1, 1e-4, pose, io, 45000)
+    return out.select("pid", r6(C("img_row"), 2).alias("img_row"), r6(C("img_col"), 2).alias("img_col"))
+
+
 @query("pr28_footprint", f"""WITH k(corner, fr, fc) AS (VALUES (0, 0.0::DOUBLE, 0.0::DOUBLE), (1, 0, 1), (2, 1, 0), (3, 1, 1)), o0 AS (SELECT ccd, corner, fr * (r1 - r0) AS row, fc * (c1 - c0) AS col FROM mosaic, k),
 o1 AS (SELECT *, {_PX.format(s='(col - 0.5 - 1024.0)')} AS px, {_PY.format(s='(col - 0.5 - 1024.0)')} AS py, 100.0 * row * 1e-4 AS xo, 0.0::DOUBLE AS yo, 3.7e6::DOUBLE AS zo, 0.0::DOUBLE AS phi, 0.0::DOUBLE AS omega, 0.0::DOUBLE AS kappa FROM o0), {observed('o1')}
 SELECT ccd, corner, round(degrees(asin(gz / sqrt(gx*gx + gy*gy + gz*gz))), 6) + 0.0 AS lat, round(degrees(atan2(gy, gx)), 6) + 0.0 AS lon, round(sqrt(gx*gx + gy*gy + gz*gz) - 3396190.0, 3) + 0.0 AS h FROM ob""")
