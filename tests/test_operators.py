@@ -397,6 +397,10 @@ def test_field_prediction_falls_back_to_the_whole_affine(spark):
     field = spark.createDataFrame([(0, 0, 1.0, 0.0, 2.0, 0.0, 1.0, 0.0), (1, 0, 1.0, 0.0, 99.0, 0.0, 1.0, 0.0)], "tile_r long, tile_c long, f0 double, f1 double, f2 double, f3 double, f4 double, f5 double")
     got = {r.pid: (r.local, r.pr, r.pc) for r in matching.predict_by_field(pts, field, [1, 0, 0, 0, 1, 0], 10.0, 10.0, 2.0).collect()}
     assert got == {1: (True, 7.0, 5.0), 2: (False, 15.0, 5.0), 3: (False, 25.0, 5.0)}
+    whole = spark.createDataFrame([(0, 1.0, 0.0, 1.0, 0.0, 1.0, 0.0)], "g int, f0 double, f1 double, f2 double, f3 double, f4 double, f5 double")
+    keyed = lambda d: d.withColumn("g", F.lit(0))
+    got = {r.pid: (r.local, r.pr) for r in matching.predict_by_field(keyed(pts), keyed(field), whole, 5.0, 5.0, 2.0, ["g"], 2.0).collect()}
+    assert got == {1: (True, 9.0), 2: (False, 17.0), 3: (False, 27.0)}  # a level finer: tiles and shifts are twice as large
 
 
 def test_energy_prefers_near_places_and_the_gate_forbids_far_ones():

@@ -183,12 +183,13 @@ def plane_ransac(points: DataFrame, keys: list[str], sigma: float, trials: int =
     return _until_sure(points.select(*keys, *point), keys, trials, most, lambda d, n: _ransac(d, keys, point, ["a", "b", "c"], np.zeros(3), near_plane, sigma, n, seed))
 
 
-def local_affine_field(matches: DataFrame, tile_r: float, tile_c: float, sigma: float = 20.0, trials: int = FIRST, least: int = 12, seed: int = 0) -> DataFrame:
-    """An affine per tile, fitted to the points of the tile grown by half a tile on each side: tile_r, tile_c,
+def local_affine_field(matches: DataFrame, tile_r: float, tile_c: float, sigma: float = 20.0, trials: int = FIRST, least: int = 12, seed: int = 0, keys: list[str] = ()) -> DataFrame:
+    """An affine per tile, fitted to the points of the tile grown by half a tile on each side: keys, tile_r, tile_c,
     f0..f5, n, inliers, valid. Each point goes to the four tiles at most whose grown area it lies in."""
     near = lambda x, size: F.array_distinct(F.array(F.floor(F.col(x) / size - 0.5), F.floor(F.col(x) / size + 0.5)))
     spread = matches.withColumn("tile_r", F.explode(near("row", tile_r))).withColumn("tile_c", F.explode(near("col", tile_c)))
-    out = affine_ransac(spread.select("tile_r", "tile_c", "row", "col", "mrow", "mcol"), ["tile_r", "tile_c"], sigma, trials, seed)
+    own = [*keys, "tile_r", "tile_c"]
+    out = affine_ransac(spread.select(*own, "row", "col", "mrow", "mcol"), own, sigma, trials, seed)
     return out.withColumn("valid", (F.col("n") >= least) & (F.col("inliers") >= F.greatest(F.lit(3.0), 0.3 * F.col("n"))))
 
 

@@ -139,23 +139,32 @@ def predict_points(points: DataFrame, affines: DataFrame, keys: list[str], scale
     return p.withColumn("pr", C("f0") * C("row") + C("f1") * C("col") + C("f2") * scale).withColumn("pc", C("f3") * C("row") + C("f4") * C("col") + C("f5") * scale).drop(*fit.AFFINE)
 
 
-def pyramid_match(features: dict[int, tuple[DataFrame, DataFrame]], keys: list[str], snapshot, reach: float = 8.0, least: float = 0.6, sigma: float = 4.0, trials: int = 300) -> tuple[DataFrame, DataFrame]:
-    """Matches from the coarsest level to the finest: argmax joins, one affine per group fitted and carried down.
+def pyramid_match(features: dict[int, tuple[DataFrame, DataFrame]], keys: list[str], snapshot, reach: float = 8.0, least: float = 0.6, sigma: float = 4.0, trials: int = fit.FIRST, tile: tuple[float, float] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Matches from the coarsest level to the finest: argmax joins, one affine per group fitted and carried down, and with ``tile`` (a
+    size at the finest level) a field of local ones that guides the search where it agrees with the affine.
 
     ``features`` maps level to (left, right) with keys, pid/rid, row/col or rrow/rcol and patches lpatch/rpatch.
     ``snapshot(df, name)`` writes and rereads a table, which cuts lineage between levels. Returns the matches
     of the finest level inside the gate, and the affines.
     """
-    affines, found, before = None, None, None
+    affines, found, before, local = None, None, None, None
     for level in sorted(features, reverse=True):
         left, right = features[level]
         if affines is None:
             hits = match_exhaustively(left, right, keys, least)
         else:
-            hits = match_in_band(predict_points(left, affines, keys, 2.0 ** (before - level)), right, keys, reach, least)
+            scale = 2.0 ** (before - level)
+            if local is None:
+                placed = predict_points(left, affines, keys, scale)
+            else:
+                placed = predict_by_field(left, local, affines, tile[0] / 2**before, tile[1] / 2**before, reach, keys, scale).drop("local")
+            hits = match_in_band(placed, right, keys, reach, least)
         named = hits.select(*keys, "pid", "row", "col", "rid", C("rrow").alias("mrow"), C("rcol").alias("mcol"), "score")
         found = snapshot(named, f"match{level}")
-        affines = snapshot(fit.affine_ransac(found.select(*keys, "row", "col", "mrow", "mcol"), keys, sigma, trials), f"affine{level}")
+        pairs = found.select(*keys, "row", "col", "mrow", "mcol")
+        affines = snapshot(fit.affine_ransac(pairs, keys, sigma, trials), f"affine{level}")
+        if tile:
+            local = snapshot(fit.local_affine_field(pairs, tile[0] / 2**level, tile[1] / 2**level, sigma, trials, keys=keys).filter("valid"), f"field{level}")
         before = level
     f = [C(x) for x in fit.AFFINE]
     kept = found.join(affines.select(*keys, *fit.AFFINE), keys)
@@ -214,15 +223,23 @@ def search_in_tiles(points: DataFrame, left: DataFrame, right: DataFrame, how: Z
     return work.mapInPandas(run, f"pid {kind}, rccd int, mrow double, mcol double, score double")
 
 
-def predict_by_field(points: DataFrame, field: DataFrame, whole: list[float], tile_r: float, tile_c: float, reach: float) -> DataFrame:
-    """Adds pr, pc by the affine of a point's tile (``field``: tile_r, tile_c, f0..f5 of the valid ones); where there is none,
-    or it is more than 4 reach off the affine ``whole`` in either coordinate, by the latter. ``local`` says which."""
-    f = [F.lit(float(x)) for x in whole]
-    place = lambda g: (g[0] * C("row") + g[1] * C("col") + g[2], g[3] * C("row") + g[4] * C("col") + g[5])
-    (gr, gc), (lr, lc) = place(f), place([C(x) for x in fit.AFFINE])
-    d = points.withColumns({"tile_r": F.floor(C("row") / tile_r), "tile_c": F.floor(C("col") / tile_c)}).join(field.select("tile_r", "tile_c", *fit.AFFINE), ["tile_r", "tile_c"], "left")
+def predict_by_field(points: DataFrame, field: DataFrame, whole, tile_r: float, tile_c: float, reach: float, keys: list[str] = (), scale: float = 1.0) -> DataFrame:
+    """Adds pr, pc by the affine of a point's tile (``field``: keys, tile_r, tile_c, f0..f5 of the valid ones); where there is none,
+    or it is more than 4 reach off the affine ``whole`` (six numbers, or a table by keys) in either coordinate, by the
+    latter. ``local`` says which. Tiles and translations grow by ``scale``, as from one level to a finer one."""
+    keys = list(keys)
+    tiled = points.withColumns({"tile_r": F.floor(C("row") / (tile_r * scale)), "tile_c": F.floor(C("col") / (tile_c * scale))})
+    d = tiled.join(field.select(*keys, "tile_r", "tile_c", *(C(f).alias(f"_l{f}") for f in fit.AFFINE)), [*keys, "tile_r", "tile_c"], "left")
+    if isinstance(whole, DataFrame):
+        d = d.join(whole.select(*keys, *(C(f).alias(f"_g{f}") for f in fit.AFFINE)), keys)
+        g = [C(f"_g{f}") for f in fit.AFFINE]
+    else:
+        g = [F.lit(float(x)) for x in whole]
+    place = lambda f: (f[0] * C("row") + f[1] * C("col") + f[2] * scale, f[3] * C("row") + f[4] * C("col") + f[5] * scale)
+    (gr, gc), (lr, lc) = place(g), place([C(f"_l{f}") for f in fit.AFFINE])
     near = F.coalesce((F.abs(lr - gr) <= 4 * reach) & (F.abs(lc - gc) <= 4 * reach), F.lit(False))
-    return d.withColumn("local", near).withColumns({"pr": F.when(C("local"), lr).otherwise(gr), "pc": F.when(C("local"), lc).otherwise(gc)}).drop("tile_r", "tile_c", *fit.AFFINE)
+    out = d.withColumn("local", near).withColumns({"pr": F.when(C("local"), lr).otherwise(gr), "pc": F.when(C("local"), lc).otherwise(gc)})
+    return out.drop("tile_r", "tile_c", *(f"_{s}{f}" for s in "lg" for f in fit.AFFINE))
 
 
 def match_by_field(left: DataFrame, right: DataFrame, keys: list[str], field: DataFrame, whole: list[float], tile_r: float, tile_c: float, reach: float, least: float, score: str | None = None) -> DataFrame:

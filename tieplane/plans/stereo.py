@@ -80,7 +80,7 @@ def steps(spark: SparkSession, c: settings.Config, work: str, overlap: int = 48,
 
     def feature_match(t):
         by_level = {k: (features(t["levels_l"][k], "l"), features(t["levels_r"][k], "r")) for k in range(len(t["levels_l"]))}
-        found, affines = matching.pyramid_match(by_level, ["ccd"], keep, reach=float(m.near_range) / 8, sigma=min(m.sigma, 6.0))
+        found, affines = matching.pyramid_match(by_level, ["ccd"], keep, reach=float(m.near_range) / 8, sigma=min(m.sigma, 6.0), tile=(g.spacing * 8.0, g.spacing * 8.0))
         found = found.select("ccd", "pid", "row", "col", "rid", "mrow", "mcol", "score")
         if m.iterations:
             found = matching.refine_iteratively(found, ["ccd"], m.iterations, keep, m.seed_radius)
