@@ -127,8 +127,8 @@ class Pair:
     agreement and 0.2 gray).
     """
 
-    def __init__(self, left: np.ndarray, right: np.ndarray, kind: str = "gray"):
-        self.images, self.kind = [left.astype(np.float64), right.astype(np.float64)], kind
+    def __init__(self, left: np.ndarray, right: np.ndarray, kind: str = "gray", mutual: np.ndarray | None = None):
+        self.images, self.kind, self.mutual = [left.astype(np.float64), right.astype(np.float64)], kind, mutual
         self.gradients = [sobel(x) for x in self.images] if kind == "blend" else None
 
     def fits(self, side: int, r: np.ndarray, c: np.ndarray, half: int) -> np.ndarray:
@@ -145,6 +145,12 @@ class Pair:
         x, y = one - one.mean(axis=1, keepdims=True), many - many.mean(axis=1, keepdims=True)
         return (x * y).sum(axis=1) / np.sqrt(np.maximum((x * x).sum(axis=1), FLOOR) * np.maximum((y * y).sum(axis=1), FLOOR))
 
+    def information(self, r: int, c: int, rr: np.ndarray, cc: np.ndarray) -> np.ndarray:
+        """The pointwise mutual information of the left sample with the right ones, by the table of 256 by 256 whole values."""
+        whole = lambda x: np.clip(x, 0, 255).astype(np.int64)
+        h, w = self.images[1].shape
+        return self.mutual[whole(self.images[0][r, c]), whole(self.images[1][np.clip(rr, 0, h - 1), np.clip(cc, 0, w - 1)])]
+
     def scores(self, r: int, c: int, rr: np.ndarray, cc: np.ndarray, half: int) -> np.ndarray:
         """The score of the left window about (r, c) with the right one about each place; -inf where one doesn't fit."""
         out = np.full(len(rr), -np.inf)
@@ -174,7 +180,7 @@ class Search:
     of ``refine_half``; the least energy 1 - score + ``smooth`` * distance / reach decides, of equal ones the first in
     row order. Places further than ``gate`` from the affine's are passed over. With ``sharpness`` the result is
     the centroid of the places within ``window`` of the best under weights exp(-sharpness * energy), the energy being
-    there 1 - (score + 1) / 2; with ``blur`` that of all places of the reach under exp(-blur * (1 - score + smooth * distance)).
+    there 1 - (score + 1) / 2; ``mutual`` weighs 1 - mutual information of the samples into the energy; with ``blur`` that of all places of the reach under exp(-blur * (1 - score + smooth * distance)).
     """
 
     reach: int = 8
@@ -188,6 +194,7 @@ class Search:
     window: int = 1
     blur: float | None = None
     kind: str = "gray"
+    mutual: float = 0.0
 
     def find(self, pair: Pair, r: int, c: int, pr: int, pc: int, reach: tuple[int, int] | None = None, affine: tuple[float, float] | None = None) -> tuple[float, float, float] | None:
         """Row, column and score, or None if no window fits."""
@@ -218,11 +225,22 @@ class Search:
         s = pair.scores(r, c, pr + i, pc + j, half)
         if self.gate is not None and affine is not None:
             s = np.where((np.abs(affine[0] - (pr + i)) < self.gate) & (np.abs(affine[1] - (pc + j)) < self.gate), s, -np.inf)
-        energy = np.round(1 - s + self.smooth * np.hypot(i, j) / max(1, *reach), 9)
+        energy = 1 - s + self.smooth * np.hypot(i, j) / max(1, *reach)
+        if self.mutual and pair.mutual is not None and np.isfinite(s).any():
+            energy = energy + self.mutual * (1 - pair.information(r, c, pr + i, pc + j))
+        energy = np.round(energy, 9)
         k = int(np.argmin(energy))
         return (pr + int(i[k]), pc + int(j[k]), float(s[k])) if np.isfinite(s[k]) else None
 
 
+def mutual_table(a: np.ndarray, b: np.ndarray, n: np.ndarray, eps: float = 1e-6) -> np.ndarray:
+    """The pointwise mutual information of all 256 by 256 pairs of values, from counts n of the pairs (a, b) that occur."""
+    joint = np.zeros((256, 256))
+    np.add.at(joint, (a, b), n)
+    joint /= max(joint.sum(), 1.0)
+    return np.log((joint + eps) / (joint.sum(axis=1, keepdims=True) * joint.sum(axis=0, keepdims=True) + eps))
+
+
 def search(left: np.ndarray, right: np.ndarray, lr: int, lc: int, pr: int, pc: int, reach: int, half: int, stride: int = 2) -> tuple[int, int, float] | None:
     """Best place near a prediction: every ``stride``-th offset first, then all within a stride of the best.
     Of equal scores the first in row order stays. None if no window fits."""

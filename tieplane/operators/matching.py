@@ -194,16 +194,20 @@ def grid_predictions(cells: DataFrame, seeds: DataFrame, affines: DataFrame, key
     return p.withColumn("mode", mode).withColumn("pr", F.when(use, C("row") + C("sr")).otherwise(C("pr"))).withColumn("pc", F.when(use, C("col") + C("sc")).otherwise(C("pc"))).drop("n", "sr", "sc")
 
 
-def search_in_tiles(points: DataFrame, left: DataFrame, right: DataFrame, how: Z.Search, least: float) -> DataFrame:
+def search_in_tiles(points: DataFrame, left: DataFrame, right: DataFrame, how: Z.Search, least: float, joint: DataFrame | None = None) -> DataFrame:
     """Looks for points (lccd, rccd, pid, row, col) near their predicted places (pr, pc) in the right tiles, as ``how``
     says. Returns pid, rccd, mrow, mcol, score of those that reach ``least``.
 
     Optional columns: reach_r, reach_c (a reach of each point's own) and ar, ac (the place by the affine, for the
-    gate). Points travel to their images as lists of bounded length.
+    gate). Points travel to their images as lists of bounded length. ``joint`` (lccd, rccd, joint: counts of pairs of whole
+    sample values) gives the tables of mutual information that ``how`` may weigh.
     """
     own = [c for c in ("reach_r", "reach_c", "ar", "ac") if c in points.columns]
     img = lambda t, p: t.select(C("ccd").alias(f"{p}ccd"), C("rows").alias(f"{p}rows"), C("cols").alias(f"{p}cols"), C("samples").alias(f"{p}img"))
     work = listed(points, ["lccd", "rccd"], ["pid", "row", "col", "pr", "pc", *own], ["pid"]).join(img(left, "l"), "lccd").join(img(right, "r"), "rccd")
+    told = joint is not None
+    if told:
+        work = work.join(joint.select("lccd", "rccd", "joint"), ["lccd", "rccd"], "left")
     kind = points.schema["pid"].dataType.simpleString()
     nearest = lambda x: int(np.floor(x + 0.5))
 
@@ -211,7 +215,10 @@ def search_in_tiles(points: DataFrame, left: DataFrame, right: DataFrame, how: Z
         for pdf in batches:
             out = []
             for w in pdf.itertuples():
-                pair = Z.Pair(np.asarray(w.limg).reshape(w.lrows, w.lcols), np.asarray(w.rimg).reshape(w.rrows, w.rcols), how.kind)
+                table = None
+                if told and w.joint is not None:
+                    table = Z.mutual_table(*(np.array([x[k] for x in w.joint], np.int64) for k in ("a", "b", "n")))
+                pair = Z.Pair(np.asarray(w.limg).reshape(w.lrows, w.lcols), np.asarray(w.rimg).reshape(w.rrows, w.rcols), how.kind, table)
                 for p in w.pts:
                     reach = (int(p["reach_r"]), int(p["reach_c"])) if "reach_r" in own else None
                     affine = (p["ar"], p["ac"]) if "ar" in own else None
@@ -420,3 +427,22 @@ def tie_points(left: DataFrame, right: DataFrame, to_right, to_left, how: Z.Sear
         one = ends_across(links, held(cross(links))).withColumn("strip", F.lit(name))
         out = one if out is None else out.unionByName(one)
     return out
+
+
+def joint_values(matches: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
+    """Counts of the pairs of whole sample values at matched places (lccd, rccd, row, col, mrow, mcol), 65,536 at most: lccd, rccd, joint."""
+    img = lambda t, p: t.select(C("ccd").alias(f"{p}ccd"), C("cols").alias(f"{p}cols"), C("samples").alias(f"{p}img"))
+    work = listed(matches, ["lccd", "rccd"], ["row", "col", "mrow", "mcol"], ["row", "col", "mrow", "mcol"]).join(img(left, "l"), "lccd").join(img(right, "r"), "rccd")
+    whole = lambda image, cols, r, c: F.greatest(F.lit(0), F.least(F.lit(255), F.floor(F.get(image, (F.rint(r) * cols + F.rint(c)).cast("int"))).cast("int")))
+    pairs = work.select("lccd", "rccd", F.explode(F.transform("pts", lambda p: F.struct(whole(C("limg"), C("lcols"), p["row"], p["col"]).alias("a"), whole(C("rimg"), C("rcols"), p["mrow"], p["mcol"]).alias("b")))).alias("v"))
+    counts = pairs.groupBy("lccd", "rccd", "v.a", "v.b").agg(F.count(F.lit(1)).alias("n"))
+    return counts.groupBy("lccd", "rccd").agg(F.collect_list(F.struct("a", "b", "n")).alias("joint"))
+
+
+def dense_match(points: DataFrame, left: DataFrame, right: DataFrame, matches: DataFrame, reach: int = 16, half: int = 7, smooth: float = 0.01, mutual: float = 0.01, gate: float = 256.0, least: float = 0.5) -> DataFrame:
+    """Every point (lccd, rccd, pid, row, col, with its predicted place pr, pc and the affine's ar, ac) looked for under an energy of
+    score, distance and mutual information of the samples, inside the affine gate; of equal scores the later right
+    tile stays. Returns pid, rccd, mrow, mcol, score."""
+    how = Z.Search(reach, half, 1, smooth=smooth, gate=gate, mutual=mutual)
+    hits = search_in_tiles(points, left, right, how, least, joint_values(matches, left, right))
+    return first_by(hits, ["pid"], [F.desc("score"), F.desc("rccd")])

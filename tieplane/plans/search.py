@@ -139,3 +139,21 @@ def _sobel() -> str:
 def z10(spark, sf_dir):
     g = Z.gradients(_tiles(spark, sf_dir))
     return g.select("ccd", r6(Z.total(C("gradient")), 5).alias("total"), r6(F.array_max("gradient"), 5).alias("top"))
+
+
+_GRAY = "gl AS (SELECT pid::INT AS ccd, list_transform(patch, lambda x: greatest(0, least(255, floor(x::DOUBLE * 8 + 128)))::DOUBLE) AS a FROM patches), gp AS (SELECT l.ccd, l.a, n.a AS b FROM gl l JOIN gl n ON n.ccd = l.ccd + 1)"
+
+
+@query("m5b_dense_match", f"""WITH {_GRAY}, ab AS (SELECT ccd, unnest(a)::INT AS x, unnest(b)::INT AS y FROM gp), jo AS (SELECT ccd, x, y, count(*) / 64.0::DOUBLE AS p FROM ab GROUP BY ALL), ma AS (SELECT ccd, x, count(*) / 64.0::DOUBLE AS p FROM ab GROUP BY ALL), mb AS (SELECT ccd, y, count(*) / 64.0::DOUBLE AS p FROM ab GROUP BY ALL),
+po AS (SELECT ccd::BIGINT * 64 + r * 8 + c AS pid, r, c, r AS pr, c AS pc, a, b FROM gp, range(1, 7) x(r), range(1, 7) y(c)), {places('po', 1)},
+en AS (SELECT ca.pid, rr, cc, i, j, s, ln((coalesce(jo.p, 0) + 1e-6) / (ma.p * coalesce(mb.p, 0) + 1e-6)) AS mi FROM ca JOIN ma ON ma.ccd = pid // 64 AND ma.x = a[r * 8 + c + 1]::INT LEFT JOIN mb ON mb.ccd = pid // 64 AND mb.y = b[rr * 8 + cc + 1]::INT LEFT JOIN jo ON jo.ccd = pid // 64 AND jo.x = a[r * 8 + c + 1]::INT AND jo.y = b[rr * 8 + cc + 1]::INT)
+, be AS (SELECT * FROM en QUALIFY row_number() OVER (PARTITION BY pid ORDER BY round(1.0 - s + 0.1 * sqrt(i * i + j * j) + 0.05 * (1.0 - mi), 9), i, j) = 1) SELECT pid, rr * 1.0::DOUBLE AS mrow, cc * 1.0::DOUBLE AS mcol, round(s, 9) + 0.0 AS score FROM be WHERE s >= 0.3001""")
+def m5b(spark, sf_dir):
+    gray = F.transform("samples", lambda x: F.greatest(F.lit(0), F.least(F.lit(255), F.floor(x.cast("double") * 8 + 128))).cast("float"))
+    t = _tiles(spark, sf_dir).withColumn("samples", gray)
+    pairs = t.select(C("ccd").alias("lccd")).join(t.select((C("ccd") - 1).alias("lccd")), "lccd").withColumn("rccd", C("lccd") + 1)
+    cells = lambda lo, hi: pairs.withColumn("row", F.explode(F.sequence(F.lit(lo), F.lit(hi)))).withColumn("col", F.explode(F.sequence(F.lit(lo), F.lit(hi))))
+    points = cells(1, 6).withColumns({"pid": C("lccd").cast("long") * 64 + C("row") * 8 + C("col"), "pr": C("row") * 1.0, "pc": C("col") * 1.0, "ar": C("row") * 1.0, "ac": C("col") * 1.0})
+    same = cells(0, 7).withColumns({"mrow": C("row"), "mcol": C("col")})
+    out = matching.dense_match(points, t, t, same, reach=1, half=HALF, smooth=0.1, mutual=0.05, least=0.3001)
+    return out.select("pid", "mrow", "mcol", r6(C("score"), 9).alias("score"))
