@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .robust import exact_quantiles, with_median
+from .robust import exact_quantiles, small_groups, with_median
 from .upsert import best_cell
 
 
@@ -44,8 +44,9 @@ def despike(cells: DataFrame, x: str, y: str, k: float = 3.0, least_threshold: f
     """Cells without those whose inconsistency passes median + k 1.4826 MAD and that have enough neighbours.
     Fewer than ``samples`` cells are left alone; with no spread the threshold is the median."""
     inc = inconsistency(cells, x, y)
-    d = with_median(inc, [], "inconsistency", "_med").join(F.broadcast(inc.agg(F.count(F.lit(1)).alias("_n")))).withColumn("_d", F.abs(F.col("inconsistency") - F.col("_med")))
-    d = with_median(d, [], "_d", "_mad")
+    small = small_groups(cells, [])
+    d = with_median(inc, [], "inconsistency", "_med", small).join(F.broadcast(inc.agg(F.count(F.lit(1)).alias("_n")))).withColumn("_d", F.abs(F.col("inconsistency") - F.col("_med")))
+    d = with_median(d, [], "_d", "_mad", small)
     scale = 1.4826 * F.col("_mad")
     threshold = F.greatest(F.when(scale > 1e-12, F.col("_med") + k * scale).otherwise(F.col("_med")), F.lit(float(least_threshold)))
     bad = (F.col("_n") >= samples) & (F.col("inconsistency") > threshold) & (F.col("n_window") - 1 >= neighbours)

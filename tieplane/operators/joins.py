@@ -44,13 +44,14 @@ def nearest_k(pairs: DataFrame, by: list[str], k: int, order: list) -> DataFrame
     return pairs.withColumn("rk", F.row_number().over(W.partitionBy(*by).orderBy(*order))).filter(F.col("rk") <= k)
 
 
-def knn_join(left: DataFrame, right: DataFrame, left_at: tuple[str, str], right_at: tuple[str, str], k: int, by: list[str], order: list, keys: list[str] = (), start: float = 16.0) -> DataFrame:
+def knn_join(left: DataFrame, right: DataFrame, left_at: tuple[str, str], right_at: tuple[str, str], k: int, by: list[str], order: list, keys: list[str] = (), start: float = 64.0) -> DataFrame:
     """Exact k nearest within ``keys``, in one pass, wherever they lie; fewer only where there are fewer.
 
     The right points are counted in cells of ``start`` and of twice, four times, ... that size, up to one cell
-    that holds all. A left point takes the smallest of its cells that holds k: they are no further than that
-    cell's diagonal, so only right points within the diagonal are paired, by an equi-join on cells of that size.
-    So the pairs of a point follow k and not the data's density. Of right points in one place only k are paired.
+    that holds all. A left point takes the smallest size at which its cell and the eight around hold k: they are no
+    further than the diagonal of a cell of twice that size, so only right points within it are paired, by an
+    equi-join on cells of twice the size. So the pairs of a point follow k and not the data's density. Of right
+    points in one place only k are paired.
     ``order`` starts with d2, the squared distance; rk is the rank from 1.
     """
     keys = list(keys)
@@ -63,18 +64,23 @@ def knn_join(left: DataFrame, right: DataFrame, left_at: tuple[str, str], right_
     fine = lambda r, c: (F.floor((F.col(r) - r0) / start).cast("long").alias("_br"), F.floor((F.col(c) - c0) / start).cast("long").alias("_bc"))
     up = lambda c, level: F.call_function("shiftright", c, level)
     levels = F.sequence(F.lit(0), F.lit(top))
-    first = nearest_k(right.withColumns({"_pr": F.col(rr) + 0.0, "_pc": F.col(rc) + 0.0}), [*keys, "_pr", "_pc"], k, order[1:]).drop("_pr", "_pc", "rk") if len(order) > 1 else right
+    first = right
+    if len(order) > 1 and (right.groupBy(*keys, rr, rc).count().agg(F.max("count")).first()[0] or 0) > k:
+        first = nearest_k(right.withColumns({"_pr": F.col(rr) + 0.0, "_pc": F.col(rc) + 0.0}), [*keys, "_pr", "_pc"], k, order[1:]).drop("_pr", "_pc", "rk")
     counts = first.select(*keys, *fine(rr, rc)).groupBy(*keys, "_br", "_bc").agg(F.count(F.lit(1)).alias("_n"))
     counts = counts.withColumn("_l", F.explode(levels)).groupBy(*keys, "_l", up(F.col("_br"), F.col("_l")).alias("_br"), up(F.col("_bc"), F.col("_l")).alias("_bc")).agg(F.sum("_n").alias("_n"))
-    enough = counts.filter((F.col("_n") >= k) | (F.col("_l") == top)).select(*keys, "_l", F.col("_br").alias("_ur"), F.col("_bc").alias("_uc"))
+    ring = F.array(*(F.lit(i) for i in (-1, 0, 1)))
+    beside = lambda c: F.explode(F.transform(ring, lambda i: F.col(c) + i))
+    blocks = counts.withColumn("_ur", beside("_br")).withColumn("_uc", beside("_bc")).groupBy(*keys, "_l", "_ur", "_uc").agg(F.sum("_n").alias("_n"))
+    enough = blocks.filter((F.col("_n") >= k) | (F.col("_l") == top)).select(*keys, "_l", "_ur", "_uc")
     cells = left.select(*keys, *fine(lr, lc)).distinct().withColumn("_l", F.explode(levels)).withColumns({"_ur": up(F.col("_br"), F.col("_l")), "_uc": up(F.col("_bc"), F.col("_l"))})
-    level = cells.join(enough, [*keys, "_l", "_ur", "_uc"]).groupBy(*keys, "_br", "_bc").agg(F.min("_l").alias("_l"))
+    level = cells.join(enough, [*keys, "_l", "_ur", "_uc"]).groupBy(*keys, "_br", "_bc").agg((F.min("_l") + 1).alias("_l"))
     placed = left.withColumns(dict(zip(("_br", "_bc"), fine(lr, lc), strict=True))).join(level, [*keys, "_br", "_bc"])
     reach = F.array(*(F.lit(i) for i in range(-2, 3)))
     around = lambda c: F.explode(F.transform(reach, lambda i: up(F.col(c), F.col("_l")) + i))
     placed = placed.withColumn("_ur", around("_br")).withColumn("_uc", around("_bc")).drop("_br", "_bc")
     used = level.select("_l").distinct()  # ``top`` rows at most
-    there = first.withColumns(dict(zip(("_br", "_bc"), fine(rr, rc), strict=True))).withColumn("_l", F.explode(levels)).join(F.broadcast(used), "_l").withColumns({"_ur": up(F.col("_br"), F.col("_l")), "_uc": up(F.col("_bc"), F.col("_l"))}).drop("_br", "_bc")
+    there = first.withColumns(dict(zip(("_br", "_bc"), fine(rr, rc), strict=True))).withColumn("_l", F.explode(F.sequence(F.lit(1), F.lit(top + 1)))).join(F.broadcast(used), "_l").withColumns({"_ur": up(F.col("_br"), F.col("_l")), "_uc": up(F.col("_bc"), F.col("_l"))}).drop("_br", "_bc")
     dr, dc = F.col(lr) - F.col(rr), F.col(lc) - F.col(rc)
     diagonal = 2.0000001 * F.pow(start * F.pow(F.lit(2.0), F.col("_l")), 2)
     pairs = placed.join(there, [*keys, "_l", "_ur", "_uc"]).withColumn("d2", dr * dr + dc * dc).filter(F.col("d2") <= diagonal).drop("_l", "_ur", "_uc")

@@ -14,22 +14,29 @@ SCALE = 1.4826
 HELD, LARGEST, BINS = 1_000_000, 1000, 1024
 
 
-def exact_quantiles(df: DataFrame, keys: list[str], value: str, shares: list[float], out: str) -> DataFrame:
+def small_groups(df: DataFrame, keys: list[str]) -> bool:
+    """Whether each group fits into a task."""
+    return (df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n")).first()[0] or 0) <= HELD
+
+
+def exact_quantiles(df: DataFrame, keys: list[str], value: str, shares: list[float], out: str, small: bool = False) -> DataFrame:
     """Per group the interpolated quantiles of a value, as an array; exact whatever the group's size.
 
     A group that fits into a task is sorted there. In a large one the interval that holds the wanted ranks is
     narrowed by counting values in BINS bins, a pass over the data each time, until what is left in it fits.
-    Nulls don't count. Without keys the result is one row.
+    Nulls don't count. Without keys the result is one row. ``small`` says that no group needs that, so sizes aren't counted.
     """
     spark, v = df.sparkSession, F.col(value).cast("double")
     named = [f"_k{i}" for i in range(len(keys))]
     d = df.select(*(F.col(k).alias(n) for k, n in zip(keys, named, strict=True)), v.alias("_v")).filter("_v IS NOT NULL")
+    back = [F.col(n).alias(k) for k, n in zip(keys, named, strict=True)]
+    wanted = F.array(*(F.lit(float(s)) for s in shares))
+    if small:
+        return d.groupBy(*named).agg(F.percentile("_v", wanted).alias(out)).select(*back, out)
     sizes = d.groupBy(*named).agg(F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
     total, most = sizes.agg(F.sum("_n"), F.max("_n")).first()
     held = max(HELD, (total or 0) // LARGEST)
     large = sizes.filter(F.col("_n") > held).collect() if (most or 0) > held else []  # fewer than LARGEST rows
-    back = [F.col(n).alias(k) for k, n in zip(keys, named, strict=True)]
-    wanted = F.array(*(F.lit(float(s)) for s in shares))
     if not large:
         return d.groupBy(*named).agg(F.percentile("_v", wanted).alias(out)).select(*back, out)
     kinds = ", ".join([f"{n} {d.schema[n].dataType.simpleString()}" for n in named])
@@ -78,16 +85,18 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, shares: list[flo
     return small.groupBy(*named).agg(F.percentile("_v", wanted).alias(out)).unionByName(done).select(*back, out)
 
 
-def with_median(df: DataFrame, keys: list[str], value: str, out: str) -> DataFrame:
+def with_median(df: DataFrame, keys: list[str], value: str, out: str, small: bool = False) -> DataFrame:
     """Adds a group's median; an overall median comes from one row."""
-    q = exact_quantiles(df, keys, value, [0.5], "_q").withColumn(out, F.get("_q", F.lit(0))).drop("_q")
+    q = exact_quantiles(df, keys, value, [0.5], "_q", small).withColumn(out, F.get("_q", F.lit(0))).drop("_q")
     return df.join(q, keys, "left") if keys else df.join(F.broadcast(q))
 
 
 def mad_stats(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """keys, n, med, mad, sigma (1.4826 mad, the deviation where that is next to nothing), outlier_pct."""
-    d = with_median(df.select(*keys, value).filter(F.col(value).isNotNull()), keys, value, "med").withColumn("_d", F.abs(F.col(value) - F.col("med")))
-    d = with_median(d, keys, "_d", "mad")
+    d = df.select(*keys, value).filter(F.col(value).isNotNull())
+    small = small_groups(d, keys)
+    d = with_median(d, keys, value, "med", small).withColumn("_d", F.abs(F.col(value) - F.col("med")))
+    d = with_median(d, keys, "_d", "mad", small)
     scale = SCALE * F.col("mad")
     out = F.when(scale < 1e-12, 0.0).when(F.col("_d") > 3.0 * scale, 1.0).otherwise(0.0)
     agg = [F.count(F.lit(1)).alias("n"), F.max("med").alias("med"), F.max("mad").alias("mad"), F.stddev_pop(value).alias("_std"), (F.avg(out) * 100.0).alias("outlier_pct")]
@@ -97,10 +106,10 @@ def mad_stats(df: DataFrame, keys: list[str], value: str) -> DataFrame:
 def robust_z_filter(df: DataFrame, keys: list[str], values: list[str], k: float, least: int = 5) -> DataFrame:
     """Rows whose |0.6745 (v - med) / MAD| is at most k for all values. Groups of fewer than ``least`` pass
     whole; a MAD of zero gives z = 0."""
-    out = df
+    out, small = df, small_groups(df, keys)
     for i, v in enumerate(values):
-        out = with_median(out, keys, v, f"_m{i}").withColumn(f"_d{i}", F.abs(F.col(v) - F.col(f"_m{i}")))
-        out = with_median(out, keys, f"_d{i}", f"_a{i}")
+        out = with_median(out, keys, v, f"_m{i}", small).withColumn(f"_d{i}", F.abs(F.col(v) - F.col(f"_m{i}")))
+        out = with_median(out, keys, f"_d{i}", f"_a{i}", small)
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     out = out.join(sizes, keys) if keys else out.join(F.broadcast(sizes))
     fine = F.lit(True)

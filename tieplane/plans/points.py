@@ -306,7 +306,8 @@ def ag4(spark, sf_dir):
 SELECT count(*) AS n, round(median(dx), 6) + 0.0 AS dx_median, round(median(abs(dx - mx)), 6) + 0.0 AS dx_mad, round(median(dy), 6) + 0.0 AS dy_median, round(median(abs(dy - my)), 6) + 0.0 AS dy_mad, round(quantile_cont(abs(dy), 0.95), 6) + 0.0 AS dy_p95_abs FROM m""")
 def ag5(spark, sf_dir):
     d = on_mosaic(spark, sf_dir).select((C("C2") - C("C1")).alias("dx"), (C("R2") - C("R1")).alias("dy"))
-    m = robust.with_median(robust.with_median(d, [], "dx", "mx"), [], "dy", "my")
+    small = robust.small_groups(d, [])
+    m = robust.with_median(robust.with_median(d, [], "dx", "mx", small), [], "dy", "my", small)
     med = lambda e: r6(F.median(e))
     return m.agg(F.count(F.lit(1)).alias("n"), med(C("dx")).alias("dx_median"), med(F.abs(C("dx") - C("mx"))).alias("dx_mad"), med(C("dy")).alias("dy_median"), med(F.abs(C("dy") - C("my"))).alias("dy_mad"), r6(F.percentile(F.abs("dy"), F.lit(0.95))).alias("dy_p95_abs"))
 
