@@ -30,7 +30,7 @@ NOTICES = [
     ("gpl-header", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
     ("bsd-conditions", "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."),
 ]
-#: Notices of fewer than WORDS words, which ORACLE does not state.
+#: Notices of fewer than WORDS words.
 SHORT_NOTICES = [("all-rights-reserved", "All rights reserved.")]
 
 
@@ -129,11 +129,11 @@ def windows_held(docs: DataFrame, templates: DataFrame, id_col: str, text_col: s
     return held.unionByName(few)
 
 
-_VALUES = ", ".join("('{}', '{}')".format(n, t.replace("'", "''")) for n, t in NOTICES)
+_values = lambda notices: ", ".join("('{}', '{}')".format(n, t.replace("'", "''")) for n, t in notices)
 _SHINGLES = "CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(list_slice(w, i, i + 4), ' ')) ELSE [] END"
 _SPLIT = r"list_filter(regexp_split_to_array(lower(coalesce({}, '')), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '')"
 ORACLE = f"""
-WITH n(template, text) AS (VALUES {_VALUES}),
+WITH n(template, text) AS (VALUES {_values(NOTICES)}),
 nt AS (SELECT template, list_distinct({_SHINGLES}) AS own FROM (SELECT template, {_SPLIT.format('text')} AS w FROM n)),
 d AS (SELECT doc_id, {_SHINGLES} AS s FROM (SELECT doc_id, {_SPLIT.format('text')} AS w FROM documents)),
 c AS (SELECT doc_id, template, own, len(own) AS t, s FROM d JOIN nt ON list_has_any(s, own)),
@@ -142,4 +142,8 @@ h AS (SELECT doc_id, template, pos, len(list_intersect(part, own)) / t AS contai
 k AS (SELECT * FROM h WHERE containment * 100 >= {CONTAINED})
 SELECT doc_id, template, max(containment) AS containment, min(pos) FILTER (WHERE containment = m)::INT AS window, count(DISTINCT pos) AS windows
 FROM (SELECT *, max(containment) OVER (PARTITION BY doc_id, template) AS m FROM k) GROUP BY doc_id, template
+UNION ALL SELECT doc_id, template, 1.0::DOUBLE, min(pos)::INT, count(DISTINCT pos) FROM (
+  SELECT doc_id, template, unnest([p - 1, p]) AS pos FROM (
+    SELECT doc_id, template, w, o, unnest(range(0, len(w) - len(o) + 1)) AS p FROM (SELECT doc_id, {_SPLIT.format('text')} AS w FROM documents), (SELECT template, {_SPLIT.format('text')} AS o FROM (VALUES {_values(SHORT_NOTICES)}) z(template, text)))
+  WHERE list_slice(w, p + 1, p + len(o)) = o) WHERE pos >= 0 GROUP BY doc_id, template
 """
