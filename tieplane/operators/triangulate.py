@@ -83,7 +83,15 @@ def time_basis(u: np.ndarray, t: np.ndarray, degree: int, frequencies: tuple[flo
     return np.concatenate([u[:, None] ** np.arange(degree + 1), *(x[:, None] for x in waves)], axis=1)
 
 
-def block_adjustment(rays: DataFrame, poses: dict, f: float = 11995.48, degree: int = 1, rounds: int = 8, weights: tuple[float, float] = (20.0, 0.006), heights: tuple[float, float] | None = None, frequencies: tuple[float, ...] = (), fixed: tuple = ()) -> tuple[dict, list[float]]:
+def interior_basis(uv: np.ndarray) -> np.ndarray:
+    """What a unit of each interior unknown adds to a place on the focal plane, (n, 2, 5): shifts, scales and a radial term, the last
+    two relative to ten units off the centre."""
+    u, v = uv.T
+    zero, one, r2 = np.zeros(len(u)), np.ones(len(u)), (u * u + v * v) / 100.0
+    return np.stack([np.stack([one, zero, u / 10, zero, u / 10 * r2], axis=1), np.stack([zero, one, zero, v / 10, v / 10 * r2], axis=1)], axis=1)
+
+
+def block_adjustment(rays: DataFrame, poses: dict, f: float = 11995.48, degree: int = 1, rounds: int = 8, weights: tuple[float, float] = (20.0, 0.006), heights: tuple[float, float] | None = None, frequencies: tuple[float, ...] = (), fixed: tuple = (), interior: float | None = None) -> tuple[dict, list[float]]:
     """Corrections of trajectories: per image and pose parameter a polynomial of time and, for jitter, waves of the given
     ``frequencies``; all points are eliminated.
 
@@ -93,17 +101,22 @@ def block_adjustment(rays: DataFrame, poses: dict, f: float = 11995.48, degree:
     that system, whose size is that of the unknowns. Corrections are drawn to zero by the inverse squares of ``weights``
     (metres, radians); ``heights`` (radius, deviation) draws points to a sphere, as the jitter form has it. Without a fixed
     image and heights, a common shift, turn and scale of all stays free but for those weights.
+    ``interior`` (a deviation in units of the focal length's) adds the camera's own unknowns, common to all images: shift and
+    scale of each coordinate of the focal plane and a radial term; then the key "interior" holds those five.
     Returns the coefficients, per image an array of parameter by term, and the cost of each round.
     """
     spark = rays.sparkSession
     images, k = sorted(poses), degree + 1 + 2 * len(frequencies)
-    size = len(images) * 6 * k
+    outer = len(images) * 6 * k
+    size = outer + 5 * (interior is not None)
     cols = ["xp", "yp", "et", "Xs", "Ys", "Zs", "phi", "omega", "kappa", "X", "Y", "Z"]
     number = F.create_map(*(x for i, im in enumerate(images) for x in (F.lit(im), F.lit(float(i)))))
     packed = rays.groupBy("point_id").agg(F.flatten(F.sort_array(F.collect_list(F.array(number[F.col("image")], *(F.col(c).cast("double") for c in cols))))).alias("v")).select("v")
     packed = packed.checkpoint() if spark.sparkContext.getCheckpointDir() else packed.cache()
     prior = np.tile(np.r_[np.full(3 * k, weights[0] ** -2), np.full(3 * k, weights[1] ** -2)], len(images))
     held = np.repeat([im in fixed for im in images], 6 * k)
+    if interior is not None:
+        prior, held = np.r_[prior, np.full(5, interior**-2)], np.r_[held, np.zeros(5, bool)]
     theta, costs = np.zeros(size), []
     span = np.array([poses[im] for im in images], float)
 
@@ -114,12 +127,15 @@ def block_adjustment(rays: DataFrame, poses: dict, f: float = 11995.48, degree:
         flat = v.reshape(-1, v.shape[2])
         t = flat[:, 3] - span[image, 0]
         basis = time_basis(t / span[image, 1], t, degree, frequencies)
-        coef = c.reshape(len(images), 6, k)
+        coef, uv = c[:outer].reshape(len(images), 6, k), flat[:, 1:3]
+        if interior is not None:
+            lens = interior_basis(uv)
+            uv = uv + lens @ c[outer:]
         pose = flat[:, 4:10] + np.einsum("npk,nk->np", coef[image], basis)
         point = np.repeat(np.arange(n), m)
-        x, _ = intersect(pose, flat[:, 1:3], point, v[:, :, 10:13].mean(axis=1), f, rounds=15)
+        x, _ = intersect(pose, uv, point, v[:, :, 10:13].mean(axis=1), f, rounds=15)
         at, jx = project(x[point], pose, f)
-        e = ((flat[:, 1:3] - at) / PIXEL).reshape(n, 2 * m)
+        e = ((uv - at) / PIXEL).reshape(n, 2 * m)
         jp = np.empty((len(pose), 2, 6))
         for q in range(6):
             h = 1e-2 if q < 3 else 1e-7
@@ -134,6 +150,8 @@ def block_adjustment(rays: DataFrame, poses: dict, f: float = 11995.48, degree:
                 for d in range(k):
                     place = image[rows] * 6 * k + q * k + d
                     a[np.arange(n)[:, None], [2 * r, 2 * r + 1], place[:, None]] = jp[rows, :, q] * basis[rows, d, None]
+        if interior is not None:
+            a[:, :, outer:] = -(lens / PIXEL).reshape(n, 2 * m, 5)
         if heights:
             rho = np.linalg.norm(x, axis=1)
             jx = np.concatenate([jx, (x / rho[:, None] / heights[1])[:, None]], axis=1)
@@ -174,7 +192,8 @@ def block_adjustment(rays: DataFrame, poses: dict, f: float = 11995.48, degree:
         if np.abs(step * scale).max() < 1e-6:
             break
     packed.unpersist()
-    return {im: theta.reshape(len(images), 6, k)[i] for i, im in enumerate(images)}, costs
+    found = {im: theta[:outer].reshape(len(images), 6, k)[i] for i, im in enumerate(images)}
+    return found | ({"interior": theta[outer:]} if interior is not None else {}), costs
 
 
 def residual_report(points: DataFrame) -> DataFrame:

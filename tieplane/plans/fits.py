@@ -174,6 +174,29 @@ def b5(spark, sf_dir):
     return _adjusted(spark, sf_dir, (0.7,))
 
 
+#: Planted errors of the camera: shifts, and scales per ten units off the centre.
+_LENS = (0.03, -0.02, 0.004, -0.003)
+
+
+@query("b6_interior_calibration", "SELECT k::INT AS k, round(v, 5) + 0.0 AS coef FROM (VALUES " + ", ".join(f"({k}, {v!r}::DOUBLE)" for k, v in enumerate((*_LENS, 0.0))) + ") x(k, v)")
+def b6(spark, sf_dir):
+    """Known poses, points on the sphere, and a camera whose places on the focal plane are off by the planted errors."""
+    from ..operators import triangulate
+
+    x, y = C("row") * 50 - 1.1e6, C("col") * 3000 - 2e5
+    ground = P.pt(spark, sf_dir).select(C("pid").alias("point_id"), (C("row") * 1e-4).alias("et"), x.alias("X"), y.alias("Y"), F.sqrt(F.lit(geo.RADIUS) * geo.RADIUS - x * x - y * y).alias("Z"))
+    both = None
+    for image, (ys, tilt) in enumerate(((-3.0e5, 0.1), (3.0e5, -0.1))):
+        told = dict(zip(_TRUE, (0.0, ys, 3.7e6, 0.001, tilt, 0.002), strict=True))
+        u, v = geo.ground_to_focal(geo.rotation(*(F.lit(told[a]) for a in ("phi", "omega", "kappa"))), [F.lit(told[a]) for a in ("Xs", "Ys", "Zs")], [C("X"), C("Y"), C("Z")], F.lit(11995.48))
+        xp, yp = (u - _LENS[0]) / (1 + _LENS[2] / 10), (v - _LENS[1]) / (1 + _LENS[3] / 10)
+        one = ground.select("point_id", F.lit(image).alias("image"), "et", xp.alias("xp"), yp.alias("yp"), *(F.lit(a).alias(n) for n, a in told.items()), "X", "Y", "Z")
+        both = one if both is None else both.unionByName(one)
+    theta, _ = triangulate.block_adjustment(both, {0: (0.0, 4.4), 1: (0.0, 4.4)}, degree=0, rounds=8, weights=(1e4, 10.0), heights=(geo.RADIUS, 0.1), fixed=(0, 1), interior=1e3)
+    rows = [(k, float(v)) for k, v in enumerate(theta["interior"])]
+    return spark.createDataFrame(rows, "k int, coef double").select("k", r6(C("coef"), 5).alias("coef"))
+
+
 @query("ag23_residual_report", "SELECT ray::INT AS ray, count(*) AS n, 0.0::DOUBLE AS rms, 0.0::DOUBLE AS over_one FROM pt, (VALUES (0), (1)) r(ray) GROUP BY ray")
 def ag23(spark, sf_dir):
     from ..operators import triangulate
