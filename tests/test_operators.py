@@ -487,3 +487,16 @@ def test_the_step_graph_runs_on_real_steps(spark, tmp_path):
     assert {r.strip for r in ties} == {"left", "right"} and len(list(tmp_path.glob("text/ccd=*"))) == 2
     planned = pipeline.run(spark, c, made, {"left": left, "right": right}, dry=True)[1]
     assert {r.step: r.status for r in planned.collect()}["preprocess"] == "planned"
+
+
+def test_clock_strings_and_gaps(spark):
+    from tieplane.functions import clock
+
+    parts = [(0.0, 100.4), (200.0, 300.0), (300.0, 400.0)]
+    d = spark.createDataFrame([("3/0:50",), ("0:250",), ("1/0:300",), ("0:150",), ("x",), (None,), ("2:1:3",)], "t string")
+    ticks = clock.clock_ticks(F.col("t"))
+    got = [r.n for r in d.select(clock.continuous_ticks(ticks, parts).alias("n")).collect()]
+    assert got == [50.0, 150.0, 200.0, None, None, None, None]
+    t = F.lit(6.0e8)
+    (r,) = spark.range(1).select(clock.dynamical_seconds(t).alias("a"), clock.periodic_seconds(t).alias("b")).collect()
+    assert abs(r.a - 6.0e8 - r.b) < 1e-6 and abs(r.b) < 1.657e-3

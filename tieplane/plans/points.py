@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..functions import clock
 from ..functions import geometry as geo
 from ..operators import robust
 from ..operators.joins import ranked_by_ranges, tile_lookup
@@ -209,6 +210,22 @@ def pr24(spark, sf_dir):
     return e.select(C("event_id").alias("pid"), geo.clock_seconds(text).alias("sec"))
 
 
+#: Partitions of a clock, its origin, the seconds there and its rate.
+_PARTS = [(0.0, 5.0e13), (5.2e13, 7.0e13), (7.0e13, 9.0e13), (9.3e13, 1.0e14)]
+_CLOCK = (4.0e13, 5.8051252123e8, 0.99999988100041)
+
+
+@query("pr24b_ephemeris_time", f"""WITH p(i, a, b) AS (VALUES {", ".join(f"({i}, {a!r}::DOUBLE, {b!r}::DOUBLE)" for i, (a, b) in enumerate(_PARTS))}), t AS (SELECT i, a, b, coalesce(sum(b - a) OVER (ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM p),
+c AS (SELECT event_id AS pid, (700000000 + event_id % 10000 * 100000)::DOUBLE * 65536 + user_id AS k FROM events), q AS (SELECT pid, k, CASE WHEN i = 0 THEN k WHEN i IS NOT NULL THEN before + k - a END AS n FROM c LEFT JOIN t ON k >= a AND k <= b QUALIFY row_number() OVER (PARTITION BY pid ORDER BY i DESC) = 1),
+s AS (SELECT pid, {_CLOCK[1]!r}::DOUBLE + {_CLOCK[2]!r}::DOUBLE / 65536 * (n - {_CLOCK[0]!r}::DOUBLE) AS tdt FROM q) SELECT pid, round(tdt, 2) + 0.0 AS terrestrial, round(1.657e-3::DOUBLE * sin(6.239996::DOUBLE + 1.99096871e-7::DOUBLE * tdt + 1.671e-2::DOUBLE * sin(6.239996::DOUBLE + 1.99096871e-7::DOUBLE * tdt)), 8) + 0.0 AS ahead FROM s""")
+def pr24b(spark, sf_dir):
+    e = P.table(spark, sf_dir, "events")
+    text = F.concat(F.lit("3/"), (F.lit(700000000) + C("event_id") % 10000 * 100000).cast("string"), F.lit(":"), C("user_id").cast("string"))
+    ticks = clock.continuous_ticks(clock.clock_ticks(text), _PARTS)
+    t = clock.terrestrial_seconds(ticks, *_CLOCK)
+    return e.select(C("event_id").alias("pid"), r6(t, 2).alias("terrestrial"), r6(clock.periodic_seconds(t), 8).alias("ahead"))
+
+
 @query("pr26_distance_weights", "SELECT pid, round(exp(-(col * col) / (2.0 * 100.0 * 100.0)), 9) + 0.0 AS g, round(1.0 / (col * col + 1.0), 9) + 0.0 AS i, round(exp(-col / 400.0), 9) + 0.0 AS d FROM pt")
 def pr26(spark, sf_dir):
     return P.pt(spark, sf_dir).select("pid", r6(geo.gaussian(C("col"), 100.0), 9).alias("g"), r6(geo.inverse_square(C("col") * C("col")), 9).alias("i"), r6(geo.decay(C("col")), 9).alias("d"))
