@@ -500,3 +500,17 @@ def test_clock_strings_and_gaps(spark):
     t = F.lit(6.0e8)
     (r,) = spark.range(1).select(clock.dynamical_seconds(t).alias("a"), clock.periodic_seconds(t).alias("b")).collect()
     assert abs(r.a - 6.0e8 - r.b) < 1e-6 and abs(r.b) < 1.657e-3
+
+
+def test_long_catalogues_are_joined(spark, monkeypatch):
+    rng = np.random.default_rng(41)
+    starts = np.round(rng.uniform(0, 1000, 60), 2)
+    rows = [(i, float(a), float(a + w), int(i % 3)) for i, (a, w) in enumerate(zip(starts, np.r_[np.zeros(5), rng.exponential(20, 54), 900.0], strict=True))]
+    c = spark.createDataFrame(rows, "kernel int, a double, b double, rank int")
+    times = [*rng.uniform(-200, 2100, 300).tolist(), *starts[:5].tolist(), 5e5, -5e5]
+    q = spark.createDataFrame([(i, float(t)) for i, t in enumerate(times)], "id int, t double")
+    seen = []
+    for most in (10_000, 0):
+        monkeypatch.setattr(joins, "CATALOGUE", most)
+        seen.append({r.id: (r.kernel, r.covered) for r in joins.covering_interval(q, c, "t", "a", "b", "rank", "kernel").collect()})
+    assert seen[0] == seen[1] and len(seen[0]) == len(times) and len({v[1] for v in seen[0].values()}) == 2

@@ -144,21 +144,45 @@ def first_tier(options: DataFrame, by: list[str], tier: str) -> DataFrame:
     return options.withColumn("_t", F.min(tier).over(W.partitionBy(*by))).filter(F.col(tier) == F.col("_t")).drop("_t")
 
 
-#: Entries of an interval catalogue (files of one mission) that a lookup takes.
+#: Entries of an interval catalogue (files of one mission) that travel to each row as one list; more are joined.
 CATALOGUE = 10_000
+#: The finest of the nested stretches that a long catalogue's range is cut into, as a power of two.
+STRETCHES = 20
 
 
 def covering_interval(queries: DataFrame, catalogue: DataFrame, t: str, start: str, stop: str, rank: str, name: str) -> DataFrame:
     """Adds the name of the first interval in (rank, name) order that covers t, else of the one that starts
-    nearest (of equally near ones the earlier), and whether it covers. The catalogue's size is checked."""
+    nearest (of equally near ones the earlier, then the first name), and whether it covers."""
     if catalogue.count() > CATALOGUE:
-        raise ValueError("the catalogue is too large for a lookup by row")
+        return _covering_join(queries, catalogue, t, start, stop, rank, name)
     row = catalogue.agg(F.collect_list(F.struct(F.col(rank).alias("r"), F.col(name).alias("n"), F.col(start).alias("a"), F.col(stop).alias("b"))).alias("_all"))
     covers = F.array_min(F.filter("_all", lambda x: (x["a"] <= F.col(t)) & (F.col(t) <= x["b"])))
     near = F.array_min(F.transform("_all", lambda x: F.struct(F.abs(x["a"] - F.col(t)).alias("d"), x["a"].alias("a"), x["n"].alias("n"))))
     return queries.join(F.broadcast(row)).withColumn("_c", covers).withColumn(name, F.coalesce(F.col("_c.n"), near["n"])).withColumn("covered", F.col("_c").isNotNull()).drop("_all", "_c")
 
 
+def _covering_join(queries: DataFrame, catalogue: DataFrame, t: str, start: str, stop: str, rank: str, name: str) -> DataFrame:
+    """For catalogues of any length. An interval goes to the two stretches at most of about its own length that it touches, a time to
+    its stretch of each length, so they meet in an equi-join; times that nothing covers look for the nearest start."""
+    c = catalogue.select(F.col(rank).alias("_r"), F.col(name).alias("_n"), F.col(start).cast("double").alias("_a"), F.col(stop).cast("double").alias("_b"))
+    lo, hi = c.agg(F.min("_a"), F.max("_b")).first()
+    q = held(queries.withColumn("_q", F.monotonically_increasing_id()))
+    n, width = 1 << STRETCHES, max(hi - lo, 1e-300)
+    cell = lambda x: F.least(F.lit(n - 1), F.greatest(F.lit(0), F.floor((x - lo) / width * n))).cast("long")
+    up = lambda x, level: F.call_function("shiftright", x, level)
+    spans = c.withColumns({"_i": cell(F.col("_a")), "_j": cell(F.col("_b"))}).filter("_a <= _b")
+    spans = spans.withColumn("_l", F.least(F.lit(STRETCHES), F.ceil(F.log2((F.col("_j") - F.col("_i") + 1).cast("double")))).cast("int"))
+    spans = spans.withColumn("_s", F.explode(F.array_distinct(F.array(up(F.col("_i"), F.col("_l")), up(F.col("_j"), F.col("_l"))))))
+    asked = q.select("_q", F.col(t).cast("double").alias("_t")).filter(F.col("_t").between(lo, hi))
+    asked = asked.withColumn("_l", F.explode(F.sequence(F.lit(0), F.lit(STRETCHES)))).withColumn("_s", up(cell(F.col("_t")), F.col("_l")))
+    hits = asked.join(spans, ["_l", "_s"]).filter("_a <= _t AND _t <= _b").groupBy("_q").agg(F.min(F.struct("_r", "_n")).alias("_c"))
+    first = q.join(hits, "_q", "left")
+    rest = first.filter("_c IS NULL").select("_q", F.col(t).cast("double").alias("_t"), F.lit(0.0).alias("_z"))
+    starts = c.select(F.col("_a").alias("_u"), F.lit(0.0).alias("_v"), F.col("_n").alias("_m"))
+    near = knn_join(rest, starts, ("_t", "_z"), ("_u", "_v"), 1, ["_q"], ["d2", "_u", "_m"], start=width / n * 16).select("_q", "_m")
+    return first.join(near, "_q", "left").withColumn(name, F.coalesce("_c._n", "_m")).withColumn("covered", F.col("_c").isNotNull()).drop("_q", "_c", "_m")
+
+
 def pad_tiles(tiles: DataFrame, count: int, values: list[str]) -> DataFrame:
     """All tiles 0..count-1; a missing one takes the values of the lowest tile of its parity, else of the last."""
     spark = tiles.sparkSession
