@@ -69,6 +69,12 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_round_trip(_table(spark, sf_dir, "documents"))
 
 
+def op12_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .repeats import remove_repeats
+
+    return remove_repeats(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 
