@@ -69,12 +69,24 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_round_trip(_table(spark, sf_dir, "documents"))
 
 
+def op11_late_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sessions import conversation_events, merge_sessions
+
+    return merge_sessions(conversation_events(_table(spark, sf_dir, "conversations")))
+
+
 def op12_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .repeats import remove_repeats
 
     return remove_repeats(_table(spark, sf_dir, "documents"))
 
 
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .periods import periodic_runs, with_planted_runs
+
+    return periodic_runs(with_planted_runs(_table(spark, sf_dir, "documents")))
+
+
 def queries() -> dict:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 
