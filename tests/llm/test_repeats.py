@@ -73,8 +73,8 @@ def test_large_groups_are_refined(spark):
         rows.append((1000 + k, base[:at] + rng.choice("xyz") + base[at + 1 :]))
     want = expected(rows)
     assert got(repeats.remove_repeats(frame(spark, rows))) == want
-    assert got(repeats.remove_repeats(frame(spark, rows), large=2)) == want
-    assert got(repeats.remove_repeats(frame(spark, rows), large=100)) == want
+    assert got(repeats.remove_repeats(frame(spark, rows), group=1)) == want
+    assert got(repeats.remove_repeats(frame(spark, rows), group=10)) == want
 
 
 def test_long_texts_are_read_in_pieces(spark, monkeypatch):

@@ -3,8 +3,8 @@
 Each 200-byte string has an anchor, the least-hashed 100-byte gram in it, so equal strings have equal anchors and
 meet in one group. Consecutive strings of one anchor make a segment of 200 to 300 bytes. A segment that stands twice is
 repeated as a whole; the different segments of an anchor become one text, whose suffix array tells the strings that
-two of them share. An anchor with more different segments than a task should hold gives its strings to longer grams, in
-the end to the string itself.
+two of them share. Where an anchor has more different segments than a task should hold, these are cut anew by the anchors of longer
+grams, in the end into their strings.
 """
 
 from __future__ import annotations
@@ -26,14 +26,14 @@ from .suffixes import suffix_arrays
 LEAST = 200
 #: Bytes of an anchor, level by level; the last is the string itself.
 GRAMS = (100, 160, LEAST)
-#: Of 64 bits that an anchor's segments set by their hashes, so many mark a group as large: about 33 segments.
-LARGE = 26
+#: Different segments whose suffixes are sorted together, at most.
+GROUP = 64
 #: Bytes that are hashed at once, and of the longest piece of a text.
-SLICE = 1 << 20
+SLICE = 1 << 18
 #: Bytes whose suffixes are sorted at once, about.
 SORTED = 1 << 20
 #: Bits of a filter that tells which anchors repeat; its size does not grow with the input.
-FILTER_BITS = 24
+FILTER_BITS = 26
 
 _BYTE = mix(np.arange(1, 257, dtype=np.uint64))
 _BASE = 0x9E3779B97F4A7C15
@@ -98,30 +98,19 @@ def slices(texts: list[bytes]) -> Iterator[tuple[bytes, np.ndarray, np.ndarray,
         yield b"".join(parts), np.array(rows), np.array(places), np.array(ends)
 
 
-def segments(hashes: Hashes, data: bytes, ends: np.ndarray, large: list[np.ndarray]) -> tuple[np.ndarray, ...]:
-    """Level, key, first and last string of each segment, its piece, and the sums of hashes. ``large`` has a filter for
-    each level but the last asked for: anchors whose strings go to the next level."""
+def segments(hashes: Hashes, data: bytes, ends: np.ndarray, size: int) -> tuple[np.ndarray, ...]:
+    """Key, first string, end of strings and piece of each segment by anchors of ``size`` bytes, and the sums of hashes."""
     sums = hashes.sums(np.frombuffer(data, np.uint8))
-    many = len(data) - LEAST + 1
-    starts = np.arange(many)
-    piece = np.searchsorted(ends, starts, side="right")
-    fits = starts + LEAST <= ends[piece]
-    grams = hashes.grams(sums, GRAMS[0])
-    place = anchors(grams, GRAMS[0])
-    level, key = np.zeros(many, np.int8), grams[place]
-    for k, bits in enumerate(large, 1):
-        up = np.flatnonzero((level == k - 1) & fits)
-        up = up[has(bits, key[up])]
-        if not len(up):
-            break
-        grams = hashes.grams(sums, GRAMS[k])
-        place[up] = anchors(grams, GRAMS[k])[up]
-        level[up], key[up] = k, grams[place[up]]
-    at = np.flatnonzero(fits)
-    new = np.r_[True, (np.diff(at) > 1) | (np.diff(place[at]) != 0) | (np.diff(level[at]) != 0) | (np.diff(piece[at]) != 0)] if len(at) else np.zeros(0, bool)
-    first = at[new]
-    last = at[np.r_[np.flatnonzero(new)[1:], len(at)] - 1] if len(at) else first
-    return level[first], key[first], first, last, piece[first], sums
+    grams = hashes.grams(sums, size)
+    place = anchors(grams, size)
+    beyond = ends - LEAST + 1  # no string of a piece starts here
+    first = np.sort(np.concatenate([[0], np.flatnonzero(place[1:] != place[:-1]) + 1, beyond, ends]))
+    first = first[np.r_[True, first[1:] != first[:-1]] & (first < len(place))]
+    end = np.r_[first[1:], len(place)]
+    piece = np.searchsorted(ends, first, side="right")
+    fits = first < beyond[piece]
+    first, end, piece = first[fits], end[fits], piece[fits]
+    return grams[place[first]], first, end, piece, sums
 
 
 def _distinct(batch: pa.RecordBatch) -> tuple[list[bytes], list[bytes], np.ndarray]:
@@ -135,21 +124,15 @@ def _distinct(batch: pa.RecordBatch) -> tuple[list[bytes], list[bytes], np.ndarr
     return list(found), [t for t, _ in found.values()], np.array([n for _, n in found.values()], np.int64)
 
 
-def _counted(large: list):
-    """Anchor, hash of the segment and number of texts, for segments of the last level that ``large`` leads to."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, bits = Hashes(), [b.value for b in large]
-        for batch in batches:
-            _, texts, copies = _distinct(batch)
-            for data, rows, _, ends in slices(texts):
-                level, key, first, last, piece, sums = segments(hashes, data, ends, bits)
-                own = np.flatnonzero(level == len(bits))
-                print_ = hashes.of(sums, first[own], last[own] + LEAST)
-                cols = [pa.array(key[own].view(np.int64)), pa.array(print_.view(np.int64)), pa.array(copies[rows[piece[own]]])]
-                yield pa.RecordBatch.from_arrays(cols, ["anchor", "print", "n"])
-
-    return run
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Anchor, hash of the segment and number of texts."""
+    hashes = Hashes()
+    for batch in batches:
+        _, texts, copies = _distinct(batch)
+        for data, rows, _, ends in slices(texts):
+            key, first, end, piece, sums = segments(hashes, data, ends, GRAMS[0])
+            print_ = hashes.of(sums, first, end + LEAST - 1)
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(print_.view(np.int64)), pa.array(copies[rows[piece]])], ["anchor", "print", "n"])
 
 
 def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,7 +146,7 @@ def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _filters(keys: DataFrame) -> dict[str, np.ndarray]:
-    """Filters of anchors with flag 1 at least ("any") and with flag 2 ("many"): 2 MB each, whatever the input."""
+    """Filters of all anchors ("any") and of those with flag 2 ("many"): 8 MB each, whatever the input."""
     words = keys.mapInArrow(_words, "name string, word long, bits long").groupBy("name", "word").agg(F.bit_or("bits").alias("bits")).toArrow()
     out = {}
     for name in ("any", "many"):
@@ -173,34 +156,57 @@ def _filters(keys: DataFrame) -> dict[str, np.ndarray]:
     return out
 
 
-def _met(large: list, levels: list):
-    """Segments whose anchor the filters of its level let pass: text, first string, number of strings, anchor, digest, copies
-    in the batch, and the bytes where an anchor has several segments."""
+def _digest(body: bytes) -> bytes:
+    return hashlib.blake2b(body, digest_size=16).digest()
+
+
+def _met(filters: dict):
+    """Segments whose anchor the filters let pass: text, first string, number of strings, anchor, digest, copies in the batch,
+    and once a batch the bytes where an anchor has several segments."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, bits = Hashes(), [b.value for b in large]
-        kinds = [{k: b.value for k, b in level.items()} for level in levels]
+        hashes, any_, several = Hashes(), filters["any"].value, filters["many"].value
         for batch in batches:
             names, texts, copies = _distinct(batch)
+            seen: set[bytes] = set()
             for data, rows, places, ends in slices(texts):
-                level, key, first, last, piece, _ = segments(hashes, data, ends, bits)
-                keep, many = np.zeros(len(key), bool), np.zeros(len(key), bool)
-                for k, kind in enumerate(kinds):
-                    at = np.flatnonzero(level == k)
-                    keep[at], many[at] = has(kind["any"], key[at]), has(kind["many"], key[at])
-                at = np.flatnonzero(keep)
+                key, first, end, piece, _ = segments(hashes, data, ends, GRAMS[0])
+                at = np.flatnonzero(has(any_, key))
+                key, first, end, piece = key[at], first[at], end[at], piece[at]
                 begin = ends - np.diff(np.r_[0, ends])
-                text = rows[piece[at]]
-                bodies = [data[a : b + LEAST] for a, b in zip(first[at].tolist(), last[at].tolist(), strict=True)]
+                text, digests, bodies = rows[piece], [], []
+                for a, b, m in zip(first.tolist(), end.tolist(), has(several, key).tolist(), strict=True):
+                    body = data[a : b + LEAST - 1]
+                    digests.append(d := _digest(body))
+                    bodies.append(body if m and d not in seen else None)
+                    if m:
+                        seen.add(d)
                 cols = [
-                    pa.array([names[t] for t in text.tolist()], pa.binary()), pa.array(first[at] - begin[piece[at]] + places[piece[at]]), pa.array(last[at] - first[at] + 1), pa.array(key[at].view(np.int64)),
-                    pa.array([hashlib.blake2b(b, digest_size=16).digest() for b in bodies], pa.binary()), pa.array(copies[text]), pa.array([b if m else None for b, m in zip(bodies, many[at].tolist(), strict=True)], pa.binary()),
+                    pa.array([names[t] for t in text.tolist()], pa.binary()), pa.array(first - begin[piece] + places[piece]), pa.array(end - first), pa.array(key.view(np.int64)),
+                    pa.array(digests, pa.binary()), pa.array(copies[text]), pa.array(bodies, pa.binary()),
                 ]
                 yield pa.RecordBatch.from_arrays(cols, ["key", "start", "strings", "anchor", "digest", "n", "body"])
 
     return run
 
 
+def _refined(size: int):
+    """Segments by anchors of ``size`` bytes inside given ones: whose part they are, from which string on."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = Hashes()
+        for batch in batches:
+            whose, digest, n, bodies = (batch.column(k) for k in range(4))
+            for data, rows, _, ends in slices(bodies.to_pylist()):
+                key, first, end, piece, _ = segments(hashes, data, ends, size)
+                at, begin = pa.array(rows[piece]), ends - np.diff(np.r_[0, ends])
+                own = [data[a : b + LEAST - 1] for a, b in zip(first.tolist(), end.tolist(), strict=True)]
+                cols = [whose.take(at), digest.take(at), pa.array(first - begin[piece]), pa.array(end - first), pa.array(key.view(np.int64)), pa.array([_digest(b) for b in own], pa.binary()), n.take(at), pa.array(own if size < LEAST else [None] * len(own), pa.binary())]
+                yield pa.RecordBatch.from_arrays(cols, ["whose", "part_of", "start", "strings", "anchor", "digest", "n", "body"])
+
+    return run
+
+
 def shared_strings(groups: list[list[bytes]]) -> list[list[list[tuple[int, int]]]]:
     """For each group of different segments, and each segment, the ranges [first, last] of strings that stand elsewhere
     in the group too, by the group's suffix array: neighbours that agree in LEAST bytes."""
@@ -284,7 +290,44 @@ def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(v, pa.int64()) for v in (n, gone, runs)), pa.array(kept, pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
 
-def remove_repeats(docs: DataFrame, doc: str = "doc_id", text: str = "text", large: int = LARGE) -> DataFrame:
+SPANS = "array<struct<first: long, last: long>>"
+
+
+def _classes(parts: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """The different segments, how often each stands in texts and in how many rows of ``parts``."""
+    rows = parts.groupBy("anchor", "digest").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("rows"), F.first("body", ignorenulls=True).alias("body"))
+    return scratch.keep(rows, name)
+
+
+def _spread(parts: DataFrame, results: DataFrame, owner: list[str]) -> DataFrame:
+    """The spans [a, b] of repeated strings of each owner of segments, where ``start`` is a segment's first string."""
+    hits = lookup(parts, results, ["anchor", "digest"], "rows", max(1, parts.count())).filter("rows IS NOT NULL")
+    whole = F.array(F.struct(F.lit(0).cast("long").alias("first"), (F.col("strings") - 1).alias("last")))
+    marks = hits.select(*owner, "start", F.explode(F.coalesce("spans", whole)).alias("s"))
+    return marks.groupBy(*owner).agg(F.collect_set(F.struct((F.col("start") + F.col("s.first")).alias("a"), (F.col("start") + F.col("s.last")).alias("b"))).alias("spans"))
+
+
+def _repeated(classes: DataFrame, scratch: Scratch, group: int, level: int = 0) -> DataFrame:
+    """(anchor, digest, rows, spans) of the segments with a repeated string; no spans where all are."""
+    out = classes.filter("n > 1").select("anchor", "digest", "rows", F.lit(None).cast(SPANS).alias("spans"))
+    if level + 1 == len(GRAMS):  # each segment is one string
+        return out
+    sizes = classes.filter("body IS NOT NULL").groupBy("anchor").agg(F.count(F.lit(1)).alias("size"), F.sum((F.col("n") == 1).cast("long")).alias("single")).filter("size > 1 AND single > 0")
+    sizes = scratch.keep(sizes, f"sizes{level}")
+    met = lookup(classes.filter("body IS NOT NULL"), sizes, ["anchor"], "size", max(1, classes.count())).filter("size IS NOT NULL")
+    groups = met.filter(F.col("size") <= group).groupBy("anchor").agg(F.collect_list(F.struct("digest", "body")).alias("segments"))
+    found = groups.mapInArrow(_sorted_groups, f"anchor long, digest binary, spans {SPANS}")
+    if not sizes.filter(F.col("size") > group).isEmpty():
+        parts = met.filter(F.col("size") > group).select("anchor", "digest", "n", "body").mapInArrow(_refined(GRAMS[level + 1]), "whose long, part_of binary, start long, strings long, anchor long, digest binary, n long, body binary")
+        parts = scratch.keep(parts, f"parts{level}")
+        inner = scratch.keep(_repeated(_classes(parts, scratch, f"classes{level + 1}"), scratch, group, level + 1), f"inner{level}")
+        spread = _spread(parts.filter("n = 1").select("whose", "part_of", "start", "strings", "anchor", "digest"), inner, ["whose", "part_of"])
+        spans = F.transform("spans", lambda s: F.struct(s["a"].alias("first"), s["b"].alias("last")))
+        found = found.unionByName(spread.select(F.col("whose").alias("anchor"), F.col("part_of").alias("digest"), spans.alias("spans")))
+    return out.unionByName(classes.filter("n = 1").select("anchor", "digest", "rows").join(found, ["anchor", "digest"]))
+
+
+def remove_repeats(docs: DataFrame, doc: str = "doc_id", text: str = "text", group: int = GROUP) -> DataFrame:
     """Returns (doc_id, n_bytes, n_removed, n_spans, kept_sha256), one row per row of ``docs``: what is left of each text without
     the bytes of 200-byte strings that start anywhere else too, as judged on the input.
 
@@ -292,45 +335,24 @@ def remove_repeats(docs: DataFrame, doc: str = "doc_id", text: str = "text", lar
     among them, repeat each other, so they go wholly; a null doc_id is kept as it is; a text of any length is read whole;
     other columns are ignored, whatever their names.
 
-    Of equal texts one per batch is hashed. Anchors and their segments are counted with partial sums; which anchors repeat is
-    told to the tasks by filters of a fixed size. An anchor with about 33 different segments or more is refined, so a group
-    is a few kB. Places of a segment that stands very often meet its result by a bounded broadcast.
+    Texts are read twice: anchors are counted with partial sums, and filters of a fixed size tell the second reading which
+    anchors repeat. Groups of more than ``group`` different segments are refined, so a group is a few kB. Places of a segment
+    that stands very often meet its result by a bounded broadcast.
     """
     spark = docs.sparkSession
     scratch, sc = Scratch(spark, "repeats"), spark.sparkContext
     body = F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary")
     docs = docs.select(F.col(doc).alias("doc_id"), F.unhex(F.substring(F.sha2(body, 256), 1, 32)).alias("key"), body.alias("text"))
     texts, total = docs.select("key", "text"), docs.count()
-    filters: list = []
-    levels: list = []
-    for k in range(len(GRAMS)):
-        found = texts.mapInArrow(_counted(filters), "anchor long, print long, n long").groupBy("anchor").agg(
-            F.sum("n").alias("n"), F.min("print").alias("low"), F.max("print").alias("high"), F.expr("bit_or(shiftleft(1L, cast(print & 63 as int)))").alias("bits")
-        )
-        many, wide = F.col("low") != F.col("high"), (F.bit_count("bits") >= large) if k + 1 < len(GRAMS) else F.lit(False)
-        seen = scratch.keep(found.filter("n > 1").select("anchor", F.when(many & wide, 3).when(many, 2).otherwise(1).alias("flag")), f"anchors{k}")
-        built = _filters(seen.filter("flag < 3"))
-        levels.append({name: sc.broadcast(b) for name, b in built.items()})
-        crowd = seen.filter("flag = 3").select("anchor", F.lit(1).alias("flag"))
-        scratch.release()
-        if crowd.isEmpty():
-            break
-        filters.append(sc.broadcast(_filters(crowd)["any"]))
-    met = scratch.keep(texts.mapInArrow(_met(filters, levels), "key binary, start long, strings long, anchor long, digest binary, n long, body binary"), "met")
-    classes = met.groupBy("anchor", "digest").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("rows"), F.first("body", ignorenulls=True).alias("body"))
-    classes = scratch.keep(classes, "classes")
-    groups = classes.filter("body IS NOT NULL").groupBy("anchor").agg(F.collect_list(F.struct("digest", "body")).alias("segments")).filter("size(segments) > 1")
-    shared = groups.mapInArrow(_sorted_groups, "anchor long, digest binary, spans array<struct<first: long, last: long>>")
-    once = classes.filter("n = 1").select("anchor", "digest", "rows").join(shared, ["anchor", "digest"])
-    twice = classes.filter("n > 1").select("anchor", "digest", "rows", F.lit(None).cast("array<struct<first: long, last: long>>").alias("spans"))
-    results = scratch.keep(once.unionByName(twice), "results")
-    scratch.drop("classes")
+    seen = texts.mapInArrow(_counted, "anchor long, print long, n long").groupBy("anchor").agg(F.sum("n").alias("n"), F.min("print").alias("low"), F.max("print").alias("high")).filter("n > 1")
+    seen = scratch.keep(seen.select("anchor", F.when(F.col("low") != F.col("high"), 2).otherwise(1).alias("flag")), "anchors")
+    filters = {name: sc.broadcast(bits) for name, bits in _filters(seen).items()}
+    scratch.release()
+    met = scratch.keep(texts.mapInArrow(_met(filters), "key binary, start long, strings long, anchor long, digest binary, n long, body binary"), "met")
+    results = scratch.keep(_repeated(_classes(met, scratch, "classes0"), scratch, group), "results")
+    scratch.drop("anchors", "classes0", "classes1", "classes2", "parts0", "parts1", "inner0", "inner1")
     scratch.release()
-    places = met.select("key", "start", "strings", "anchor", "digest")
-    hits = lookup(places, results, ["anchor", "digest"], "rows", max(1, met.count())).filter("rows IS NOT NULL")
-    spans = F.coalesce("spans", F.array(F.struct(F.lit(0).cast("long").alias("first"), (F.col("strings") - 1).alias("last"))))
-    marks = hits.select("key", "start", F.explode(spans).alias("s")).select("key", F.struct((F.col("start") + F.col("s.first")).alias("a"), (F.col("start") + F.col("s.last")).alias("b")).alias("s"))
-    marks = marks.groupBy("key").agg(F.collect_set("s").alias("spans"))
+    marks = _spread(met.select("key", "start", "strings", "anchor", "digest"), results, ["key"])
     facts = docs.groupBy("key").agg(F.count(F.lit(1)).alias("copies")).join(marks, "key", "left").select("key", "copies", F.when(F.col("copies") == 1, F.col("spans")).alias("spans"))
     facts = scratch.keep(facts.filter("copies > 1 OR spans IS NOT NULL"), "facts")
     scratch.drop("results", "met")
