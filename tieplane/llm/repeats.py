@@ -25,9 +25,9 @@ from .suffixes import suffix_arrays
 #: Bytes of a string whose repeats are removed.
 LEAST = 200
 #: Bytes of an anchor, level by level; the last is the string itself.
-GRAMS = (100, 160, LEAST)
+GRAMS = (100, 160, 184, LEAST)
 #: Different segments whose suffixes are sorted together, at most.
-GROUP = 64
+GROUP = 128
 #: Bytes that are hashed at once, and of the longest piece of a text.
 SLICE = 1 << 18
 #: Bytes whose suffixes are sorted at once, about.
@@ -37,6 +37,7 @@ FILTER_BITS = 26
 
 _BYTE = mix(np.arange(1, 257, dtype=np.uint64))
 _BASE = 0x9E3779B97F4A7C15
+_LOW = np.uint64((1 << FILTER_BITS) - 1)
 _PLACE = np.uint64((1 << 64) - (2 * SLICE))
 
 
@@ -73,7 +74,7 @@ def anchors(grams: np.ndarray, size: int) -> np.ndarray:
 
 
 def has(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    at = keys >> np.uint64(64 - FILTER_BITS)
+    at = keys & _LOW  # anchors are least hashes, so only their lower bits are even
     return bits[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1) > 0
 
 
@@ -139,7 +140,7 @@ def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for name, flag in (("any", 1), ("many", 2)):
             keys = batch.column(0).to_numpy().view(np.uint64)[batch.column(1).to_numpy() >= flag]
-            at = np.unique(keys >> np.uint64(64 - FILTER_BITS))
+            at = np.unique(keys & _LOW)
             word, start = np.unique(at >> np.uint64(6), return_index=True)
             value = np.bitwise_or.reduceat(np.uint64(1) << (at & np.uint64(63)), start) if len(at) else at
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(word), pa.string()), pa.array(word.view(np.int64)), pa.array(value.view(np.int64))], ["name", "word", "bits"])
@@ -350,7 +351,7 @@ def remove_repeats(docs: DataFrame, doc: str = "doc_id", text: str = "text", gro
     scratch.release()
     met = scratch.keep(texts.mapInArrow(_met(filters), "key binary, start long, strings long, anchor long, digest binary, n long, body binary"), "met")
     results = scratch.keep(_repeated(_classes(met, scratch, "classes0"), scratch, group), "results")
-    scratch.drop("anchors", "classes0", "classes1", "classes2", "parts0", "parts1", "inner0", "inner1")
+    scratch.drop("anchors", *(f"{name}{k}" for name in ("classes", "sizes", "parts", "inner") for k in range(len(GRAMS))))
     scratch.release()
     marks = _spread(met.select("key", "start", "strings", "anchor", "digest"), results, ["key"])
     facts = docs.groupBy("key").agg(F.count(F.lit(1)).alias("copies")).join(marks, "key", "left").select("key", "copies", F.when(F.col("copies") == 1, F.col("spans")).alias("spans"))
