@@ -61,3 +61,44 @@ def test_grants_keep_within_room():
         load[s] -= n
     assert all(load[k] <= room[k] for k in room)
     assert load[1] == 10
+
+
+def best_cut(sizes, shards):
+    """The fewest documents outside their text's fullest shard, over all ways to fill equal shards."""
+    n = sum(sizes)
+    capacity = tuple(n // shards + (s < n % shards) for s in range(shards))
+
+    def ways(k, room):
+        if not k:
+            yield (), 0
+            return
+
+        def split(left, s):
+            if s == shards - 1:
+                if left <= room[s]:
+                    yield (left,)
+                return
+            for x in range(min(left, room[s]) + 1):
+                for rest in split(left - x, s + 1):
+                    yield (x, *rest)
+
+        for part in split(k, 0):
+            yield part, k - max(part)
+
+    seen = {capacity: 0}
+    for k in sizes:
+        after = {}
+        for room, cost in seen.items():
+            for part, cut in ways(k, room):
+                left = tuple(r - p for r, p in zip(room, part, strict=True))
+                after[left] = min(after.get(left, cost + cut), cost + cut)
+        seen = after
+    return min(seen.values())
+
+
+def test_against_the_best_of_all_assignments(spark):
+    for sizes in ((4, 4, 4), (3, 3, 2, 2, 1, 1), (6, 2, 2, 2), (5, 3, 2, 1, 1), (2,) * 7, (9, 1, 1, 1)):
+        rows = [(100 * k + i, f"text {k}") for k, n in enumerate(sizes) for i in range(n)]
+        groups = check(spark, rows, 3)
+        cut = sum(sum(c.values()) - max(c.values()) for c in groups.values())
+        assert best_cut(sizes, 3) <= cut <= best_cut(sizes, 3) + 2, sizes
