@@ -106,6 +106,39 @@ def test_denoise_finds_spikes(spark):
     assert all(got[int(i)] for i in spike) and sum(r > 0 for r in got.values()) < 60 and len(got) == 800
 
 
+def test_holes_of_a_spiral_take_few_rounds(spark):
+    n, steps = 401, []
+    wall = np.zeros((n, n), bool)  # a spiral wall, so its corridor is one run a row and side, all joined
+    r, c, dr, dc = 0, 0, 0, 1
+    wall[r, c] = True
+    while True:
+        moved = 0
+        while 0 <= r + dr < n and 0 <= c + dc < n and not (0 <= r + 2 * dr < n and 0 <= c + 2 * dc < n and wall[r + 2 * dr, c + 2 * dc]):
+            r, c, moved = r + dr, c + dc, moved + 1
+            wall[r, c] = True
+        if moved < 2:
+            break
+        dr, dc = dc, -dr
+        steps.append(moved)
+    wall[n // 2, n // 2] = True
+    before = grid.component_roots
+    rounds = []
+    grid_held, spark_df = grid.held, spark.createDataFrame([(int(i), int(j)) for i, j in zip(*np.nonzero(wall), strict=True)], "ir long, ic long")
+    try:
+        grid.held = lambda df, name="held": rounds.append(name) or grid_held(df, name)
+        open_ = grid.inland_holes(spark_df).count()
+    finally:
+        grid.held = grid_held
+    assert before is grid.component_roots and rounds.count("edges") <= 15
+    holes, seen, todo = ~wall, np.zeros((n, n), bool), [(i, j) for i in range(n) for j in range(n) if not wall[i, j] and (i in (0, n - 1) or j in (0, n - 1))]
+    while todo:
+        i, j = todo.pop()
+        if 0 <= i < n and 0 <= j < n and holes[i, j] and not seen[i, j]:
+            seen[i, j] = True
+            todo += [(i + 1, j), (i - 1, j), (i, j + 1), (i, j - 1)]
+    assert open_ == int((holes & ~seen).sum())
+
+
 def test_inland_holes_match_flood_fill(spark):
     for seed in range(3):
         there = np.random.default_rng(seed).random((14, 17)) < 0.62
@@ -290,6 +323,37 @@ def test_snapshots_and_streams(spark, tmp_path):
     assert len(list((tmp_path / "out/ccd=0").glob("v*"))) == 2 and len(list((tmp_path / "out/ccd=7").glob("v*"))) == 1  # other tiles are left alone
 
 
+def test_only_committed_versions_are_read(spark, tmp_path):
+    path = str(tmp_path / "t")
+    assert sinks.committed(spark, path) == (0, None)
+    sinks.snapshot(spark.range(3).toDF("a"), path)
+    (tmp_path / "t/data-dead/_temporary/0").mkdir(parents=True)  # a writer that died
+    (tmp_path / "t/data-dead.draft").write_text("data-dead")
+    assert sinks.latest(spark, path).count() == 3
+    sinks.snapshot(spark.range(5).toDF("a"), path, after=1)
+    with pytest.raises(sinks.LostRace):
+        sinks.snapshot(spark.range(9).toDF("a"), path, after=1)
+    assert sinks.committed(spark, path)[0] == 2 and sinks.latest(spark, path).count() == 5
+    with pytest.raises(FileNotFoundError):
+        sinks.latest(spark, str(tmp_path / "none"))
+
+
+def test_two_writers_lose_no_batch(spark, tmp_path, monkeypatch):
+    target, row = str(tmp_path / "m"), lambda pid: spark.createDataFrame([(pid, 0, 1.0, 1.0, 3, 1.0, 1.0, 0.5)], stream.SCHEMA)
+    stream.upsert_batch(spark, row(1), target)
+    real, other = stream.snapshot, []
+
+    def late(df, path, after):
+        if not other:  # between reading and committing another writer is done
+            other.append(1)
+            stream.upsert_batch(spark, row(2), target)
+        return real(df, path, after)
+
+    monkeypatch.setattr(stream, "snapshot", late)
+    stream.upsert_batch(spark, row(3), target)
+    assert {r.pid for r in stream.current(spark, target).collect()} == {1, 2, 3}
+
+
 def test_config():
     good = config.parse("root: /x # here\nleft:\n  name: A\n  begin: 1\n  end: 9\ngrid_match:\n  window: 11\nsteps:\n  export: off\n")
     assert (good.root, good.left.end, good.grid_match.window, good.steps.export) == ("/x", 9, 11, False)
@@ -416,15 +480,13 @@ def test_energy_prefers_near_places_and_the_gate_forbids_far_ones():
     assert all(Z.Search(3, 4, 1, kind=k).find(Z.Pair(image, np.roll(image, (1, 2), (0, 1)), k), 20, 25, 20, 25)[:2] == (21, 27) for k in ("gray", "blend", "census"))
 
 
-def test_exact_quantiles_by_histograms(spark, monkeypatch):
+def test_exact_quantiles_by_ranks(spark, monkeypatch):
     rng = np.random.default_rng(21)
     groups = {0: rng.normal(0, 1, 900), 1: np.r_[np.zeros(500), rng.exponential(1e6, 401)], 2: rng.integers(0, 3, 800).astype(float), 3: np.array([5.0]), 4: np.array([1.0, 2.0]), None: rng.uniform(-1e-9, 1e9, 700)}
     df = spark.createDataFrame([(g, float(v)) for g, vs in groups.items() for v in vs] + [(0, None), (9, None)], "g int, v double")
     shares = [0.0, 0.003, 0.5, 0.95, 1.0]
     for held in (10**6, 50):
         monkeypatch.setattr(robust, "HELD", held)
-        monkeypatch.setattr(robust, "LARGEST", 10**6)
-        monkeypatch.setattr(robust, "BINS", 7)
         got = {r.g: r.q for r in robust.exact_quantiles(df, ["g"], "v", shares, "q").collect()}
         assert set(got) == set(groups)
         for g, vs in groups.items():
@@ -473,12 +535,12 @@ def test_the_step_graph_runs_on_real_steps(spark, tmp_path):
     wide = (wide - wide.mean()) / wide.std() * 40 + rng.normal(0, 20, wide.shape) + 128
     images = [wide[:, 0:96], wide[:, 72:168]]
     left, right = tiles_of(spark, images), tiles_of(spark, [np.roll(a, (2, 1), (0, 1)) for a in images])
-    c = config.parse("grid_match:\n  spacing: 10\n  window: 9\n  search: 4\nfeature_match:\n  sigma: 4\n")
-    made = stereo.steps(spark, c, str(tmp_path), overlap=24, corner_cell=12)
+    c = config.parse("grid_match:\n  spacing: 10\n  window: 9\n  search: 4\nfeature_match:\n  sigma: 4\n  near_range: 8\n")
+    made = stereo.steps(spark, c, str(tmp_path), overlap=24, corner_cell=12, levels=2, wide=16)
     tables, log = pipeline.run(spark, c, made, {"left": left, "right": right})
     status = {r.step: (r.status, r.message) for r in log.collect()}
     assert all(status[s][0] == "done" for s in ("preprocess", "mosaic", "downsample", "feature_match", "grid_match", "inter_tile_match", "export")), status
-    assert status["adjustment"] == ("failed", "missing io, timing, polys_l, polys_r") and status["trajectory"][0] == "skipped"
+    assert status["adjustment"] == ("failed", "missing io, timing, polys_l, polys_r") and status["trajectory"][0] == "done"
     assert [(r.ccd, r.r0, r.c0) for r in tables["mosaic_l"].orderBy("ccd").collect()] == [(0, 0, 0), (1, 0, 72)]
     moved = [(round(r.mrow - r.row), round(r.mcol - r.col)) for r in tables["grid"].filter("mrow IS NOT NULL").collect()]
     assert len(moved) > 60 and sum(x == (2, 1) for x in moved) > 0.9 * len(moved)
@@ -489,6 +551,69 @@ def test_the_step_graph_runs_on_real_steps(spark, tmp_path):
     assert {r.step: r.status for r in planned.collect()}["preprocess"] == "planned"
 
 
+def test_settings_are_obeyed_and_trajectories_adjusted(spark, tmp_path):
+    """A shift of 40 lines is found with a search of 80 and five levels asked for; the adjustment runs on trajectories."""
+    from tieplane.plans import stereo
+
+    rng = np.random.default_rng(32)
+    image = rng.uniform(0, 255, (240, 200)).cumsum(0).cumsum(1)
+    image = (image - image.mean()) / image.std() * 40 + rng.normal(0, 25, image.shape) + 128
+    left, right = tiles_of(spark, [image]), tiles_of(spark, [np.roll(image, (40, 3), (0, 1))])
+    text_ = "grid_match:\n  spacing: 32\n  window: 15\n  search: 80\nfeature_match:\n  sigma: 20\n  near_range: 16\nsteps:\n  inter_tile_match: off\n  export: off\n  mosaic: on\n"
+    c = config.parse(text_)
+    made = stereo.steps(spark, c, str(tmp_path), overlap=24, corner_cell=10)
+    io = spark.createDataFrame([(0, 0.0, 0.012, 0.0, 0.0, 0.0, -0.012, 0.0, 0.0, 0.0)], "ccd int, x0 double, x_s double, x_l double, y0 double, y_s double, y_l double, k0 double, k1 double, k2 double")
+    timing = spark.createDataFrame([(0, 0.0, 1e-3)], "ccd int, begin double, line_rate double")
+
+    def eo(y, tilt):
+        return spark.createDataFrame([(t, 3000.0 * t, y, 3.7e6, 0.0, tilt, 0.0) for t in np.linspace(0, 0.3, 12).tolist()], "et double, Xs double, Ys double, Zs double, phi double, omega double, kappa double")
+
+    tables, log = pipeline.run(spark, c, made, {"left": left, "right": right, "io": io, "timing": timing, "eo_l": eo(-3e4, 0.1), "eo_r": eo(3e4, -0.1)})
+    status = {r.step: (r.status, r.message) for r in log.collect()}
+    assert all(status[s][0] == "done" for s in ("trajectory", "feature_match", "grid_match", "adjustment")), status
+    assert len(tables["levels_l"]) > 2
+    moved = [(round(r.mrow - r.row), round(r.mcol - r.col)) for r in tables["grid"].filter("mrow IS NOT NULL AND row < 190").collect()]
+    assert moved and sum(x == (40, 3) for x in moved) > 0.8 * len(moved)
+    costs = [r.cost for r in tables["costs"].orderBy("round").collect()]
+    assert len(costs) > 1 and costs == sorted(costs, reverse=True)
+    assert tables["orbit"].count() == 24 and tables["points"].count() > 5
+
+
+def test_refinement_drops_planted_outliers(spark):
+    rng = np.random.default_rng(51)
+    rows = []
+    for i in range(500):
+        r, c = rng.uniform(0, 2000, 2)
+        bad = i % 21 == 0
+        rows.append((i % 2, i, float(r), float(c), float(r + 3 + 0.001 * c + rng.normal(0, 1) + bad * 120), float(c - 7 + rng.normal(0, 1) - bad * 90)))
+    df = spark.createDataFrame(rows, "ccd int, pid long, row double, col double, mrow double, mcol double")
+    kept = {r.pid for r in matching.refine_iteratively(df, ["ccd"], 2, lambda d, name: joins.held(d, name)).collect()}
+    assert not any(i % 21 == 0 for i in kept) and len(kept) > 440
+
+
+def test_ransac_against_all_triples_of_small_groups(spark, monkeypatch):
+    from itertools import combinations
+
+    rng = np.random.default_rng(61)
+    rows = []
+    for g in range(4):
+        for k in range(14):
+            r, c = rng.uniform(0, 100, 2)
+            bad = k < 3 + g
+            rows.append((g, float(r), float(c), float(r * 1.01 + 2 + rng.normal(0, 0.3) + bad * rng.uniform(10, 60)), float(c - 3 + rng.normal(0, 0.3))))
+    df = spark.createDataFrame(rows, "g int, row double, col double, mrow double, mcol double")
+    for drawn in (fit.DRAWN, 5):  # in one kernel, and in blocks
+        monkeypatch.setattr(fit, "DRAWN", drawn)
+        got = {r.g: r for r in fit.affine_ransac(df, ["g"], 1.0, 3000).collect()}
+        for g in range(4):
+            p = np.array([x[1:] for x in rows if x[0] == g])
+            best = 0
+            for t in combinations(range(14), 3):
+                f = fit.least_squares_affine(p[list(t), :2], p[list(t), 2:])
+                best = max(best, int((np.hypot(*(fit.predict(f, p[:, :2]) - p[:, 2:]).T) <= 1.0).sum()) if f is not None else 0)
+            assert got[g].n == 14 and (drawn == 5 or got[g].inliers >= best - 1)
+
+
 def test_clock_strings_and_gaps(spark):
     from tieplane.functions import clock
 

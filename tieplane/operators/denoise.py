@@ -1,76 +1,123 @@
-"""Point-cloud denoising: robust quadratic patches in local frames, then spikes against the local median."""
+"""Point-cloud denoising: smooth surfaces from moments of cells, then spikes against the heights around.
+
+Points are never copied to the cells around theirs. A cell's weighted moments are sums, which are moved to the centre of each cell near
+it and added there; so a surface costs a row a cell and neighbour, and a cell of any number of points is summed before it moves.
+"""
 
 from __future__ import annotations
 
+from math import comb
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType
+
+from ..sources.shared import held
+from .grid import halo
+from .neighbours import BASIS, QUADRATIC
+from .robust import SCALE, exact_quantiles
+
+#: Weights reach zero at so many times the height at which a point counts as off the surface.
+CUT = 1.5
+
+
+def biweight(height: Column, spread: Column, reach: float) -> Column:
+    """Tukey's weight of a height: 1 on the surface, falling smoothly to 0 at ``reach`` spreads; 1 where there is no spread."""
+    t = height / (reach * spread)
+    return F.when(spread <= 1e-12, 1.0).otherwise(F.when(F.abs(t) < 1, (1 - t * t) * (1 - t * t)).otherwise(0.0))
+
+
+def _voted(cells: DataFrame, radius: int, value: str, out: str) -> DataFrame:
+    """For each cell the median of the cells' values around it, each with as many votes as points n, and the points there."""
+    around = halo(cells.select("ci", "cj", value, "n"), radius).groupBy("hi", "hj").agg(F.array_sort(F.collect_list(F.struct(F.col(value).alias("v"), "n"))).alias("_s"), F.sum("n").alias("_t"))  # (2 radius + 1)**2 at most
+    pick = F.aggregate("_s", F.struct(F.lit(0).cast("long").alias("c"), F.lit(None).cast("double").alias("v")), lambda a, x: F.struct((a["c"] + x["n"]).alias("c"), F.when(2 * a["c"] < F.col("_t"), x["v"]).otherwise(a["v"]).alias("v")))
+    return around.select(F.col("hi").alias("ci"), F.col("hj").alias("cj"), pick["v"].alias(out), F.col("_t").alias("around"))
+
+
+@F.pandas_udf(ArrayType(DoubleType()))
+def _surface(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Coefficients on the basis of BASIS of 21 upper products and 6 right sides: the quadratic, where that is as good as singular the
+    plane, else the mean."""
+    at = np.triu_indices(6)
+    m = np.zeros((len(a), 6, 6))
+    m[:, at[0], at[1]] = np.stack(a.to_numpy()) if len(a) else np.zeros((0, 21))
+    m, v, out = m + np.triu(m, 1).transpose(0, 2, 1), np.stack(b.to_numpy()) if len(b) else np.zeros((0, 6)), np.zeros((len(a), 6))
+    done = m[:, 0, 0] <= 0
+    for size in (6, 3, 1):
+        s = np.sqrt(np.maximum(np.einsum("kii->ki", m[:, :size, :size]), 1e-300))
+        norm = m[:, :size, :size] / s[:, :, None] / s[:, None, :]
+        fine = ~done & (np.linalg.eigvalsh(norm)[:, 0] > 1e-9)
+        out[fine, :size] = np.linalg.solve(norm[fine], (v[fine, :size] / s[fine])[..., None])[..., 0] / s[fine]
+        done |= fine
+    return pd.Series(list(out))
+
+
+def _surfaces(points: DataFrame, radius: int) -> DataFrame:
+    """ci, cj, coefficients q of the weighted surface over each cell and those around it, in units of a cell about its centre."""
+    power = lambda x, k: F.lit(1.0) if k == 0 else F.pow(x, F.lit(float(k)))
+    w, u, v = F.col("w"), F.col("u"), F.col("v")
+    own = points.groupBy("ci", "cj").agg(*(F.sum(w * power(u, i) * power(v, j)).alias(f"m{i}{j}") for i, j in QUADRATIC), *(F.sum(w * power(u, i) * power(v, j) * F.col("z")).alias(f"b{i}{j}") for i, j in BASIS))
+    near = halo(own, radius).withColumns({"di": F.col("ci") - F.col("hi"), "dj": F.col("cj") - F.col("hj")})
+
+    def moved(name: str, i: int, j: int) -> Column:
+        """A moment about another centre: each power of a shifted coordinate is a sum of powers."""
+        return sum((comb(i, a) * comb(j, b) * power(F.col("di"), i - a) * power(F.col("dj"), j - b) * F.col(f"{name}{a}{b}") for a in range(i + 1) for b in range(j + 1)), F.lit(0.0))
+
+    full = near.groupBy("hi", "hj").agg(*(F.sum(moved("m", i, j)).alias(f"m{i}{j}") for i, j in QUADRATIC), *(F.sum(moved("b", i, j)).alias(f"b{i}{j}") for i, j in BASIS))
+    products = F.array(*(f"m{BASIS[i][0] + BASIS[j][0]}{BASIS[i][1] + BASIS[j][1]}" for i in range(6) for j in range(i, 6)))
+    solved = full.join(own.select(F.col("ci").alias("hi"), F.col("cj").alias("hj")), ["hi", "hj"], "left_semi")
+    return solved.select(F.col("hi").alias("ci"), F.col("hj").alias("cj"), _surface(products, F.array(*(f"b{i}{j}" for i, j in BASIS))).alias("q"))
+
+
+def _heights(points: DataFrame, surfaces: DataFrame, cell: float) -> DataFrame:
+    """Adds the signed distance h of each point from its cell's surface, along the normal at the cell's centre."""
+    q, u, v = F.col("q"), F.col("u"), F.col("v")
+    over = F.col("z") - (q[0] + q[1] * u + q[2] * v + q[3] * u * u + q[4] * u * v + q[5] * v * v)
+    slope = F.sqrt(1.0 + (q[1] / cell) * (q[1] / cell) + (q[2] / cell) * (q[2] / cell))
+    return points.drop("h").join(surfaces, ["ci", "cj"]).withColumn("h", over / slope).drop("q")
+
 
-from ..functions.scale import robust_scale
-from .grid import buckets, halo
-
-
-def heights_over(p: np.ndarray, weight: np.ndarray) -> np.ndarray:
-    """Heights of all points over a weighted polynomial surface in the weighted principal frame: quadratic where six points
-    or more have weight, else a plane. Heights count upwards."""
-    d = p - np.average(p, axis=0, weights=weight)
-    frame = np.linalg.eigh((d * weight[:, None]).T @ d)[1]  # columns, the normal first
-    normal = frame[:, 0] if frame[2, 0] >= 0 else -frame[:, 0]
-    u, v, h = d @ frame[:, 2], d @ frame[:, 1], d @ normal
-    terms = [(0, 0), (1, 0), (0, 1)] + ([(2, 0), (1, 1), (0, 2)] if np.count_nonzero(weight) >= 6 else [])
-    basis = np.stack([u**i * v**j for i, j in terms], axis=1)
-    root = np.sqrt(weight)
-    return h - basis @ np.linalg.lstsq(basis * root[:, None], h * root, rcond=None)[0]
-
-
-def surface_residuals(p: np.ndarray, sigma: float, rounds: int) -> np.ndarray:
-    """Signed heights over a surface by iteratively reweighted least squares: weight 1 within sigma robust deviations, else 0."""
-    weight, heights = np.ones(len(p)), np.zeros(len(p))
-    for _ in range(1 + max(1, rounds)):
-        if np.count_nonzero(weight) < 3:
-            return heights
-        heights = heights_over(p, weight)
-        centre, spread = robust_scale(heights[weight > 0])
-        if spread <= 1e-12:
-            return heights
-        weight = (np.abs(heights - centre) <= sigma * spread).astype(float)
-    return heights
+def _spread(points: DataFrame, value: str, radius: int, out: str) -> DataFrame:
+    """For each cell the voted median of the cells' own medians of |value|, times 1.4826, and the points around."""
+    d = points.select("ci", "cj", F.abs(value).alias("_a"))
+    own = exact_quantiles(d, ["ci", "cj"], "_a", [0.5], "_q").select("ci", "cj", (SCALE * F.get("_q", F.lit(0))).alias("s")).join(d.groupBy("ci", "cj").agg(F.count(F.lit(1)).alias("n")), ["ci", "cj"])
+    return _voted(own, radius, "s", out)
 
 
 def denoise(points: DataFrame, key: str, cell: float, radius: int = 1, least: int = 8, sigma: float = 3.0, spike: float = 3.0, rounds: int = 3, limit: float = 0.0) -> DataFrame:
     """Adds ``reason`` to points (x, y, z): 0 kept, 1 off the local surface, 2 a spike in height.
 
-    Both passes see a cell with its neighbours within ``radius``; a task takes one cell's neighbourhood. The
-    second pass starts when the first is done for all cells, so the result depends on no order of cells.
+    The surface of a cell is a quadratic of height over place, fitted to the points of the cells within ``radius`` by iteratively
+    reweighted least squares with Tukey's weights. A point is off it if its distance exceeds ``sigma`` spreads (or ``limit``, where that is
+    less and above 0); the spread is 1.4826 times the median distance of a cell's points, the median of that over the cells around with a
+    vote a point. A spike differs from the heights of the good points by more than ``spike`` spreads: each cell around votes with the
+    median of its heights, and what is left of that or of the cell's own deviation, whichever is more, votes for the spread.
+    Cells with fewer than ``least`` points around keep all. Keys must differ. Points with a coordinate that is null or no number get no reason.
     """
-    named = buckets(points.select(key, "x", "y", "z").filter("NOT (isnan(x) OR isnan(y) OR isnan(z))"), "x", "y", cell)
-    kind = points.schema[key].dataType.simpleString()
-
-    def surface(pdf: pd.DataFrame) -> pd.DataFrame:
-        own = pdf["own"].to_numpy()
-        if not own.any():
-            return pd.DataFrame({key: pdf[key][:0], "bad": own[:0]})
-        bad = np.zeros(len(pdf), bool)
-        if len(pdf) >= least:
-            pdf = pdf.sort_values(["x", "y", "z", key])
-            own, r = pdf["own"].to_numpy(), surface_residuals(pdf[["x", "y", "z"]].to_numpy(), sigma, rounds)
-            mid, s = robust_scale(r)
-            gate = sigma * s if s > 1e-12 else np.inf
-            bad = np.abs(r - mid) > (min(gate, limit) if limit > 0 else gate)
-        return pd.DataFrame({key: pdf[key][own], "bad": bad[own]})
-
-    first = halo(named, radius).groupBy("hi", "hj").applyInPandas(surface, f"{key} {kind}, bad boolean")
-    marked = named.join(first, key)
-
-    def spikes(pdf: pd.DataFrame) -> pd.DataFrame:
-        own, bad, z = pdf["own"].to_numpy(), pdf["bad"].to_numpy(), pdf["z"].to_numpy()
-        out = np.zeros(len(pdf), np.int32)
-        if len(pdf) >= least:
-            mid, s = robust_scale(z[~bad] if (~bad).any() else z)
-            out[(np.abs(z - mid) > spike * s) & (s > 1e-12)] = 2
-        out[bad] = 1
-        return pd.DataFrame({key: pdf[key][own], "reason": out[own]})
-
-    second = halo(marked, radius).groupBy("hi", "hj").applyInPandas(spikes, f"{key} {kind}, reason int")
-    return points.join(second, key, "left")
+    fine = points.select(key, "x", "y", "z").filter("NOT (isnan(x) OR isnan(y) OR isnan(z)) AND x IS NOT NULL AND y IS NOT NULL AND z IS NOT NULL")
+    at = {"ci": F.floor(F.col("x") / cell).cast("long"), "cj": F.floor(F.col("y") / cell).cast("long")}
+    d = fine.withColumns(at).select(key, "ci", "cj", (F.col("x") / cell - F.col("ci") - 0.5).alias("u"), (F.col("y") / cell - F.col("cj") - 0.5).alias("v"), F.col("z").cast("double").alias("z"), F.lit(1.0).alias("w"))
+    d = held(d, "cloud")
+    for _ in range(max(1, rounds)):
+        over = held(_heights(d, _surfaces(d, radius), cell), "heights")
+        near = over.join(_spread(over, "h", radius, "s"), ["ci", "cj"])
+        d = held(near.withColumn("w", biweight(F.col("h"), F.col("s"), CUT * sigma)).drop("around", "s"), "cloud")
+    over = held(_heights(d, _surfaces(d, radius), cell), "heights")
+    d = over.join(_spread(over, "h", radius, "s"), ["ci", "cj"])
+    gate = sigma * F.col("s") if limit <= 0 else F.least(sigma * F.col("s"), F.lit(limit))
+    off = (F.col("around") >= least) & (F.when(F.col("s") > 1e-12, F.abs("h") > gate).otherwise(F.abs("h") > limit if limit > 0 else F.lit(False)))
+    d = held(d.select(key, "ci", "cj", "z", off.alias("bad")), "marked")
+    good = d.filter("NOT bad")
+    own = exact_quantiles(good, ["ci", "cj"], "z", [0.5], "_q").select("ci", "cj", F.get("_q", F.lit(0)).alias("m"))
+    away = good.join(own, ["ci", "cj"]).withColumn("_a", F.abs(F.col("z") - F.col("m")))
+    mad = exact_quantiles(away, ["ci", "cj"], "_a", [0.5], "_q").select("ci", "cj", F.get("_q", F.lit(0)).alias("a"))
+    cells = held(own.join(mad, ["ci", "cj"]).join(good.groupBy("ci", "cj").agg(F.count(F.lit(1)).alias("n")), ["ci", "cj"]), "cells")
+    middle = _voted(cells, radius, "m", "mid")
+    differing = halo(cells, radius).select(F.col("hi").alias("gi"), F.col("hj").alias("gj"), "m", "a", "n").join(middle.select(F.col("ci").alias("gi"), F.col("cj").alias("gj"), "mid", "around"), ["gi", "gj"])
+    votes = differing.groupBy("gi", "gj").agg(F.max("mid").alias("mid"), F.max("around").alias("around"), F.array_sort(F.collect_list(F.struct(F.greatest("a", F.abs(F.col("m") - F.col("mid"))).alias("v"), "n"))).alias("_s"))
+    pick = F.aggregate("_s", F.struct(F.lit(0).cast("long").alias("c"), F.lit(None).cast("double").alias("v")), lambda a, x: F.struct((a["c"] + x["n"]).alias("c"), F.when(2 * a["c"] < F.col("around"), x["v"]).otherwise(a["v"]).alias("v")))
+    spikes = votes.select(F.col("gi").alias("ci"), F.col("gj").alias("cj"), "mid", "around", (SCALE * pick["v"]).alias("s"))
+    reason = F.when(F.col("bad"), 1).when((F.col("around") >= least) & (F.col("s") > 1e-12) & (F.abs(F.col("z") - F.col("mid")) > spike * F.col("s")), 2).otherwise(0)
+    return points.join(d.join(spikes, ["ci", "cj"], "left").select(key, reason.alias("reason")), key, "left")

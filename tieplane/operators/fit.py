@@ -9,10 +9,15 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import held
+from .neighbours import BASIS, QUADRATIC
+
 AFFINE = [f"f{i}" for i in range(6)]
 IDENTITY = np.array([1.0, 0, 0, 0, 1, 0])
 #: Rows of a group that triples are drawn from, about; different rows that one task scores, about; shares a group is dealt in.
 DRAWN, BLOCK, SALTS = 10_000, 50_000, 64
+#: Models of a large group that lead on the drawn rows and so are scored by all rows; what moves to its blocks does not grow with the trials.
+LEADERS = 256
 
 
 def least_squares_affine(p: np.ndarray, q: np.ndarray) -> np.ndarray | None:
@@ -79,11 +84,45 @@ def needed_trials(share: float, confidence: float = 0.999) -> float:
     return np.log(1 - confidence) / np.log1p(-min(max(share, 1e-9) ** 3, 1 - 1e-12))
 
 
+def _supported(m: np.ndarray, p: np.ndarray, w: np.ndarray, inside_of, sigma: float) -> np.ndarray:
+    """The weight of the points that each model is within sigma of."""
+    step = max(1, 1_000_000 // max(1, len(p)))
+    counts = [inside_of(m[lo : lo + step], p, sigma) @ w for lo in range(0, len(m), step)]
+    return np.concatenate([*counts, np.empty(0, np.int64)]).astype(np.int64)
+
+
+def _inlier_sums(p: np.ndarray, w: np.ndarray, f: np.ndarray, o: np.ndarray, inside_of, sigma: float) -> list[float]:
+    """What ``refit`` needs of the points within sigma of a model, about an origin."""
+    inside = inside_of(f[None], p, sigma)[0]
+    q, w = (p[inside] - o).T, w[inside]
+    terms = [np.ones(len(w)), *q, q[0] * q[0], q[0] * q[1], q[1] * q[1], *(q[i] * q[2 + k] for k in range(p.shape[1] - 2) for i in (0, 1))]
+    return [float((w * t).sum()) for t in terms]
+
+
+def _ransac_whole(d: DataFrame, keys: list[str], point: list[str], names: list[str], named: str, identity: np.ndarray, inside_of, sigma: float, trials: int, seed: int) -> DataFrame:
+    """A group at a time, where no group has more rows than triples are drawn from; the same results as in blocks."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(point)
+        p, w = pdf[point].to_numpy(), pdf["_w"].to_numpy()
+        at = p.repeat(w, axis=0)
+        m, o, f = through_triples(at, trials, seed), at.mean(axis=0), identity
+        if len(m):
+            best = m[int(_supported(m, p, w, inside_of, sigma).argmax())]
+            s = np.array(_inlier_sums(p, w.astype(float), best, o, inside_of, sigma))
+            f = refit(s, o, best) if s[0] >= 3 else identity
+        return pd.DataFrame([[*pdf[keys].iloc[0], *f, w.sum(), w[inside_of(f[None], p, sigma)[0]].sum()]], columns=[*keys, *names, "n", "inliers"])
+
+    return d.groupBy(*keys).applyInPandas(run, f"{named}{', '.join(f'{f} double' for f in names)}, n long, inliers long")
+
+
 def _ransac(df: DataFrame, keys: list[str], point: list[str], names: list[str], identity: np.ndarray, inside_of, sigma: float, trials: int, seed: int) -> DataFrame:
-    c, outputs = F.col, len(point) - 2
+    c = F.col
     kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
     named = "".join(f"{k} {kinds[k]}, " for k in keys)
     d = df.groupBy(*keys, *(c(x).cast("double").alias(x) for x in point)).agg(F.count(F.lit(1)).alias("_w")).withColumn("_h", F.xxhash64(*point, F.lit(seed)))
+    if (d.groupBy(*keys).agg(F.sum("_w").alias("_n")).agg(F.max("_n")).first()[0] or 0) <= DRAWN:
+        return _ransac_whole(d, keys, point, names, named, identity, inside_of, sigma, trials, seed)
     size = d.groupBy(*keys).agg(F.sum("_w").alias("_n"), F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).cast("int").alias("_blocks"))
     salted = size.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     dealt = d.withColumn("_s", F.pmod("_h", F.lit(SALTS)).cast("int")).join(salted, [*keys, "_s"]).withColumn("_b", F.pmod(F.shiftrightunsigned("_h", 8), c("_blocks")).cast("int"))
@@ -93,15 +132,17 @@ def _ransac(df: DataFrame, keys: list[str], point: list[str], names: list[str],
     def draw(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(point)
         at = pdf[point].to_numpy().repeat(pdf["_k"].to_numpy(), axis=0)
-        return pd.DataFrame([[*pdf[keys].iloc[0], pdf["_blocks"].iloc[0], through_triples(at, trials, seed).ravel(), at.mean(axis=0)]], columns=[*keys, "_blocks", "_m", "_o"])
+        m = through_triples(at, trials, seed)
+        if len(m) > LEADERS:
+            support = _supported(m, pdf[point].to_numpy(), pdf["_k"].to_numpy(), inside_of, sigma)
+            m = m[np.sort(np.argsort(-support, kind="stable")[:LEADERS])]
+        return pd.DataFrame([[*pdf[keys].iloc[0], pdf["_blocks"].iloc[0], m.ravel(), at.mean(axis=0)]], columns=[*keys, "_blocks", "_m", "_o"])
 
     def score(pts: pd.DataFrame, models: pd.DataFrame) -> pd.DataFrame:
         if pts.empty or models.empty:
             return pd.DataFrame(columns=[*keys, "_c"])
         m, p, w = np.reshape(models["_m"].iloc[0], (-1, len(names))), pts[point].to_numpy(), pts["_w"].to_numpy()
-        step = max(1, 1_000_000 // len(p))
-        counts = [inside_of(m[lo : lo + step], p, sigma) @ w for lo in range(0, len(m), step)]
-        return pd.DataFrame([[*models[keys].iloc[0], np.concatenate([*counts, np.empty(0, np.int64)]).astype(np.int64)]], columns=[*keys, "_c"])
+        return pd.DataFrame([[*models[keys].iloc[0], _supported(m, p, w, inside_of, sigma)]], columns=[*keys, "_c"])
 
     def add(pts: pd.DataFrame, best: pd.DataFrame) -> pd.DataFrame:
         if pts.empty or best.empty:
@@ -109,10 +150,7 @@ def _ransac(df: DataFrame, keys: list[str], point: list[str], names: list[str],
         f, o = np.array(best["_f"].iloc[0]), np.array(best["_o"].iloc[0])
         p = pts.sort_values(point)
         w, p = p["_w"].to_numpy().astype(float), p[point].to_numpy()
-        inside = inside_of(f[None], p, sigma)[0]
-        q, w = (p[inside] - o).T, w[inside]
-        terms = [np.ones(len(w)), *q, q[0] * q[0], q[0] * q[1], q[1] * q[1], *(q[i] * q[2 + k] for k in range(outputs) for i in (0, 1))]
-        return pd.DataFrame([[*best[keys].iloc[0], best["_b"].iloc[0], [(w * t).sum() for t in terms]]], columns=[*keys, "_b", "_sums"])
+        return pd.DataFrame([[*best[keys].iloc[0], best["_b"].iloc[0], _inlier_sums(p, w, f, o, inside_of, sigma)]], columns=[*keys, "_b", "_sums"])
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         s = np.stack(pdf.sort_values("_b")["_sums"].to_numpy()).sum(axis=0)
@@ -146,7 +184,7 @@ def _until_sure(df: DataFrame, keys: list[str], trials: int, most: int, run) ->
     """``run(groups, trials)``, and again for the groups whose share of inliers leaves that number of triples unsure; those get
     as many as the worst of them needs, ``most`` at most."""
     first = run(df, trials)
-    first = first.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else first.cache()
+    first = held(first)
     share = F.greatest(F.col("inliers") / F.col("n"), F.lit(1e-3))
     need = first.select(*keys, F.ceil(F.lit(float(-np.log(1e-3))) / -F.log1p(-F.least(F.pow(share, F.lit(3.0)), F.lit(1 - 1e-12)))).alias("_need"), "inliers")
     unsure = need.filter((F.col("_need") > trials) & (F.col("inliers") >= 3))
@@ -196,13 +234,14 @@ def local_affine_field(matches: DataFrame, tile_r: float, tile_c: float, sigma:
 def quadratic_surface(pairs: DataFrame, keys: list[str], dr: str, dc: str, value: str, weight: str, out: str) -> DataFrame:
     """The value at the origin of a weighted quadratic in (dr, dc) per group; groups of fewer than six points,
     or in a degenerate place, get the weighted mean. Sums are pre-aggregated, kernels see 22 numbers a group."""
-    # fifteen moments hold all products of the basis 1, r, c, rr, rc, cc
-    basis = [(0, 0), (1, 0), (0, 1), (2, 0), (1, 1), (0, 2)]
-    moments = [(i, j) for d in range(5) for i in range(d, -1, -1) for j in (d - i,)]
     power = lambda i, j: reduce(lambda x, y: x * y, [F.col(dr)] * i + [F.col(dc)] * j, F.col(weight))
-    d = pairs.select(*keys, F.col(value).alias("_z"), *(power(i, j).alias(f"_m{i}{j}") for i, j in moments))
-    sums = [F.sum(f"_m{i}{j}").alias(f"_m{i}{j}") for i, j in moments] + [F.sum(F.col(f"_m{i}{j}") * F.col("_z")).alias(f"_b{i}{j}") for i, j in basis]
-    s = d.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), *sums)
+    d = pairs.select(*keys, F.col(value).alias("_z"), *(power(i, j).alias(f"_m{i}{j}") for i, j in QUADRATIC))
+    sums = [F.sum(f"_m{i}{j}").alias(f"_m{i}{j}") for i, j in QUADRATIC] + [F.sum(F.col(f"_m{i}{j}") * F.col("_z")).alias(f"_b0{i}{j}") for i, j in BASIS]
+    return surfaces_of(d.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), *sums), keys, [out])
+
+
+def surfaces_of(sums: DataFrame, keys: list[str], outs: list[str]) -> DataFrame:
+    """keys, n and for each value its surface at the origin, of the sums _n, _mij and, of value k, _bkij."""
 
     @F.pandas_udf("double")
     def solve(n: pd.Series, a: pd.Series, b: pd.Series) -> pd.Series:
@@ -224,8 +263,9 @@ def quadratic_surface(pairs: DataFrame, keys: list[str], dr: str, dc: str, value
             x[fine] = np.linalg.solve(norm[fine], (v / scale)[fine][..., None])[:, 0, 0] / scale[fine, 0]
         return pd.Series(np.where(fine, x, mean))
 
-    names = [f"_m{basis[i][0] + basis[j][0]}{basis[i][1] + basis[j][1]}" for i in range(6) for j in range(i, 6)]
-    return s.withColumn(out, solve("_n", F.array(*names), F.array(*(f"_b{i}{j}" for i, j in basis)))).select(*keys, F.col("_n").alias("n"), out)
+    names = [f"_m{BASIS[i][0] + BASIS[j][0]}{BASIS[i][1] + BASIS[j][1]}" for i in range(6) for j in range(i, 6)]
+    n = F.rint("_n").cast("long")
+    return sums.select(*keys, n.alias("n"), *(solve(n, F.array(*names), F.array(*(f"_b{k}{i}{j}" for i, j in BASIS))).alias(out) for k, out in enumerate(outs)))
 
 
 def time_polynomials(samples: DataFrame, keys: list[str], t: str, values: list[str], degree: int = 3) -> DataFrame:

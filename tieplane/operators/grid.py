@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..sources.shared import held
 from .robust import exact_quantiles, small_groups, with_median
+from .scans import scan_by_ranges
 from .upsert import best_cell
 
 
@@ -115,11 +117,12 @@ def holes_near(cells: DataFrame, gap: int) -> DataFrame:
     return dilate(cells, gap, []).select("ir", "ic").join(cells.select("ir", "ic"), ["ir", "ic"], "left_anti")
 
 
-def inland_holes(cells: DataFrame, rounds: int = 100_000) -> DataFrame:
+def inland_holes(cells: DataFrame, rounds: int = 60) -> DataFrame:
     """Holes inside the bounding box that no path of 4-neighbouring holes joins to its border.
 
-    Runs of holes along rows are the nodes, touching runs of adjacent rows the edges; border runs are
-    labelled and labels spread over the edges until nothing changes. Runs are as many as cells at most.
+    Runs of holes along rows are the nodes, touching runs of adjacent rows the edges; all border runs are one node. Each round a
+    node hooks to the least of its neighbours, chains of hooks are shortened by halves, and each tree becomes one node of a smaller
+    graph; so a spiral of any length is done in a logarithm of rounds. Runs are as many as cells at most.
     """
     box = cells.agg(F.min("ir").alias("r0"), F.max("ir").alias("r1"), F.min("ic").alias("c0"), F.max("ic").alias("c1"))
     w = W.partitionBy("ir").orderBy("ic")
@@ -130,16 +133,40 @@ def inland_holes(cells: DataFrame, rounds: int = 100_000) -> DataFrame:
     right = ends.filter("_b < c1").select("ir", (F.col("_b") + 1).alias("a"), F.col("c1").alias("b"), F.lit(True).alias("open"))
     empty = box.filter("r0 IS NOT NULL").select(F.explode(F.sequence("r0", "r1")).alias("ir"), "c0", "c1").join(there.select("ir").distinct(), "ir", "left_anti").select("ir", F.col("c0").alias("a"), F.col("c1").alias("b"), F.lit(True).alias("open"))
     runs = inner.unionByName(left).unionByName(right).unionByName(empty).join(F.broadcast(box)).withColumn("open", F.col("open") | (F.col("ir") == F.col("r0")) | (F.col("ir") == F.col("r1"))).select("ir", "a", "b", "open")
-    spark = cells.sparkSession
+    runs = held(runs.withColumn("id", F.when(F.col("open"), F.lit(-1)).otherwise(F.monotonically_increasing_id())), "runs")
+    below = runs.select((F.col("ir") - 1).alias("ir"), F.col("a").alias("_a"), F.col("b").alias("_b"), F.col("id").alias("v"))
+    touching = runs.join(below, "ir").filter("a <= _b AND _a <= b").select(F.col("id").alias("u"), "v").filter("u <> v")
+    root = component_roots(touching, rounds)
+    outer = root.join(root.filter("node = -1").select(F.col("root").alias("_r")), F.col("root") == F.col("_r"), "left_semi").select(F.col("node").alias("id"))
+    return runs.filter("NOT open").join(outer, "id", "left_anti").select("ir", F.explode(F.sequence("a", "b")).alias("ic"))
+
+
+def component_roots(edges: DataFrame, rounds: int = 60) -> DataFrame:
+    """(node, root) of all nodes with an edge (u, v): nodes of one component have one root.
+
+    Contraction: each node hooks to the least node beside it if that is less, else stays a root; hooks are followed by pointer
+    jumping, edges are renamed to the roots, doubles and loops go. A round leaves at most half of the nodes that have edges.
+    """
+    now = held(edges.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).filter("u <> v").distinct(), "edges")
+    names = held(now.select(F.col("u").alias("node")).unionByName(now.select(F.col("v").alias("node"))).distinct().withColumn("root", F.col("node")), "roots")
     for _ in range(rounds):
-        runs = runs.checkpoint() if spark.sparkContext.getCheckpointDir() else runs.cache()  # a checkpoint wherever there is a shared folder
-        opened = runs.filter("open")
-        reach = opened.select(F.explode(F.array(F.col("ir") - 1, F.col("ir") + 1)).alias("ir"), F.col("a").alias("oa"), F.col("b").alias("ob"))
-        new = runs.filter("NOT open").join(reach, "ir").filter("a <= ob AND oa <= b").select("ir", "a").distinct()
-        if new.isEmpty():
-            break
-        runs = runs.join(new.withColumn("_o", F.lit(True)), ["ir", "a"], "left").select("ir", "a", "b", (F.col("open") | F.coalesce("_o", F.lit(False))).alias("open"))
-    return runs.filter("NOT open").select("ir", F.explode(F.sequence("a", "b")).alias("ic"))
+        if now.isEmpty():
+            return names
+        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        # a node that is least of its neighbours takes the least of those in turn, else chains of least nodes would not shrink
+        hooks = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("p"))
+        lone = hooks.filter("u = p").select("u").join(hooks.filter("u <> p").select(F.col("p").alias("u")).distinct(), "u", "left_anti")
+        joined = both.join(lone, "u", "left_semi").groupBy("u").agg(F.min("v").alias("m"))
+        hooks = held(hooks.join(joined, "u", "left").select("u", F.coalesce("m", "p").alias("p")), "hooks")
+        for _ in range(rounds):
+            far = held(hooks.join(hooks.select(F.col("u").alias("p"), F.col("p").alias("q")), "p").select("u", "p", "q"), "hooks")
+            hooks = far.select("u", F.col("q").alias("p"))
+            if far.filter("p <> q").isEmpty():
+                break
+        names = held(names.join(hooks.select(F.col("u").alias("root"), "p"), "root", "left").select("node", F.coalesce("p", "root").alias("root")), "roots")
+        moved = now.join(hooks.select("u", F.col("p").alias("pu")), "u").join(hooks.select(F.col("u").alias("v"), F.col("p").alias("pv")), "v")
+        now = held(moved.select(F.least("pu", "pv").alias("u"), F.greatest("pu", "pv").alias("v")).filter("u <> v").distinct(), "edges")
+    raise RuntimeError("components did not settle")
 
 
 def plane_fill(cells: DataFrame, holes: DataFrame, value: str, sigma: float, reach: int) -> DataFrame:
@@ -205,12 +232,11 @@ def halo(cells: DataFrame, radius: int) -> DataFrame:
 
 def grid_step(points: DataFrame, value: str, keys: list[str] = ()) -> DataFrame:
     """The commonest rounded gap between neighbouring distinct coordinates, the smallest of equally common ones."""
-    w = W.partitionBy(*keys).orderBy("_v") if keys else W.partitionBy(F.lit(0)).orderBy("_v")
     u = points.select(*keys, F.expr(f"rint({value} * 1000) / 1000").alias("_v")).distinct()
-    gaps = u.withColumn("_g", F.col("_v") - F.lag("_v").over(w)).filter("_g > 1e-3").withColumn("step", F.rint("_g").cast("long")).filter("step > 0")
-    n = gaps.groupBy(*keys, "step").agg(F.count(F.lit(1)).alias("_n"))
-    best = W.partitionBy(*keys).orderBy(F.desc("_n"), "step") if keys else W.partitionBy(F.lit(0)).orderBy(F.desc("_n"), "step")
-    return n.withColumn("_k", F.row_number().over(best)).filter("_k = 1").select(*keys, "step")
+    gaps = scan_by_ranges(u, list(keys), ["_v"], before={"_v": "_b"}).withColumn("_g", F.col("_v") - F.col("_b"))
+    n = gaps.filter("_g > 1e-3").withColumn("step", F.rint("_g").cast("long")).filter("step > 0").groupBy(*keys, "step").agg(F.count(F.lit(1)).alias("_n"))
+    best = n.groupBy(*keys).agg(F.max(F.struct("_n", (-F.col("step")).alias("s"))).alias("_b"))
+    return best.filter("_b IS NOT NULL").select(*keys, (-F.col("_b.s")).alias("step"))
 
 
 def balance_columns(pixels: DataFrame, value: str, col: str, keys: list[str]) -> DataFrame:

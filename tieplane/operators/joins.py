@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..sources.shared import held
+
 
 def _cell(x: Column, size: float) -> Column:
     return F.floor(x / size).cast("long")
@@ -52,10 +54,13 @@ def knn_join(left: DataFrame, right: DataFrame, left_at: tuple[str, str], right_
     further than the diagonal of a cell of twice that size, so only right points within it are paired, by an
     equi-join on cells of twice the size. So the pairs of a point follow k and not the data's density. Of right
     points in one place only k are paired.
-    ``order`` starts with d2, the squared distance; rk is the rank from 1.
+    ``order`` starts with d2, the squared distance; rk is the rank from 1. Rows whose place is null, infinite or no number
+    are no points, on either side.
     """
     keys = list(keys)
     (lr, lc), (rr, rc) = left_at, right_at
+    finite = lambda d, r, c: d.filter((F.abs(F.col(r)) < 1e15) & (F.abs(F.col(c)) < 1e15))
+    left, right = finite(left, lr, lc), finite(right, rr, rc)
     box = lambda d, r, c: d.agg(F.min(r).alias("r0"), F.max(r).alias("r1"), F.min(c).alias("c0"), F.max(c).alias("c1"))
     r0, r1, c0, c1 = box(left, lr, lc).unionByName(box(right, rr, rc)).agg(F.min("r0"), F.max("r1"), F.min("c0"), F.max("c1")).first()
     span = max(r1 - r0, c1 - c0) if r0 is not None else 0.0
@@ -87,12 +92,6 @@ def knn_join(left: DataFrame, right: DataFrame, left_at: tuple[str, str], right_
     return nearest_k(pairs, by, k, order)
 
 
-def held(df: DataFrame) -> DataFrame:
-    """A table that several later steps read, computed once: a checkpoint in the shared folder; where there is none, on one
-    machine, it is cached."""
-    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.cache()
-
-
 def ranked_by_ranges(df: DataFrame, keys: list[str], order: list[str], out: str) -> DataFrame:
     """Adds the 0-based place of each row within ``keys`` by ``order`` (columns, a total order), whatever a key's size: rows are
     sorted in ranges that split even one key's rows, and the counts of a key's ranges before give each its base."""

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import patch as Z
-from . import fit, joins, robust
+from . import fit, joins, neighbours, robust
 from .joins import held
 from .upsert import first_by, upsert_by_score
 
@@ -185,10 +185,9 @@ def grid_predictions(cells: DataFrame, seeds: DataFrame, affines: DataFrame, key
     """Semi-dense prediction: a quadratic surface of six seeds or more, the weighted mean of four or five, else
     the affine. Adds pr, pc, mode (surface, mean, affine)."""
     s = seeds.select(*keys, C("row").alias("srow"), C("col").alias("scol"), (C("mrow") - C("row")).alias("dr"), (C("mcol") - C("col")).alias("dc"))
-    near = joins.radius_join(cells.select(*keys, "pid", "row", "col"), s, ("row", "col"), ("srow", "scol"), radius, keys)
-    pairs = near.select("pid", (C("srow") - C("row")).alias("x"), (C("scol") - C("col")).alias("y"), "dr", "dc", F.exp(-C("d2") / (2.0 * radius * radius / 4)).alias("w"))
-    r, c = fit.quadratic_surface(pairs, ["pid"], "x", "y", "dr", "w", "sr"), fit.quadratic_surface(pairs, ["pid"], "x", "y", "dc", "w", "sc")
-    p = predict_points(cells, affines, keys).join(r, "pid", "left").join(c.drop("n"), "pid", "left")
+    s = s.withColumn("sid", F.lit(0))  # seeds are no cells, so none is left out
+    sums = neighbours.radius_surface_sums(cells, s, ("row", "col"), ("srow", "scol"), radius, ("pid", "sid"), ["dr", "dc"], neighbours.gaussian(radius * radius / 2), keys)
+    p = predict_points(cells, affines, keys).join(fit.surfaces_of(sums, ["pid"], ["sr", "sc"]), "pid", "left")
     mode = F.when(C("n") >= 6, "surface").when(C("n") >= 4, "mean").otherwise("affine")
     use = C("n") >= 4
     return p.withColumn("mode", mode).withColumn("pr", F.when(use, C("row") + C("sr")).otherwise(C("pr"))).withColumn("pc", F.when(use, C("col") + C("sc")).otherwise(C("pc"))).drop("n", "sr", "sc")
@@ -259,13 +258,10 @@ def local_disparity(points: DataFrame, controls: DataFrame, radius: float, least
     """Mean and deviation of the disparities of the controls (row, col, mrow, mcol) near each point: those within the radius,
     at least the ``least`` nearest, ``most`` at most, weighted by a Gaussian of half the radius. Returns pid, n, dr, dc, sr, sc of points
     with three or more; deviations count as ``floor`` at least. Without any control no point has them."""
-    s = controls.select(F.monotonically_increasing_id().alias("sid"), C("row").alias("srow"), C("col").alias("scol"), (C("mrow") - C("row")).alias("vr"), (C("mcol") - C("col")).alias("vc"))
-    p = points.select("pid", "row", "col")
-    order = ["d2", "vr", "vc", "sid"]
-    nearest = joins.knn_join(p, s, ("row", "col"), ("srow", "scol"), least, ["pid"], order).drop("rk")
-    inside = joins.radius_join(p, s, ("row", "col"), ("srow", "scol"), radius, closed=True)
-    both = nearest.unionByName(inside).dropDuplicates(["pid", "sid"])
-    near = joins.adaptive_neighbours(both, ["pid"], radius, least, most, order).withColumn("w", F.greatest(F.exp(-C("d2") / (radius * radius / 2)), F.lit(1e-6)))
+    s = controls.select(C("row").alias("srow"), C("col").alias("scol"), (C("mrow") - C("row")).alias("vr"), (C("mcol") - C("col")).alias("vc"))
+    order = ["d2", "vr", "vc"]  # controls that are equal in all of these are equal in all that counts
+    nearest = joins.knn_join(points.select("pid", "row", "col"), s, ("row", "col"), ("srow", "scol"), most, ["pid"], order).drop("rk")
+    near = joins.adaptive_neighbours(nearest, ["pid"], radius, least, most, order).withColumn("w", F.greatest(F.exp(-C("d2") / (radius * radius / 2)), F.lit(1e-6)))
     mean = near.groupBy("pid").agg(F.count(F.lit(1)).alias("n"), robust.weighted_mean(C("vr"), C("w")).alias("dr"), robust.weighted_mean(C("vc"), C("w")).alias("dc"), F.sum("w").alias("_w")).filter("n >= 3")
     spread = lambda v, m, out: F.greatest(F.sqrt(F.greatest(F.sum(C("w") * (C(v) - C(m)) * (C(v) - C(m))) / F.max("_w"), F.lit(1.0))), F.lit(floor)).alias(out)
     d = near.join(mean, "pid")
@@ -338,8 +334,8 @@ def refine_iteratively(matches: DataFrame, keys: list[str], rounds: int, snapsho
         vx, vy = robust.affine_residual(C("row"), C("col"), C("mrow"), C("mcol"), [C(x) for x in fit.AFFINE])
         d = d.filter(robust.affine_gate(vx, vy, 500.0, 150.0, 250.0)).drop(*fit.AFFINE).withColumns({"_dr": C("mrow") - C("row"), "_dc": C("mcol") - C("col")})
         s = d.select(*keys, C("pid").alias("sid"), C("row").alias("srow"), C("col").alias("scol"), C("_dr").alias("ndr"), C("_dc").alias("ndc"))
-        pairs = joins.radius_join(d.select(*keys, "pid", "row", "col"), s, ("row", "col"), ("srow", "scol"), radius, keys).filter("pid <> sid")
-        now = snapshot(robust.neighbour_filter(d, pairs, "pid", [("_dr", "ndr"), ("_dc", "ndc")], k, isolated=False).drop("_dr", "_dc"), f"refine{i}")
+        n = neighbours.radius_moments(d, s, ("row", "col"), ("srow", "scol"), radius, ("pid", "sid"), ["ndr", "ndc"], keys)
+        now = snapshot(robust.moments_filter(d, n, "pid", [("_dr", "ndr"), ("_dc", "ndc")], k, isolated=False).drop("_dr", "_dc"), f"refine{i}")
     return now
 
 
@@ -369,9 +365,8 @@ def rematch_features(points: DataFrame, seeds: DataFrame, right: DataFrame, affi
     """Unmatched features again: three seeds or more around predict by their weighted mean and a narrow band,
     fewer leave the affine and a wide one. Hits are upserted by score."""
     s = seeds.select(*keys, C("row").alias("srow"), C("col").alias("scol"), (C("mrow") - C("row")).alias("dr"), (C("mcol") - C("col")).alias("dc"))
-    around = joins.radius_join(points.select(*keys, "pid", "row", "col"), s, ("row", "col"), ("srow", "scol"), radius, keys)
-    w = 1.0 / (C("d2") + 1.0)
-    g = around.groupBy("pid").agg(F.count(F.lit(1)).alias("_n"), robust.weighted_mean(C("dr"), w).alias("_dr"), robust.weighted_mean(C("dc"), w).alias("_dc"))
+    g = neighbours.radius_weighted(points, s.withColumn("sid", F.lit(0)), ("row", "col"), ("srow", "scol"), radius, ("pid", "sid"), ["dr", "dc"], neighbours.inverse_square, keys, apart=False)
+    g = g.select("pid", C("n").alias("_n"), C("w_dr").alias("_dr"), C("w_dc").alias("_dc"))
     p = predict_points(points, affines, keys).join(g, "pid", "left")
     local = F.coalesce(C("_n") >= seed_min, F.lit(False))
     close = p.filter(local).withColumn("pr", C("row") + C("_dr")).withColumn("pc", C("col") + C("_dc"))

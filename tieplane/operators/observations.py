@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions import geometry as geo
+from ..sources.shared import held as kept
 from .joins import ranked_by_ranges
+from .scans import scan_by_ranges
 
 C = F.col
 
@@ -55,11 +57,10 @@ def ray_dem(rays: DataFrame, keys: list[str], dem: DataFrame, rows: int, cols: i
 
     Each round meets the sphere through the height found last and looks the height there up, by a join, so the
     raster may have any size. It ends when heights change by less than ``tol``. Returns keys, x, y, z, h, settled;
-    rays that miss have nulls and are settled. Every few rounds the table is a checkpoint, which cuts its plan.
+    rays that miss have nulls and are settled. Every few rounds the table is written to the shared folder, which cuts its plan.
     """
     from .grid import dem_nearest
 
-    spark = rays.sparkSession
     now = rays.select(*keys, *(f"d{i}" for i in range(3)), *(f"o{i}" for i in range(3)), F.lit(0.0).alias("_h"), F.lit(False).alias("_done"), *(F.lit(None).cast("double").alias(c) for c in ("_x", "_y", "_z")))
     places = dem.select("r", "c", C("h").alias("_n"))
     for k in range(rounds):
@@ -72,7 +73,7 @@ def ray_dem(rays: DataFrame, keys: list[str], dem: DataFrame, rows: int, cols: i
         held = lambda was, now_: F.when(C("_done"), C(was)).otherwise(C(now_)).alias(was)
         now = d.select(*keys, *(f"d{i}" for i in range(3)), *(f"o{i}" for i in range(3)), F.when(C("_done"), C("_h")).otherwise(new).alias("_h"), (C("_done") | (F.abs(new - C("_h")) < tol) | C("_gx").isNull()).alias("_done"), held("_x", "_gx"), held("_y", "_gy"), held("_z", "_gz"))
         if k % every == every - 1:
-            now = now.checkpoint() if spark.sparkContext.getCheckpointDir() else now
+            now = kept(now)
             if now.filter("NOT _done").isEmpty():
                 break
     return now.select(*keys, C("_x").alias("x"), C("_y").alias("y"), C("_z").alias("z"), F.when(C("_x").isNotNull(), C("_h")).alias("h"), C("_done").alias("settled"))
@@ -126,17 +127,20 @@ def ground_to_image(points: DataFrame, begin: float, line_rate: float, params: l
     return points.withColumn("_p", locate("X", "Y", "Z")).select("*", F.nanvl("_p.img_row", F.lit(None)).alias("img_row"), F.nanvl("_p.img_col", F.lit(None)).alias("img_col")).drop("_p")
 
 
-def trajectory_series(samples: DataFrame, keys: list[str], epoch: str = "2000-01-01 12:00:00") -> DataFrame:
+def trajectory_series(samples: DataFrame, keys: list[str], epoch: str = "2000-01-01 12:00:00", tie: list[str] = ()) -> DataFrame:
     """Poses (et, Xs, Ys, Zs, phi, omega, kappa) as a time series: utc (seconds after ``epoch`` as a timestamp's text), place, velocity to
-    the next sample, quaternion and matrix. The last sample of a group has no velocity."""
-    w = W.partitionBy(*keys).orderBy("et")
+    the next sample, quaternion and matrix. The last sample of a group has no velocity, nor has one whose next
+    is at the same time; ``tie`` (numbers) orders these."""
+    back = {f"_o{i}": -C(c) for i, c in enumerate(["et", *tie])}  # in falling order the next sample is the row before
+    moved = {c: f"_n{c}" for c in ("et", "Xs", "Ys", "Zs")}
+    samples = scan_by_ranges(samples.withColumns(back), keys, list(back), before=moved)
     d = settled(samples, {f"r{i}": x for i, x in enumerate(geo.rotation(C("phi"), C("omega"), C("kappa")))})
-    dt = F.nullif(F.lead("et").over(w) - C("et"), F.lit(0.0))
-    velocity = [((F.lead(c).over(w) - C(c)) / dt).alias(f"V{c[0]}") for c in ("Xs", "Ys", "Zs")]
+    dt = F.nullif(C("_net") - C("et"), F.lit(0.0))
+    velocity = [((C(f"_n{c}") - C(c)) / dt).alias(f"V{c[0]}") for c in ("Xs", "Ys", "Zs")]
     q = [x.alias(f"q{n}") for n, x in zip("wxyz", geo.quaternion([C(f"r{i}") for i in range(9)]), strict=True)]
     seconds = F.unix_timestamp(F.lit(epoch).cast("timestamp")) + F.floor("et").cast("long")
     utc = F.date_format(F.timestamp_seconds(seconds), "yyyy-MM-dd'T'HH:mm:ss")
-    return d.select(*keys, utc.alias("utc"), "et", "Xs", "Ys", "Zs", *velocity, *q, *(C(f"r{i}") for i in range(9)))
+    return d.select(*keys, *tie, utc.alias("utc"), "et", "Xs", "Ys", "Zs", *velocity, *q, *(C(f"r{i}") for i in range(9)))
 
 
 def ground_match(rays: DataFrame, keys: list[str], dem: DataFrame, dem_rows: int, dem_cols: int, begin: float, line_rate: float, params: list[list[float]], io: list[float], lines: int) -> DataFrame:

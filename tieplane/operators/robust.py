@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from .scans import scan_by_ranges
+
 SCALE = 1.4826
 
 
-#: Values of a group that one task may hold; larger groups' ranks are found by histograms. A group counts as large
-#: only from 1/LARGEST of all rows, so there are fewer than LARGEST of them.
-HELD, LARGEST, BINS = 1_000_000, 1000, 1024
+#: Values of a group that one task sorts; where a group has more, ranks are found by a scan over ranges.
+HELD = 1_000_000
 
 
 def small_groups(df: DataFrame, keys: list[str]) -> bool:
@@ -22,67 +25,30 @@ def small_groups(df: DataFrame, keys: list[str]) -> bool:
 def exact_quantiles(df: DataFrame, keys: list[str], value: str, shares: list[float], out: str, small: bool = False) -> DataFrame:
     """Per group the interpolated quantiles of a value, as an array; exact whatever the group's size.
 
-    A group that fits into a task is sorted there. In a large one the interval that holds the wanted ranks is
-    narrowed by counting values in BINS bins, a pass over the data each time, until what is left in it fits.
-    Nulls don't count. Without keys the result is one row. ``small`` says that no group needs that, so sizes aren't counted.
+    Where each group fits into a task it is sorted there. Else the different values of all groups are counted and
+    sorted in ranges, and running counts tell which values have the wanted ranks; so no task holds a group.
+    Nulls don't count. Without keys the result is one row. ``small`` says that each group fits, so sizes aren't counted.
     """
-    spark, v = df.sparkSession, F.col(value).cast("double")
     named = [f"_k{i}" for i in range(len(keys))]
-    d = df.select(*(F.col(k).alias(n) for k, n in zip(keys, named, strict=True)), v.alias("_v")).filter("_v IS NOT NULL")
+    d = df.select(*(F.col(k).alias(n) for k, n in zip(keys, named, strict=True)), F.col(value).cast("double").alias("_v")).filter("_v IS NOT NULL")
     back = [F.col(n).alias(k) for k, n in zip(keys, named, strict=True)]
-    wanted = F.array(*(F.lit(float(s)) for s in shares))
-    if small:
-        return d.groupBy(*named).agg(F.percentile("_v", wanted).alias(out)).select(*back, out)
-    sizes = d.groupBy(*named).agg(F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
-    total, most = sizes.agg(F.sum("_n"), F.max("_n")).first()
-    held = max(HELD, (total or 0) // LARGEST)
-    large = sizes.filter(F.col("_n") > held).collect() if (most or 0) > held else []  # fewer than LARGEST rows
-    if not large:
-        return d.groupBy(*named).agg(F.percentile("_v", wanted).alias(out)).select(*back, out)
-    kinds = ", ".join([f"{n} {d.schema[n].dataType.simpleString()}" for n in named])
-    keyed = (kinds + ", ") * bool(named)
-    groups = [tuple(r[n] for n in named) for r in large]
-    mark = spark.createDataFrame([(*g, True) for g in groups], f"{keyed}_big boolean")
-    on = lambda left, right: left.join(F.broadcast(right), F.lit(True) if not named else [F.col(f"l.{n}").eqNullSafe(F.col(f"r.{n}")) for n in named])
-    big = on(d.alias("l"), mark.alias("r")).select(*(F.col(f"l.{n}") for n in named), "_v")
-    # target: group, share, the two ranks, the interval, how many values lie below it, how many in it
-    left = {(g, i): [int(s * (r._n - 1)), min(r._n - 1, int(s * (r._n - 1)) + 1), r._lo, r._hi, 0, r._n] for g, r in zip(groups, large, strict=True) for i, s in enumerate(shares)}
-    while todo := {k: t for k, t in left.items() if t[5] > held and t[2] < t[3]}:
-        spec = spark.createDataFrame([(*g, i, t[2], t[3]) for (g, i), t in todo.items()], f"{keyed}_i int, _lo double, _hi double")
-        near = on(big.alias("l"), spec.alias("r")).filter("_v BETWEEN _lo AND _hi")
-        place = F.least(F.lit(BINS - 1), F.floor((F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * BINS)).cast("int")
-        bins = near.select(*(F.col(f"l.{n}").alias(n) for n in named), "_i", place.alias("_b"), "_v").groupBy(*named, "_i", "_b").agg(F.count(F.lit(1)).alias("n"), F.min("_v").alias("a"), F.max("_v").alias("z")).collect()
-        found: dict = {}
-        for r in bins:
-            found.setdefault((tuple(r[n] for n in named), r._i), []).append((r._b, r.n, r.a, r.z))
-        for key, t in todo.items():
-            below, low, inside = t[4], None, 0
-            for _, n, a, z in sorted(found[key]):
-                if low is None and below + n <= t[0]:
-                    below += n
-                    continue
-                low = a if low is None else low
-                inside += n
-                if below + inside > t[1]:
-                    break
-            left[key][2:] = [low, z, below, inside]
-    spec = spark.createDataFrame([(*g, i, *t[:5]) for (g, i), t in left.items()], f"{keyed}_i int, _r0 long, _r1 long, _lo double, _hi double, _below long")
-    rest = on(big.alias("l"), spec.alias("r")).filter("_v BETWEEN _lo AND _hi AND _lo < _hi").select(*(F.col(f"l.{n}").alias(n) for n in named), "_i", "_r0", "_r1", "_below", "_v")
-    at = rest.groupBy(*named, "_i", "_r0", "_r1", "_below").agg(F.sort_array(F.collect_list("_v")).alias("s"))
-    pairs = {(tuple(r[n] for n in named), r._i): (r.a, r.z) for r in at.select(*named, "_i", F.get("s", (F.col("_r0") - F.col("_below")).cast("int")).alias("a"), F.get("s", (F.col("_r1") - F.col("_below")).cast("int")).alias("z")).collect()}
-    rows = []
-    for g, r in zip(groups, large, strict=True):
-        q = []
-        for i, s in enumerate(shares):
-            a, z = pairs.get((g, i), (left[g, i][2], left[g, i][3]))
-            pos = s * (r._n - 1)
-            q.append(a + (z - a) * (pos - int(pos)))
-        rows.append((*g, q))
-    done = spark.createDataFrame(rows, f"{keyed}{out} array<double>")
-    if not named:
-        return done
-    small = d.alias("l").join(F.broadcast(mark).alias("r"), [F.col(f"l.{n}").eqNullSafe(F.col(f"r.{n}")) for n in named], "left_anti")
-    return small.groupBy(*named).agg(F.percentile("_v", wanted).alias(out)).unionByName(done).select(*back, out)
+    if small or small_groups(d, named):
+        return d.groupBy(*named).agg(F.percentile("_v", F.array(*(F.lit(float(s)) for s in shares))).alias(out)).select(*back, out)
+    counted = d.groupBy(*named, "_v").agg(F.count(F.lit(1)).alias("_c"))
+    run = scan_by_ranges(counted, named, ["_v"], {"_c": "_end"}, {"_c": "_n"})
+    has = lambda rank: (F.col("_end") - F.col("_c") <= rank) & (rank < F.col("_end"))
+    low = [F.floor(F.lit(float(s)) * (F.col("_n") - 1)) for s in shares]
+    high = [F.least(x + 1, F.col("_n") - 1) for x in low]
+    ends = run.groupBy(*named).agg(F.max("_n").alias("_n"), *(F.max(F.when(has(x), F.col("_v"))).alias(f"_{side}{i}") for side, ranks in (("a", low), ("z", high)) for i, x in enumerate(ranks)))
+    part = lambda i: F.lit(float(shares[i])) * (F.col("_n") - 1) - low[i]
+    return ends.select(*back, F.array(*(F.col(f"_a{i}") + (F.col(f"_z{i}") - F.col(f"_a{i}")) * part(i) for i in range(len(shares)))).alias(out))
+
+
+def quantile_row(df: DataFrame, wanted: dict[str, tuple[str, float]]) -> DataFrame:
+    """One row of quantiles over all rows: new name to (column, share)."""
+    small = small_groups(df, [])
+    rows = [exact_quantiles(df, [], c, [s], "_q", small).select(F.get("_q", F.lit(0)).alias(out)) for out, (c, s) in wanted.items()]
+    return reduce(lambda a, b: a.crossJoin(F.broadcast(b)), rows)  # of one row each
 
 
 def with_median(df: DataFrame, keys: list[str], value: str, out: str, small: bool = False) -> DataFrame:
@@ -121,10 +87,8 @@ def robust_z_filter(df: DataFrame, keys: list[str], values: list[str], k: float,
 def weighted_median(df: DataFrame, keys: list[str], value: str, weight: str, tie: list[str], out: str = "wmedian") -> DataFrame:
     """Lower weighted median: the first value at which the weights' running sum reaches half of their total.
     Negative weights count as zero; without any weight it is the middle value (of even counts the upper)."""
-    w = F.greatest(F.col(weight), F.lit(0.0))
-    run = W.partitionBy(*keys).orderBy(value, *tie)
-    d = df.withColumn("_w", w).withColumn("_acc", F.sum("_w").over(run.rowsBetween(W.unboundedPreceding, 0))).withColumn("_tot", F.sum("_w").over(W.partitionBy(*keys)))
-    d = d.withColumn("_i", F.row_number().over(run)).withColumn("_n", F.count(F.lit(1)).over(W.partitionBy(*keys)))
+    d = df.withColumns({"_w": F.greatest(F.col(weight), F.lit(0.0)), "_one": F.lit(1)})
+    d = scan_by_ranges(d, keys, [value, *tie], {"_w": "_acc", "_one": "_i"}, {"_w": "_tot", "_one": "_n"})
     middle = F.min(F.when(F.col("_i") == F.floor(F.col("_n") / 2) + 1, F.col(value)))
     reached = F.min(F.when((F.col("_tot") > 0) & (F.col("_acc") >= 0.5 * F.col("_tot")), F.col(value)))
     return d.groupBy(*keys).agg(F.coalesce(reached, middle).alias(out))
@@ -184,6 +148,15 @@ def neighbour_filter(points: DataFrame, pairs: DataFrame, key: str, values: list
     return joined.filter(F.when(F.col("_n").isNull(), F.lit(isolated)).otherwise(fine)).select(*points.columns)
 
 
+def moments_filter(points: DataFrame, sums: DataFrame, key: str, values: list[tuple[str, str]], k: float, isolated: bool, weighted: bool = False) -> DataFrame:
+    """``neighbour_filter`` from the moments that ``neighbours.radius_moments`` or, if ``weighted``, ``radius_weighted`` gives."""
+    joined, fine = points.join(sums, key, "left"), F.lit(True)
+    for own, v in values:
+        mean, flat = F.col(f"w_{v}" if weighted else f"m_{v}"), F.col(f"m_{v}")
+        fine = fine & (F.abs(F.col(own) - mean) < k * F.sqrt(F.col(f"v_{v}") + (flat - mean) * (flat - mean)))
+    return joined.filter(F.when(F.col("n").isNull(), F.lit(isolated)).otherwise(fine)).select(*points.columns)
+
+
 def failure_reason(in_image: Column, has_window: Column, seeds: Column, least: int, score: Column, least_score: float, residual: Column, limit: float) -> Column:
     """Why a grid point has no match, the first that holds; null for a match."""
     return (

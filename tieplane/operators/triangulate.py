@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import held
+
 #: Side of a detector pixel in the units of the focal length.
 PIXEL = 0.012
 
@@ -112,11 +114,11 @@ def block_adjustment(rays: DataFrame, poses: dict, f: float = 11995.48, degree:
     cols = ["xp", "yp", "et", "Xs", "Ys", "Zs", "phi", "omega", "kappa", "X", "Y", "Z"]
     number = F.create_map(*(x for i, im in enumerate(images) for x in (F.lit(im), F.lit(float(i)))))
     packed = rays.groupBy("point_id").agg(F.flatten(F.sort_array(F.collect_list(F.array(number[F.col("image")], *(F.col(c).cast("double") for c in cols))))).alias("v")).select("v")
-    packed = packed.checkpoint() if spark.sparkContext.getCheckpointDir() else packed.cache()
+    packed = held(packed)
     prior = np.tile(np.r_[np.full(3 * k, weights[0] ** -2), np.full(3 * k, weights[1] ** -2)], len(images))
-    held = np.repeat([im in fixed for im in images], 6 * k)
+    fixed_ = np.repeat([im in fixed for im in images], 6 * k)
     if interior is not None:
-        prior, held = np.r_[prior, np.full(5, interior**-2)], np.r_[held, np.zeros(5, bool)]
+        prior, fixed_ = np.r_[prior, np.full(5, interior**-2)], np.r_[fixed_, np.zeros(5, bool)]
     theta, costs = np.zeros(size), []
     span = np.array([poses[im] for im in images], float)
 
@@ -184,14 +186,13 @@ def block_adjustment(rays: DataFrame, poses: dict, f: float = 11995.48, degree:
         costs.append(float(sums[-1]))
         a = h + np.diag(prior)
         g = g - prior * theta
-        a[held], a[:, held], g[held] = 0.0, 0.0, 0.0
-        a[held, held] = 1.0
+        a[fixed_], a[:, fixed_], g[fixed_] = 0.0, 0.0, 0.0
+        a[fixed_, fixed_] = 1.0
         scale = np.sqrt(np.diag(a))
         step = np.linalg.solve(a / scale[:, None] / scale, g / scale) / scale
         theta = theta + step
         if np.abs(step * scale).max() < 1e-6:
             break
-    packed.unpersist()
     found = {im: theta[:outer].reshape(len(images), 6, k)[i] for i, im in enumerate(images)}
     return found | ({"interior": theta[outer:]} if interior is not None else {}), costs
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import fits, patches, points, raster, search, spatial, texts  # noqa: F401  they register what they hold
+from . import fits, images, patches, planes, points, raster, search, spatial, texts  # noqa: F401  they register what they hold
 from .registry import ORACLES, QUERIES
 
 

@@ -10,6 +10,7 @@ from ..functions import clock
 from ..functions import geometry as geo
 from ..operators import robust
 from ..operators.joins import ranked_by_ranges, tile_lookup
+from ..operators.scans import scan_by_ranges
 from ..operators.observations import every_nth
 from . import proxies as P
 from .proxies import r6
@@ -57,9 +58,9 @@ def pr4(spark, sf_dir):
 
 
 @query("pr5_affine_frame_shift", """SELECT l.ccd AS left_ccd, r.ccd AS right_ccd, 1.0::DOUBLE AS f0, 0.001::DOUBLE AS f1, 0.0005::DOUBLE AS f3, 0.99::DOUBLE AS f4, round(-2.0::DOUBLE + 1.0 * l.r0 + 0.001 * l.c0 - r.r0, 6) + 0.0 AS f2, round(3.0::DOUBLE + 0.0005 * l.r0 + 0.99 * l.c0 - r.c0, 6) + 0.0 AS f5
-FROM mosaic l, mosaic r""")
+FROM tiles l, tiles r""")
 def pr5(spark, sf_dir):
-    m = P.mosaic(spark)
+    m = P.tiles(spark, sf_dir)
     pairs = m.select(C("ccd").alias("left_ccd"), C("r0").alias("a"), C("c0").alias("b")).crossJoin(m.select(C("ccd").alias("right_ccd"), C("r0").alias("c"), C("c0").alias("d")))
     f = geo.affine_shift(AFFINE, C("a"), C("b"), C("c"), C("d"))
     return pairs.select("left_ccd", "right_ccd", *(r6(x).alias(f"f{i}") for i, x in enumerate(f)))
@@ -68,15 +69,15 @@ def pr5(spark, sf_dir):
 _DET = "(1.0 + 0.001 * ccd) * 0.99 - 0.001 * 0.0005"
 
 
-@query("pr6_affine_inverse", f"SELECT ccd, round(0.99 / ({_DET}), 6) + 0.0 AS f0, round(-0.001 / ({_DET}), 6) + 0.0 AS f1, round((0.001 * 3.0 - 0.99 * -2.0) / ({_DET}), 6) + 0.0 AS f2, round(-0.0005 / ({_DET}), 6) + 0.0 AS f3, round((1.0 + 0.001 * ccd) / ({_DET}), 6) + 0.0 AS f4, round((0.0005 * -2.0 - (1.0 + 0.001 * ccd) * 3.0) / ({_DET}), 6) + 0.0 AS f5 FROM mosaic")
+@query("pr6_affine_inverse", f"SELECT ccd, round(0.99 / ({_DET}), 6) + 0.0 AS f0, round(-0.001 / ({_DET}), 6) + 0.0 AS f1, round((0.001 * 3.0 - 0.99 * -2.0) / ({_DET}), 6) + 0.0 AS f2, round(-0.0005 / ({_DET}), 6) + 0.0 AS f3, round((1.0 + 0.001 * ccd) / ({_DET}), 6) + 0.0 AS f4, round((0.0005 * -2.0 - (1.0 + 0.001 * ccd) * 3.0) / ({_DET}), 6) + 0.0 AS f5 FROM tiles")
 def pr6(spark, sf_dir):
     f = geo.affine_inverse([1.0 + 0.001 * C("ccd"), *map(F.lit, AFFINE[1:])])
-    return P.mosaic(spark).select("ccd", *(r6(x).alias(f"f{i}") for i, x in enumerate(f)))
+    return P.tiles(spark, sf_dir).select("ccd", *(r6(x).alias(f"f{i}") for i, x in enumerate(f)))
 
 
-@query("pr7_affine_upsample", "SELECT ccd, 1.0::DOUBLE AS f0, 0.001::DOUBLE AS f1, -4.0 * (1 << ccd) + 0.0::DOUBLE AS f2, 0.0005::DOUBLE AS f3, 0.99::DOUBLE AS f4, 6.0 * (1 << ccd) + 0.0::DOUBLE AS f5 FROM mosaic")
+@query("pr7_affine_upsample", "SELECT ccd, 1.0::DOUBLE AS f0, 0.001::DOUBLE AS f1, -4.0 * (1 << ccd) + 0.0::DOUBLE AS f2, 0.0005::DOUBLE AS f3, 0.99::DOUBLE AS f4, 6.0 * (1 << ccd) + 0.0::DOUBLE AS f5 FROM tiles")
 def pr7(spark, sf_dir):
-    m = P.mosaic(spark).withColumn("s", F.expr("cast(shiftleft(1, ccd) AS double)"))
+    m = P.tiles(spark, sf_dir).withColumn("s", F.expr("cast(shiftleft(1, ccd) AS double)"))
     f = geo.affine_upsample([1.0, 0.001, C("s") * -2.0, 0.0005, 0.99, C("s") * 3.0], 2.0)
     return m.select("ccd", *(x.cast("double").alias(f"f{i}") for i, x in enumerate(f)))
 
@@ -254,10 +255,10 @@ def f3(spark, sf_dir):
     return _residual(spark, sf_dir).select("pid", (F.sqrt(C("vx") * C("vx") + C("vy") * C("vy")) <= 20).alias("inlier"))
 
 
-@query("f5_tile_pair_overlap", """SELECT l.ccd AS left_ccd, r.ccd AS right_ccd FROM mosaic l, mosaic r
+@query("f5_tile_pair_overlap", """SELECT l.ccd AS left_ccd, r.ccd AS right_ccd FROM tiles l, tiles r
 WHERE l.c0 * 0.99 + 3.0 + l.r0 * 0.0005 < r.c1 AND l.c1 * 0.99 + 3.0 + l.r1 * 0.0005 > r.c0 AND l.c1 > l.c0 AND r.c1 > r.c0""")
 def f5(spark, sf_dir):
-    m = P.mosaic(spark).filter("c1 > c0")
+    m = P.tiles(spark, sf_dir).filter("c1 > c0")
     pairs = m.select(C("ccd").alias("left_ccd"), "r0", "r1", "c0", "c1").crossJoin(m.select(C("ccd").alias("right_ccd"), C("c0").alias("d0"), C("c1").alias("d1")))
     low, high = geo.affine(AFFINE, C("r0"), C("c0"))[1], geo.affine(AFFINE, C("r1"), C("c1"))[1]
     return pairs.filter((low < C("d1")) & (high > C("d0"))).select("left_ccd", "right_ccd")
@@ -325,8 +326,10 @@ def ag5(spark, sf_dir):
     d = on_mosaic(spark, sf_dir).select((C("C2") - C("C1")).alias("dx"), (C("R2") - C("R1")).alias("dy"))
     small = robust.small_groups(d, [])
     m = robust.with_median(robust.with_median(d, [], "dx", "mx", small), [], "dy", "my", small)
-    med = lambda e: r6(F.median(e))
-    return m.agg(F.count(F.lit(1)).alias("n"), med(C("dx")).alias("dx_median"), med(F.abs(C("dx") - C("mx"))).alias("dx_mad"), med(C("dy")).alias("dy_median"), med(F.abs(C("dy") - C("my"))).alias("dy_mad"), r6(F.percentile(F.abs("dy"), F.lit(0.95))).alias("dy_p95_abs"))
+    m = m.withColumns({"ax": F.abs(C("dx") - C("mx")), "ay": F.abs(C("dy") - C("my")), "ady": F.abs("dy")})
+    wanted = {"dx_median": ("dx", 0.5), "dx_mad": ("ax", 0.5), "dy_median": ("dy", 0.5), "dy_mad": ("ay", 0.5), "dy_p95_abs": ("ady", 0.95)}
+    q = robust.quantile_row(m, wanted).select(*(r6(C(c)).alias(c) for c in wanted))
+    return m.agg(F.count(F.lit(1)).alias("n")).crossJoin(F.broadcast(q))
 
 
 @query("ag6_weighted_mean", "SELECT ccd, img_id, round(sum(1.0 / (k * k + 1.0) * (mrow - row)) / nullif(sum(1.0 / (k * k + 1.0)), 0), 6) + 0.0 AS mean FROM matched GROUP BY ccd, img_id")
@@ -358,9 +361,9 @@ def ag17(spark, sf_dir):
     return grid_step(P.pt(spark, sf_dir), "row", ["ccd"])
 
 
-@query("ag18_mosaic_size", "SELECT max(r1) AS height, max(c1) AS width FROM mosaic")
+@query("ag18_mosaic_size", "SELECT max(r1) AS height, max(c1) AS width FROM tiles")
 def ag18(spark, sf_dir):
-    return P.mosaic(spark).agg(F.max("r1").alias("height"), F.max("c1").alias("width"))
+    return P.tiles(spark, sf_dir).agg(F.max("r1").alias("height"), F.max("c1").alias("width"))
 
 
 @query("ag19_bounding_box", "SELECT strip, round((min(x) + max(x)) / 2 - (max(x) - min(x)) * 0.6, 6) + 0.0 AS x0, round((min(x) + max(x)) / 2 + (max(x) - min(x)) * 0.6, 6) + 0.0 AS x1, round(greatest(0.0, (min(y) + max(y)) / 2 - (max(y) - min(y)) * 0.6), 6) + 0.0 AS y0 FROM cloud GROUP BY strip")
@@ -384,19 +387,19 @@ def ag22(spark, sf_dir):
     return P.matched(spark, sf_dir).groupBy(F.floor((C("mrow") - C("row") + 50) / 5).alias("bi"), F.floor((C("mcol") - C("col")) / 2).alias("bj")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("w1_tile_placement", """WITH s AS (SELECT ccd, sum(CASE WHEN ccd = 0 THEN 0 ELSE (ccd * 7) % 5 - 2 END) OVER (ORDER BY ccd) AS r, sum(CASE WHEN ccd = 0 THEN 0 ELSE 2048 - 48 + ccd % 3 END) OVER (ORDER BY ccd) AS c FROM mosaic)
+@query("w1_tile_placement", """WITH s AS (SELECT ccd, sum(CASE WHEN ccd = 0 THEN 0 ELSE r1 % 5 - 2 END) OVER (ORDER BY ccd) AS r, sum(CASE WHEN ccd = 0 THEN 0 ELSE c1 - c0 - 48 + ccd % 3 END) OVER (ORDER BY ccd) AS c FROM tiles)
 SELECT ccd, (r - min(r) OVER ())::BIGINT AS r0, (c - min(c) OVER ())::BIGINT AS c0 FROM s""")
 def w1(spark, sf_dir):
     w = W.partitionBy(F.lit(0)).orderBy("ccd")  # a sensor's tiles
     shift = lambda e: F.sum(F.when(C("ccd") == 0, 0).otherwise(e)).over(w)
-    s = P.mosaic(spark).select("ccd", shift((C("ccd") * 7) % 5 - 2).alias("r"), shift(2048 - 48 + C("ccd") % 3).alias("c"))
+    s = P.tiles(spark, sf_dir).select("ccd", shift(C("r1") % 5 - 2).alias("r"), shift(C("c1") - C("c0") - 48 + C("ccd") % 3).alias("c"))
     least = W.partitionBy(F.lit(0))
     return s.select("ccd", (C("r") - F.min("r").over(least)).alias("r0"), (C("c") - F.min("c").over(least)).alias("c0"))
 
 
 @query("w2_successive_difference", "SELECT pid, round(row - lag(row) OVER (PARTITION BY ccd ORDER BY row, pid), 6) + 0.0 AS gap FROM pt")
 def w2(spark, sf_dir):
-    return P.pt(spark, sf_dir).select("pid", r6(C("row") - F.lag("row").over(W.partitionBy("ccd").orderBy("row", "pid"))).alias("gap"))
+    return scan_by_ranges(P.pt(spark, sf_dir), ["ccd"], ["row", "pid"], before={"row": "last"}).select("pid", r6(C("row") - C("last")).alias("gap"))
 
 
 @query("w4_systematic_sample", "SELECT pid FROM matched QUALIFY (row_number() OVER (PARTITION BY ccd ORDER BY pid) - 1) % 10 = 0")
@@ -409,9 +412,9 @@ def w4b(spark, sf_dir):
     return every_nth(P.matched(spark, sf_dir), 7, per_tile=False, line="pid").select("pid")
 
 
-@query("f9_valid_tiles", "SELECT ccd FROM (SELECT ccd, r0, CASE WHEN ccd % 3 = 0 THEN r0 ELSE r1 END AS r1, c0, c1 FROM mosaic) WHERE r1 > r0 AND c1 > c0")
+@query("f9_valid_tiles", "SELECT ccd FROM (SELECT ccd, r0, CASE WHEN ccd % 3 = 0 THEN r0 ELSE r1 END AS r1, c0, c1 FROM tiles) WHERE r1 > r0 AND c1 > c0")
 def f9(spark, sf_dir):
-    return robust.valid_tiles(P.mosaic(spark).withColumn("r1", F.when(C("ccd") % 3 == 0, C("r0")).otherwise(C("r1")))).select("ccd")
+    return robust.valid_tiles(P.tiles(spark, sf_dir).withColumn("r1", F.when(C("ccd") % 3 == 0, C("r0")).otherwise(C("r1")))).select("ccd")
 
 
 @query("f11b_reason_sample", f"""WITH v AS (SELECT *, sqrt((mrow - {_AR})*(mrow - {_AR}) + (mcol - {_AC})*(mcol - {_AC})) AS res FROM match),
@@ -424,13 +427,14 @@ def f11b(spark, sf_dir):
     return robust.reason_report(rows, "reason", "ccd", "pid", 50)[1].select("pid", "reason")
 
 
-@query("pr19_geodetic", "SELECT pid, round(row / 499.3 - 44, 7) + 0.0 AS lat, round(col * 2 - 150, 8) + 0.0 AS lon, round(score * 100, 4) + 0.0 AS h FROM pt")
+@query("pr19_geodetic", """WITH g AS (SELECT pid, row / 499.3 - 44 AS lat, col * 2 - 150 AS lon, score * 100 AS h, 1 / 169.8::DOUBLE * (2 - 1 / 169.8::DOUBLE) AS e2 FROM pt), n AS (SELECT *, 3396190.0 / sqrt(1 - e2 * sin(radians(lat)) * sin(radians(lat))) AS n FROM g)
+SELECT pid, round(lat, 7) + 0.0 AS lat, round(lon, 8) + 0.0 AS lon, round(h, 4) + 0.0 AS h, round((n + h) * cos(radians(lat)) * cos(radians(lon)), 3) + 0.0 AS x, round((n + h) * cos(radians(lat)) * sin(radians(lon)), 3) + 0.0 AS y, round((n * (1 - e2) + h) * sin(radians(lat)), 3) + 0.0 AS z FROM n""")
 def pr19(spark, sf_dir):
     """Places told on an ellipsoid, made Cartesian and found again."""
     x, y, z = geo.from_geodetic(C("row") / 499.3 - 44, C("col") * 2 - 150, C("score") * 100, 3396190.0, 1 / 169.8)
     d = P.pt(spark, sf_dir).select("pid", x.alias("x"), y.alias("y"), z.alias("z"))
     lat, lon, h = geo.to_geodetic(C("x"), C("y"), C("z"), 3396190.0, 1 / 169.8)
-    return d.select("pid", r6(lat, 7).alias("lat"), r6(lon, 8).alias("lon"), r6(h, 4).alias("h"))
+    return d.select("pid", r6(lat, 7).alias("lat"), r6(lon, 8).alias("lon"), r6(h, 4).alias("h"), *(r6(C(c), 3).alias(c) for c in "xyz"))
 
 
 @query("pr29_plane_round_trip", _FOCAL + "SELECT pid, round(xp, 5) + 0.0 AS x, round(yp, 5) + 0.0 AS y FROM fp")
@@ -473,9 +477,10 @@ def w7(spark, sf_dir):
 SELECT roi, round(median(R1), 6) + 0.0 AS r, round(median(C1), 6) + 0.0 AS c FROM q JOIN om ON abs(R1 - t) <= 2000 GROUP BY roi""")
 def w9(spark, sf_dir):
     d = on_mosaic(spark, sf_dir).select("R1", "C1")
-    q = d.agg(F.percentile("R1", F.array(F.lit(0.32), F.lit(0.68))).alias("t")).select(F.posexplode("t").alias("roi", "t"))
-    near = d.join(F.broadcast(q), F.abs(C("R1") - C("t")) <= 2000)
-    return near.groupBy((C("roi") + 1).alias("roi")).agg(r6(F.median("R1")).alias("r"), r6(F.median("C1")).alias("c"))
+    q = robust.exact_quantiles(d, [], "R1", [0.32, 0.68], "t").select(F.posexplode("t").alias("roi", "t"))
+    near = d.join(F.broadcast(q), F.abs(C("R1") - C("t")) <= 2000).select((C("roi") + 1).alias("roi"), "R1", "C1")
+    r, c = (robust.exact_quantiles(near, ["roi"], v, [0.5], v).select("roi", r6(F.get(v, F.lit(0))).alias(v[0].lower())) for v in ("R1", "C1"))
+    return r.join(c, "roi")
 
 
 @query("se1_union_tables", "SELECT 'main' AS src, pid, mcol AS c FROM matched UNION ALL SELECT 'link', pid, col FROM pt")

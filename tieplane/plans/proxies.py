@@ -50,6 +50,12 @@ def mosaic(spark: SparkSession) -> DataFrame:
     return spark.range(TILES).select(i.alias("ccd"), (i * ROW_STEP).alias("r0"), (i * ROW_STEP + ROWS).alias("r1"), (i * COL_STEP).alias("c0"), (i * COL_STEP + COLS).alias("c1"))
 
 
+def tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The extent of each tile as its points show it."""
+    whole = lambda c: c.cast("int")
+    return pt(spark, sf_dir).groupBy("ccd").agg(whole(F.floor(F.min("row"))).alias("r0"), whole(F.ceil(F.max("row"))).alias("r1"), whole(F.floor(F.min("col"))).alias("c0"), whole(F.ceil(F.max("col"))).alias("c1"))
+
+
 def cloud(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = table(spark, sf_dir, "lineitem")
     return li.select((F.col("l_quantity") * 10).alias("x"), (F.col("l_discount") * 1000).alias("y"), (F.col("l_extendedprice") / 1000).alias("z"), F.col("l_returnflag").alias("strip"))
@@ -74,6 +80,7 @@ match AS (SELECT event_id AS pid, (user_id % 10)::INT AS ccd, {_ROW} AS row, use
   CASE WHEN {_HIT} THEN user_id::DOUBLE + value / 10 END AS mcol, CASE WHEN {_HIT} THEN value END AS score FROM events),
 matched AS (SELECT * FROM match WHERE img_id IS NOT NULL),
 mosaic AS (SELECT i::INT AS ccd, (i * {ROW_STEP})::INT AS r0, (i * {ROW_STEP} + {ROWS})::INT AS r1, (i * {COL_STEP})::INT AS c0, (i * {COL_STEP} + {COLS})::INT AS c1 FROM range({TILES}) t(i)),
+tiles AS (SELECT ccd, floor(min(row))::INT AS r0, ceil(max(row))::INT AS r1, floor(min(col))::INT AS c0, ceil(max(col))::INT AS c1 FROM pt GROUP BY ccd),
 cloud AS (SELECT l_quantity * 10 AS x, l_discount * 1000 AS y, l_extendedprice / 1000 AS z, l_returnflag AS strip FROM lineitem),
 patches AS (SELECT vec_id AS pid, label AS ccd, embedding AS patch FROM embeddings),
 ephem AS (SELECT o_orderkey AS oid, datediff('day', DATE '1992-01-01', o_orderdate::DATE) * 1.0::DOUBLE AS t, o_totalprice AS y FROM orders)

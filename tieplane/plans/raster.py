@@ -27,11 +27,10 @@ INC = CELLS + f""", sp AS (SELECT ir + a.i AS ir, ic + b.i AS ic, dx, dy FROM cl
 inc AS (SELECT cl.*, n, sqrt((dx - mx)*(dx - mx) + (dy - my)*(dy - my)) AS e FROM cl JOIN nb USING (ir, ic))"""
 
 
-@query("g1_regular_grid", "SELECT ccd, (i * 2100)::INT AS row, (j * 4)::INT AS col, i * 2100 + 1050.0::DOUBLE AS centre_row, j * 4 + 2.0::DOUBLE AS centre_col FROM mosaic, range(44000 // 2100) a(i), range(15 // 4) b(j)")
+@query("g1_regular_grid", "SELECT ccd, (i * 2100)::INT AS row, (j * 2100)::INT AS col, i * 2100 + 1050.0::DOUBLE AS centre_row, j * 2100 + 1050.0::DOUBLE AS centre_col FROM tiles, range(30) a(i), range(3000) b(j) WHERE i < (r1 - r0) // 2100 AND j < (c1 - c0) * 525 // 2100")
 def g1(spark, sf_dir):
-    m = P.mosaic(spark).select("ccd", (C("r1") - C("r0")).alias("h"), (C("c1") - C("c0")).alias("w"))
-    a = grid.regular_grid(m.select("ccd", "h", (C("w") * 525).alias("w")), "h", "w", 2100)
-    return a.select("ccd", "row", (C("col") / 525).cast("int").alias("col"), "centre_row", (C("centre_col") / 525).alias("centre_col"))
+    m = P.tiles(spark, sf_dir).select("ccd", (C("r1") - C("r0")).alias("h"), ((C("c1") - C("c0")) * 525).alias("w"))
+    return grid.regular_grid(m, "h", "w", 2100).select("ccd", "row", "col", "centre_row", "centre_col")
 
 
 @query("g2_rasterise_best_score", CELLS + "SELECT ir, ic, pid, round(dx, 6) + 0.0 AS dx, score FROM cl WHERE ir >= 0 AND ic >= 0")
@@ -118,9 +117,20 @@ def g12(spark, sf_dir):
     return grid.plane_fill(cells, grid.holes_near(cells, 2), "dx", 1.0, 4).select("ir", "ic", r6(C("dx"), 3).alias("dx"))
 
 
-@query("g13_gap_fill")
+def _filled(v: str) -> str:
+    """SQL of the holes filled with the planes of a value, as tables named after it."""
+    return f""", ne_{v} AS (SELECT ir + i AS ir, ic + j AS ic, -i AS r, -j AS c, {v} AS z, exp(-d2 / 2.0::DOUBLE) AS w FROM cl, {_DISK4}), s_{v} AS (SELECT ir, ic, sum(w) AS w, sum(w*r) AS r, sum(w*c) AS c, sum(w*r*r) AS rr, sum(w*r*c) AS rc, sum(w*c*c) AS cc, sum(w*z) AS z, sum(w*r*z) AS rz, sum(w*c*z) AS cz FROM ne_{v} JOIN hs USING (ir, ic) GROUP BY ALL),
+d_{v} AS (SELECT *, w*(rr*cc - rc*rc) + r*(c*rc - r*cc) + c*(r*rc - c*rr) AS det FROM s_{v} WHERE w > 1e-6), p_{v} AS (SELECT *, CASE WHEN abs(det) > 1e-12 * power(abs(w)+abs(rr)+abs(cc)+abs(r)+abs(c)+abs(rc)+1e-30, 3) THEN ((rr*cc - rc*rc)*z + (c*rc - r*cc)*rz + (r*rc - c*rr)*cz) / det END AS plane FROM d_{v}),
+f_{v} AS (SELECT ir, ic, CASE WHEN plane IS NOT NULL AND abs(plane - z / w) <= 10 * (abs(z / w) + 1) THEN plane ELSE z / w END AS {v} FROM p_{v})"""
+
+
+@query("g13_gap_fill", "RECURSIVE" + CELLS + f""", bx AS (SELECT min(ir) AS r0, max(ir) AS r1, min(ic) AS c0, max(ic) AS c1 FROM cl), ho AS (SELECT i AS ir, j AS ic FROM bx, range(-200, 400) a(i), range(-200, 1200) b(j) WHERE i BETWEEN r0 AND r1 AND j BETWEEN c0 AND c1 AND (i, j) NOT IN (SELECT (ir, ic) FROM cl)),
+op AS (SELECT ir, ic FROM ho, bx WHERE ir IN (r0, r1) OR ic IN (c0, c1) UNION SELECT ho.ir, ho.ic FROM op JOIN ho ON (ho.ir = op.ir AND abs(ho.ic - op.ic) = 1) OR (ho.ic = op.ic AND abs(ho.ir - op.ir) = 1)),
+di AS (SELECT DISTINCT ir + i AS ir, ic + j AS ic FROM cl, {_DISK2}), co AS (SELECT ir + i AS ir, ic + j AS ic FROM di, {_DISK2} GROUP BY ALL HAVING count(*) = 13),
+hs AS (SELECT ir, ic FROM (SELECT ir, ic FROM ho WHERE (ir, ic) NOT IN (SELECT (ir, ic) FROM op) UNION SELECT * FROM di UNION SELECT * FROM co) WHERE (ir, ic) NOT IN (SELECT (ir, ic) FROM cl)){_filled("dx")}{_filled("dy")}
+SELECT ir, ic, round(dx, 3) + 0.0 AS dx, round(dy, 3) + 0.0 AS dy, false AS filled FROM cl UNION ALL SELECT ir, ic, round(dx, 3) + 0.0, round(dy, 3) + 0.0, true FROM f_dx JOIN f_dy USING (ir, ic)""")
 def g13(spark, sf_dir):
-    return grid.gap_fill(cells_of(spark, sf_dir), ["dx", "dy"], 1.0, 2, sparse=True)
+    return grid.gap_fill(cells_of(spark, sf_dir), ["dx", "dy"], 1.0, 2, sparse=True).select("ir", "ic", r6(C("dx"), 3).alias("dx"), r6(C("dy"), 3).alias("dy"), "filled")
 
 
 @query("g14_dem_resample", """WITH q AS (SELECT pid, row / 600 AS r, col * 0.5 AS c FROM pt), dem AS (SELECT i AS r, j AS c, (i * 31 + j * 17) % 101 * 1.0::DOUBLE AS h FROM range(73) a(i), range(75) b(j)),
@@ -152,5 +162,6 @@ def ag5b(spark, sf_dir):
     inc = grid.inconsistency(cells_of(spark, sf_dir), "dx", "dy").withColumnRenamed("inconsistency", "e")
     s = robust.mad_stats(inc, [], "e").select("outlier_pct")
     cover = F.count(F.lit(1)) * 100.0 / ((F.max("ir") + 1) * (F.max("ic") + 1))
-    m = inc.agg(F.count(F.lit(1)).alias("n_cells"), r6(cover).alias("coverage"), r6(F.median("e"), 5).alias("inc_median"), r6(F.percentile("e", F.lit(0.95)), 5).alias("inc_p95"))
-    return m.join(F.broadcast(s)).select("n_cells", "coverage", "inc_median", "inc_p95", r6(C("outlier_pct")).alias("inc_outlier_pct"))
+    m = inc.agg(F.count(F.lit(1)).alias("n_cells"), r6(cover).alias("coverage"))
+    q = robust.quantile_row(inc, {"inc_median": ("e", 0.5), "inc_p95": ("e", 0.95)}).select(r6(C("inc_median"), 5).alias("inc_median"), r6(C("inc_p95"), 5).alias("inc_p95"))
+    return m.join(F.broadcast(s)).join(F.broadcast(q)).select("n_cells", "coverage", "inc_median", "inc_p95", r6(C("outlier_pct")).alias("inc_outlier_pct"))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions import geometry as geo
-from ..operators import diff, fit, joins, matching, robust, upsert
+from ..operators import diff, fit, joins, matching, neighbours, robust, upsert
 from . import proxies as P
 from .points import _AC, _AR, AFFINE
 from .proxies import r6
@@ -116,6 +116,12 @@ def j6(spark, sf_dir):
     return near.groupBy("pid").agg(F.count(F.lit(1)).alias("k"), r6(robust.weighted_mean(C("dr"), w)).alias("dr"), r6(robust.weighted_mean(C("dc"), w)).alias("dc"))
 
 
+def _moments(spark, sf_dir, radius, values=("dr", "dc"), weigh=None):
+    """Matched points, and the sums over their neighbours in the tile."""
+    l, seeds, at = P.matched(spark, sf_dir), _seeds(spark, sf_dir), (("row", "col"), ("srow", "scol"), radius, ("pid", "sid"), list(values))
+    return l, neighbours.radius_weighted(l, seeds, *at, weigh, ["ccd"]) if weigh else neighbours.radius_moments(l, seeds, *at, ["ccd"])
+
+
 def _near(spark, sf_dir, radius, closed=False):
     l = P.matched(spark, sf_dir)
     pairs = joins.radius_join(l.select("ccd", "pid", "row", "col"), _seeds(spark, sf_dir), ("row", "col"), ("srow", "scol"), radius, ["ccd"], closed)
@@ -127,7 +133,7 @@ _NEAR = "JOIN matched s ON l.ccd = s.ccd AND l.pid <> s.pid AND " + _D2
 
 @query("j7_radius_neighbours", f"SELECT l.pid, count(*) AS n, round(avg(s.mrow - s.row), 6) + 0.0 AS dr FROM matched l {_NEAR} < 10000 GROUP BY l.pid")
 def j7(spark, sf_dir):
-    return _near(spark, sf_dir, 100.0)[1].groupBy("pid").agg(F.count(F.lit(1)).alias("n"), r6(F.avg("dr")).alias("dr"))
+    return _moments(spark, sf_dir, 100.0, ["dr"])[1].select("pid", "n", r6(C("m_dr")).alias("dr"))
 
 
 @query("j9_adaptive_neighbours", f"""WITH p AS (SELECT l.pid, {_D2} AS d2, s.mrow - s.row AS dr, row_number() OVER (PARTITION BY l.pid ORDER BY {_D2}, s.pid) AS rk FROM matched l JOIN matched s ON l.ccd = s.ccd AND l.pid <> s.pid),
@@ -136,10 +142,8 @@ SELECT pid, any_value(n) AS n, round(any_value(mean), 6) + 0.0 AS mean, round(gr
 def j9(spark, sf_dir):
     seeds = _seeds(spark, sf_dir)
     l = P.matched(spark, sf_dir).select("ccd", "pid", "row", "col")
-    five = joins.knn_join(l, seeds, ("row", "col"), ("srow", "scol"), 6, ["pid"], ["d2", "sid"], ["ccd"])
-    inside = joins.radius_join(l, seeds, ("row", "col"), ("srow", "scol"), 200.0, ["ccd"], closed=True)
-    both = five.drop("rk").unionByName(inside).filter("pid <> sid").dropDuplicates(["pid", "sid"])
-    near = joins.adaptive_neighbours(both, ["pid"], 200.0, 5, 24, ["d2", "sid"]).withColumn("w", F.greatest(F.exp(-C("d2") / 20000.0), F.lit(1e-6)))
+    nearest = joins.knn_join(l, seeds, ("row", "col"), ("srow", "scol"), 25, ["pid"], ["d2", "sid"], ["ccd"]).drop("rk").filter("pid <> sid")  # a point is its own nearest
+    near = joins.adaptive_neighbours(nearest, ["pid"], 200.0, 5, 24, ["d2", "sid"]).withColumn("w", F.greatest(F.exp(-C("d2") / 20000.0), F.lit(1e-6)))
     mean = near.groupBy("pid").agg(F.count(F.lit(1)).alias("n"), robust.weighted_mean(C("dr"), C("w")).alias("mean"), F.sum("w").alias("sw")).filter("n >= 3")
     d = near.join(mean, "pid")
     var = F.sum(C("w") * (C("dr") - C("mean")) * (C("dr") - C("mean"))) / F.max("sw")
@@ -149,8 +153,7 @@ def j9(spark, sf_dir):
 @query("j10_nearest_64_in_radius", f"""WITH p AS (SELECT l.pid, {_D2} AS d2, s.mrow - s.row AS dr, row_number() OVER (PARTITION BY l.pid ORDER BY {_D2}, s.pid) AS rk FROM pt l JOIN matched s ON l.ccd = s.ccd WHERE {_D2} <= 2250000)
 SELECT pid, count(*) AS n, round(sum(exp(-sqrt(d2) / 400.0) * dr) / sum(exp(-sqrt(d2) / 400.0)), 6) + 0.0 AS dr FROM p WHERE rk <= 64 GROUP BY pid HAVING count(*) >= 3""")
 def j10(spark, sf_dir):
-    pairs = joins.radius_join(P.pt(spark, sf_dir), _seeds(spark, sf_dir), ("row", "col"), ("srow", "scol"), 1500.0, ["ccd"], closed=True)
-    near = joins.nearest_k(pairs, ["pid"], 64, ["d2", "sid"])
+    near = joins.knn_join(P.pt(spark, sf_dir), _seeds(spark, sf_dir), ("row", "col"), ("srow", "scol"), 64, ["pid"], ["d2", "sid"], ["ccd"]).filter(C("d2") <= 1500.0 * 1500.0)
     return near.groupBy("pid").agg(F.count(F.lit(1)).alias("n"), r6(robust.weighted_mean(C("dr"), geo.decay(F.sqrt("d2")))).alias("dr")).filter("n >= 3")
 
 
@@ -255,7 +258,8 @@ SELECT ccd, round(median(sqrt(d2)), 6) + 0.0 AS gap FROM p GROUP BY ccd""")
 def j22(spark, sf_dir):
     l = P.matched(spark, sf_dir).select("ccd", "pid", "row", "col")
     near = joins.knn_join(l, _seeds(spark, sf_dir), ("row", "col"), ("srow", "scol"), 2, ["pid"], ["d2", "sid"], ["ccd"])
-    return near.filter("pid <> sid").groupBy("ccd", "pid").agg(F.min("d2").alias("d2")).groupBy("ccd").agg(r6(F.median(F.sqrt("d2"))).alias("gap"))
+    gaps = near.filter("pid <> sid").groupBy("ccd", "pid").agg(F.sqrt(F.min("d2")).alias("d"))
+    return robust.exact_quantiles(gaps, ["ccd"], "d", [0.5], "q").select("ccd", r6(F.get("q", F.lit(0))).alias("gap"))
 
 
 @query("u1_score_upsert", """WITH h AS (SELECT pid, (img_id + 3) % 10 AS img_id, mcol + 1 AS mcol, (value_ + 7) % 60 AS score FROM (SELECT *, round(coalesce(score, 10) + k) AS value_ FROM match) WHERE img_id IS NOT NULL AND k > 30),
@@ -283,19 +287,19 @@ def u4(spark, sf_dir):
 @query("ag8_neighbour_sigma", f"""WITH n AS (SELECT l.pid, avg(s.mrow - s.row) AS mr, stddev_pop(s.mrow - s.row) AS sr, avg(s.mcol - s.col) AS mc, stddev_pop(s.mcol - s.col) AS sc FROM matched l {_NEAR} < 90000 GROUP BY l.pid)
 SELECT pid, round(mr, 6) + 0.0 AS mr, round(sr, 5) + 0.0 AS sr, round(mc, 6) + 0.0 AS mc, round(sc, 5) + 0.0 AS sc FROM n""")
 def ag8(spark, sf_dir):
-    g = _near(spark, sf_dir, 300.0)[1].groupBy("pid")
-    return g.agg(r6(F.avg("dr")).alias("mr"), r6(F.stddev_pop("dr"), 5).alias("sr"), r6(F.avg("dc")).alias("mc"), r6(F.stddev_pop("dc"), 5).alias("sc"))
+    n = _moments(spark, sf_dir, 300.0)[1]
+    return n.select("pid", r6(C("m_dr")).alias("mr"), r6(F.sqrt("v_dr"), 5).alias("sr"), r6(C("m_dc")).alias("mc"), r6(F.sqrt("v_dc"), 5).alias("sc"))
 
 
 _O = f"WITH n AS (SELECT l.pid, count(*) AS n, avg(s.mrow - s.row) AS mr, sqrt(var_pop(s.mrow - s.row)) AS sr, avg(s.mcol - s.col) AS mc, sqrt(var_pop(s.mcol - s.col)) AS sc FROM matched l {_NEAR} < {{d2}} GROUP BY l.pid)"
 _FINE = "abs(mrow - row - mr) < {k} * sr AND abs(mcol - col - mc) < {k} * sc"
 
 
-def _filtered(spark, sf_dir, radius, k, isolated, gate=None, weight=None):
-    l, pairs = _near(spark, sf_dir, radius)
+def _filtered(spark, sf_dir, radius, k, isolated, weigh=None):
+    l, n = _moments(spark, sf_dir, radius, weigh=weigh)
     points = l.withColumns({"own_r": C("mrow") - C("row"), "own_c": C("mcol") - C("col")})
-    out = robust.neighbour_filter(points, pairs.select("pid", "sid", "d2", "dr", "dc"), "pid", [("own_r", "dr"), ("own_c", "dc")], k, isolated, weight)
-    return out.select("pid")
+    return robust.moments_filter(points, n, "pid", [("own_r", "dr"), ("own_c", "dc")], k, isolated, weigh is not None).select("pid")
+
 
 
 @query("o1_neighbour_outliers", _O.format(d2=10000) + "SELECT m.pid FROM matched m JOIN n USING (pid) WHERE " + _FINE.format(k=2.0))
@@ -306,7 +310,7 @@ def o1(spark, sf_dir):
 @query("o2_weighted_outliers", f"""WITH n AS (SELECT l.pid, sum(w * dr) / sum(w) AS mr, avg(dr) AS ar, var_pop(dr) AS vr, sum(w * dc) / sum(w) AS mc, avg(dc) AS ac, var_pop(dc) AS vc FROM (SELECT l.pid, exp(-({_D2}) / 45000.0) AS w, s.mrow - s.row AS dr, s.mcol - s.col AS dc FROM matched l {_NEAR} < 90000) l GROUP BY l.pid)
 SELECT m.pid FROM matched m JOIN n USING (pid) WHERE abs(mrow - row - mr) < 2 * sqrt(vr + (ar - mr) * (ar - mr)) AND abs(mcol - col - mc) < 2 * sqrt(vc + (ac - mc) * (ac - mc))""")
 def o2(spark, sf_dir):
-    return _filtered(spark, sf_dir, 300.0, 2.0, isolated=False, weight=F.exp(-C("d2") / 45000.0))
+    return _filtered(spark, sf_dir, 300.0, 2.0, isolated=False, weigh=neighbours.gaussian(45000.0))
 
 
 @query("o3_keep_isolated", _O.format(d2=10000) + "SELECT m.pid FROM match m LEFT JOIN n USING (pid) WHERE m.img_id IS NULL OR n IS NULL OR (" + _FINE.format(k=2.0) + ")")
@@ -322,9 +326,8 @@ SELECT pid FROM t WHERE CASE WHEN a * b - cov * cov < 1e-6 THEN abs(x) / sqrt(a)
 def o4(spark, sf_dir):
     vx, vy = robust.affine_residual(C("row"), C("col"), C("mrow"), C("mcol"), AFFINE)
     v = P.matched(spark, sf_dir).filter(robust.affine_gate(vx, vy, 45.0, 40.0, 20.0))
-    pairs = joins.radius_join(v.select("ccd", "pid", "row", "col"), _seeds(spark, sf_dir).drop("sid"), ("row", "col"), ("srow", "scol"), 300.0, ["ccd"])
-    n = robust.moments(pairs, ["pid"], "dr", "dc")
-    fine = robust.mahalanobis_ok(C("n"), C("mr"), C("mc"), C("vr"), C("vc"), C("cov"), C("mrow") - C("row"), C("mcol") - C("col"))
+    n = neighbours.radius_moments(v, _seeds(spark, sf_dir), ("row", "col"), ("srow", "scol"), 300.0, ("pid", "sid"), ["dr", "dc"], ["ccd"], apart=False)
+    fine = robust.mahalanobis_ok(C("n"), C("m_dr"), C("m_dc"), C("v_dr"), C("v_dc"), C("cov"), C("mrow") - C("row"), C("mcol") - C("col"))
     return v.join(n, "pid").filter(fine).select("pid")
 
 
@@ -336,8 +339,8 @@ def o5(spark, sf_dir):
     vx, vy = robust.affine_residual(C("row"), C("col"), C("mrow"), C("mcol"), AFFINE)
     g = v.filter(robust.affine_gate(vx, vy, 2500.0, 1000.0, 550.0)).withColumns({"own_r": C("mrow") - C("row"), "own_c": C("mcol") - C("col")})
     s = g.select("ccd", C("pid").alias("sid"), C("row").alias("srow"), C("col").alias("scol"), C("own_r").alias("dr"), C("own_c").alias("dc"))
-    pairs = joins.radius_join(g.select("ccd", "pid", "row", "col"), s, ("row", "col"), ("srow", "scol"), 500.0, ["ccd"]).filter("pid <> sid")
-    return robust.neighbour_filter(g, pairs, "pid", [("own_r", "dr"), ("own_c", "dc")], 3.0, isolated=False).select("pid")
+    n = neighbours.radius_moments(g, s, ("row", "col"), ("srow", "scol"), 500.0, ("pid", "sid"), ["dr", "dc"], ["ccd"])
+    return robust.moments_filter(g, n, "pid", [("own_r", "dr"), ("own_c", "dc")], 3.0, isolated=False).select("pid")
 
 
 @query("m3a_reliable_prediction", f"""WITH s AS (SELECT l.pid, {_D2} AS d2, s.mrow - s.row AS v, s.pid AS sid FROM matched l {_NEAR} < 90000), w AS (SELECT *, 1.0 / (d2 + 1.0) AS w FROM s),

@@ -18,12 +18,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions import patch as Z
-from ..operators import fit, joins, matching, observations, triangulate
+from ..operators import adjust, fit, joins, matching, neighbours, observations, robust, triangulate
 from ..sources import config as settings
 from ..sources import sinks
 from .pipeline import Step, batch
 
 C = F.col
+POSE = ("Xs", "Ys", "Zs", "phi", "omega", "kappa")
 
 
 def stretched(tiles: DataFrame, low: float = 0.003, high: float = 0.997) -> DataFrame:
@@ -51,8 +52,9 @@ def mosaic_of(tiles: DataFrame, overlap: int, rows: int, cols: int, step: int =
     return d.select("ccd", "r0", (C("r0") + C("rows")).alias("r1"), "c0", (C("c0") + C("cols")).alias("c1"))
 
 
-def steps(spark: SparkSession, c: settings.Config, work: str, overlap: int = 48, levels: int = 2, half: int = 4, corner_cell: int = 8, shift: tuple[int, int] = (4, 8)) -> dict[str, Step]:
-    """Steps that run on tables ``left`` and ``right``; with io, timing and the polynomials polys_l, polys_r also the adjustment."""
+def steps(spark: SparkSession, c: settings.Config, work: str, overlap: int = 48, levels: int = 5, half: int = 4, corner_cell: int = 8, shift: tuple[int, int] = (4, 8), wide: int = 160) -> dict[str, Step]:
+    """Steps that run on tables ``left`` and ``right``; with io, timing and the polynomials polys_l, polys_r (or the trajectories eo_l, eo_r, which
+    these are fitted to) also the adjustment. Levels end where a tile would be smaller than four corner cells."""
     keep = lambda df, name: sinks.snapshot(df, f"{work}/{name}")
     m, g = c.feature_match, c.grid_match
     step = max(1, overlap // 8)
@@ -74,13 +76,16 @@ def steps(spark: SparkSession, c: settings.Config, work: str, overlap: int = 48,
         out = {}
         for s, n in (("l", "left"), ("r", "right")):
             out[f"levels_{s}"] = [t[n]]
+            side = t[n].agg(F.min(F.least("rows", "cols"))).first()[0] or 0
             for k in range(1, levels):
+                if side >> k < 4 * corner_cell:
+                    break
                 out[f"levels_{s}"].append(keep(matching.downsample(out[f"levels_{s}"][-1]), f"{n}{k}"))
         return out
 
     def feature_match(t):
         by_level = {k: (features(t["levels_l"][k], "l"), features(t["levels_r"][k], "r")) for k in range(len(t["levels_l"]))}
-        found, affines = matching.pyramid_match(by_level, ["ccd"], keep, reach=float(m.near_range) / 8, sigma=min(m.sigma, 6.0), tile=(g.spacing * 8.0, g.spacing * 8.0))
+        found, affines = matching.pyramid_match(by_level, ["ccd"], keep, reach=float(m.near_range), sigma=m.sigma, tile=(g.spacing * 8.0, g.spacing * 8.0))
         found = found.select("ccd", "pid", "row", "col", "rid", "mrow", "mcol", "score")
         if m.iterations:
             found = matching.refine_iteratively(found, ["ccd"], m.iterations, keep, m.seed_radius)
@@ -101,7 +106,7 @@ def steps(spark: SparkSession, c: settings.Config, work: str, overlap: int = 48,
         guessed = matching.grid_predictions(cells, t["matches"].select("ccd", "row", "col", "mrow", "mcol"), affines, ["ccd"], m.seed_radius)
         plain = matching.predict_points(cells.select("ccd", "pid", "row", "col"), affines, ["ccd"]).select("pid", C("pr").alias("ar"), C("pc").alias("ac"))
         asked = guessed.join(plain, "pid").select("ccd", C("ccd").alias("lccd"), C("ccd").alias("rccd"), "pid", "row", "col", "pr", "pc", "ar", "ac")
-        how = Z.Search(reach=min(g.search, 8), half=g.window // 2, stride=1, smooth=g.lambda2, gate=float(g.weak_range), sharpness=30.0, kind="blend")
+        how = Z.Search(reach=g.search, half=g.window // 2, stride=1, smooth=g.lambda2, gate=float(g.weak_range), sharpness=30.0, kind="blend")
         return {"grid": keep(matching.semi_dense(asked, t["left"], t["right"], ["ccd"], how, g.min_score), "grid")}
 
     def inter_tile_match(t):
@@ -117,25 +122,53 @@ def steps(spark: SparkSession, c: settings.Config, work: str, overlap: int = 48,
             def run(links):
                 ends = links.select(C("ccd_l").alias("ccd"), "row", "col").unionByName(links.select(C("ccd_r").alias("ccd"), F.rint("mrow").alias("row"), F.rint("mcol").alias("col"))).distinct()
                 ends = ends.select((C("ccd").cast("long") * (1 << 40) + C("row").cast("long") * (1 << 20) + C("col").cast("long")).alias("pid"), "ccd", C("row").cast("double").alias("row"), C("col").cast("double").alias("col"), F.lit(None).cast("int").alias("rccd"), *(F.lit(None).cast("double").alias(x) for x in ("mrow", "mcol", "score")))
-                hits = matching.cross_strip_match(ends, controls, source, target, affine, left, right, Z.Search(4, half, 1, kind="blend"), g.min_score, m.seed_radius, wide=16)
+                hits = matching.cross_strip_match(ends, controls, source, target, affine, left, right, Z.Search(4, half, 1, kind="blend"), g.min_score, m.seed_radius, wide=wide)
                 return hits.filter("rccd IS NOT NULL").select("ccd", "row", "col", C("rccd").alias("img_id"), "mrow", "mcol")
 
             return run
 
+        def agreeing(links):
+            """Links whose shift is that of the links around them; one without any stays."""
+            d = links.withColumns({"pid": C("ccd_l").cast("long") * (1 << 40) + C("row").cast("long") * (1 << 20) + C("col").cast("long"), "_dr": C("mrow") - C("row"), "_dc": C("mcol") - C("col")})
+            s = d.select("ccd_l", C("pid").alias("sid"), C("row").alias("srow"), C("col").alias("scol"), C("_dr").alias("ndr"), C("_dc").alias("ndc"))
+            n = neighbours.radius_moments(d, s, ("row", "col"), ("srow", "scol"), m.seed_radius, ("pid", "sid"), ["ndr", "ndc"], ["ccd_l"])
+            flat = n.withColumns({v: F.greatest(v, F.lit(0.25)) for v in ("v_ndr", "v_ndc")})  # half a pixel is no disagreement
+            return robust.moments_filter(d, flat, "pid", [("_dr", "ndr"), ("_dc", "ndc")], 3.0, isolated=True).drop("pid", "_dr", "_dc")
+
         to_right = across(there, f, t["mosaic_l"], t["mosaic_r"], t["left"], t["right"])
         to_left = across(back, inverse, t["mosaic_r"], t["mosaic_l"], t["right"], t["left"])
-        return {"ties": keep(matching.tie_points(t["left"], t["right"], to_right, to_left, how, g.min_score, lambda x: x, overlap, (step, step)), "ties")}
+        return {"ties": keep(matching.tie_points(t["left"], t["right"], to_right, to_left, how, g.min_score, agreeing, overlap, (step, step)), "ties")}
+
+    def trajectory(t):
+        out = {}
+        for s in "lr":
+            if f"eo_{s}" in t:  # a row of polynomials a strip
+                p = fit.time_polynomials(t[f"eo_{s}"].withColumn("_one", F.lit(0)), ["_one"], "et", list(POSE))
+                rows = {r.param: [float(r.t0), *map(float, r.coefs)] for r in p.collect()}
+                out[f"polys_{s}"] = spark.createDataFrame([tuple(rows[n] for n in POSE)], ", ".join(f"p{i} array<double>" for i in range(6)))
+        return out
 
     def adjustment(t):
-        both = None
-        matched = t["grid"].filter("mrow IS NOT NULL")
+        """Grid matches that agree with those around them, their rays, the trajectories corrected by all rays, and points of the corrected
+        rays. What the rays of two strips alone can't tell is held by the sphere's radius and the weights of the corrections."""
+        own = t["grid"].filter("mrow IS NOT NULL").withColumns({"_dr": C("mrow") - C("row"), "_dc": C("mcol") - C("col")})
+        s = own.select("ccd", C("pid").alias("sid"), C("row").alias("srow"), C("col").alias("scol"), C("_dr").alias("ndr"), C("_dc").alias("ndc"))
+        n = neighbours.radius_moments(own, s, ("row", "col"), ("srow", "scol"), m.seed_radius, ("pid", "sid"), ["ndr", "ndc"], ["ccd"])
+        flat = n.withColumns({v: F.greatest(v, F.lit(0.25)) for v in ("v_ndr", "v_ndc")})
+        matched, both = robust.moments_filter(own, flat, "pid", [("_dr", "ndr"), ("_dc", "ndc")], 2.0, isolated=False), None
         for image, (row, col, ccd) in enumerate((("row", "col", "ccd"), ("mrow", "mcol", "rccd"))):
             pts = matched.select(C("pid").alias("point_id"), C(ccd).alias("ccd"), C(row).alias("row"), C(col).alias("col"))
             one = observations.observe(pts, image, "row", "col", "ccd", t["io"], t["timing"], t[f"polys_{'lr'[image]}"])
             both = one if both is None else both.unionByName(one)
         seen = keep(both, "observations")
-        points = keep(triangulate.forward_intersection(seen.filter("X IS NOT NULL")), "points")
-        return {"observations": seen, "points": points, "residuals": keep(triangulate.residual_report(points), "residuals")}
+        rays = seen.filter("X IS NOT NULL")
+        poses = {r.image: (r.t0, max(r.span, 1e-9)) for r in rays.groupBy("image").agg(F.min("et").alias("t0"), (F.max("et") - F.min("et")).alias("span")).collect()}  # two images
+        theta, costs = adjust.sparse_adjustment(rays, poses, degree=1, heights=(observations.geo.RADIUS, 500.0), loss=1.0)
+        better = adjust.corrected(rays, theta, poses, 1)
+        points = keep(triangulate.forward_intersection(better), "points")
+        orbit = spark.createDataFrame([(im, name, term, float(theta[im][q][term])) for im in theta for q, name in enumerate(POSE) for term in range(2)], "image int, param string, term int, coef double")
+        costs = spark.createDataFrame([(i, float(x)) for i, x in enumerate(costs)], "round int, cost double")
+        return {"observations": seen, "points": points, "orbit": keep(orbit, "orbit"), "costs": costs, "residuals": keep(triangulate.residual_report(points), "residuals")}
 
     def export(t):
         sinks.write_matches(t["grid"].withColumn("img_id", C("rccd")).withColumn("line", F.row_number().over(W.partitionBy("ccd").orderBy("pid"))), f"{work}/text")
@@ -143,7 +176,7 @@ def steps(spark: SparkSession, c: settings.Config, work: str, overlap: int = 48,
 
     sensor = ["io", "timing", "polys_l", "polys_r"]
     return {
-        "preprocess": Step(preprocess, ["left", "right"]), "mosaic": Step(mosaic, ["left", "right"]), "downsample": Step(downsample, ["left", "right"]),
+        "preprocess": Step(preprocess, ["left", "right"]), "mosaic": Step(mosaic, ["left", "right"]), "trajectory": Step(trajectory), "downsample": Step(downsample, ["left", "right"]),
         "feature_match": Step(feature_match, ["levels_l", "levels_r", "mosaic_l"]), "grid_match": Step(grid_match, ["matches", "affines", "affine"]),
         "inter_tile_match": Step(inter_tile_match, ["matches", "affine", "mosaic_l", "mosaic_r"]), "adjustment": Step(adjustment, ["grid", *sensor]), "export": Step(export, ["grid"]),
     }

@@ -51,9 +51,9 @@ def sc4(spark, sf_dir):
     return text.link_records(rows).groupBy("ccd_l", "ccd_r").agg(F.count(F.lit(1)).alias("n"), r6(F.avg(C("mrow") - C("row")), 3).alias("dr"))
 
 
-@query("sc6_mosaic_offsets", "SELECT i::INT AS ccd, coalesce(m.r1, 0) AS r1, coalesce(m.c1, 0) AS c1, m.ccd IS NULL AS missing FROM range(12) t(i) LEFT JOIN mosaic m ON m.ccd = i AND m.ccd <> 4")
+@query("sc6_mosaic_offsets", "SELECT i::INT AS ccd, coalesce(m.r1, 0) AS r1, coalesce(m.c1, 0) AS c1, m.ccd IS NULL AS missing FROM range(12) t(i) LEFT JOIN tiles m ON m.ccd = i AND m.ccd <> 4")
 def sc6(spark, sf_dir):
-    m = P.mosaic(spark).filter("ccd <> 4").withColumn("value", F.format_string("%d %d %d %d %d", "ccd", "r0", "r1", "c0", "c1"))
+    m = P.tiles(spark, sf_dir).filter("ccd <> 4").withColumn("value", F.format_string("%d %d %d %d %d", "ccd", "r0", "r1", "c0", "c1"))
     return text.mosaic_offsets(text.numbered(m, F.lit("m"), ["ccd"]), 0, 12).select("ccd", "r1", "c1", "missing")
 
 

@@ -2,24 +2,78 @@
 
 from __future__ import annotations
 
+import uuid
+
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def snapshot(df: DataFrame, path: str) -> DataFrame:
-    """Writes a new version and reads it back; a table is never overwritten while it is read."""
-    spark = df.sparkSession
+class LostRace(RuntimeError):
+    """Another writer has committed the version that this one was to become."""
+
+
+def _files(spark: SparkSession, path: str):
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
-    version = 1 + max([int(s.getPath().getName()[1:]) for s in fs.listStatus(hadoop)] if fs.exists(hadoop) else [0])
-    df.write.parquet(f"{path}/v{version}")
-    return spark.read.parquet(f"{path}/v{version}")
+    return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()), hadoop
+
+
+def committed(spark: SparkSession, path: str) -> tuple[int, str | None]:
+    """The last committed version of a table and the folder that holds it; (0, None) without one. A version is committed by
+    its manifest, which gets its name last, in one step, and only if no other has it; folders that no manifest names, of
+    writers that died or lost, are no versions."""
+    fs, hadoop = _files(spark, path)
+    names = [s.getPath().getName() for s in fs.listStatus(hadoop)] if fs.exists(hadoop) else []
+    last = max((int(n[1:].removesuffix(".manifest")) for n in names if n.startswith("v") and n.endswith(".manifest")), default=0)
+    if not last:
+        return 0, None
+    folder = spark.read.text(f"{path}/v{last}.manifest").first()[0]
+    return last, f"{path}/{folder}"
+
+
+def _commit(spark: SparkSession, path: str, version: int, folder: str) -> bool:
+    """Whether the manifest of a version could be named: not if it is there already."""
+    jvm = spark._jvm
+    fs, draft = _files(spark, f"{path}/{folder}.draft")
+    out = fs.create(draft, True)
+    out.write(bytearray(folder.encode()))
+    out.close()
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(draft.toUri() if draft.toUri().getScheme() else fs.getUri(), spark._jsc.hadoopConfiguration())
+    how = spark.sparkContext._gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 0)
+    try:
+        context.rename(draft, _files(spark, f"{path}/v{version}.manifest")[1], how)
+    except Py4JJavaError as e:
+        if "FileAlreadyExists" not in e.java_exception.getClass().getName():
+            raise
+        fs.delete(draft, False)
+        return False
+    return True
+
+
+def snapshot(df: DataFrame, path: str, after: int | None = None) -> DataFrame:
+    """Writes a new version and reads it back; a table is never overwritten while it is read.
+
+    ``after`` is the version that ``df`` was made from (0: none). If another writer has committed a later one meanwhile,
+    LostRace is raised and nothing is changed. Without ``after`` the version is added to whatever there is.
+    """
+    spark, folder = df.sparkSession, f"data-{uuid.uuid4().hex}"
+    df.write.parquet(f"{path}/{folder}")
+    while True:
+        last = committed(spark, path)[0] if after is None else after
+        if _commit(spark, path, last + 1, folder):
+            return spark.read.schema(df.schema).parquet(f"{path}/{folder}")
+        if after is not None:
+            fs, lost = _files(spark, f"{path}/{folder}")
+            fs.delete(lost, True)
+            raise LostRace(f"{path} has a version {last + 1} already")
 
 
 def latest(spark: SparkSession, path: str) -> DataFrame:
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
-    return spark.read.parquet(f"{path}/v{max(int(s.getPath().getName()[1:]) for s in fs.listStatus(hadoop))}")
+    """The last committed version."""
+    version, folder = committed(spark, path)
+    if not version:
+        raise FileNotFoundError(f"{path} has no committed version")
+    return spark.read.parquet(folder)
 
 
 def append_hits(seeds: DataFrame, hits: DataFrame) -> DataFrame:

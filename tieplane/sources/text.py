@@ -35,6 +35,11 @@ def _num(i: int, kind: str = "double") -> Column:
     return F.expr(f"try_cast(get(f, {i}) AS {kind})")
 
 
+def _with_least(d: DataFrame, line: Column, out: str) -> DataFrame:
+    """Adds the least of ``line`` in each file, from one row a file: no file's lines meet in a task."""
+    return d.join(d.groupBy("file").agg(F.min(line).alias(out)), "file", "left")
+
+
 def match_records(rows: DataFrame, strict: bool = True) -> DataFrame:
     """Tagged records: a first field of 1 has seven fields and a match, any other three. Columns file, line,
     flag and the match columns, unmatched ones null.
@@ -50,7 +55,7 @@ def match_records(rows: DataFrame, strict: bool = True) -> DataFrame:
     ok = ok & ((F.col("flag") != 1) | (F.col("img_id").isNotNull() & F.col("mrow").isNotNull() & F.col("mcol").isNotNull() & F.col("score").isNotNull()))
     d = d.withColumn("_bad", F.when(F.coalesce(ok, F.lit(False)), None).otherwise(F.col("line")))
     if strict:
-        d = d.withColumn("_end", F.min("_bad").over(W.partitionBy("file"))).filter(F.col("_end").isNull() | (F.col("line") < F.col("_end")))
+        d = _with_least(d, F.col("_bad"), "_end").filter(F.col("_end").isNull() | (F.col("line") < F.col("_end")))
     else:
         d = d.filter(F.col("_bad").isNull())
     return d.select("file", "line", "flag", *MATCH)
@@ -100,7 +105,7 @@ def interior_orientation(rows: DataFrame) -> DataFrame:
 
 def trajectory(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(header: file, begin, line_rate), (samples: file, line, et, Xs, Ys, Zs, phi, omega, kappa)."""
-    d = fields(rows).withColumn("_first", F.min("line").over(W.partitionBy("file")))
+    d = _with_least(fields(rows), F.col("line"), "_first")
     header = d.filter("line = _first").select("file", _num(0).alias("begin"), _num(1).alias("line_rate"))
     samples = d.filter("line > _first").select("file", "line", *(_num(i).alias(n) for i, n in enumerate(["et", "Xs", "Ys", "Zs", "phi", "omega", "kappa"]))).dropna()
     return header, samples
@@ -122,7 +127,7 @@ def xyz_points(rows: DataFrame) -> DataFrame:
     """Points of at least three numbers; a first line of one number is a count. Commas and D exponents are
     read; points with a missing or infinite coordinate are dropped. Columns file, line, x, y, z, rest."""
     clean = rows.withColumn("value", F.regexp_replace(F.translate("value", ",", " "), r"(?<=[0-9.])[dD](?=[+-]?[0-9])", "e")).filter(~F.ltrim("value").startswith("#"))
-    d = fields(clean).withColumn("_first", F.min("line").over(W.partitionBy("file"))).filter(~((F.col("line") == F.col("_first")) & (F.size("f") == 1)))
+    d = _with_least(fields(clean), F.col("line"), "_first").filter(~((F.col("line") == F.col("_first")) & (F.size("f") == 1)))
     d = d.select("file", "line", _num(0).alias("x"), _num(1).alias("y"), _num(2).alias("z"), F.transform(F.expr("slice(f, 4, greatest(size(f), 4))"), lambda x: x.try_cast("double")).alias("rest"))
     fine = lambda c: F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) != float("inf"))
     return d.filter(fine("x") & fine("y") & fine("z"))

@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.upsert import first_by
-from ..sources.sinks import latest, snapshot
+from ..sources.sinks import LostRace, committed, latest, snapshot
 
+#: Times that a merge is made again because another writer was first.
+RETRIES = 20
 SCHEMA = "pid long, ccd int, row double, col double, img_id int, mrow double, mcol double, score double"
 
 
@@ -28,17 +30,24 @@ def current(spark: SparkSession, target: str) -> DataFrame:
     """The upserted table: the latest version of each tile."""
     out = spark.createDataFrame([], SCHEMA)
     for name in _tiles(spark, target):
-        out = out.unionByName(latest(spark, f"{target}/{name}"))
+        if committed(spark, f"{target}/{name}")[0]:
+            out = out.unionByName(latest(spark, f"{target}/{name}"))
     return out
 
 
 def upsert_batch(spark: SparkSession, batch: DataFrame, target: str) -> None:
     """Merges a batch into the tiles that it has rows of, a sensor's few; other tiles are not touched."""
-    there = set(_tiles(spark, target))
     for r in batch.select("ccd").distinct().orderBy("ccd").collect():
-        name = f"ccd={r.ccd}"
-        old = latest(spark, f"{target}/{name}") if name in there else None
-        snapshot(merge(old, batch.filter(F.col("ccd").eqNullSafe(F.lit(r.ccd)))), f"{target}/{name}")
+        where, own = f"{target}/ccd={r.ccd}", batch.filter(F.col("ccd").eqNullSafe(F.lit(r.ccd)))
+        for last in range(RETRIES, -1, -1):
+            version, folder = committed(spark, where)
+            old = spark.read.parquet(folder) if version else None
+            try:
+                snapshot(merge(old, own), where, after=version)
+                break
+            except LostRace:  # another writer was first: merge with what it has left
+                if not last:
+                    raise
 
 
 def upsert_stream(spark: SparkSession, source: str, target: str, checkpoint: str):
