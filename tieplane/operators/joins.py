@@ -52,7 +52,7 @@ def knn_join(left: DataFrame, right: DataFrame, left_at: tuple[str, str], right_
     The right points are counted in cells of ``start`` and of twice, four times, ... that size, up to one cell
     that holds all. A left point takes the smallest size at which its cell and the eight around hold k: they are no
     further than the diagonal of a cell of twice that size, so only right points within it are paired, by an
-    equi-join on cells of twice the size. So the pairs of a point follow k and not the data's density. Of right
+    equi-join on the cells within three of its own. So the pairs of a point follow k and not the data's density. Of right
     points in one place only k are paired.
     ``order`` starts with d2, the squared distance; rk is the rank from 1. Rows whose place is null, infinite or no number
     are no points, on either side.
@@ -79,15 +79,15 @@ def knn_join(left: DataFrame, right: DataFrame, left_at: tuple[str, str], right_
     blocks = counts.withColumn("_ur", beside("_br")).withColumn("_uc", beside("_bc")).groupBy(*keys, "_l", "_ur", "_uc").agg(F.sum("_n").alias("_n"))
     enough = blocks.filter((F.col("_n") >= k) | (F.col("_l") == top)).select(*keys, "_l", "_ur", "_uc")
     cells = left.select(*keys, *fine(lr, lc)).distinct().withColumn("_l", F.explode(levels)).withColumns({"_ur": up(F.col("_br"), F.col("_l")), "_uc": up(F.col("_bc"), F.col("_l"))})
-    level = cells.join(enough, [*keys, "_l", "_ur", "_uc"]).groupBy(*keys, "_br", "_bc").agg((F.min("_l") + 1).alias("_l"))
+    level = cells.join(enough, [*keys, "_l", "_ur", "_uc"]).groupBy(*keys, "_br", "_bc").agg(F.min("_l").alias("_l"))
     placed = left.withColumns(dict(zip(("_br", "_bc"), fine(lr, lc), strict=True))).join(level, [*keys, "_br", "_bc"])
-    reach = F.array(*(F.lit(i) for i in range(-2, 3)))
+    reach = F.array(*(F.lit(i) for i in range(-3, 4)))
     around = lambda c: F.explode(F.transform(reach, lambda i: up(F.col(c), F.col("_l")) + i))
     placed = placed.withColumn("_ur", around("_br")).withColumn("_uc", around("_bc")).drop("_br", "_bc")
     used = level.select("_l").distinct()  # ``top`` rows at most
-    there = first.withColumns(dict(zip(("_br", "_bc"), fine(rr, rc), strict=True))).withColumn("_l", F.explode(F.sequence(F.lit(1), F.lit(top + 1)))).join(F.broadcast(used), "_l").withColumns({"_ur": up(F.col("_br"), F.col("_l")), "_uc": up(F.col("_bc"), F.col("_l"))}).drop("_br", "_bc")
+    there = first.withColumns(dict(zip(("_br", "_bc"), fine(rr, rc), strict=True))).withColumn("_l", F.explode(F.sequence(F.lit(0), F.lit(top)))).join(F.broadcast(used), "_l").withColumns({"_ur": up(F.col("_br"), F.col("_l")), "_uc": up(F.col("_bc"), F.col("_l"))}).drop("_br", "_bc")
     dr, dc = F.col(lr) - F.col(rr), F.col(lc) - F.col(rc)
-    diagonal = 2.0000001 * F.pow(start * F.pow(F.lit(2.0), F.col("_l")), 2)
+    diagonal = 8.0000004 * F.pow(start * F.pow(F.lit(2.0), F.col("_l")), 2)
     pairs = placed.join(there, [*keys, "_l", "_ur", "_uc"]).withColumn("d2", dr * dr + dc * dc).filter(F.col("d2") <= diagonal).drop("_l", "_ur", "_uc")
     return nearest_k(pairs, by, k, order)
 
