@@ -361,6 +361,22 @@ def register_overlaps(tiles: DataFrame, overlap: int, rows: int, cols: int, half
     return tiles.select("ccd", "rows", "cols", "samples").join(right, "ccd").mapInPandas(run, "ccd int, dr int, dc int, score double")
 
 
+def reliable_prediction(points: DataFrame, pairs: DataFrame, expected: float, far: float = 40.0, share: float = 0.75) -> DataFrame:
+    """The predicted row of points (pid, row) from their neighbours' disparities: pid, pr, rejected.
+
+    ``pairs`` has pid, sid, d2 and dr. The weighted mean (inverse squares) is used unless it is off the expected disparity by more than
+    ``far`` and the weighted median by less than ``share`` of that; then the median is, and the mean counts as rejected. Points without neighbours
+    get no prediction.
+    """
+    w = pairs.withColumn("_w", 1.0 / (C("d2") + 1.0))
+    mean = w.groupBy("pid").agg(robust.weighted_mean(C("dr"), C("_w")).alias("_mean"))
+    both = robust.weighted_median(w, ["pid"], "dr", "_w", ["sid"], "_med", small=True).join(mean, "pid")
+    off = lambda c: F.abs(C(c) - expected)
+    d = points.join(both, "pid").withColumn("rejected", (off("_mean") > far) & (off("_med") < off("_mean") * share))
+    whole = lambda x: F.when(x >= 0, F.floor(x)).otherwise(F.ceil(x))
+    return d.select("pid", (whole(C("row")) + whole(F.when(C("rejected"), C("_med")).otherwise(C("_mean")) + 0.5) + 0.0).alias("pr"), "rejected")
+
+
 def rematch_features(points: DataFrame, seeds: DataFrame, right: DataFrame, affines: DataFrame, keys: list[str], radius: float = 500.0, near: float = 64.0, far: float = 128.0, seed_min: int = 3, least: float = 0.6, score: str | None = None) -> DataFrame:
     """Unmatched features again: three seeds or more around predict by their weighted mean and a narrow band,
     fewer leave the affine and a wide one. Hits are upserted by score."""

@@ -84,11 +84,16 @@ def robust_z_filter(df: DataFrame, keys: list[str], values: list[str], k: float,
     return out.filter((F.col("_n") < least) | fine).select(*df.columns)
 
 
-def weighted_median(df: DataFrame, keys: list[str], value: str, weight: str, tie: list[str], out: str = "wmedian") -> DataFrame:
+def weighted_median(df: DataFrame, keys: list[str], value: str, weight: str, tie: list[str], out: str = "wmedian", small: bool = False) -> DataFrame:
     """Lower weighted median: the first value at which the weights' running sum reaches half of their total.
-    Negative weights count as zero; without any weight it is the middle value (of even counts the upper)."""
+    Negative weights count as zero; without any weight it is the middle value (of even counts the upper). ``small`` says that each group
+    fits into a task, as a point's neighbours do; others are scanned in ranges."""
     d = df.withColumns({"_w": F.greatest(F.col(weight), F.lit(0.0)), "_one": F.lit(1)})
-    d = scan_by_ranges(d, keys, [value, *tie], {"_w": "_acc", "_one": "_i"}, {"_w": "_tot", "_one": "_n"})
+    if small:
+        run, all_ = W.partitionBy(*keys).orderBy(value, *tie).rowsBetween(W.unboundedPreceding, 0), W.partitionBy(*keys)
+        d = d.withColumns({"_acc": F.sum("_w").over(run), "_i": F.sum("_one").over(run), "_tot": F.sum("_w").over(all_), "_n": F.sum("_one").over(all_)})
+    else:
+        d = scan_by_ranges(d, keys, [value, *tie], {"_w": "_acc", "_one": "_i"}, {"_w": "_tot", "_one": "_n"})
     middle = F.min(F.when(F.col("_i") == F.floor(F.col("_n") / 2) + 1, F.col(value)))
     reached = F.min(F.when((F.col("_tot") > 0) & (F.col("_acc") >= 0.5 * F.col("_tot")), F.col(value)))
     return d.groupBy(*keys).agg(F.coalesce(reached, middle).alias(out))

@@ -348,12 +348,7 @@ a AS (SELECT *, sum(w) OVER (PARTITION BY pid ORDER BY v, sid ROWS UNBOUNDED PRE
 SELECT pid, trunc(row) + trunc(CASE WHEN abs(mean - 5) > 40 AND abs(med - 5) < abs(mean - 5) * 0.75 THEN med ELSE mean END + 0.5) + 0.0 AS pr, abs(mean - 5) > 40 AND abs(med - 5) < abs(mean - 5) * 0.75 AS rejected FROM matched JOIN m USING (pid)""")
 def m3a(spark, sf_dir):
     l, pairs = _near(spark, sf_dir, 300.0)
-    w = pairs.withColumn("w", geo.inverse_square(C("d2")))
-    mean = w.groupBy("pid").agg(robust.weighted_mean(C("dr"), C("w")).alias("mean"))
-    m = robust.weighted_median(w, ["pid"], "dr", "w", ["sid"], "med").join(mean, "pid")
-    bad = (F.abs(C("mean") - 5) > 40) & (F.abs(C("med") - 5) < F.abs(C("mean") - 5) * 0.75)
-    out = l.join(m, "pid").withColumn("rejected", bad)
-    return out.select("pid", (geo.trunc(C("row")) + geo.trunc(F.when(C("rejected"), C("med")).otherwise(C("mean")) + 0.5) + 0.0).alias("pr"), "rejected")
+    return matching.reliable_prediction(l, pairs, 5.0)
 
 
 @query("m5a_best_two", "SELECT pid, rk, rid, score FROM (SELECT l.pid, r.pid AS rid, r.score, row_number() OVER (PARTITION BY l.pid ORDER BY r.score DESC, r.pid) AS rk FROM matched l JOIN matched r ON l.ccd = r.ccd AND abs(l.row - r.mrow) < 40 AND abs(l.col - r.mcol) < 40) WHERE rk <= 2")

@@ -78,6 +78,5 @@ def sk3(spark, sf_dir):
 
 @query("pr25_split_and_multiply", "SELECT pid, len(string_split(printf('%d %d %d', pid, ccd, 3), ' ')) AS n, 2 * ccd + 3 * pid AS dot FROM pt")
 def pr25(spark, sf_dir):
-    d = P.pt(spark, sf_dir).withColumn("f", F.split(F.format_string("%d %d %d", "pid", "ccd", F.lit(3)), " "))
-    dot = F.aggregate(F.zip_with(F.array(C("f")[1].cast("long"), C("f")[0].cast("long")), F.array(F.lit(2), F.lit(3)), lambda a, b: a * b), F.lit(0).cast("long"), lambda s, x: s + x)
-    return d.select("pid", F.size("f").cast("long").alias("n"), dot.alias("dot"))
+    d = text.fields(P.pt(spark, sf_dir).select("pid", F.format_string("%d %d %d", "pid", "ccd", F.lit(3)).alias("value")))
+    return d.select("pid", F.size("f").cast("long").alias("n"), text.dot_of_fields([(1, 2), (0, 3)]).cast("long").alias("dot"))

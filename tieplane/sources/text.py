@@ -31,6 +31,11 @@ def fields(df: DataFrame) -> DataFrame:
     return df.withColumn("f", F.explode(F.array(F.split(F.trim(F.regexp_replace("value", r"[\t ]+", " ")), " "))))
 
 
+def dot_of_fields(pairs: list[tuple[int, float]]) -> Column:
+    """The sum of fields of a split line times factors, (field from 0, factor); null where a field is missing or no number."""
+    return sum((_num(i) * float(w) for i, w in pairs[1:]), _num(pairs[0][0]) * float(pairs[0][1]))
+
+
 def _num(i: int, kind: str = "double") -> Column:
     return F.expr(f"try_cast(get(f, {i}) AS {kind})")
 
