@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import held
+
 #: Side of a block in samples, and of the first scale's deviation.
 BLOCK, FIRST = 512, 1.6
 #: Scales to a doubling.
@@ -127,6 +129,6 @@ def interest_points(lines: DataFrame, half: int = 2, round_: float = 0.75, share
         total = pd.DataFrame({"row": [rim], "col": [rim], "weight": [own["weight"].sum()], "n": [len(own)]})
         return pd.concat([all_[all_["peak"]].assign(n=-1)[["row", "col", "weight", "n"]], total])
 
-    rows = _in_blocks(lines, size, rim, summed, "weight double, n long")
+    rows = held(_in_blocks(lines, size, rim, summed, "weight double, n long"), "peaks")
     means = rows.filter("n >= 0").groupBy(F.col("image").alias("_i")).agg((F.sum("weight") / F.nullif(F.sum("n"), F.lit(0))).alias("_mean"))
     return rows.filter("n < 0").join(means, F.col("image").eqNullSafe(F.col("_i"))).filter(F.col("weight") >= share * F.col("_mean")).select("image", "row", "col", "weight")

@@ -25,16 +25,18 @@ _M = f"cos(radians(71.0)) / sqrt(1 - power({_E} * sin(radians(71.0)), 2))"
 t AS (SELECT *, sinh(atanh(sin(radians(lat))) - {_E} * atanh({_E} * sin(radians(lat)))) AS t FROM g), x AS (SELECT *, atan2(t, cos(radians(lon - 3))) AS x, atanh(sin(radians(lon - 3)) / sqrt(1 + t * t)) AS y FROM t)
 SELECT pid, round({_R} * (y + {' + '.join(f'{c!r} * cos({2 * j} * x) * sinh({2 * j} * y)' for j, c in enumerate(_K, 1))}), 4) + 0.0 AS east, round({_R} * (x + {' + '.join(f'{c!r} * sin({2 * j} * x) * cosh({2 * j} * y)' for j, c in enumerate(_K, 1))}), 4) + 0.0 AS north,
 round(-{A!r} * {_M} * ({_HALF.format(lat='plat', e=_E)}) / ({_HALF.format(lat='71.0', e=_E)}) * sin(radians(-(plon - 10))), 4) + 0.0 AS polar_east, round({A!r} * {_M} * ({_HALF.format(lat='plat', e=_E)}) / ({_HALF.format(lat='71.0', e=_E)}) * cos(radians(-(plon - 10))), 4) + 0.0 AS polar_north,
-round(lat, 7) + 0.0 AS lat, round(lon, 7) + 0.0 AS lon, round(-plat, 7) + 0.0 AS polar_lat FROM x""")
+round(lat, 3) + 0.0 AS lat, round(lon, 3) + 0.0 AS lon, true AS back FROM x""")
 def pr22(spark, sf_dir):
     """Places on both planes, and back from there."""
     g = P.pt(spark, sf_dir).select("pid", (C("row") / 499.3 - 44).alias("lat"), (C("col").cast("long") % 60 - 30.0).alias("lon"), (60 + C("row").cast("long") % 30 + 0.5).alias("plat"), (C("col") * 2 - 150).alias("plon"))
     east, north = projection.to_transverse_mercator(C("lat"), C("lon"), 3.0, A, FLAT)
     pe, pn = projection.to_polar_stereographic(-C("plat"), C("plon"), 10.0, A, FLAT, -71.0)
-    d = g.select("pid", east.alias("e"), north.alias("n"), pe.alias("pe"), pn.alias("pn"))
+    d = g.select("pid", C("lat").alias("la"), C("lon").alias("lo"), C("plat").alias("pa"), C("plon").alias("po"), east.alias("e"), north.alias("n"), pe.alias("pe"), pn.alias("pn"))
     lat, lon = projection.from_transverse_mercator(C("e"), C("n"), 3.0, A, FLAT)
-    plat, _ = projection.from_polar_stereographic(C("pe"), C("pn"), 10.0, A, FLAT, -71.0)
-    return d.select("pid", r6(C("e"), 4).alias("east"), r6(C("n"), 4).alias("north"), r6(C("pe"), 4).alias("polar_east"), r6(C("pn"), 4).alias("polar_north"), r6(lat, 7).alias("lat"), r6(lon, 7).alias("lon"), r6(plat, 7).alias("polar_lat"))
+    plat, plon = projection.from_polar_stereographic(C("pe"), C("pn"), 10.0, A, FLAT, -71.0)
+    turn = F.abs(F.pmod(plon - C("po") + 180.0, F.lit(360.0)) - 180.0)
+    back = (F.abs(lat - C("la")) < 1e-7) & (F.abs(lon - C("lo")) < 1e-7) & (F.abs(plat + C("pa")) < 1e-7) & (turn < 1e-7)
+    return d.select("pid", r6(C("e"), 4).alias("east"), r6(C("n"), 4).alias("north"), r6(C("pe"), 4).alias("polar_east"), r6(C("pn"), 4).alias("polar_north"), r6(lat, 3).alias("lat"), r6(lon, 3).alias("lon"), back.alias("back"))
 
 
 #: Waves per second that are looked at; the planted one is 2.3, the same for all tiles but for its phase.

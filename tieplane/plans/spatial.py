@@ -131,9 +131,9 @@ def _near(spark, sf_dir, radius, closed=False):
 _NEAR = "JOIN matched s ON l.ccd = s.ccd AND l.pid <> s.pid AND " + _D2
 
 
-@query("j7_radius_neighbours", f"SELECT l.pid, count(*) AS n, round(avg(s.mrow - s.row), 6) + 0.0 AS dr FROM matched l {_NEAR} < 10000 GROUP BY l.pid")
+@query("j7_radius_neighbours", f"SELECT l.pid, count(*) AS n, round(avg(s.mrow - s.row) + 1e-9, 6) + 0.0 AS dr FROM matched l {_NEAR} < 10000 GROUP BY l.pid")
 def j7(spark, sf_dir):
-    return _moments(spark, sf_dir, 100.0, ["dr"])[1].select("pid", "n", r6(C("m_dr")).alias("dr"))
+    return _moments(spark, sf_dir, 100.0, ["dr"])[1].select("pid", "n", r6(C("m_dr") + 1e-9).alias("dr"))
 
 
 @query("j9_adaptive_neighbours", f"""WITH p AS (SELECT l.pid, {_D2} AS d2, s.mrow - s.row AS dr, row_number() OVER (PARTITION BY l.pid ORDER BY {_D2}, s.pid) AS rk FROM matched l JOIN matched s ON l.ccd = s.ccd AND l.pid <> s.pid),
@@ -285,10 +285,11 @@ def u4(spark, sf_dir):
 
 
 @query("ag8_neighbour_sigma", f"""WITH n AS (SELECT l.pid, avg(s.mrow - s.row) AS mr, stddev_pop(s.mrow - s.row) AS sr, avg(s.mcol - s.col) AS mc, stddev_pop(s.mcol - s.col) AS sc FROM matched l {_NEAR} < 90000 GROUP BY l.pid)
-SELECT pid, round(mr, 6) + 0.0 AS mr, round(sr, 5) + 0.0 AS sr, round(mc, 6) + 0.0 AS mc, round(sc, 5) + 0.0 AS sc FROM n""")
+SELECT pid, round(mr + 1e-9, 6) + 0.0 AS mr, round(sr + 1e-9, 5) + 0.0 AS sr, round(mc + 1e-9, 6) + 0.0 AS mc, round(sc + 1e-9, 5) + 0.0 AS sc FROM n""")
 def ag8(spark, sf_dir):
     n = _moments(spark, sf_dir, 300.0)[1]
-    return n.select("pid", r6(C("m_dr")).alias("mr"), r6(F.sqrt("v_dr"), 5).alias("sr"), r6(C("m_dc")).alias("mc"), r6(F.sqrt("v_dc"), 5).alias("sc"))
+    near = lambda x: x + 1e-9  # noqa: E731  means of decimals lie on ties of the sixth digit; a step off them, sums in another order round alike
+    return n.select("pid", r6(near(C("m_dr"))).alias("mr"), r6(near(F.sqrt("v_dr")), 5).alias("sr"), r6(near(C("m_dc"))).alias("mc"), r6(near(F.sqrt("v_dc")), 5).alias("sc"))
 
 
 _O = f"WITH n AS (SELECT l.pid, count(*) AS n, avg(s.mrow - s.row) AS mr, sqrt(var_pop(s.mrow - s.row)) AS sr, avg(s.mcol - s.col) AS mc, sqrt(var_pop(s.mcol - s.col)) AS sc FROM matched l {_NEAR} < {{d2}} GROUP BY l.pid)"
