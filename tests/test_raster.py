@@ -105,3 +105,12 @@ def test_stripes_are_replaced(spark):
         for c in range(30):
             near = [1, 2, 2, 1] @ clean[r, [7, 8, 10, 11]] // 6 if c == 9 else clean[r, c]
             assert got[0, r, c] == scale(near)
+
+
+def test_vertices_keep_their_order(spark, tmp_path):
+    from tieplane.sources import sinks
+
+    df = spark.createDataFrame([(i, float(9 - i), 0.5, float(i)) for i in range(10)], "line int, x double, y double, z double").repartition(4)
+    sinks.ascii_ply(df, str(tmp_path / "p"), ("line",))
+    text = "".join(f.read_text() for f in sorted((tmp_path / "p").glob("part-*"))).splitlines()
+    assert text[2] == "element vertex 10" and [line.split()[0] for line in text[7:]] == [f"{9 - i:.6f}" for i in range(10)]

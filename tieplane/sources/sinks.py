@@ -113,13 +113,13 @@ def mosaic_points(df: DataFrame, path: str) -> None:
     df.select("R1", "C1", "dx", "dy", "score", "left_ccd", "right_ccd").coalesce(1).write.option("header", True).option("sep", " ").csv(path)
 
 
-def ascii_ply(df: DataFrame, path: str) -> None:
-    """Vertices x, y, z as an ASCII PLY export."""
+def ascii_ply(df: DataFrame, path: str, order: tuple[str, ...] = ("x", "y", "z")) -> None:
+    """Vertices x, y, z as an ASCII PLY export, in the order of ``order``; one task writes it, as the format asks."""
     n = df.count()
     head = ["ply", "format ascii 1.0", f"element vertex {n}", "property double x", "property double y", "property double z", "end_header"]
-    body = df.select(F.lit(len(head)).alias("o"), F.format_string("%.6f %.6f %.6f", "x", "y", "z").alias("value"))
-    top = df.sparkSession.range(1).select(F.posexplode(F.array(*map(F.lit, head))).alias("o", "value"))
-    top.unionByName(body).orderBy("o").select("value").coalesce(1).write.text(path)
+    body = df.select(F.lit(len(head)).alias("o"), F.struct(*order).alias("k"), F.format_string("%.6f %.6f %.6f", "x", "y", "z").alias("value"))
+    top = df.sparkSession.range(1).select(F.posexplode(F.array(*map(F.lit, head))).alias("o", "value")).select("o", F.lit(None).cast(body.schema["k"].dataType).alias("k"), "value")
+    top.unionByName(body).orderBy("o", "k").select("value").coalesce(1).write.text(path)
 
 
 def products(files: DataFrame, drop: tuple[str, ...] = (".tif", ".tiff", ".img", ".png", ".jpg"), file: str = "file") -> DataFrame:
