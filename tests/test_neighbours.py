@@ -79,3 +79,18 @@ def test_knn_skips_points_without_a_place(spark):
     _, left, right = tables(spark, 30)
     near = joins.knn_join(left, right.unionByName(right.limit(1).withColumn("srow", F.lit(float("inf")))), *AT, 2, ["pid"], ["d2", "sid"])
     assert near.select("pid").distinct().count() == 30
+
+
+def test_nearest_in_many_leaves_equal_those_of_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(joins, "LEAF", 24)
+    rng = np.random.default_rng(7)
+    dense = [(0, i, *(np.round(rng.random(2) * 8) / 4 + 40)) for i in range(150)]  # ties and many in one place
+    wide = [(int(i % 2), 1000 + i, *(rng.random(2) * [3000.0, 90.0])) for i in range(250)]
+    points = [(g, i, float(r), float(c)) for g, i, r, c in dense + wide]
+    left = spark.createDataFrame(points + [(1, 9000, 1e6, -1e6), (3, 9001, 0.0, 0.0)], "ccd int, pid long, row double, col double")
+    right = spark.createDataFrame([x for x in points if x[1] % 3], "ccd int, sid long, srow double, scol double")
+    for k in (2, 9):
+        got = sorted((r.pid, r.rk, r.sid, r.d2) for r in joins.knn_join(left, right, *AT, k, ["pid"], ["d2", "sid"], ["ccd"]).collect())
+        d2 = (F.col("row") - F.col("srow")) * (F.col("row") - F.col("srow")) + (F.col("col") - F.col("scol")) * (F.col("col") - F.col("scol"))
+        want = joins.nearest_k(left.join(right, "ccd").withColumn("d2", d2), ["pid"], k, ["d2", "sid"])
+        assert got == sorted((r.pid, r.rk, r.sid, r.d2) for r in want.collect())
