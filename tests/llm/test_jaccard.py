@@ -145,3 +145,44 @@ def test_components(spark):
         root[max(x, y)] = min(x, y)
     got = dict(map(tuple, components(spark.createDataFrame(edges, "a long, b long")).collect()))
     assert got == {x: find(x) for a, b in edges if a != b for x in (a, b)}
+
+
+def test_lists_never_rule_out_a_link_but_what_bitmaps_let_pass():
+    rng = np.random.default_rng(4)
+    sets = [np.unique(rng.integers(0, 2**63, 56).astype(np.uint64))]
+    for k in range(200):
+        s = sets[0].copy()
+        s[rng.permutation(56)[: k % 20]] = rng.integers(0, 2**63, k % 20)
+        sets.append(np.unique(s))
+    i, j = map(np.array, zip(*combinations(range(len(sets)), 2), strict=True))
+    n, fine = np.array([len(s) for s in sets]), [jaccard.sketch(s) for s in sets]
+    shared = np.array([len(np.intersect1d(sets[a], sets[b])) for a, b in zip(i.tolist(), j.tolist(), strict=True)])
+    linked = 180 * shared >= 80 * (n[i] + n[j])
+    maps = [jaccard.unlisted(k, x) for k, x in zip(n.tolist(), fine, strict=True)]
+    passed, listed = jaccard.may_link(n, maps, i, j), jaccard.may_link_listed(n, fine, i, j)
+    assert listed[linked].all() and passed[linked].all()
+    assert listed.sum() <= 1.01 * linked.sum() < passed.sum()
+
+
+def test_tiles_of_near_copies_give_no_more_pairs_than_sets():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(5)
+    base, n = np.unique(rng.integers(0, 2**63, 60).astype(np.uint64)), 250
+    sets = [np.unique(np.r_[base[rng.permutation(60)[:57]], rng.integers(0, 2**63, 3).astype(np.uint64)]) for _ in range(n)]
+    ids = np.arange(n)
+    cols = [np.zeros(n, np.int64), np.zeros(n, np.int32), np.zeros(n, np.int32), np.zeros(n, np.int32), ids, ids, np.array([len(s) for s in sets], np.int32), np.zeros(n, np.int32)]
+    batch = pa.RecordBatch.from_arrays([*map(pa.array, cols), pa.array([jaccard.sketch(s) for s in sets], pa.binary())], names=["run", "i", "j", "side", "cid", "label", "n", "pos", "wide"])
+    some, whole = (pa.Table.from_batches([*jaccard._tiles(w)(iter([batch]))]) for w in (False, True))
+    pairs = [(a, b) for a, b in zip(some["a"].to_pylist(), some["b"].to_pylist(), strict=True) if a is not None]
+    assert some.num_rows == n and len(pairs) == n - 1 and some["run"].null_count == n - 1  # a tree, and a row that tells of others
+    root = [*range(n)]
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in pairs:
+        root[find(a)] = find(b)
+    assert len({find(x) for x in range(n)}) == 1 and whole.num_rows > 20 * n

@@ -26,6 +26,8 @@ SHORT = 64
 BLOCK = 1024
 #: Largest bitmap, in bits, and how many times as wide those of tiles are as those of single pairs.
 WIDEST, WIDER = 1 << 16, 8
+#: Shingles of a set up to which tiles know 16 bits of each, and not only a bitmap.
+LISTED = 4096
 #: Pairs of one set that are never split.
 SPREAD = 2048
 #: Bits of the filter that tells which texts' shingles are fetched.
@@ -89,6 +91,44 @@ def may_link(n: np.ndarray, maps: list[bytes], i: np.ndarray, j: np.ndarray) ->
     return out
 
 
+def sketch(s: np.ndarray) -> bytes:
+    """What tiles know of a set: the last 16 bits of each shingle, sorted; of more than LISTED shingles a bitmap."""
+    return np.sort(s.astype(np.uint16)).tobytes() if len(s) <= LISTED else bitmap(s, WIDER)
+
+
+def unlisted(n: int, fine: bytes) -> bytes:
+    """The bitmap of a set of n shingles from its sketch."""
+    return bitmap(np.frombuffer(fine, np.uint16), WIDER) if n <= LISTED else fine
+
+
+def _stretches(x: np.ndarray) -> list[tuple]:
+    """Begin and end of each stretch of equal values."""
+    cuts = np.flatnonzero(np.r_[True, x[1:] != x[:-1]]).tolist() if len(x) else []
+    return list(zip(cuts, [*cuts[1:], len(x)][: len(cuts)], strict=True))
+
+
+def may_link_listed(n: np.ndarray, fine: list[bytes], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """For pairs (i, j) of sets of n shingles, i ascending: False only if the lists of 16 bits prove that they share too little, as no
+    shingle is common whose bits are not. Pairs without two lists pass."""
+    out, used = np.ones(len(i), bool), np.unique(np.concatenate([i, j]))
+    names, highest = {}, 0
+    for k in used[n[used] <= LISTED].tolist():
+        h = np.frombuffer(fine[k], np.uint16).astype(np.int64)
+        names[k] = h + (np.arange(len(h)) - np.searchsorted(h, h)) * 65536  # of equal bits the first, second, ... are told apart
+        highest = max(highest, int(names[k].max()))
+    pairs = np.flatnonzero((n[i] <= LISTED) & (n[j] <= LISTED))
+    has = np.zeros(highest + 1, bool)
+    for lo, hi in _stretches(i[pairs]):
+        at = pairs[lo:hi]
+        k = int(i[at[0]])
+        has[names[k]] = True
+        starts = np.r_[0, np.cumsum(n[j[at]])[:-1]]
+        shared = np.add.reduceat(has[np.concatenate([names[x] for x in j[at].tolist()])].astype(np.int64), starts)
+        has[names[k]] = False
+        out[at] = (100 + THRESHOLD) * shared >= THRESHOLD * (n[k] + n[j[at]])
+    return out
+
+
 def signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
@@ -108,7 +148,7 @@ def _profile(digest: Callable):
                         seen.add(digests[-1])
                         prefixes.append(s[: 2 * (len(s) - needed(len(s)) + 1)])
                     sig.append(bitmap(s) if new else None)
-                    wide.append(bitmap(s, WIDER) if new else None)
+                    wide.append(sketch(s) if new else None)
             keys, counts = np.unique(np.concatenate(prefixes), return_counts=True) if prefixes else (np.empty(0, np.uint64), np.empty(0, np.int64))
             often = [{"key": k, "n": c} for k, c in zip(keys[counts > 2].view(np.int64).tolist(), counts[counts > 2].tolist(), strict=True)]
             kind = pa.list_(pa.struct([("key", pa.int64()), ("n", pa.int64())]))
@@ -278,43 +318,67 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept = [x[tail:] for x in (run, cid, label, n, pos)]
 
 
-def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of each tile that neither places nor bitmaps rule out. Rows come sorted by tile; a tile has about
-    2 * BLOCK rows at most."""
+def _tiles(whole: bool):
+    """Pairs of each tile that neither places nor sketches rule out: all if ``whole``, else as many as connect the labels that the others
+    would, and one row without a pair for a tile that has others. Rows come sorted by tile; a tile has about 2 * BLOCK rows at most."""
 
-    def compare(parts: list) -> Iterator[pa.RecordBatch]:
+    def compare(tile: tuple, parts: list) -> Iterator[pa.RecordBatch]:
         side, cid, label, n, pos = (np.concatenate([p[k] for p in parts]).astype(np.int64) for k in range(5))
-        maps = [x for p in parts for x in p[5]]
-        left, right, rest, a, b = np.flatnonzero(side == 0), np.flatnonzero(side == 1), n - pos, [], []
+        fine = [x for p in parts for x in p[5]]
+        maps = [unlisted(k, x) for k, x in zip(n.tolist(), fine, strict=True)]
+        left, right, rest, a, b, more = np.flatnonzero(side == 0), np.flatnonzero(side == 1), n - pos, [], [], False
         within = not len(right)
         right = left if within else right
         step = max(1, (1 << 17) // len(right))
+        joined = label.copy()
         for lo in range(0, len(left), step):
             i, j = (x.ravel() for x in np.meshgrid(left[lo : lo + step], right, indexing="ij"))
             ok = _fits(n, rest, label, i, j) & (i < j if within else True)
             i, j = i[ok], j[ok]
+            if not whole:
+                apart = joined[i] != joined[j]
+                more |= not apart.all()
+                i, j = i[apart], j[apart]
             ok = may_link(n, maps, i, j)
-            a.append(cid[i[ok]])
-            b.append(cid[j[ok]])
-        if sum(map(len, a)):
-            yield _ordered(np.concatenate(a), np.concatenate(b))
+            i, j = i[ok], j[ok]
+            ok = may_link_listed(n, fine, i, j)
+            i, j = i[ok], j[ok]
+            if not whole:
+                kept = np.zeros(len(i), bool)
+                for start, end in _stretches(i):
+                    own = joined[i[start]]
+                    new, first = np.unique(joined[j[start:end]], return_index=True)
+                    kept[start + first[new != own]] = True
+                    joined[np.isin(joined, new)] = own
+                more |= not kept.all()
+                i, j = i[kept], j[kept]
+            a.append(cid[i])
+            b.append(cid[j])
+        if a and sum(map(len, a)):
+            pairs = _ordered(np.concatenate(a), np.concatenate(b))
+            yield pa.RecordBatch.from_arrays([*pairs.columns, *(pa.nulls(len(pairs), t) for t in (pa.int64(), pa.int32(), pa.int32()))], ["a", "b", "run", "i", "j"])
+        if more:
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([tile[0]], pa.int64()), *(pa.array([k], pa.int32()) for k in tile[1:])], ["a", "b", "run", "i", "j"])
 
-    tile, parts = None, []
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        where = np.stack([batch.column(k).to_numpy() for k in range(3)], axis=1)
-        rows = [batch.column(k).to_numpy() for k in range(3, 8)]
-        maps = batch.column(8).to_pylist()
-        cuts = np.flatnonzero(np.r_[True, (where[1:] != where[:-1]).any(axis=1)]).tolist()
-        for lo, hi in zip(cuts, [*cuts[1:], len(where)], strict=True):
-            if parts and tuple(where[lo]) != tile:
-                yield from compare(parts)
-                parts = []
-            tile = tuple(where[lo])
-            parts.append(([*(r[lo:hi] for r in rows), maps[lo:hi]]))
-    if parts:
-        yield from compare(parts)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tile, parts = None, []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            where = np.stack([batch.column(k).to_numpy() for k in range(3)], axis=1)
+            rows = [batch.column(k).to_numpy() for k in range(3, 8)]
+            fine = batch.column(8).to_pylist()
+            cuts = np.flatnonzero(np.r_[True, (where[1:] != where[:-1]).any(axis=1)]).tolist()
+            for lo, hi in zip(cuts, [*cuts[1:], len(where)], strict=True):
+                if parts and tuple(where[lo].tolist()) != tile:
+                    yield from compare(tile, parts)
+                    parts = []
+                tile = tuple(where[lo].tolist())
+                parts.append(([*(r[lo:hi] for r in rows), fine[lo:hi]]))
+        if parts:
+            yield from compare(tile, parts)
+
+    return run
 
 
 def _bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -382,8 +446,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     linear in their size. In long runs it is also compared to the set that shares most. Then, of runs in
     which several components are left, short ones give their pairs; long ones are cut into blocks of near
     sizes, whose tiles of two blocks with fitting sizes and different labels are compared in place. Bitmaps bound each
-    pair's overlap from above (wider ones in tiles, so that what passes there is next to linked), what passes
-    is decided by intersecting the sorted shingles. Every pair that links is thus compared or in one component
+    pair's overlap from above (in tiles also 16 bits of each shingle, so that what passes there is next to linked), what passes
+    is decided by intersecting the sorted shingles. Of pairs that pass in a tile, first as many are decided as would connect its
+    labels; then what is not connected by those that link is compared whole. Every pair that links is thus compared or in one component
     already; no candidate is capped.
 
     Null, empty and blank texts have no shingles, link to nothing and stay alone (also with each other);
@@ -488,13 +553,25 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     met = met.withColumn("side", F.explode(ends)).withColumn("block", F.when(F.col("side") == 0, F.col("i")).otherwise(F.col("j")))
     many = blocked.join(met, ["run", "block"]).select("run", "i", "j", "side", "cid", "label", "n", "pos")
     tiles = whole.unionByName(many).join(classes.select("cid", "wide"), "cid").select("run", "i", "j", "side", "cid", "label", "n", "pos", "wide")
-    tiled = scratch.keep(tiles.repartition(parts, "run", "i", "j").sortWithinPartitions("run", "i", "j").mapInArrow(_tiles, "a long, b long"), "tiled")
-    scratch.drop("mixed", "blocked")
-    scratch.release()
-    rest = scratch.keep(written.unionByName(tiled).distinct(), "rest")
+
+    def compared(tiles: DataFrame, whole: bool, label: str) -> DataFrame:
+        in_tiles = tiles.repartition(parts, "run", "i", "j").sortWithinPartitions("run", "i", "j")
+        return scratch.keep(in_tiles.mapInArrow(_tiles(whole), "a long, b long, run long, i int, j int"), label)
+
+    tiled = compared(tiles, False, "tiled")
+    rest = scratch.keep(written.unionByName(tiled.filter("a IS NOT NULL").select("a", "b")).distinct(), "rest")
     second = fetch_and_intersect(rest, "tiles")
     links = first.filter("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(second)
     final = components(links)
+    again = tiled.filter("a IS NULL").select("run", "i", "j")
+    if again.head(1):  # what was left out in a tile is compared there if its sets are not connected by now
+        final = scratch.keep(final, "final")
+        named = tiles.join(again, ["run", "i", "j"], "left_semi").join(final.select(F.col("node").alias("cid"), "root"), "cid", "left").withColumn("label", F.coalesce("root", "cid"))
+        third = compared(named.select(*tiles.columns), True, "again").select("a", "b").distinct()
+        third = fetch_and_intersect(scratch.keep(third.join(rest, ["a", "b"], "left_anti"), "left"), "again")
+        final = components(final.filter("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(third))
+    scratch.drop("mixed", "blocked")
+    scratch.release()
     reps = final.join(classes.select(F.col("cid").alias("node"), "rep"), "node")
     named = reps.select("node", "root").join(reps.groupBy("root").agg(F.min("rep").alias("least")), "root").select(F.col("node").alias("cid"), "least")
     table = scratch.keep(classes.select("cid", "rep", "copies").join(named, "cid", "left").select("cid", F.coalesce("least", "rep").alias("component_id"), "copies"), "named")
