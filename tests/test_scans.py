@@ -75,3 +75,21 @@ def test_quantiles_by_ranks_through_each_query(spark, data, monkeypatch):
     monkeypatch.setattr(robust, "HELD", 100)
     for n in names:
         assert sorted(map(repr, catalog.queries()[n](spark, data).collect())) == want[n]
+
+
+def test_large_groups_are_counted_in_bins_not_moved(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    values = {None: np.exp(rng.normal(0, 9, 5000)), 1: np.round(rng.normal(0, 3, 4000), 1), 2: np.full(3000, 7.0), 3: rng.normal(0, 1, 40)}
+    df = spark.createDataFrame([(k, float(v)) for k, vs in values.items() for v in vs], "k int, v double")
+    monkeypatch.setattr(robust, "HELD", 100)
+    monkeypatch.setattr(robust, "BINS", 8)
+    monkeypatch.setattr(robust, "FEW", 20)
+    shares = [0.0, 0.31, 0.5, 1.0]
+    scan = robust.scan_by_ranges
+    monkeypatch.setattr(robust, "ROUNDS", 60)
+    monkeypatch.setattr(robust, "scan_by_ranges", None)
+    got = {r.k: r.q for r in robust.exact_quantiles(df, ["k"], "v", shares, "q").collect()}
+    assert set(got) == set(values) and all(np.allclose(got[k], np.quantile(vs, shares), rtol=1e-12) for k, vs in values.items())
+    monkeypatch.setattr(robust, "scan_by_ranges", scan)
+    ends = spark.createDataFrame([(float(v),) for v in [float("inf"), -float("inf"), *range(299)]], "v double")
+    assert robust.exact_quantiles(ends, [], "v", [0.5], "q").first().q == [149.0]  # infinite values: by ranges
