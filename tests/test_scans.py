@@ -77,6 +77,17 @@ def test_quantiles_by_ranks_through_each_query(spark, data, monkeypatch):
         assert sorted(map(repr, catalog.queries()[n](spark, data).collect())) == want[n]
 
 
+def test_lines_of_a_file_are_numbered_over_ranges(spark):
+    from tieplane.sources import text
+
+    df = spark.createDataFrame([(i % 2, 7 * i % 300, str(i)) for i in range(300)], "f int, o int, value string")
+    out = text.numbered(df, F.col("f").cast("string"), ["o"])
+    want = {(str(f), k): v for f in (0, 1) for k, (_, v) in enumerate(sorted((7 * i % 300, str(i)) for i in range(300) if i % 2 == f), 1)}
+    assert {(r.file, r.line): r.value for r in out.collect()} == want
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert all("_part" in line for line in plan.splitlines() if "Window [row_number" in line or "Window [sum(_one" in line)
+
+
 def test_large_groups_are_counted_in_bins_not_moved(spark, monkeypatch):
     rng = np.random.default_rng(8)
     values = {None: np.exp(rng.normal(0, 9, 5000)), 1: np.round(rng.normal(0, 3, 4000), 1), 2: np.full(3000, 7.0), 3: rng.normal(0, 1, 40)}

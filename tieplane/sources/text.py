@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..operators.scans import scan_by_ranges
+
 MATCH = ["row", "col", "img_id", "mrow", "mcol", "score"]
 
 
@@ -22,8 +24,10 @@ def lines(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
 
 
 def numbered(values: DataFrame, file: Column, order: list, value: str = "value") -> DataFrame:
-    """file, line, value from any table of lines with an order of their own."""
-    return values.select(file.alias("file"), F.row_number().over(W.partitionBy(file).orderBy(*order)).alias("line"), F.col(value).alias("value"))
+    """file, line, value from any table of lines with an order of their own; no task holds a file."""
+    places = [f"_o{i}" for i in range(len(order))]
+    d = values.select(file.alias("file"), F.col(value).alias("value"), F.lit(1).alias("_one"), *((F.col(o) if isinstance(o, str) else o).alias(n) for o, n in zip(order, places, strict=True)))
+    return scan_by_ranges(d, ["file"], places, {"_one": "line"}).select("file", F.col("line").cast("int").alias("line"), "value")
 
 
 def fields(df: DataFrame) -> DataFrame:
