@@ -480,6 +480,13 @@ def test_energy_prefers_near_places_and_the_gate_forbids_far_ones():
     assert all(Z.Search(3, 4, 1, kind=k).find(Z.Pair(image, np.roll(image, (1, 2), (0, 1)), k), 20, 25, 20, 25)[:2] == (21, 27) for k in ("gray", "blend", "census"))
 
 
+def test_denoise_gives_a_row_a_point_whatever_the_keys(spark):
+    rows = [(i % 5, float(i % 20), float(i // 20), 1.0 + (i % 3) * 0.01 + (90.0 if i == 210 else 0.0)) for i in range(400)] + [(1, None, 0.0, 1.0)]
+    got = denoise.denoise(spark.createDataFrame(rows, "k long, x double, y double, z double"), "k", 10.0, rounds=1).collect()
+    assert sorted(map(str, (tuple(r)[:4] for r in got))) == sorted(map(str, rows))
+    assert [r.reason for r in got if r.x is None] == [None] and [r.reason for r in got if r.z > 90] != [0]
+
+
 def test_exact_quantiles_by_ranks(spark, monkeypatch):
     rng = np.random.default_rng(21)
     groups = {0: rng.normal(0, 1, 900), 1: np.r_[np.zeros(500), rng.exponential(1e6, 401)], 2: rng.integers(0, 3, 800).astype(float), 3: np.array([5.0]), 4: np.array([1.0, 2.0]), None: rng.uniform(-1e-9, 1e9, 700)}

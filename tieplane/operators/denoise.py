@@ -94,21 +94,21 @@ def denoise(points: DataFrame, key: str, cell: float, radius: int = 1, least: in
     less and above 0); the spread is 1.4826 times the median distance of a cell's points, the median of that over the cells around with a
     vote a point. A spike differs from the heights of the good points by more than ``spike`` spreads: each cell around votes with the
     median of its heights, and what is left of that or of the cell's own deviation, whichever is more, votes for the spread.
-    Cells with fewer than ``least`` points around keep all. Keys must differ. Points with a coordinate that is null or no number get no reason.
+    Cells with fewer than ``least`` points around keep all. Rows go along as they are, so keys may repeat (``key`` is not read). Points with a coordinate that is null or no number get no reason.
     """
-    fine = points.select(key, "x", "y", "z").filter("NOT (isnan(x) OR isnan(y) OR isnan(z)) AND x IS NOT NULL AND y IS NOT NULL AND z IS NOT NULL")
+    rows = points.select("x", "y", "z", F.struct(*(F.col(c) for c in points.columns)).alias("_p"))
+    fine = rows.filter("NOT (isnan(x) OR isnan(y) OR isnan(z)) AND x IS NOT NULL AND y IS NOT NULL AND z IS NOT NULL")
     at = {"ci": F.floor(F.col("x") / cell).cast("long"), "cj": F.floor(F.col("y") / cell).cast("long")}
-    d = fine.withColumns(at).select(key, "ci", "cj", (F.col("x") / cell - F.col("ci") - 0.5).alias("u"), (F.col("y") / cell - F.col("cj") - 0.5).alias("v"), F.col("z").cast("double").alias("z"), F.lit(1.0).alias("w"))
-    d = held(d, "cloud")
-    for _ in range(max(1, rounds)):
-        over = held(_heights(d, _surfaces(d, radius), cell), "heights")
-        near = over.join(_spread(over, "h", radius, "s"), ["ci", "cj"])
-        d = held(near.withColumn("w", biweight(F.col("h"), F.col("s"), CUT * sigma)).drop("around", "s"), "cloud")
-    over = held(_heights(d, _surfaces(d, radius), cell), "heights")
-    d = over.join(_spread(over, "h", radius, "s"), ["ci", "cj"])
+    d = fine.withColumns(at).select("_p", "ci", "cj", (F.col("x") / cell - F.col("ci") - 0.5).alias("u"), (F.col("y") / cell - F.col("cj") - 0.5).alias("v"), F.col("z").cast("double").alias("z"), F.lit(1.0).alias("w"))
+    d, weighted = held(d.drop("w"), "cloud"), d
+    for _ in range(max(1, rounds) + 1):  # a round leaves a row a cell; heights and weights of points follow from it and are not written
+        surfaces = held(_surfaces(weighted, radius), "surfaces")
+        cells = held(surfaces.join(_spread(_heights(d, surfaces, cell), "h", radius, "s"), ["ci", "cj"]), "fitted")
+        weighted = _heights(d, cells, cell).withColumn("w", biweight(F.col("h"), F.col("s"), CUT * sigma))
+    d = _heights(d, cells, cell)
     gate = sigma * F.col("s") if limit <= 0 else F.least(sigma * F.col("s"), F.lit(limit))
     off = (F.col("around") >= least) & (F.when(F.col("s") > 1e-12, F.abs("h") > gate).otherwise(F.abs("h") > limit if limit > 0 else F.lit(False)))
-    d = held(d.select(key, "ci", "cj", "z", off.alias("bad")), "marked")
+    d = d.select("_p", "ci", "cj", "z", off.alias("bad"))
     good = d.filter("NOT bad")
     own = exact_quantiles(good, ["ci", "cj"], "z", [0.5], "_q").select("ci", "cj", F.get("_q", F.lit(0)).alias("m"))
     away = good.join(own, ["ci", "cj"]).withColumn("_a", F.abs(F.col("z") - F.col("m")))
@@ -120,4 +120,5 @@ def denoise(points: DataFrame, key: str, cell: float, radius: int = 1, least: in
     pick = F.aggregate("_s", F.struct(F.lit(0).cast("long").alias("c"), F.lit(None).cast("double").alias("v")), lambda a, x: F.struct((a["c"] + x["n"]).alias("c"), F.when(2 * a["c"] < F.col("around"), x["v"]).otherwise(a["v"]).alias("v")))
     spikes = votes.select(F.col("gi").alias("ci"), F.col("gj").alias("cj"), "mid", "around", (SCALE * pick["v"]).alias("s"))
     reason = F.when(F.col("bad"), 1).when((F.col("around") >= least) & (F.col("s") > 1e-12) & (F.abs(F.col("z") - F.col("mid")) > spike * F.col("s")), 2).otherwise(0)
-    return points.join(d.join(spikes, ["ci", "cj"], "left").select(key, reason.alias("reason")), key, "left")
+    odd = rows.filter("isnan(x) OR isnan(y) OR isnan(z) OR x IS NULL OR y IS NULL OR z IS NULL").select("_p.*", F.lit(None).cast("int").alias("reason"))
+    return d.join(spikes, ["ci", "cj"], "left").select("_p.*", reason.alias("reason")).unionByName(odd)
