@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.shared import held
-from .triangulate import PIXEL, intersect, project, rotation, time_basis
+from .triangulate import PIXEL, intersect, pose_derivatives, project, time_basis
 
 COLUMNS = ["et", "xp", "yp", "Xs", "Ys", "Zs", "phi", "omega", "kappa", "X", "Y", "Z"]
 #: Pairs of images whose blocks a task sums before it hands them on.
@@ -23,20 +23,6 @@ PAIRS = 64
 _BLOCKS = "a int, b int, m binary"
 
 
-def pose_derivatives(x: np.ndarray, pose: np.ndarray, f: float) -> np.ndarray:
-    """2x6 derivatives of places on the focal plane by place and angles of the camera."""
-    r = rotation(pose[:, 3], pose[:, 4], pose[:, 5])
-    d = x - pose[:, :3]
-    v = np.einsum("nij,ni->nj", r, d)
-    sp, cp, sw, cw = np.sin(-pose[:, 3]), np.cos(-pose[:, 3]), np.sin(pose[:, 4]), np.cos(pose[:, 4])
-    sk, ck, zero = np.sin(pose[:, 5]), np.cos(pose[:, 5]), np.zeros(len(x))
-    by_phi = np.stack([r[:, 2], np.zeros_like(r[:, 1]), -r[:, 0]], axis=1)  # phi counts the other way round
-    by_omega = np.stack([-sp[:, None] * r[:, 1], np.stack([-sw * sk, -sw * ck, -cw], axis=1), cp[:, None] * r[:, 1]], axis=1)
-    by_kappa = np.stack([r[:, :, 1], -r[:, :, 0], np.stack([zero] * 3, axis=1)], axis=2)
-    dv = np.concatenate([-r.transpose(0, 2, 1), *(np.einsum("nij,ni->nj", m, d)[:, :, None] for m in (by_phi, by_omega, by_kappa))], axis=2)
-    return f * (dv[:, :2] / v[:, 2, None, None] - v[:, :2, None] * dv[:, 2:] / v[:, 2, None, None] ** 2)
-
-
 def _packed(m: np.ndarray) -> bytes:
     return np.ascontiguousarray(m, float).tobytes()
 
