@@ -119,6 +119,10 @@ def affine_correlation(left: np.ndarray, right: np.ndarray, lr: int, lc: int, rr
     at = linear @ d + np.array([[rr], [rc]])
     return correlation(left[lr - half : lr + half + 1, lc - half : lc + half + 1].astype(float), bilinear(right.astype(float), at[0], at[1]))
 
+#: Samples of windows that ``Search.find_all`` compares at once.
+WINDOWS = 1 << 20
+
+
 
 class Pair:
     """Two images whose windows are compared, many places at a time.
@@ -136,8 +140,10 @@ class Pair:
         return (r >= half) & (c >= half) & (r < h - half) & (c < w - half)
 
     @staticmethod
-    def _windows(image: np.ndarray, r: np.ndarray, c: np.ndarray, half: int) -> np.ndarray:
+    def _windows(image: np.ndarray, r: np.ndarray, c: np.ndarray, half: int, which: np.ndarray | None = None) -> np.ndarray:
+        """Windows about places; with ``which`` about these of them."""
         side = 2 * half + 1
+        r, c = (r, c) if which is None else (r[which], c[which])
         return np.lib.stride_tricks.sliding_window_view(image, (side, side))[r - half, c - half].reshape(len(r), -1)
 
     @staticmethod
@@ -215,6 +221,30 @@ class Search:
         w = np.where(np.isfinite(s), np.exp(-self.sharpness * (1 - np.clip((np.where(np.isfinite(s), s, -1.0) + 1) / 2, 0, 1))), 0.0)
         return float((w * (best[0] + i)).sum() / w.sum()), float((w * (best[1] + j)).sum() / w.sum()), max(best[2], float(s.max()))
 
+    def at_once(self) -> bool:
+        """Whether ``find_all`` does the search: every place of the reach, gray windows, no centroid."""
+        return self.blur is None and self.sharpness is None and self.stride == 1 and self.kind == "gray"
+
+    def find_all(self, pair: Pair, r: np.ndarray, c: np.ndarray, pr: np.ndarray, pc: np.ndarray, affine: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """``find`` for many points: rows, columns and scores, -inf where no window fits."""
+        i, j = self._grid((self.reach, self.reach), 1)
+        many = max(1, WINDOWS // (len(i) * (2 * self.half + 1) ** 2))
+        out = []
+        for lo in range(0, len(r), many):
+            r_, c_, rr, cc = r[lo : lo + many], c[lo : lo + many], pr[lo : lo + many, None] + i, pc[lo : lo + many, None] + j
+            ok = pair.fits(0, r_, c_, self.half)[:, None] & pair.fits(1, rr, cc, self.half)
+            if self.gate is not None and affine is not None:
+                ok &= (np.abs(affine[0][lo : lo + many, None] - rr) < self.gate) & (np.abs(affine[1][lo : lo + many, None] - cc) < self.gate)
+            s, which = np.full(rr.shape, -np.inf), np.nonzero(ok)[0]
+            if len(which):
+                s[ok] = pair._correlate(pair._windows(pair.images[0], r_, c_, self.half, which), pair._windows(pair.images[1], rr[ok], cc[ok], self.half))
+            energy = 1 - s + self.smooth * np.hypot(i, j) / max(1, self.reach)
+            if self.mutual and pair.mutual is not None and len(which):
+                energy[ok] += self.mutual * (1 - pair.information(r_[which], c_[which], rr[ok], cc[ok]))
+            k, at = np.argmin(np.round(energy, 9), axis=1), np.arange(len(r_))
+            out.append((rr[at, k], cc[at, k], s[at, k]))
+        return tuple(np.concatenate(x) if x else np.zeros(0) for x in (zip(*out, strict=True) if out else ((), (), ())))
+
     @staticmethod
     def _grid(reach: tuple[int, int], stride: int) -> tuple[np.ndarray, np.ndarray]:
         i, j = np.meshgrid(np.arange(-reach[0], reach[0] + 1, stride), np.arange(-reach[1], reach[1] + 1, stride), indexing="ij")
@@ -241,6 +271,23 @@ def mutual_table(a: np.ndarray, b: np.ndarray, n: np.ndarray, eps: float = 1e-6)
     return np.log((joint + eps) / (joint.sum(axis=1, keepdims=True) * joint.sum(axis=0, keepdims=True) + eps))
 
 
+class MutualInformation:
+    """``mutual_table`` looked up by arrays of values, without making all 256 by 256 of it."""
+
+    def __init__(self, a: np.ndarray, b: np.ndarray, n: np.ndarray, eps: float = 1e-6):
+        self.eps, self.total = eps, max(float(n.sum()), 1.0)
+        self.keys, at = np.unique(a * 256 + b, return_inverse=True)
+        self.joint = np.r_[np.bincount(at, n, len(self.keys)), 0.0]
+        self.left, self.right = np.bincount(a, n, 256) / self.total, np.bincount(b, n, 256) / self.total
+
+    def __getitem__(self, values: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+        a, b = np.broadcast_arrays(*values)
+        key = a * 256 + b
+        at = np.searchsorted(self.keys, key)
+        at = np.where(np.r_[self.keys, -1][at] == key, at, len(self.keys))
+        return np.log((self.joint[at] / self.total + self.eps) / (self.left[a] * self.right[b] + self.eps))
+
+
 def search(left: np.ndarray, right: np.ndarray, lr: int, lc: int, pr: int, pc: int, reach: int, half: int, stride: int = 2) -> tuple[int, int, float] | None:
     """Best place near a prediction: every ``stride``-th offset first, then all within a stride of the best.
     Of equal scores the first in row order stays. None if no window fits."""

@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -208,25 +209,43 @@ def search_in_tiles(points: DataFrame, left: DataFrame, right: DataFrame, how: Z
     if told:
         work = work.join(joint.select("lccd", "rccd", "joint"), ["lccd", "rccd"], "left")
     kind = points.schema["pid"].dataType.simpleString()
-    nearest = lambda x: int(np.floor(x + 0.5))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = []
-            for w in pdf.itertuples():
-                table = None
-                if told and w.joint is not None:
-                    table = Z.mutual_table(*(np.array([x[k] for x in w.joint], np.int64) for k in ("a", "b", "n")))
-                pair = Z.Pair(np.asarray(w.limg).reshape(w.lrows, w.lcols), np.asarray(w.rimg).reshape(w.rrows, w.rcols), how.kind, table)
-                for p in w.pts:
-                    reach = (int(p["reach_r"]), int(p["reach_c"])) if "reach_r" in own else None
-                    affine = (p["ar"], p["ac"]) if "ar" in own else None
-                    hit = how.find(pair, nearest(p["row"]), nearest(p["col"]), nearest(p["pr"]), nearest(p["pc"]), reach, affine)
-                    if hit is not None and hit[2] >= least:
-                        out.append((p["pid"], w.rccd, *map(float, hit)))
-            yield pd.DataFrame(out, columns=["pid", "rccd", "mrow", "mcol", "score"])
-
-    return work.mapInPandas(run, f"pid {kind}, rccd int, mrow double, mcol double, score double")
+    nearest = lambda x: np.floor(x + 0.5).astype(np.int64)
+
+    def lists(column: pa.Array) -> tuple[np.ndarray, pa.Array]:
+        """Where each row's list begins and ends, and all lists in one; a null is as an empty list."""
+        return np.r_[0, np.cumsum(column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))], column.flatten()
+
+    def found(pair: Z.Pair, pts: dict) -> np.ndarray:
+        """Row, column and score of each point; no number where there is none."""
+        r, c, pr, pc = (nearest(pts[x]) for x in ("row", "col", "pr", "pc"))
+        affine = (pts["ar"], pts["ac"]) if "ar" in own else None
+        if how.at_once() and "reach_r" not in own:
+            return np.stack(how.find_all(pair, r, c, pr, pc, affine), axis=1)
+        hits = (how.find(pair, int(r[k]), int(c[k]), int(pr[k]), int(pc[k]), (int(pts["reach_r"][k]), int(pts["reach_c"][k])) if "reach_r" in own else None, affine and (affine[0][k], affine[1][k])) for k in range(len(r)))
+        return np.array([h or (np.nan, np.nan, -np.inf) for h in hits], float).reshape(-1, 3)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            (at, points_), (li, left_), (ri, right_) = (lists(batch.column(c)) for c in ("pts", "limg", "rimg"))
+            pts = {c: points_.field(c).to_numpy(zero_copy_only=False) for c in ("row", "col", "pr", "pc", *own)}
+            left_, right_ = left_.to_numpy(zero_copy_only=False), right_.to_numpy(zero_copy_only=False)
+            shape = {c: batch.column(c).to_numpy() for c in ("lrows", "lcols", "rrows", "rcols")}
+            if told:
+                ji, joints = lists(batch.column("joint"))
+                counts, there = [joints.field(c).to_numpy().astype(np.int64) for c in ("a", "b", "n")], batch.column("joint").is_valid().to_numpy(zero_copy_only=False)
+            out, kept = [], []
+            for w in range(batch.num_rows):
+                table = Z.MutualInformation(*(x[ji[w] : ji[w + 1]] for x in counts)) if told and there[w] else None
+                pair = Z.Pair(left_[li[w] : li[w + 1]].reshape(shape["lrows"][w], shape["lcols"][w]), right_[ri[w] : ri[w + 1]].reshape(shape["rrows"][w], shape["rcols"][w]), how.kind, table)
+                hits = found(pair, {c: x[at[w] : at[w + 1]] for c, x in pts.items()})
+                fine = np.flatnonzero(np.isfinite(hits[:, 2]) & (hits[:, 2] >= least))
+                out.append(hits[fine])
+                kept.append(fine + at[w])
+            hits, kept = np.concatenate([*out, np.zeros((0, 3))]), np.concatenate([*kept, np.zeros(0, np.int64)])
+            rccd = np.repeat(batch.column("rccd").to_numpy(), np.array([len(x) for x in out], np.int64))
+            yield pa.RecordBatch.from_pydict({"pid": points_.field("pid").take(pa.array(kept)), "rccd": pa.array(rccd, pa.int32()), **{c: pa.array(hits[:, k]) for k, c in enumerate(("mrow", "mcol", "score"))}})
+
+    return work.mapInArrow(run, f"pid {kind}, rccd int, mrow double, mcol double, score double")
 
 
 def predict_by_field(points: DataFrame, field: DataFrame, whole, tile_r: float, tile_c: float, reach: float, keys: list[str] = (), scale: float = 1.0) -> DataFrame:
