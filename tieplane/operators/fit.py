@@ -84,11 +84,19 @@ def needed_trials(share: float, confidence: float = 0.999) -> float:
     return np.log(1 - confidence) / np.log1p(-min(max(share, 1e-9) ** 3, 1 - 1e-12))
 
 
+#: Points that models are held against at once, and pairs of a model and a point: what a core's cache takes.
+STRETCH, AT_ONCE = 8192, 65_536
+
+
 def _supported(m: np.ndarray, p: np.ndarray, w: np.ndarray, inside_of, sigma: float) -> np.ndarray:
     """The weight of the points that each model is within sigma of."""
-    step = max(1, 1_000_000 // max(1, len(p)))
-    counts = [inside_of(m[lo : lo + step], p, sigma) @ w for lo in range(0, len(m), step)]
-    return np.concatenate([*counts, np.empty(0, np.int64)]).astype(np.int64)
+    out, weights = np.zeros(len(m), np.int64), w.astype(float)  # sums of whole numbers are exact
+    for at in range(0, len(p), STRETCH):
+        q, v = np.ascontiguousarray(p[at : at + STRETCH].T).T, weights[at : at + STRETCH]
+        step = max(1, AT_ONCE // len(q))
+        for lo in range(0, len(m), step):
+            out[lo : lo + step] += (inside_of(m[lo : lo + step], q, sigma) @ v).astype(np.int64)
+    return out
 
 
 def _inlier_sums(p: np.ndarray, w: np.ndarray, f: np.ndarray, o: np.ndarray, inside_of, sigma: float) -> list[float]:
@@ -116,18 +124,49 @@ def _ransac_whole(d: DataFrame, keys: list[str], point: list[str], names: list[s
     return d.groupBy(*keys).applyInPandas(run, f"{named}{', '.join(f'{f} double' for f in names)}, n long, inliers long")
 
 
-def _ransac(df: DataFrame, keys: list[str], point: list[str], names: list[str], identity: np.ndarray, inside_of, sigma: float, trials: int, seed: int) -> DataFrame:
-    c = F.col
-    kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+class _Groups:
+    """What all rounds of a RANSAC read, made once: the different rows of each group with how often each stands, the groups' sizes and,
+    where a group is large, its rows in blocks, a row each. So a round moves models and sums, not points."""
+
+    def __init__(self, df: DataFrame, keys: list[str], point: list[str], seed: int):
+        self.keys, self.point, self.seed = keys, point, seed
+        self.different = held(df.groupBy(*keys, *(F.col(x).cast("double").alias(x) for x in point)).agg(F.count(F.lit(1)).alias("_w")))
+        self.size = held(self.different.groupBy(*keys).agg(F.sum("_w").alias("_n"), F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).cast("int").alias("_blocks")))
+        self._blocks = None
+
+    def dealt(self, size: DataFrame) -> DataFrame:
+        """Rows of the groups in ``size`` with their hash and their block."""
+        hashed = self.different.withColumn("_h", F.xxhash64(*self.point, F.lit(self.seed))).withColumn("_s", F.pmod("_h", F.lit(SALTS)).cast("int"))
+        salted = size.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        return hashed.join(salted, [*self.keys, "_s"]).withColumn("_b", F.pmod(F.shiftrightunsigned("_h", 8), F.col("_blocks")).cast("int"))
+
+    def blocks(self, named: str) -> DataFrame:
+        if self._blocks is None:
+            keys, point, by = self.keys, self.point, [*self.keys, "_b"]
+
+            def pack(pdf: pd.DataFrame) -> pd.DataFrame:
+                pdf = pdf.sort_values(point)
+                return pd.DataFrame([[*pdf[by].iloc[0], pdf[point].to_numpy().ravel(), pdf["_w"].to_numpy()]], columns=[*by, "_p", "_w"])
+
+            rows = self.dealt(self.size).select(*by, *point, "_w")
+            self._blocks = held(rows.groupBy(*by).applyInPandas(pack, f"{named}_b int, _p array<double>, _w array<long>"))
+        return self._blocks
+
+
+#: Groups whose models are sent to all tasks, at most; those of more are dealt to their blocks.
+SENT = 1000
+
+
+def _ransac(g: _Groups, size: DataFrame, names: list[str], identity: np.ndarray, inside_of, sigma: float, trials: int) -> DataFrame:
+    """One round for the groups in ``size``."""
+    c, keys, point, seed = F.col, g.keys, g.point, g.seed
+    kinds = {f.name: f.dataType.simpleString() for f in size.schema.fields}
     named = "".join(f"{k} {kinds[k]}, " for k in keys)
-    d = df.groupBy(*keys, *(c(x).cast("double").alias(x) for x in point)).agg(F.count(F.lit(1)).alias("_w")).withColumn("_h", F.xxhash64(*point, F.lit(seed)))
-    if (d.groupBy(*keys).agg(F.sum("_w").alias("_n")).agg(F.max("_n")).first()[0] or 0) <= DRAWN:
-        return _ransac_whole(d, keys, point, names, named, identity, inside_of, sigma, trials, seed)
-    size = d.groupBy(*keys).agg(F.sum("_w").alias("_n"), F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).cast("int").alias("_blocks"))
-    salted = size.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    dealt = d.withColumn("_s", F.pmod("_h", F.lit(SALTS)).cast("int")).join(salted, [*keys, "_s"]).withColumn("_b", F.pmod(F.shiftrightunsigned("_h", 8), c("_blocks")).cast("int"))
+    largest, groups = size.agg(F.max("_n"), F.count(F.lit(1))).first()
+    if (largest or 0) <= DRAWN:
+        return _ransac_whole(g.different.join(size.select(*keys), keys, "left_semi"), keys, point, names, named, identity, inside_of, sigma, trials, seed)
     even = F.pmod(F.xxhash64(*point, F.lit(seed + 1)), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    drawn = dealt.withColumn("_k", F.floor(c("_w") * F.least(F.lit(1.0), F.lit(float(DRAWN)) / c("_n")) + even)).filter("_k > 0")
+    drawn = g.dealt(size).withColumn("_k", F.floor(c("_w") * F.least(F.lit(1.0), F.lit(float(DRAWN)) / c("_n")) + even)).filter("_k > 0")
 
     def draw(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(point)
@@ -138,53 +177,56 @@ def _ransac(df: DataFrame, keys: list[str], point: list[str], names: list[str],
             m = m[np.sort(np.argsort(-support, kind="stable")[:LEADERS])]
         return pd.DataFrame([[*pdf[keys].iloc[0], pdf["_blocks"].iloc[0], m.ravel(), at.mean(axis=0)]], columns=[*keys, "_blocks", "_m", "_o"])
 
-    def score(pts: pd.DataFrame, models: pd.DataFrame) -> pd.DataFrame:
-        if pts.empty or models.empty:
-            return pd.DataFrame(columns=[*keys, "_c"])
-        m, p, w = np.reshape(models["_m"].iloc[0], (-1, len(names))), pts[point].to_numpy(), pts["_w"].to_numpy()
-        return pd.DataFrame([[*models[keys].iloc[0], _supported(m, p, w, inside_of, sigma)]], columns=[*keys, "_c"])
+    def each_block(table: DataFrame, work, out: str) -> DataFrame:
+        """``work(points, weights, row)`` of each block with its group's row of ``table``, next to the keys."""
+        if groups <= SENT:
+            met = g.blocks(named).join(F.broadcast(table), keys)
+        else:
+            met = g.blocks(named).join(table.withColumn("_b", F.explode(F.sequence(F.lit(0), c("_blocks") - 1))).hint("merge"), [*keys, "_b"])
+        met = met.drop("_blocks")
+
+        def run(batches):
+            for pdf in batches:
+                for _, row in pdf.iterrows():
+                    p, w = np.reshape(row["_p"], (-1, len(point))), np.asarray(row["_w"])
+                    yield pd.DataFrame([[*(row[k] for k in keys), *work(p, w, row)]], columns=columns)
+
+        columns = [*keys, *(x.split()[0] for x in out.split(", "))]
+        return met.mapInPandas(run, named + out)
+
+    def score(p, w, row) -> list:
+        return [_supported(np.reshape(row["_m"], (-1, len(names))), p, w, inside_of, sigma)]
 
-    def add(pts: pd.DataFrame, best: pd.DataFrame) -> pd.DataFrame:
-        if pts.empty or best.empty:
-            return pd.DataFrame(columns=[*keys, "_b", "_sums"])
-        f, o = np.array(best["_f"].iloc[0]), np.array(best["_o"].iloc[0])
-        p = pts.sort_values(point)
-        w, p = p["_w"].to_numpy().astype(float), p[point].to_numpy()
-        return pd.DataFrame([[*best[keys].iloc[0], best["_b"].iloc[0], _inlier_sums(p, w, f, o, inside_of, sigma)]], columns=[*keys, "_b", "_sums"])
+    def add(p, w, row) -> list:
+        return [row["_b"], _inlier_sums(p, w.astype(float), np.asarray(row["_f"]), np.asarray(row["_o"]), inside_of, sigma)]
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         s = np.stack(pdf.sort_values("_b")["_sums"].to_numpy()).sum(axis=0)
         f = refit(s, np.array(pdf["_o"].iloc[0]), np.array(pdf["_f"].iloc[0])) if s[0] >= 3 else identity
         return pd.DataFrame([[*pdf[keys].iloc[0], *f]], columns=[*keys, *names])
 
-    def count(pts: pd.DataFrame, fitted: pd.DataFrame) -> pd.DataFrame:
-        if pts.empty or fitted.empty:
-            return pd.DataFrame(columns=[*keys, *names, "_w", "_in"])
-        w = pts["_w"].to_numpy()
-        inside = inside_of(fitted[names].to_numpy()[:1], pts[point].to_numpy(), sigma)[0]
-        return pd.DataFrame([[*fitted[keys].iloc[0], *fitted[names].iloc[0], w.sum(), w[inside].sum()]], columns=[*keys, *names, "_w", "_in"])
+    def count(p, w, row) -> list:
+        f = np.array([row[x] for x in names], dtype=float)
+        return [*f, w.sum(), w[inside_of(f[None], p, sigma)[0]].sum()]
 
-    each = lambda x: x.withColumn("_b", F.explode(F.sequence(F.lit(0), c("_blocks") - 1)))
-    by, parts = [*keys, "_b"], dealt.select(*keys, "_b", *point, "_w")
     listed = ", ".join(f"{f} double" for f in names)
-    models = drawn.select(*keys, "_blocks", *point, "_k").groupBy(*keys).applyInPandas(draw, f"{named}_blocks int, _m array<double>, _o array<double>")
-    counts = parts.groupBy(*by).cogroup(each(models.select(*keys, "_blocks", "_m")).groupBy(*by)).applyInPandas(score, f"{named}_c array<long>")
+    models = held(drawn.select(*keys, "_blocks", *point, "_k").groupBy(*keys).applyInPandas(draw, f"{named}_blocks int, _m array<double>, _o array<double>"))
+    counts = each_block(models.select(*keys, "_blocks", "_m"), score, "_c array<long>")
     total = counts.select(*keys, F.posexplode("_c").alias("_t", "_c")).groupBy(*keys, "_t").agg(F.sum("_c").alias("_c"))
     most = total.groupBy(*keys).agg(F.max(F.struct("_c", (-c("_t")).alias("_t"))).alias("_best"))
-    best = models.join(most, keys).select(*keys, "_blocks", "_o", F.slice("_m", 1 - len(names) * c("_best._t"), len(names)).alias("_f"))
-    sums = parts.groupBy(*by).cogroup(each(best).groupBy(*by)).applyInPandas(add, f"{named}_b int, _sums array<double>")
+    best = held(models.join(most, keys).select(*keys, "_blocks", "_o", F.slice("_m", 1 - len(names) * c("_best._t"), len(names)).alias("_f")))
+    sums = each_block(best, add, "_b int, _sums array<double>")
     solved = sums.join(best.select(*keys, "_o", "_f"), keys).groupBy(*keys).applyInPandas(solve, named + listed)
-    fresh = [c(k).alias(k) for k in [*keys, "_blocks"]]  # columns of their own, as cogrouped tables must not share any
-    fitted = size.join(solved, keys, "left").select(*fresh, *(F.coalesce(f, F.lit(float(x))).alias(f) for f, x in zip(names, identity, strict=True)))
-    counted = parts.groupBy(*by).cogroup(each(fitted).groupBy(*by)).applyInPandas(count, f"{named}{listed}, _w long, _in long")
+    fitted = size.select(*keys, "_blocks").join(solved, keys, "left").select(*keys, "_blocks", *(F.coalesce(f, F.lit(float(x))).alias(f) for f, x in zip(names, identity, strict=True)))
+    counted = each_block(fitted, count, f"{listed}, _w long, _in long")
     return counted.groupBy(*keys, *names).agg(F.sum("_w").alias("n"), F.sum("_in").alias("inliers"))
 
 
-def _until_sure(df: DataFrame, keys: list[str], trials: int, most: int, run) -> DataFrame:
-    """``run(groups, trials)``, and again for the groups whose share of inliers leaves that number of triples unsure; those get
+def _until_sure(g: _Groups, trials: int, most: int, run) -> DataFrame:
+    """``run(sizes, trials)`` of all groups, and again for the groups whose share of inliers leaves that number of triples unsure; those get
     as many as the worst of them needs, ``most`` at most."""
-    first = run(df, trials)
-    first = held(first)
+    keys = g.keys
+    first = held(run(g.size, trials))
     share = F.greatest(F.col("inliers") / F.col("n"), F.lit(1e-3))
     need = first.select(*keys, F.ceil(F.lit(float(-np.log(1e-3))) / -F.log1p(-F.least(F.pow(share, F.lit(3.0)), F.lit(1 - 1e-12)))).alias("_need"), "inliers")
     unsure = need.filter((F.col("_need") > trials) & (F.col("inliers") >= 3))
@@ -192,7 +234,7 @@ def _until_sure(df: DataFrame, keys: list[str], trials: int, most: int, run) ->
     if worst is None:
         return first
     groups = unsure.select(*keys)
-    again = run(df.join(groups, keys, "left_semi"), int(min(worst, most)))
+    again = run(held(g.size.join(groups, keys, "left_semi")), int(min(worst, most)))
     return first.join(groups, keys, "left_anti").unionByName(again)
 
 
@@ -211,14 +253,16 @@ def affine_ransac(matches: DataFrame, keys: list[str], sigma: float = 150.0, tri
     counts all rows against the result.
     """
     point = ["row", "col", "mrow", "mcol"]
-    return _until_sure(matches.select(*keys, *point), keys, trials, most, lambda d, n: _ransac(d, keys, point, AFFINE, IDENTITY, near, sigma, n, seed))
+    g = _Groups(matches.select(*keys, *point), list(keys), point, seed)
+    return _until_sure(g, trials, most, lambda size, n: _ransac(g, size, AFFINE, IDENTITY, near, sigma, n))
 
 
 def plane_ransac(points: DataFrame, keys: list[str], sigma: float, trials: int = FIRST, seed: int = 0, most: int = MOST) -> DataFrame:
     """One plane z = a x + b y + c per group of points (x, y, z) like ``affine_ransac``: a, b, c, n, inliers. With fewer than
     three inliers the plane is z = 0."""
     point = ["x", "y", "z"]
-    return _until_sure(points.select(*keys, *point), keys, trials, most, lambda d, n: _ransac(d, keys, point, ["a", "b", "c"], np.zeros(3), near_plane, sigma, n, seed))
+    g = _Groups(points.select(*keys, *point), list(keys), point, seed)
+    return _until_sure(g, trials, most, lambda size, n: _ransac(g, size, ["a", "b", "c"], np.zeros(3), near_plane, sigma, n))
 
 
 def local_affine_field(matches: DataFrame, tile_r: float, tile_c: float, sigma: float = 20.0, trials: int = FIRST, least: int = 12, seed: int = 0, keys: list[str] = ()) -> DataFrame:
