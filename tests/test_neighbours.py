@@ -94,3 +94,17 @@ def test_nearest_in_many_leaves_equal_those_of_all_pairs(spark, monkeypatch):
         d2 = (F.col("row") - F.col("srow")) * (F.col("row") - F.col("srow")) + (F.col("col") - F.col("scol")) * (F.col("col") - F.col("scol"))
         want = joins.nearest_k(left.join(right, "ccd").withColumn("d2", d2), ["pid"], k, ["d2", "sid"])
         assert got == sorted((r.pid, r.rk, r.sid, r.d2) for r in want.collect())
+
+
+@pytest.mark.parametrize("few, full", [(50, 25_000), (2, 25_000), (400, 1), (2000, 25_000)])
+def test_wide_blocks_give_what_narrow_ones_give(spark, monkeypatch, few, full):
+    """Few points over a wide plane, in blocks of each kind: wide ones as many points as they may hold, or narrow ones where none fits."""
+    monkeypatch.setattr(neighbours, "FEW", few)
+    monkeypatch.setattr(neighbours, "FULL", full)
+    _, left, right = tables(spark, 600, span=900.0, seed=6)
+    left = left.withColumn("row", F.col("row") - 300)
+    right = right.withColumn("srow", F.col("srow") - 300)
+    got = {r.pid: r for r in neighbours.radius_moments(left, right, *AT, 6.5, ("pid", "sid"), ["a", "b"], ["ccd"]).collect()}
+    want = pairs_of(left, right, 6.5, False).filter("pid <> sid").groupBy("pid").agg(F.count(F.lit(1)).alias("n"), F.avg("a").alias("m"), F.var_pop("b").alias("v")).collect()
+    assert len(want) > 20 and set(got) == {r.pid for r in want}
+    assert all(got[r.pid].n == r.n and np.allclose([got[r.pid].m_a, got[r.pid].v_b], [r.m, r.v], atol=1e-9) for r in want)

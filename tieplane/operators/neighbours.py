@@ -18,6 +18,9 @@ from pyspark.sql import functions as F
 PIECE = 200_000
 #: Sides of a block in radii, the largest whose fullest block fits is taken; strips in a radius; pairs that are looked at together.
 SIDES, STRIPS, PAIRS = (8, 4, 2, 1), 8, 1 << 21
+#: Sides of a block where points are few, as each block costs a call: the largest whose fullest block has no more than FULL points of both
+#: sides is taken; of small tables blocks are smaller, about as many as PARTS, but of no fewer points than FEW.
+WIDE, FULL, FEW, PARTS = (4096, 1024, 256, 64, 16), 25_000, 2_000, 64
 #: Exponents of the monomials whose weighted sums a quadratic needs.
 QUADRATIC = [(i, d - i) for d in range(5) for i in range(d, -1, -1)]
 BASIS = [(0, 0), (1, 0), (0, 1), (2, 0), (1, 1), (0, 2)]
@@ -153,6 +156,29 @@ def _sums(radius: float, closed: bool, names: list[str], spread: list[tuple[int,
     return run
 
 
+def _side(l: DataFrame, r: DataFrame, named: list[str], radius: float) -> tuple[int, int]:
+    """The side of a block in radii, and in how many pieces a block's points are dealt out."""
+    cell = lambda d, side: d.select(*named, F.floor(F.col("r") / (radius * side)).cast("long").alias("br"), F.floor(F.col("c") / (radius * side)).cast("long").alias("bc"))
+
+    def most(finest: DataFrame, sides: tuple[int, ...]) -> dict:
+        cells = finest.withColumn("side", F.explode(F.array(*(F.lit(s // sides[-1]) for s in sides))))
+        fullest = cells.groupBy("side", *named, F.floor(F.col("br") / F.col("side")), F.floor(F.col("bc") / F.col("side"))).agg(F.sum("n").alias("n"))
+        return {row["side"] * sides[-1]: (row["n"], row["t"]) for row in fullest.groupBy("side").agg(F.max("n").alias("n"), F.sum("n").alias("t")).collect()}
+
+    counted = lambda d: d.groupBy(*d.columns).agg(F.count(F.lit(1)).alias("n"))
+    wide = most(counted(cell(l, WIDE[-1]).unionAll(cell(r, WIDE[-1]))), WIDE)
+    for side in WIDE:
+        n, total = wide.get(side, (0, 0))
+        if n <= min(FULL, PIECE, max(FEW, total // PARTS)):
+            return side, 1
+    near = most(counted(cell(r, SIDES[-1])), SIDES)
+    for side in SIDES:
+        n = near.get(side, (0, 0))[0]
+        if n <= PIECE:
+            break
+    return side, -(-n // PIECE) or 1
+
+
 def _blocked(left: DataFrame, right: DataFrame, left_at, right_at, ids, values, keys, radius) -> tuple[DataFrame, list[str], int]:
     """Queries (side 0) and neighbours (side 1) with the block and the pieces they go to."""
     named = [f"k{i}" for i in range(len(keys))]
@@ -161,14 +187,8 @@ def _blocked(left: DataFrame, right: DataFrame, left_at, right_at, ids, values,
     l = fine(left, left_at).select(*own, F.col(ids[0]).cast("long").alias("id"), F.col(left_at[0]).cast("double").alias("r"), F.col(left_at[1]).cast("double").alias("c"))
     r = fine(right, right_at).select(*own, F.col(ids[1]).cast("long").alias("id"), F.col(right_at[0]).cast("double").alias("r"), F.col(right_at[1]).cast("double").alias("c"), *(F.col(v).cast("double").alias(f"v{k}") for k, v in enumerate(values)))
     block = lambda x, side: F.floor(x / (radius * side)).cast("long")
-    finest = r.groupBy(*named, block(F.col("r"), 1).alias("br"), block(F.col("c"), 1).alias("bc")).agg(F.count(F.lit(1)).alias("n"))
-    most = {}
-    for side in SIDES:
-        most[side] = finest.groupBy(*named, F.floor(F.col("br") / side), F.floor(F.col("bc") / side)).agg(F.sum("n").alias("n")).agg(F.max("n")).first()[0] or 0
-        if most[side] <= PIECE:
-            break
+    side, pieces = _side(l, r, named, radius)
     size = radius * side
-    pieces = -(-most[side] // PIECE) or 1
     reach = lambda x: F.sequence(F.floor((x - radius * 1.000001) / size).cast("long"), F.floor((x + radius * 1.000001) / size).cast("long"))
     l = l.withColumns({"side": F.lit(0), "br": block(F.col("r"), side), "bc": block(F.col("c"), side)})
     r = r.withColumn("side", F.lit(1)).withColumn("br", F.explode(reach(F.col("r")))).withColumn("bc", F.explode(reach(F.col("c"))))
